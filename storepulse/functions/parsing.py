@@ -32,11 +32,11 @@ def buy_detail_product(details: Column) -> Column:
 def buy_detail_price(details: Column) -> Column:
     """FN-3/FN-4: 'BUY-<product>-<price>.' -> price as FLOAT.
 
-    Trailing newline and the final '.' are removed before the cast; a short or
-    non-numeric detail gives null.
+    The trailing newline and final '.' of the message (Q22) are removed before
+    the cast; a short or non-numeric detail gives null, never an error.
     """
     raw = F.get(F.split(details, "-"), 2)
-    return F.regexp_replace(F.rtrim(raw), r"\.$", "").try_cast("float")
+    return F.regexp_replace(raw, r"[\s.]+$", "").try_cast("float")
 
 
 def is_buy_detail(details: Column) -> Column:

@@ -144,3 +144,20 @@ def in_stock(stock: DataFrame) -> DataFrame:
 def negative_stock(stock: DataFrame) -> DataFrame:
     """FLT-2: quantity < 0."""
     return stock.filter(F.col("quantity") < 0).select("product_id", "store_id", "quantity")
+
+
+def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "day") -> DataFrame:
+    """AGG-5, intent reading of Q9: for each bought unit, the views of the same
+    (user, product, store) strictly earlier than the buy; histogram per store
+    and ``All``. The running count is split by time bucket so a hot key is
+    spread over many tasks (see ``sequence.count_before``)."""
+    from .sequence import count_before
+    cols = ["user_id", "product_id", "store_id", "datetime"]
+    # at equal timestamps the buy sorts first, so a simultaneous view is not "before"
+    tagged = (views.select(*cols, F.lit(1).alias("is_view"), F.lit(1).alias("_tie"))
+              .unionByName(buys.select(*cols, F.lit(0).alias("is_view"), F.lit(0).alias("_tie")))
+              .withColumn("_bucket", F.date_trunc(bucket, "datetime")))
+    counted = count_before(tagged, ["user_id", "product_id", "store_id"], ["datetime", "_tie"],
+                           "is_view", "_bucket", out="views")
+    per_buy = counted.filter(F.col("is_view") == 0).select("store_id", "views", F.lit(1).alias("buys"))
+    return views_histogram(per_buy)

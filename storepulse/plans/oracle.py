@@ -31,7 +31,32 @@ CTE = {
     "cat": """SELECT CAST(p_partkey AS VARCHAR) AS id, 'store_' || CAST(s AS VARCHAR) AS store_id, p_name AS name,
        p_retailprice AS price FROM part, (SELECT unnest(range(5)) AS s)""",
 }
-DEPS = {"buys": ["se"], "views": ["se"], "purch": ["se"], "cur": ["prod"]}
+CTE["lr"] = """SELECT CAST(epoch_us(ts) * 1000 AS VARCHAR) AS timestamp,
+       CASE WHEN event_type = 'error' THEN 'Error' ELSE store_id END AS store_id,
+       CASE WHEN event_type = 'error' THEN CAST(event_id % 6 AS VARCHAR)
+            WHEN event_type IN ('signup', 'purchase') THEN 'Audit' ELSE 'User' END AS type,
+       CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS content,
+       CASE event_type WHEN 'signup' THEN 'LOGIN' WHEN 'purchase' THEN 'BUY' WHEN 'view' THEN 'ZOOM'
+                       WHEN 'click' THEN 'CLICK' END AS extra_1,
+       CASE event_type WHEN 'purchase' THEN product_id WHEN 'view' THEN 'VIEW_PRODUCT ' || product_id || '.'
+                       WHEN 'click' THEN 'CART with ' || product_id || '.' END AS extra_2
+  FROM se"""
+CTE["msg"] = """SELECT event_id AS id, CASE WHEN event_type = 'error'
+         THEN CAST(epoch_us(ts) * 1000 AS VARCHAR) || ';Error;' || CAST(event_id % 6 AS VARCHAR)
+         ELSE CAST(epoch_us(ts) * 1000 AS VARCHAR) || ';' || store_id || ';User;' || user_id || ';' ||
+              CASE event_type WHEN 'signup' THEN 'SCROLLING;HOME.'
+                              WHEN 'view' THEN 'ZOOM;VIEW_PRODUCT ' || product_id || '.'
+                              WHEN 'click' THEN 'CLICK;CART with ' || product_id || '.'
+                              WHEN 'purchase' THEN 'CLICK;BUY-' || product_id || '-' || CAST(value AS VARCHAR) || '.' END
+       END || chr(10) AS message FROM se"""
+CTE["pe"] = """SELECT id, p[1] AS timestamp, p[2] AS store_id, p[3] AS type, p[4] AS user_id, p[5] AS action,
+       p[6] AS details, make_timestamp(TRY_CAST(p[1] AS BIGINT) // 1000) AS datetime
+  FROM (SELECT id, string_split(message, ';') AS p FROM msg)"""
+CTE["bd"] = """SELECT id, timestamp, store_id, type, user_id, action, string_split(details, '-')[2] AS product_id,
+       TRY_CAST(regexp_replace(string_split(details, '-')[3], '[\\s.]+$', '') AS FLOAT) AS price, datetime
+  FROM pe WHERE starts_with(details, 'BUY')"""
+DEPS = {"buys": ["se"], "views": ["se"], "purch": ["se"], "cur": ["prod"], "lr": ["se"], "msg": ["se"],
+        "pe": ["msg"], "bd": ["pe"]}
 
 
 def with_ctes(names: list[str], extra: list[tuple[str, str]], select: str) -> str:
@@ -220,4 +245,33 @@ def build() -> dict[str, str]:
         "SELECT CAST(json_object('user_id', user_id, 'store_id', store_id) AS VARCHAR) AS value, "
         "printf('========= USER %s OF STORE %s GOT A COUPON =========', user_id, store_id) AS line FROM e"))
     q["bonus_count"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], "SELECT COUNT(*) AS eligible_users FROM e")
+    q["views_strictly_before_buy"] = with_ctes(["buys", "views"], [], (
+        "SELECT views, " + _store_all() + ", COUNT(*) AS count FROM (SELECT b.store_id, (SELECT COUNT(*) FROM views v "
+        "WHERE v.user_id = b.user_id AND v.product_id = b.product_id AND v.store_id = b.store_id "
+        "AND v.datetime < b.datetime) AS views FROM buys b) GROUP BY GROUPING SETS ((views, store_id), (views))"))
+    q["log_scan"] = with_ctes(["lr"], [], (
+        "SELECT timestamp, store_id, type, content, extra_1, extra_2, "
+        "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) AS datetime FROM lr"))
+    q["event_split"] = with_ctes(["lr"], [], (
+        "SELECT 'buy' AS kind, store_id, content AS user_id, extra_2 AS product_id, "
+        "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) AS datetime FROM lr WHERE type = 'Audit' AND extra_1 = 'BUY' "
+        "UNION ALL SELECT 'view', store_id, content, regexp_replace(replace(extra_2, 'VIEW_PRODUCT ', ''), '\\.$', ''), "
+        "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) FROM lr WHERE type = 'User' AND extra_1 = 'ZOOM'"))
+    q["log_purchases_per_minute"] = q["purchases_per_minute"]
+    q["ingest"] = with_ctes(["msg"], [], "SELECT id, message FROM msg")
+    q["parse_events"] = with_ctes(["pe"], [], "SELECT * FROM pe")
+    q["buy_details"] = with_ctes(["bd"], [], "SELECT * FROM bd")
+    q["bonus_from_messages"] = with_ctes(["bd"], [("purch", "SELECT user_id, store_id, product_id, price, datetime FROM bd")],
+                                         _bonus_eligible_sql())
+    trans = ("SELECT src, dst, n, n / SUM(n) OVER (PARTITION BY src) AS prob FROM (SELECT src, dst, COUNT(*) AS n FROM ("
+             "SELECT {s} AS src, lead({s}) OVER (PARTITION BY store_id, user_id ORDER BY ts, event_id) AS dst FROM se) "
+             "WHERE dst IS NOT NULL GROUP BY ALL)")
+    q["flow_transitions"] = with_ctes(["se"], [], trans.format(s="event_type"))
+    from ..operators.flow import EVENT_NODE, REFERENCE_EDGES
+    node = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EVENT_NODE) + " END"
+    edges = ", ".join(f"('{a}', '{b}', {p!r})" for a, b, p in REFERENCE_EDGES)
+    q["flow_drift"] = with_ctes(["se"], [("seen", trans.format(s=node)),
+                                         ("expected", f"SELECT * FROM (VALUES {edges}) t(src, dst, expected_prob)")], (
+        "SELECT COALESCE(e.src, s.src) AS src, COALESCE(e.dst, s.dst) AS dst, e.expected_prob, s.n AS seen_n, "
+        "s.prob AS seen_prob FROM expected e FULL OUTER JOIN seen s ON e.src = s.src AND e.dst = s.dst"))
     return q

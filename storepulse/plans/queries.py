@@ -216,3 +216,83 @@ def bonus_messages(spark, sf_dir):
 @query
 def bonus_count(spark, sf_dir):
     return bonus.bonus_count(bonus_eligible(spark, sf_dir))
+
+
+@query
+def views_strictly_before_buy(spark, sf_dir):
+    i = StoreInputs(spark, sf_dir)
+    return metrics.views_strictly_before_buy(i.views, i.buys)
+
+
+# ---- logs and messages ------------------------------------------------------------------
+
+def _log_dir(spark, sf_dir) -> str:
+    from ..session import scratch_path
+    from ..sources import logs
+    return logs.write_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "logs"))
+
+
+@query
+def log_scan(spark, sf_dir):
+    """SRC-1/2 + SNK-8: logs written as ';' files with headers, read back."""
+    from ..sources import logs
+    return logs.read_logs(spark, _log_dir(spark, sf_dir))
+
+
+@query
+def event_split(spark, sf_dir):
+    """SRC-3 + FLT-1 + FN-2: buy and view frames from one log scan."""
+    from ..operators.events import split_log
+    from ..sources import logs
+    parts = split_log(logs.read_logs(spark, _log_dir(spark, sf_dir)))
+    return (parts["buy"].withColumn("kind", F.lit("buy"))
+            .unionByName(parts["view"].withColumn("kind", F.lit("view"))))
+
+
+@query
+def log_purchases_per_minute(spark, sf_dir):
+    """AGG-1 end to end from the log files."""
+    from ..operators.events import split_log
+    from ..sources import logs
+    return metrics.purchases_per_minute(split_log(logs.read_logs(spark, _log_dir(spark, sf_dir)))["buy"])
+
+
+@query
+def ingest(spark, sf_dir):
+    """SRC-7 + SNK-2: events(id, message) as the ingest service stores them."""
+    from ..sources import logs
+    return logs.render_messages(StoreInputs(spark, sf_dir).events)
+
+
+@query
+def parse_events(spark, sf_dir):
+    """PRJ-2 + FN-1: messages -> typed columns and datetime."""
+    from ..sources import logs
+    return logs.parse_messages(ingest(spark, sf_dir))
+
+
+@query
+def buy_details(spark, sf_dir):
+    """FLT-3 + PRJ-3: purchases with product and price from the message text."""
+    from ..operators.purchases import filter_purchases
+    return filter_purchases(parse_events(spark, sf_dir))
+
+
+@query
+def bonus_from_messages(spark, sf_dir):
+    """The bonus job end to end: stored messages -> eligible users."""
+    return bonus.bonus_eligible(buy_details(spark, sf_dir), BONUS_MIN_SHORT, BONUS_MIN_LONG)
+
+
+# ---- user flow ---------------------------------------------------------------------------
+
+@query
+def flow_transitions(spark, sf_dir):
+    from ..operators import flow
+    return flow.transitions(StoreInputs(spark, sf_dir).events)
+
+
+@query
+def flow_drift(spark, sf_dir):
+    from ..operators import flow
+    return flow.drift(spark, flow.node_transitions(StoreInputs(spark, sf_dir).events))
