@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .timewin import EPOCH_NTZ
+from .timewin import epoch_ntz
 
 
 def ns_text_to_timestamp(text: Column) -> Column:
@@ -16,7 +16,7 @@ def ns_text_to_timestamp(text: Column) -> Column:
     """
     ns = text.try_cast("long").cast("decimal(20,0)")
     us = F.floor(ns / F.lit(1000)).cast("long")  # exact decimal division
-    return F.timestamp_add("MICROSECOND", us, EPOCH_NTZ)
+    return F.timestamp_add("MICROSECOND", us, epoch_ntz())
 
 
 def view_product_id(extra_2: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 _UNITS_US = {
     "second": 1_000_000, "seconds": 1_000_000,
@@ -34,13 +35,13 @@ def is_ntz(df: DataFrame, column: str) -> bool:
 def epoch_us(ts: Column, ntz: bool) -> Column:
     """Microseconds since the epoch, exact (no double)."""
     if ntz:
-        return F.timestamp_diff("MICROSECOND", EPOCH_NTZ, ts)
+        return F.timestamp_diff("MICROSECOND", epoch_ntz(), ts)
     return F.unix_micros(ts)
 
 
 def from_epoch_us(us: Column, ntz: bool) -> Column:
     if ntz:
-        return F.timestamp_add("MICROSECOND", us, EPOCH_NTZ)
+        return F.timestamp_add("MICROSECOND", us, epoch_ntz())
     return F.timestamp_micros(us)
 
 

@@ -26,7 +26,9 @@ def average_prices(history: DataFrame, as_of: dt.datetime, months: int) -> DataF
     (no upper bound). The bound is a literal, so it reaches the scan."""
     start = period_start(as_of, months)
     return (history.filter(F.col("recorded_at") >= F.lit(start).cast("timestamp_ntz"))
-                   .groupBy("product_id", "store_id").agg(F.avg("price").alias("avg_price")))
+                   .groupBy("product_id", "store_id")
+                   # exact for DECIMAL prices: decimal(p+4, s+4), half-up
+                   .agg(F.avg("price").cast("double").alias("avg_price")))
 
 
 def price_deals(history: DataFrame, products: DataFrame, as_of: dt.datetime,
@@ -43,11 +45,12 @@ def price_deals(history: DataFrame, products: DataFrame, as_of: dt.datetime,
 def rank_deals(deals: DataFrame) -> DataFrame:
     """FN-11 + SRT-2 + RPT-7: evaluated discount and the report line; order is
     applied by the caller at the very end."""
+    from ..functions.fmt import money
     disc = F.try_divide(F.col("average_price") - F.col("price"), F.col("average_price")) * F.lit(100)
     return deals.withColumn("evaluated_discount", disc).withColumn(
-        "line", F.format_string(' - Product "%s" (ID %s): from $%.2f to $%.2f (%.2f%% of discount) in store %s',
-                                F.col("name"), F.col("product_id"), F.col("average_price").cast("double"),
-                                F.col("price").cast("double"), F.col("evaluated_discount"), F.col("store_id")))
+        "line", F.format_string(' - Product "%s" (ID %s): from $%s to $%s (%s%% of discount) in store %s',
+                                F.col("name"), F.col("product_id"), money(F.col("average_price")),
+                                money(F.col("price")), money(F.col("evaluated_discount")), F.col("store_id")))
 
 
 def decode_requests(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -79,7 +82,7 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
         req = F.broadcast(req)
     per_req = (daily.join(req, F.col("age") <= F.col("months") * F.lit(30))
                     .groupBy("request_id", "months", "discount", "product_id", "store_id")
-                    .agg((F.sum("s") / F.sum("n")).alias("avg_price")))
+                    .agg(F.round(F.sum("s") / F.sum("n"), 6).cast("double").alias("avg_price")))
     j = products.join(per_req.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(
         "request_id", "months", "discount", F.col("id").alias("product_id"), "name", "store_id", "price",

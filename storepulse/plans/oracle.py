@@ -27,7 +27,9 @@ CTE = {
     "stk": """SELECT CAST(l_partkey AS VARCHAR) AS product_id, 'store_' || CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
        CAST(100 - SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2""",
     "hist": """SELECT CAST(l_partkey AS VARCHAR) AS product_id, 'store_' || CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
-       l_extendedprice / l_quantity AS price, l_shipdate AS recorded_at FROM lineitem""",
+       CAST(CAST((2 * CAST(ROUND(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
+                 // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(12,0)) * 0.01 AS DECIMAL(10,2)) AS price,
+       l_shipdate AS recorded_at FROM lineitem""",
     "cat": """SELECT CAST(p_partkey AS VARCHAR) AS id, 'store_' || CAST(s AS VARCHAR) AS store_id, p_name AS name,
        p_retailprice AS price FROM part, (SELECT unnest(range(5)) AS s)""",
 }
@@ -121,7 +123,7 @@ def _deals_sql() -> str:
     start = period_start(AS_OF, DEAL_MONTHS)
     factor = 1 - DEAL_DISCOUNT / 100
     return (f"SELECT c.id AS product_id, c.name, c.store_id, c.price, a.avg_price FROM cat c JOIN "
-            f"(SELECT product_id, store_id, AVG(price) AS avg_price FROM hist "
+            f"(SELECT product_id, store_id, {_exact_avg('price')} AS avg_price FROM hist "
             f"WHERE recorded_at >= TIMESTAMP '{start:%Y-%m-%d %H:%M:%S}' GROUP BY ALL) a "
             f"ON c.id = a.product_id AND c.store_id = a.store_id WHERE c.price < a.avg_price * {factor!r}")
 
@@ -151,6 +153,16 @@ def _bonus_eligible_sql() -> str:
             f"FROM ({_bonus_totals_sql()}) GROUP BY user_id, store_id HAVING {c6} > 0 AND {c10} > 0")
 
 
+def _exact_avg(x: str) -> str:
+    """Average of a DECIMAL(10,2) column, half-up at 6 decimals, from integer cents."""
+    return (f"CAST((CAST(SUM({x}) * 100 AS HUGEINT) * 20000 + COUNT({x})) // (2 * COUNT({x})) AS DOUBLE) / 1000000")
+
+
+def _money(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE "
+            f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(20,6)), 2) AS DECIMAL(20,2)) AS VARCHAR) END")
+
+
 def _ts(t) -> str:
     return f"TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}'"
 
@@ -217,7 +229,7 @@ def build() -> dict[str, str]:
     q["price_snapshot"] = with_ctes(["cur"], [], f"SELECT id AS product_id, price, store_id, {_ts(AS_OF)} AS recorded_at FROM cur")
 
     q["price_deals"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
-                                 "SELECT product_id, name, store_id, price, ROUND(avg_price, 6) AS average_price FROM d")
+                                 "SELECT product_id, name, store_id, price, avg_price AS average_price FROM d")
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount FROM d"))
     values = ", ".join(f"({n}, '{v}')" for n, v in enumerate(DEAL_REQUESTS))
@@ -225,11 +237,11 @@ def build() -> dict[str, str]:
         ("raw", f"SELECT * FROM (VALUES {values}) t(request_id, value)"),
         ("req", "SELECT request_id, CAST(json_extract(value, '$.time_window') AS INTEGER) AS months, "
                 "CAST(json_extract(value, '$.discount_percentage') AS DOUBLE) AS discount FROM raw"),
-        ("a", f"SELECT r.request_id, r.months, r.discount, h.product_id, h.store_id, AVG(h.price) AS avg_price "
+        ("a", f"SELECT r.request_id, r.months, r.discount, h.product_id, h.store_id, {_exact_avg('h.price')} AS avg_price "
               f"FROM hist h JOIN req r ON h.recorded_at >= {_ts(AS_OF)} - r.months * 30 * INTERVAL 1 DAY "
               f"WHERE r.discount > 0 GROUP BY ALL")], (
         "SELECT a.request_id, a.months, a.discount, c.id AS product_id, c.name, c.store_id, c.price, "
-        "ROUND(a.avg_price, 6) AS average_price FROM cat c JOIN a ON c.id = a.product_id AND c.store_id = a.store_id "
+        "a.avg_price AS average_price FROM cat c JOIN a ON c.id = a.product_id AND c.store_id = a.store_id "
         "WHERE c.price < a.avg_price * (1 - a.discount / 100)"))
 
     q["bonus_totals"] = with_ctes(["purch"], [], _bonus_totals_sql())
@@ -274,4 +286,90 @@ def build() -> dict[str, str]:
                                          ("expected", f"SELECT * FROM (VALUES {edges}) t(src, dst, expected_prob)")], (
         "SELECT COALESCE(e.src, s.src) AS src, COALESCE(e.dst, s.dst) AS dst, e.expected_prob, s.n AS seen_n, "
         "s.prob AS seen_prob FROM expected e FULL OUTER JOIN seen s ON e.src = s.src AND e.dst = s.dst"))
+    _add_insight_sql(q)
     return q
+
+
+def _last_sql(src: str) -> str:
+    return (f"SELECT p.* FROM {src} p JOIN (SELECT store_id, MAX(window_end) AS m FROM {src} GROUP BY store_id) l "
+            f"ON p.store_id = l.store_id WHERE p.window_end = l.m")
+
+
+def _task_ctes() -> list[tuple[str, str]]:
+    b, out = _win("1 MINUTE")
+    rev = (f"SELECT {out}, {_store_all()}, CAST(SUM(FLOOR(price)) AS BIGINT) AS amount_earned "
+           f"FROM ({_view_join('1 MINUTE', 'c.price')}) GROUP BY GROUPING SETS ((w, store_id), (w))")
+    sws = ("SELECT store_id, products_sold_without_stock FROM (SELECT store_id, COUNT(*) AS products_sold_without_stock "
+           "FROM stk WHERE quantity < 0 GROUP BY store_id) UNION ALL SELECT 'All', CAST(SUM(n) AS BIGINT) FROM "
+           "(SELECT COUNT(*) AS n FROM stk WHERE quantity < 0 GROUP BY store_id)")
+    return [("ppm", _ppm_sql()), ("t1", _last_sql("ppm")), ("rv", rev), ("t2", _last_sql("rv")),
+            ("uu", _unique_sql("1 MINUTE", False)), ("t3", _last_sql("uu")),
+            ("vr", _vrh_sql()), ("t4", _last_sql("vr")), ("t5", _vbb_sql()), ("t6", sws)]
+
+
+# task name, source CTE, detail fields, order inside a store
+_TASKS = [
+    ("purchases_per_minute", "t1", ["count", "window_start", "window_end"], "window_start"),
+    ("revenue_per_minute", "t2", ["amount_earned", "window_start", "window_end"], "window_start"),
+    ("unique_users_per_minute", "t3", ["name", "unique_users", "window_start", "window_end"],
+     "unique_users DESC NULLS LAST, name ASC NULLS FIRST"),
+    ("ranking_viewed_products_per_hour", "t4", ["name", "views", "window_start", "window_end"],
+     "views DESC NULLS LAST, name ASC NULLS FIRST"),
+    ("median_views_before_buy", "t5", ["count", "views"], "views ASC"),
+    ("without_stock", "t6", ["products_sold_without_stock"], "store_id ASC"),
+]
+
+
+def _payload_sql(task: str, src: str, fields: list[str], order: str, keys: str = "store_id") -> str:
+    obj = ", ".join(f"'{f}', " + (f"CAST({f} AS VARCHAR)" if f == "window_end" else f) for f in fields)
+    return (f"SELECT '{task}' AS task_name, {keys}, '{{' || string_agg('\"' || CAST(rk AS VARCHAR) || '\":' || "
+            f"CAST(json_object({obj}) AS VARCHAR), ',' ORDER BY rk) || '}}' AS payload FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS rk FROM {src}) "
+            f"WHERE rk < 10 GROUP BY {keys}")
+
+
+def _add_insight_sql(q: dict[str, str]) -> None:
+    base = ["buys", "views", "cur", "stk"]
+    payload = " UNION ALL ".join(_payload_sql(*t) for t in _TASKS)
+    q["insight_payload"] = with_ctes(base, _task_ctes(), payload)
+    q["insight_decode"] = with_ctes(base, _task_ctes() + [("pl", payload)], (
+        "SELECT task_name, store_id, CAST(k AS INTEGER) AS rank, "
+        "CAST(json_extract(payload, '$.\"' || k || '\"') AS VARCHAR) AS detail "
+        "FROM (SELECT task_name, store_id, payload, unnest(json_keys(payload)) AS k FROM pl)"))
+    q["latest_insight"] = with_ctes(["buys"], [("ppm", _ppm_sql()), ("t1", _last_sql("ppm"))], (
+        "SELECT task_name, store_id, payload, window_end FROM ("
+        + _payload_sql("purchases_per_minute", "t1", ["count", "window_start", "window_end"], "window_start",
+                       keys="store_id, window_end") + ")"))
+    we = "CAST(window_end AS VARCHAR)"
+    hist_cum = ("SELECT store_id, views, count, SUM(count) OVER (PARTITION BY store_id ORDER BY views "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, SUM(count) OVER (PARTITION BY store_id) AS total FROM t5")
+    med = ("SELECT store_id, MIN(CASE WHEN cum >= total // 2 THEN views END) AS m, MIN(views) AS lo, MAX(views) AS hi, "
+           "ANY_VALUE(total) AS total FROM r GROUP BY store_id")
+
+    def ranking(src, task, title, metric, unit):
+        rk = (f"SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY {metric} DESC NULLS LAST, "
+              f"name ASC NULLS FIRST) AS INTEGER) AS rank FROM {src}")
+        return (f"SELECT store_id, '{task}' AS task, 0 AS line_no, '{title} (from ' || window_start || ' to ' || {we} || '):' "
+                f"FROM ({rk}) WHERE rank = 1 UNION ALL "
+                f"SELECT store_id, '{task}', rank, printf('#%d: Product %s: %d {unit}', rank, COALESCE(name, 'None'), {metric}) "
+                f"FROM ({rk}) WHERE rank <= 10")
+    lines = [
+        f"SELECT store_id, 'purchases_per_minute' AS task, 0 AS line_no, 'Purchases per minute (from ' || window_start "
+        f"|| ' to ' || {we} || '): ' || CAST(count AS VARCHAR) AS line FROM t1",
+        f"SELECT store_id, 'revenue_per_minute', 0, 'Revenue per minute (from ' || window_start || ' to ' || {we} || "
+        f"'): $' || {_money('amount_earned')} FROM t2",
+        ranking("t3", "unique_users_per_minute", "Unique Users", "unique_users", "unique users"),
+        ranking("t4", "ranking_viewed_products_per_hour", "Most Viewed Products", "views", "views"),
+        "SELECT store_id, 'median_views_before_buy', 0, printf('The median of the views before buying is %d "
+        "(from %d to %d, with a sum of %d views)', m, lo, hi, total) FROM med",
+        "SELECT store_id, 'without_stock', 0, 'Products Sold Without Stock: ' || "
+        "COALESCE(CAST(products_sold_without_stock AS VARCHAR), '0') || ' units' FROM t6",
+    ]
+    q["store_report"] = with_ctes(base, _task_ctes() + [("r", hist_cum), ("med", med)],
+                                  "SELECT store_id, task, CAST(line_no AS INTEGER) AS line_no, line FROM ("
+                                  + " UNION ALL ".join(lines) + ")")
+    q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
+        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+        "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+        f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
+        "store_id) AS line FROM d"))

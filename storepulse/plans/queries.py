@@ -170,8 +170,7 @@ def price_snapshot(spark, sf_dir):
 @query
 def price_deals(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
-    return d.withColumn("average_price", F.round("average_price", 6))
+    return deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
 
 
 @query
@@ -179,7 +178,7 @@ def deals_ranked(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
     d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
     r = deals.rank_deals(d)
-    return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"))
+    return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line")
 
 
 @query
@@ -187,8 +186,7 @@ def deal_requests(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
     raw = spark.createDataFrame([(n, v) for n, v in enumerate(DEAL_REQUESTS)], "request_id INT, value STRING")
     req = deals.decode_requests(raw)
-    d = deals.deals_for_requests(i.history, i.catalog, req, AS_OF, n_requests=len(DEAL_REQUESTS))
-    return d.withColumn("average_price", F.round("average_price", 6))
+    return deals.deals_for_requests(i.history, i.catalog, req, AS_OF, n_requests=len(DEAL_REQUESTS))
 
 
 # ---- bonus ----------------------------------------------------------------------------
@@ -296,3 +294,74 @@ def flow_transitions(spark, sf_dir):
 def flow_drift(spark, sf_dir):
     from ..operators import flow
     return flow.drift(spark, flow.node_transitions(StoreInputs(spark, sf_dir).events))
+
+
+# ---- published insights and report lines ---------------------------------------------------
+
+def _task_results(spark, sf_dir) -> dict[str, DataFrame]:
+    """The six tasks as published: newest window per store for the timed ones."""
+    i = StoreInputs(spark, sf_dir)
+    hist = metrics.views_before_buy(i.views, i.buys)
+    return {
+        "purchases_per_minute": latest.last_window(metrics.purchases_per_minute(i.buys)),
+        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(i.views, i.products)),
+        "unique_users_per_minute": latest.last_window(metrics.unique_users_per_minute(i.views, i.products)),
+        "ranking_viewed_products_per_hour": latest.last_window(metrics.view_ranking_per_hour(i.views, i.products)),
+        "median_views_before_buy": hist,
+        "without_stock": metrics.sold_without_stock(i.stock),
+    }
+
+
+def _task_order(task: str):
+    if task in ("unique_users_per_minute", "ranking_viewed_products_per_hour"):
+        metric = "unique_users" if task == "unique_users_per_minute" else "views"
+        return [F.col(metric).desc_nulls_last(), F.col("name").asc_nulls_first()]
+    if task == "median_views_before_buy":
+        return [F.col("views").asc()]
+    if task == "without_stock":
+        return [F.col("store_id").asc()]
+    return [F.col("window_start").asc()]
+
+
+@query
+def insight_payload(spark, sf_dir):
+    """AGG-10 + SNK-4: one JSON message body per (task, store)."""
+    from ..operators.payload import TASK_DETAILS, store_payloads
+    parts = [store_payloads(df, task, TASK_DETAILS[task], _task_order(task))
+             for task, df in _task_results(spark, sf_dir).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def insight_decode(spark, sf_dir):
+    """SRC-9: published bodies back to one row per detail."""
+    from ..operators.payload import decode_payloads
+    return decode_payloads(insight_payload(spark, sf_dir))
+
+
+@query
+def latest_insight(spark, sf_dir):
+    """STR-6: a purchases message per store and minute, latest one per store kept."""
+    from ..operators.payload import TASK_DETAILS, latest_per_key, store_payloads
+    task = "purchases_per_minute"
+    every = store_payloads(purchases_per_minute(spark, sf_dir).withColumn("_end", F.col("window_end")),
+                           task, TASK_DETAILS[task], _task_order(task), keys=("store_id", "_end"))
+    return latest_per_key(every, "_end", ["task_name", "store_id"]).withColumnRenamed("_end", "window_end")
+
+
+@query
+def store_report(spark, sf_dir):
+    """RPT-1..6 + RPT-9: every report line of every store."""
+    from ..operators import reports
+    t = _task_results(spark, sf_dir)
+    return reports.store_report([
+        reports.purchases_lines(t["purchases_per_minute"]),
+        reports.revenue_lines(t["revenue_per_minute"]),
+        reports.unique_users_lines(t["unique_users_per_minute"]),
+        reports.most_viewed_lines(t["ranking_viewed_products_per_hour"]),
+        reports.median_lines(median.median_views_ref(t["median_views_before_buy"])),
+        reports.without_stock_lines(t["without_stock"]),
+    ])

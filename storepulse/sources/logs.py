@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import ns_text_to_timestamp
-from ..functions.timewin import EPOCH_NTZ
+from ..functions.timewin import epoch_ntz
 from ..schemas import LOG_COLUMNS, LOG_SCHEMA, MESSAGE_DDL
 
 # Number of component error codes the simulator draws from (0..5).
@@ -23,7 +23,7 @@ ERROR_CODES = 6
 
 def ns_text(ts: Column) -> Column:
     """Timestamp -> nanoseconds-since-epoch text (the simulator's time_ns())."""
-    return (F.timestamp_diff("MICROSECOND", EPOCH_NTZ, ts) * F.lit(1000)).cast("string")
+    return (F.timestamp_diff("MICROSECOND", epoch_ntz(), ts) * F.lit(1000)).cast("string")
 
 
 def render_log_rows(events: DataFrame) -> DataFrame:

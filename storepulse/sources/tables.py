@@ -81,12 +81,20 @@ def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> price_history(product_id, store_id, price, recorded_at)."""
+    """lineitem -> price_history(product_id, store_id, price DECIMAL(10,2), recorded_at).
+
+    The unit price is kept as DECIMAL(10,2) like the reference table, so sums
+    and averages over it are exact and do not depend on summation order.
+    """
     li = load_table(spark, sf_dir, "lineitem")
+    # unit price = extended price / quantity, half-up to cents, in integer arithmetic
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    qty = F.col("l_quantity").cast("long")
+    unit_cents = F.floor((cents * 2 + qty).cast("decimal(20,0)") / (qty * 2))
     return li.select(
         F.col("l_partkey").cast("string").alias("product_id"),
         _store(F.pmod("l_suppkey", F.lit(N_STORES))).alias("store_id"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (unit_cents.cast("decimal(12,0)") * F.lit(0.01).cast("decimal(2,2)")).cast("decimal(10,2)").alias("price"),
         F.col("l_shipdate").alias("recorded_at"),
     )
 
