@@ -38,12 +38,16 @@ def price_update(products: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame
                                - F.lit(10000)).alias("cents")))
     # ``picked`` holds at most n rows, a bound given by the caller: safe to broadcast.
     j = products.join(F.broadcast(picked), "id_product", "left")
-    moved = (F.col("price") + (F.col("cents") / F.lit(100)).cast("decimal(10,2)")).cast("decimal(10,2)")
-    new_price = F.when(F.col("cents").isNull(), F.col("price")).otherwise(
-        F.greatest(F.lit(1).cast("decimal(10,2)"), moved))
+    new_price = F.when(F.col("cents").isNull(), F.col("price")).otherwise(moved_price(F.col("price"), F.col("cents")))
     return j.select("id_product", "id", "store_id", "name", new_price.alias("price"))
 
 
+def moved_price(price: F.Column, cents: F.Column) -> F.Column:
+    """FN-12: greatest(1.00, price + cents/100) as DECIMAL(10,2)."""
+    moved = (price + (cents / F.lit(100)).cast("decimal(10,2)")).cast("decimal(10,2)")
+    return F.greatest(F.lit(1).cast("decimal(10,2)"), moved)
+
+
 def price_changes(old: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFrame:
     """JN-7: one history row per product whose price really changed."""
     o = old.select("id_product", F.col("price").alias("old_price"))
