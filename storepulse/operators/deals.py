@@ -53,6 +53,13 @@ def rank_deals(deals: DataFrame) -> DataFrame:
                                 money(F.col("price")), money(F.col("evaluated_discount")), F.col("store_id")))
 
 
+def request_bounds(requests: DataFrame) -> tuple[int, int | None]:
+    """Number of requests and the longest period: two scalars from the small
+    request list, used to choose the broadcast and to bound the history scan."""
+    r = requests.agg(F.count(F.lit(1)).alias("n"), F.max("months").alias("m")).collect()[0]
+    return int(r["n"]), (int(r["m"]) if r["m"] is not None else None)
+
+
 def decode_requests(raw: DataFrame, column: str = "value") -> DataFrame:
     """SRC-8 + FLT-9: JSON requests -> (request_id, months, discount); requests
     with a discount not above 0 are dropped as the dashboard does."""
@@ -64,7 +71,8 @@ def decode_requests(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFrame,
-                       as_of: dt.datetime, n_requests: int | None = None) -> DataFrame:
+                       as_of: dt.datetime, n_requests: int | None = None,
+                       max_months: int | None = None) -> DataFrame:
     """JN-8: all requests in one job.
 
     History is first reduced to one row per (product, store, age-in-days) with
@@ -74,10 +82,16 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     is scanned and shuffled once whatever the number of requests.
     """
     age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), F.lit(as_of).cast("timestamp_ntz"))
-    age = F.ceil(age_us.cast("decimal(20,0)") / F.lit(DAY_US)).cast("long")
+    # ceil of an exact integer quotient: the double division is exact for
+    # multiples of a day and keeps any remainder (>= 1/86.4e9) for spans below
+    # a few centuries, so the ceiling is exact.
+    age = F.ceil(age_us.cast("double") / F.lit(float(DAY_US))).cast("long")
+    req = requests.select("request_id", "months", "discount")
+    if max_months is not None:
+        # the longest period bounds every request: this filter reaches the scan
+        history = history.filter(F.col("recorded_at") >= F.lit(period_start(as_of, max_months)).cast("timestamp_ntz"))
     daily = (history.groupBy("product_id", "store_id", age.alias("age"))
                     .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
-    req = requests.select("request_id", "months", "discount")
     if n_requests is not None and n_requests <= MAX_BROADCAST_REQUESTS:
         req = F.broadcast(req)
     per_req = (daily.join(req, F.col("age") <= F.col("months") * F.lit(30))

@@ -7,22 +7,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _with_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    # The latest value per key is a plain aggregate (one row per key after the
-    # map-side combine); the join back is planned by AQE, which broadcasts the
-    # per-key table once it has measured it.
-    last = df.groupBy(key).agg(F.max(order_col).alias("_last"))
-    return df.join(last, key)
+def _ranked(df: DataFrame, key: str, order_col: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
+    return df.withColumn("_rank", F.dense_rank().over(w))
 
 
 def last_window(df: DataFrame, key: str = "store_id", order_col: str = "window_end") -> DataFrame:
-    """WIN-1, rank == 1: rows of the newest window of each key."""
-    return _with_last(df, key, order_col).filter(F.col(order_col) == F.col("_last")).drop("_last")
+    """WIN-1, rank == 1: rows of the newest window of each key.
+
+    ``dense_rank() = 1`` is planned with a group limit on both sides of the
+    shuffle: each task forwards only its rows of the newest window per key, and
+    the input is computed once (no self-join re-reading it).
+    """
+    return _ranked(df, key, order_col).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def older_windows(df: DataFrame, key: str = "store_id", order_col: str = "window_end") -> DataFrame:
-    """WIN-1, rank > 1: all rows of earlier windows."""
-    return _with_last(df, key, order_col).filter(F.col(order_col) < F.col("_last")).drop("_last")
+    """WIN-1, rank > 1: all rows of earlier windows (one pass, ranked per key
+    over the aggregated rows, whose number is bounded by time span, not events)."""
+    return _ranked(df, key, order_col).filter(F.col("_rank") > 1).drop("_rank")
 
 
 def top_n(df: DataFrame, metric: str, n: int = 10, key: str = "store_id",

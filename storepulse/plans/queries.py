@@ -186,7 +186,8 @@ def deal_requests(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
     raw = spark.createDataFrame([(n, v) for n, v in enumerate(DEAL_REQUESTS)], "request_id INT, value STRING")
     req = deals.decode_requests(raw)
-    return deals.deals_for_requests(i.history, i.catalog, req, AS_OF, n_requests=len(DEAL_REQUESTS))
+    n, longest = deals.request_bounds(req)
+    return deals.deals_for_requests(i.history, i.catalog, req, AS_OF, n_requests=n, max_months=longest)
 
 
 # ---- bonus ----------------------------------------------------------------------------
