@@ -21,6 +21,12 @@ from ..functions.timewin import split_window_column
 ALL = "All"
 
 
+def weight(df: DataFrame) -> Column:
+    """Rows may carry a multiplicity ``n`` (pre-aggregated event cells);
+    plain event rows count once."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
 def _store_or_all(flag: str = "_g") -> Column:
     return F.when(F.col(flag) == 1, F.lit(ALL)).otherwise(F.col("store_id")).alias("store_id")
 
@@ -31,9 +37,9 @@ def _product_attrs(products: DataFrame, *cols: str) -> DataFrame:
 
 def purchases_per_minute(buys: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-1: bought units per (window, store) plus ``All`` per window."""
-    w = buys.select(F.window("datetime", duration).alias("window"), "store_id")
+    w = buys.select(F.window("datetime", duration).alias("window"), "store_id", weight(buys).alias("n"))
     agg = (w.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
-             .agg(F.count(F.lit(1)).alias("count"), F.grouping("store_id").alias("_g")))
+             .agg(F.sum("n").cast("long").alias("count"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", _store_or_all(), "count")
     return split_window_column(out).select("window_start", "window_end", "store_id", "count")
 
@@ -45,7 +51,7 @@ def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1
     view of the group matched.
     """
     per_product = (views.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                        .agg(F.count(F.lit(1)).alias("n")))
+                        .agg(F.sum(weight(views)).cast("long").alias("n")))
     j = per_product.join(_product_attrs(products, "price"), ["product_id", "store_id"], "left")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price").cast("int")).alias("amount_earned"),
@@ -57,7 +63,7 @@ def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1
 def revenue_from_buys(buys: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """Intent form of AGG-2: revenue of the bought units at their decimal price."""
     per_product = (buys.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                       .agg(F.count(F.lit(1)).alias("n")))
+                       .agg(F.sum(weight(buys)).cast("long").alias("n")))
     j = per_product.join(_product_attrs(products, "price"), ["product_id", "store_id"], "left")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price")).alias("amount"), F.grouping("store_id").alias("_g")))
@@ -95,7 +101,7 @@ def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: s
 def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour") -> DataFrame:
     """AGG-4: views per (window, name, store) plus ``All`` per (window, name)."""
     per_product = (views.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                        .agg(F.count(F.lit(1)).alias("n")))
+                        .agg(F.sum(weight(views)).cast("long").alias("n")))
     j = per_product.join(_product_attrs(products, "name"), ["product_id", "store_id"], "left")
     agg = (j.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.sum("n").alias("views"), F.grouping("store_id").alias("_g")))
@@ -107,10 +113,10 @@ def views_per_buy(views: DataFrame, buys: DataFrame) -> DataFrame:
     """Per (user, product, store) that bought: number of views (all time, Q9) and
     bought units. One scan of each side, one shuffle, no join: the left join
     buys -> view counts with null -> 0 (JN-2) becomes a tagged aggregation."""
-    tagged = (views.select("user_id", "product_id", "store_id", F.lit(1).alias("v"), F.lit(0).alias("b"))
-              .unionByName(buys.select("user_id", "product_id", "store_id", F.lit(0).alias("v"), F.lit(1).alias("b"))))
+    tagged = (views.select("user_id", "product_id", "store_id", weight(views).alias("v"), F.lit(0).alias("b"))
+              .unionByName(buys.select("user_id", "product_id", "store_id", F.lit(0).alias("v"), weight(buys).alias("b"))))
     per_key = tagged.groupBy("user_id", "product_id", "store_id").agg(
-        F.sum("v").alias("views"), F.sum("b").alias("buys"))
+        F.sum("v").cast("long").alias("views"), F.sum("b").cast("long").alias("buys"))
     return per_key.filter(F.col("buys") > 0)
 
 

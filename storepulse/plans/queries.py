@@ -301,39 +301,25 @@ def flow_drift(spark, sf_dir):
 
 def _task_results(spark, sf_dir) -> dict[str, DataFrame]:
     """The six tasks as published: newest window per store for the timed ones."""
+    from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
-    hist = metrics.views_before_buy(i.views, i.buys)
-    return {
-        "purchases_per_minute": latest.last_window(metrics.purchases_per_minute(i.buys)),
-        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(i.views, i.products)),
-        "unique_users_per_minute": latest.last_window(metrics.unique_users_per_minute(i.views, i.products)),
-        "ranking_viewed_products_per_hour": latest.last_window(metrics.view_ranking_per_hour(i.views, i.products)),
-        "median_views_before_buy": hist,
-        "without_stock": metrics.sold_without_stock(i.stock),
-    }
+    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock)
 
 
-def _task_order(task: str):
-    if task in ("unique_users_per_minute", "ranking_viewed_products_per_hour"):
-        metric = "unique_users" if task == "unique_users_per_minute" else "views"
-        return [F.col(metric).desc_nulls_last(), F.col("name").asc_nulls_first()]
-    if task == "median_views_before_buy":
-        return [F.col("views").asc()]
-    if task == "without_stock":
-        return [F.col("store_id").asc()]
-    return [F.col("window_start").asc()]
+@query
+def store_pass(spark, sf_dir):
+    """The six-task pass as the production job runs it: events read once into
+    checkpointed minute cells, all six messages derived from them."""
+    from . import store_pass as sp
+    i = StoreInputs(spark, sf_dir)
+    return sp.payloads(sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock))
 
 
 @query
 def insight_payload(spark, sf_dir):
     """AGG-10 + SNK-4: one JSON message body per (task, store)."""
-    from ..operators.payload import TASK_DETAILS, store_payloads
-    parts = [store_payloads(df, task, TASK_DETAILS[task], _task_order(task))
-             for task, df in _task_results(spark, sf_dir).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from .store_pass import payloads
+    return payloads(_task_results(spark, sf_dir))
 
 
 @query
@@ -347,9 +333,10 @@ def insight_decode(spark, sf_dir):
 def latest_insight(spark, sf_dir):
     """STR-6: a purchases message per store and minute, latest one per store kept."""
     from ..operators.payload import TASK_DETAILS, latest_per_key, store_payloads
+    from .store_pass import task_order
     task = "purchases_per_minute"
     every = store_payloads(purchases_per_minute(spark, sf_dir).withColumn("_end", F.col("window_end")),
-                           task, TASK_DETAILS[task], _task_order(task), keys=("store_id", "_end"))
+                           task, TASK_DETAILS[task], task_order(task), keys=("store_id", "_end"))
     return latest_per_key(every, "_end", ["task_name", "store_id"]).withColumnRenamed("_end", "window_end")
 
 
