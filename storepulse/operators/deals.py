@@ -101,3 +101,28 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(
         "request_id", "months", "discount", F.col("id").alias("product_id"), "name", "store_id", "price",
         F.col("avg_price").alias("average_price"))
+
+
+def deal_report(deals: DataFrame, months: int, discount: float, as_of: dt.datetime) -> DataFrame:
+    """RPT-7 + SRT-2 + FN-14: the header (section 0), one line per deal
+    (section 1) or 'No deals found.' (section 2), sorted by section and
+    evaluated discount, descending (a range-partitioned sort, applied last)."""
+    from ..functions.fmt import ts_text
+    spark = deals.sparkSession
+    header_text = F.format_string("Showing offers in the period of %d months with %s%% of discount (at %s):",
+                                  F.lit(months), F.lit(str(discount)), ts_text(F.lit(as_of).cast("timestamp_ntz")))
+    ranked = rank_deals(deals)
+    header = spark.range(1).select(F.lit(0).alias("section"), F.lit(None).cast("double").alias("evaluated_discount"),
+                                   header_text.alias("line"))
+    body = ranked.select(F.lit(1).alias("section"), "evaluated_discount", "line")
+    # one global count: a row only when there is no deal
+    none = (ranked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
+                  .select(F.lit(2).alias("section"), F.lit(None).cast("double").alias("evaluated_discount"),
+                          F.lit("No deals found.").alias("line")))
+    return (header.unionByName(body).unionByName(none)
+                  .orderBy("section", F.col("evaluated_discount").desc_nulls_last()))
+
+
+def report_for_store(report: DataFrame, store_id: str) -> DataFrame:
+    """FLT-10: one store's lines (the dashboard's store selector)."""
+    return report.filter(F.col("store_id") == store_id)

@@ -119,9 +119,9 @@ def _vbb_sql() -> str:
             "GROUP BY GROUPING SETS ((views, store_id), (views))")
 
 
-def _deals_sql() -> str:
+def _deals_sql(discount: float = DEAL_DISCOUNT) -> str:
     start = period_start(AS_OF, DEAL_MONTHS)
-    factor = 1 - DEAL_DISCOUNT / 100
+    factor = 1 - discount / 100
     return (f"SELECT c.id AS product_id, c.name, c.store_id, c.price, a.avg_price FROM cat c JOIN "
             f"(SELECT product_id, store_id, {_exact_avg('price')} AS avg_price FROM hist "
             f"WHERE recorded_at >= TIMESTAMP '{start:%Y-%m-%d %H:%M:%S}' GROUP BY ALL) a "
@@ -230,6 +230,21 @@ def build() -> dict[str, str]:
 
     q["price_deals"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
                                  "SELECT product_id, name, store_id, price, avg_price AS average_price FROM d")
+    head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
+            f"'Showing offers in the period of {DEAL_MONTHS} months with {{d}}% of discount (at "
+            f"{AS_OF:%Y-%m-%d %H:%M:%S}):' AS line")
+    body = ("SELECT 1 AS section, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+            "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+            f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
+            "store_id) AS line FROM d")
+    none = ("SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, 'No deals found.' AS line "
+            "FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0")
+    q["deal_report"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
+                                 " UNION ALL ".join([head.format(d=DEAL_DISCOUNT), body, none]))
+    q["deal_report_empty"] = with_ctes(["cat", "hist"], [("d", _deals_sql(100.0))],
+                                       " UNION ALL ".join([head.format(d=100.0), body.replace(
+                                           "ROUND((avg_price - price) / avg_price * 100, 6)",
+                                           "(avg_price - price) / avg_price * 100"), none]))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount FROM d"))
     values = ", ".join(f"({n}, '{v}')" for n, v in enumerate(DEAL_REQUESTS))
@@ -369,6 +384,22 @@ def _add_insight_sql(q: dict[str, str]) -> None:
     q["store_report"] = with_ctes(base, _task_ctes() + [("r", hist_cum), ("med", med)],
                                   "SELECT store_id, task, CAST(line_no AS INTEGER) AS line_no, line FROM ("
                                   + " UNION ALL ".join(lines) + ")")
+    q["store_report_one"] = "SELECT * FROM (" + q["store_report"] + ") WHERE store_id = 'store_2'"
+    head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
+            f"'Showing offers in the period of {DEAL_MONTHS} months with {{d}}% of discount (at "
+            f"{AS_OF:%Y-%m-%d %H:%M:%S}):' AS line")
+    body = ("SELECT 1 AS section, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+            "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+            f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
+            "store_id) AS line FROM d")
+    none = ("SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, 'No deals found.' AS line "
+            "FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0")
+    q["deal_report"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
+                                 " UNION ALL ".join([head.format(d=DEAL_DISCOUNT), body, none]))
+    q["deal_report_empty"] = with_ctes(["cat", "hist"], [("d", _deals_sql(100.0))],
+                                       " UNION ALL ".join([head.format(d=100.0), body.replace(
+                                           "ROUND((avg_price - price) / avg_price * 100, 6)",
+                                           "(avg_price - price) / avg_price * 100"), none]))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "

@@ -181,6 +181,23 @@ def deals_ranked(spark, sf_dir):
     return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line")
 
 
+@query
+def deal_report(spark, sf_dir):
+    """RPT-7: the deal answer as the dashboard shows it."""
+    i = StoreInputs(spark, sf_dir)
+    d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
+    r = deals.deal_report(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF)
+    return r.withColumn("evaluated_discount", F.round("evaluated_discount", 6))
+
+
+@query
+def deal_report_empty(spark, sf_dir):
+    """RPT-7 when nothing qualifies (a 100 % discount can never be met)."""
+    i = StoreInputs(spark, sf_dir)
+    d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, 100.0)
+    return deals.deal_report(d, DEAL_MONTHS, 100.0, AS_OF)
+
+
 @query
 def deal_requests(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
@@ -340,6 +357,13 @@ def latest_insight(spark, sf_dir):
     return latest_per_key(every, "_end", ["task_name", "store_id"]).withColumnRenamed("_end", "window_end")
 
 
+@query
+def store_report_one(spark, sf_dir):
+    """FLT-10: the report of one store."""
+    from ..operators.deals import report_for_store
+    return report_for_store(store_report(spark, sf_dir), "store_2")
+
+
 @query
 def store_report(spark, sf_dir):
     """RPT-1..6 + RPT-9: every report line of every store."""

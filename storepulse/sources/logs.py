@@ -92,3 +92,16 @@ def parse_messages(messages: DataFrame, column: str = "message") -> DataFrame:
     keep = [c for c in messages.columns if c != column]
     parsed = messages.select(*keep, F.from_csv(F.col(column), MESSAGE_DDL, {"sep": ";"}).alias("data"))
     return parsed.select(*keep, "data.*").withColumn("datetime", ns_text_to_timestamp(F.col("timestamp")))
+
+
+def files_in(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct files under ``path`` (recursive), from the scan's file metadata."""
+    df = (spark.read.schema(LOG_SCHEMA).option("sep", ";").option("header", True)
+               .option("recursiveFileLookup", True).csv(path))
+    return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()
+
+
+def new_files(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
+    """SET-3, batch form: files under ``path`` not listed in ``seen`` (column
+    ``file_path``); the streaming form is the file source's checkpoint."""
+    return files_in(spark, path).join(seen.select("file_path"), "file_path", "left_anti")
