@@ -24,23 +24,19 @@ TASK_DETAILS = {
 }
 
 
-def _detail_col(df: DataFrame, c: str) -> Column:
-    # timestamps travel as 'yyyy-MM-dd HH:mm:ss' text, like the dashboard prints them
-    if c == "window_end":
-        return F.col(c).cast("string").alias(c)
-    return F.col(c)
-
-
 def store_payloads(df: DataFrame, task_name: str, detail_cols: list[str], order: list[Column],
                    keys: tuple[str, ...] = ("store_id",), n: int = MAX_DETAILS) -> DataFrame:
-    """Rows of one task -> (task_name, *keys, payload JSON)."""
+    """Rows of one task -> (task_name, *keys, payload JSON). Timestamps travel
+    as 'yyyy-MM-dd HH:mm:ss' text, like the dashboard prints them."""
     w = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn("_rank", F.row_number().over(w) - 1).filter(F.col("_rank") < n)
-    entry = F.struct(F.col("_rank"), F.struct(*[_detail_col(df, c) for c in detail_cols]).alias("d"))
-    grouped = top.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-    as_map = F.map_from_entries(F.transform("_l", lambda x: F.struct(x["_rank"].cast("string"), x["d"])))
-    return grouped.select(F.lit(task_name).alias("task_name"), *keys,
-                          F.to_json(as_map, {"ignoreNullFields": "false"}).alias("payload"))
+    fields = ", ".join(f"CAST(`{c}` AS STRING) AS `{c}`" if c == "window_end" else f"`{c}`" for c in detail_cols)
+    grouped = top.groupBy(*keys).agg(
+        F.expr(f"sort_array(collect_list(struct(_rank, struct({fields}) AS d)))").alias("_l"))
+    # one SQL expression: {"<rank>": {detail}, ...}, null fields kept
+    body = F.expr("to_json(map_from_entries(transform(_l, x -> struct(CAST(x._rank AS STRING), x.d))), "
+                  "map('ignoreNullFields', 'false'))")
+    return grouped.select(F.lit(task_name).alias("task_name"), *keys, body.alias("payload"))
 
 
 def decode_payloads(messages: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, buc
     order_struct = F.struct(*order)
     local = (df.withColumn("_lead", F.lead(value).over(w))
                .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull()))
-    firsts = df.groupBy(*part).agg(F.min_by(F.col(value), order_struct).alias("_first"))
+    # summary from the windowed rows: already partitioned by (keys, bucket), no new shuffle
+    firsts = local.groupBy(*part).agg(F.min_by(F.col(value), order_struct).alias("_first"))
     wb = Window.partitionBy(*keys).orderBy(bucket)
     carry = firsts.select(*part, F.lead("_first").over(wb).alias("_carry"))
     j = local.join(carry, part, "left")
@@ -39,7 +40,7 @@ def count_before(df: DataFrame, keys: list[str], order: list[str], flag: str, bu
     part = keys + [bucket]
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(flag).over(w), F.lit(0)))
-    per_bucket = df.groupBy(*part).agg(F.sum(flag).alias("_n"))
+    per_bucket = local.groupBy(*part).agg(F.sum(flag).alias("_n"))
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*part, F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_offset"))
     j = local.join(offsets, part, "left")

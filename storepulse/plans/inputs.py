@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,44 +31,51 @@ DEAL_REQUESTS = [
 ]
 
 
-@dataclass
+@dataclass(eq=False)
 class StoreInputs:
+    """Lazily built, cached DataFrames of one table directory (each table is
+    read once per query, so identical sub-plans share one relation)."""
+
     spark: SparkSession
     sf_dir: str
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         return tables.store_events(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
+    def _split(self) -> dict[str, DataFrame]:
+        return split_store_events(self.events)
+
+    @cached_property
     def views(self) -> DataFrame:
-        return split_store_events(self.events)["view"]
+        return self._split["view"]
 
-    @property
+    @cached_property
     def buys(self) -> DataFrame:
-        return split_store_events(self.events)["buy"]
+        return self._split["buy"]
 
-    @property
+    @cached_property
     def products_all_versions(self) -> DataFrame:
         return tables.products(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return current_products(self.products_all_versions)
 
-    @property
+    @cached_property
     def stock(self) -> DataFrame:
         return tables.stock(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def history(self) -> DataFrame:
         return tables.price_history(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def catalog(self) -> DataFrame:
         return tables.catalog(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def purchases(self) -> DataFrame:
         """Purchases with a FLOAT price (the bonus job's typing)."""
         return (self.events.filter(F.col("event_type") == "purchase")

@@ -43,14 +43,17 @@ def build_session(master: str = "local[*]", app: str = "storepulse",
 def shared_dir(spark: SparkSession) -> str:
     """Folder the cluster shares for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when
-    neither is set (local tests) a private folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a
+    local-mode session (tests) without one gets a private folder; on a cluster a
+    machine-local folder would not survive a lost executor, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             d = tempfile.mkdtemp(prefix="storepulse-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

@@ -114,3 +114,21 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(table).count() == 3
     assert spark.read.parquet(batches).count() >= 2
     assert os.path.isdir(table)
+
+
+def test_view_ranking_stream_equals_batch(spark, tmp_path):
+    src = str(tmp_path / "logs")
+    _write_log_files(spark, src)
+    i = StoreInputs(spark, SF_SMALL)
+    stream = jobs.view_ranking_per_hour(logs.stream_logs(spark, src, max_files_per_trigger=4), i.products,
+                                        watermark="1 hour")
+    q = _run_available_now(stream, "vr_stream", str(tmp_path / "ck"))
+    got = spark.table("vr_stream")
+    batch = metrics.view_ranking_per_hour(split_log(logs.read_logs(spark, src))["view"], i.products)
+    closed = got.agg(F.max("window_end")).collect()[0][0]
+    assert got.count() > 0
+    exp = batch.filter(F.col("window_end") <= F.lit(closed))
+    cols = ["window_start", "name", "store_id", "views"]
+    assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
+    assert got.count() == exp.count()
+    q.stop()
