@@ -22,6 +22,12 @@ _UNITS_US = {
 }
 
 
+def ntz_lit(t) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, built from its text so
+    that neither the Python nor the session time zone can shift it."""
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def duration_us(duration: str) -> int:
     """'10 minutes' -> microseconds."""
     n, unit = duration.split()

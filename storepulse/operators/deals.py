@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timewin import ntz_lit
+
 DAY_US = 86_400_000_000
 # Requests are a parameter list; more than this is not broadcast.
 MAX_BROADCAST_REQUESTS = 100_000
@@ -25,7 +27,7 @@ def average_prices(history: DataFrame, as_of: dt.datetime, months: int) -> DataF
     """FLT-5 + AGG-9: average price per (product, store) since the period start
     (no upper bound). The bound is a literal, so it reaches the scan."""
     start = period_start(as_of, months)
-    return (history.filter(F.col("recorded_at") >= F.lit(start).cast("timestamp_ntz"))
+    return (history.filter(F.col("recorded_at") >= ntz_lit(start))
                    .groupBy("product_id", "store_id")
                    # exact for DECIMAL prices: decimal(p+4, s+4), half-up
                    .agg(F.avg("price").cast("double").alias("avg_price")))
@@ -81,7 +83,7 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     of its period (a range join against the request list), so the raw history
     is scanned and shuffled once whatever the number of requests.
     """
-    age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), F.lit(as_of).cast("timestamp_ntz"))
+    age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), ntz_lit(as_of))
     # ceil of an exact integer quotient: the double division is exact for
     # multiples of a day and keeps any remainder (>= 1/86.4e9) for spans below
     # a few centuries, so the ceiling is exact.
@@ -89,7 +91,7 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     req = requests.select("request_id", "months", "discount")
     if max_months is not None:
         # the longest period bounds every request: this filter reaches the scan
-        history = history.filter(F.col("recorded_at") >= F.lit(period_start(as_of, max_months)).cast("timestamp_ntz"))
+        history = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, max_months)))
     daily = (history.groupBy("product_id", "store_id", age.alias("age"))
                     .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
     if n_requests is not None and n_requests <= MAX_BROADCAST_REQUESTS:
@@ -110,7 +112,7 @@ def deal_report(deals: DataFrame, months: int, discount: float, as_of: dt.dateti
     from ..functions.fmt import ts_text
     spark = deals.sparkSession
     header_text = F.format_string("Showing offers in the period of %d months with %s%% of discount (at %s):",
-                                  F.lit(months), F.lit(str(discount)), ts_text(F.lit(as_of).cast("timestamp_ntz")))
+                                  F.lit(months), F.lit(str(discount)), ts_text(ntz_lit(as_of)))
     ranked = rank_deals(deals)
     header = spark.range(1).select(F.lit(0).alias("section"), F.lit(None).cast("double").alias("evaluated_discount"),
                                    header_text.alias("line"))

@@ -8,6 +8,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timewin import ntz_lit
+
 
 def current_products(products: DataFrame) -> DataFrame:
     """JN-9 / Q28: newest row (largest id_product) per (id, store_id).
@@ -53,10 +55,10 @@ def price_changes(old: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFra
     o = old.select("id_product", F.col("price").alias("old_price"))
     j = new.join(o, "id_product").filter(F.col("price") != F.col("old_price"))
     return j.select(F.col("id").alias("product_id"), "price", "store_id",
-                    F.lit(as_of).cast("timestamp_ntz").alias("recorded_at"))
+                    ntz_lit(as_of).alias("recorded_at"))
 
 
 def price_snapshot(products: DataFrame, as_of: dt.datetime) -> DataFrame:
     """STR-9: every current price with one timestamp (business id, Q16)."""
     return products.select(F.col("id").alias("product_id"), "price", "store_id",
-                           F.lit(as_of).cast("timestamp_ntz").alias("recorded_at"))
+                           ntz_lit(as_of).alias("recorded_at"))
