@@ -32,7 +32,7 @@ EVENT_NODE = [
 ]
 
 
-def transitions(events: DataFrame, state: str = "event_type", bucket_size: str = "day") -> DataFrame:
+def transitions(events: DataFrame, state: str = "event_type", bucket_size: str = "hour") -> DataFrame:
     """FLOW-1: count of src -> dst steps between consecutive events of one
     (store, user), and the share of each dst among the steps leaving src."""
     seq = events.select("store_id", "user_id", "ts", "event_id", F.col(state).alias("src"),

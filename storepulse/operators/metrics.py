@@ -152,7 +152,7 @@ def negative_stock(stock: DataFrame) -> DataFrame:
     return stock.filter(F.col("quantity") < 0).select("product_id", "store_id", "quantity")
 
 
-def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "day") -> DataFrame:
+def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "hour") -> DataFrame:
     """AGG-5, intent reading of Q9: for each bought unit, the views of the same
     (user, product, store) strictly earlier than the buy; histogram per store
     and ``All``. The running count is split by time bucket so a hot key is
