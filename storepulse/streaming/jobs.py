@@ -101,3 +101,24 @@ def ingest_lines(spark: SparkSession, source_dir: str, table_path: str, checkpoi
     w = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
+
+
+def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """STR-5 + WIN-1 + SNK-4 as a stream: a watermarked metric in append mode
+    emits each window once when it closes; every micro-batch then publishes,
+    per store, the newest of its closed windows as one payload message
+    (``dense_rank`` is not allowed on a stream, so it runs inside foreachBatch,
+    on the batch's closed windows only). A replayed batch rewrites its folder."""
+    from ..operators.latest import last_window
+    from ..operators.payload import TASK_DETAILS, store_payloads
+    from ..plans.store_pass import task_order
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        msgs = store_payloads(last_window(batch), task_name, TASK_DETAILS[task_name], task_order(task_name))
+        (msgs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .json(f"{out_path}/batch_id={batch_id}"))
+
+    w = results.writeStream.outputMode("append").foreachBatch(publish).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()

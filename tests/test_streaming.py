@@ -132,3 +132,23 @@ def test_view_ranking_stream_equals_batch(spark, tmp_path):
     assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
     assert got.count() == exp.count()
     q.stop()
+
+
+def test_published_stream_ends_on_the_batch_payload(spark, tmp_path):
+    from storepulse.operators import latest
+    from storepulse.operators.payload import TASK_DETAILS, store_payloads
+    from storepulse.plans.store_pass import task_order
+    src = str(tmp_path / "logs")
+    _write_log_files(spark, src)
+    out = str(tmp_path / "published")
+    stream = jobs.purchases_per_minute(logs.stream_logs(spark, src, max_files_per_trigger=3), watermark="5 minutes")
+    jobs.publish_task(stream, "purchases_per_minute", out, str(tmp_path / "ck")).awaitTermination(300)
+    pub = spark.read.json(out)
+    newest = pub.groupBy("store_id").agg(F.max_by("payload", "batch_id").alias("payload"))
+    # the batch result restricted to the windows the stream has closed
+    batch = metrics.purchases_per_minute(split_log(logs.read_logs(spark, src))["buy"])
+    closed = pub.select(F.get_json_object("payload", "$.0.window_end").alias("e")).agg(F.max("e")).collect()[0][0]
+    expect = store_payloads(latest.last_window(batch.filter(F.col("window_end").cast("string") <= closed)),
+                            "purchases_per_minute", TASK_DETAILS["purchases_per_minute"],
+                            task_order("purchases_per_minute")).select("store_id", "payload")
+    assert newest.exceptAll(expect).count() == 0 and expect.exceptAll(newest).count() == 0
