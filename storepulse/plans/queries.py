@@ -120,8 +120,8 @@ def merge_partials(spark, sf_dir):
 
 @query
 def store_list(spark, sf_dir):
-    """SRT-3: the stores present in the events."""
-    return StoreInputs(spark, sf_dir).events.select("store_id").distinct()
+    """SRT-3: the stores present in the events, sorted."""
+    return StoreInputs(spark, sf_dir).events.select("store_id").distinct().orderBy("store_id")
 
 
 # ---- catalogue, stock ---------------------------------------------------------------
