@@ -31,7 +31,7 @@ CTE = {
                  // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(12,0)) * 0.01 AS DECIMAL(10,2)) AS price,
        l_shipdate AS recorded_at FROM lineitem""",
     "cat": """SELECT CAST(p_partkey AS VARCHAR) AS id, 'store_' || CAST(s AS VARCHAR) AS store_id, p_name AS name,
-       p_retailprice AS price FROM part, (SELECT unnest(range(5)) AS s)""",
+       p_retailprice AS price FROM (SELECT *, unnest(range(5)) AS s FROM part)""",
 }
 CTE["lr"] = """SELECT CAST(epoch_us(ts) * 1000 AS VARCHAR) AS timestamp,
        CASE WHEN event_type = 'error' THEN 'Error' ELSE store_id END AS store_id,
