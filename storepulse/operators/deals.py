@@ -79,9 +79,12 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
 
     History is first reduced to one row per (product, store, age-in-days) with
     age = ceil((as_of - recorded_at) / 1 day); ``recorded_at >= as_of - 30*m
-    days`` holds exactly when age <= 30*m. Each request then sums the day rows
-    of its period (a range join against the request list), so the raw history
-    is scanned and shuffled once whatever the number of requests.
+    days`` holds exactly when age <= 30*m. Averages are computed once per
+    distinct period (a range join of the day rows with the distinct periods,
+    at most one per month length asked), then every request picks its period's
+    averages by an equi-join on ``months``. The raw history is scanned and
+    shuffled once, and the range join grows with the number of distinct
+    periods, not with the number of requests.
     """
     age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), ntz_lit(as_of))
     # ceil of an exact integer quotient: the double division is exact for
@@ -94,12 +97,16 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
         history = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, max_months)))
     daily = (history.groupBy("product_id", "store_id", age.alias("age"))
                     .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
+    periods = req.select("months").distinct()
     if n_requests is not None and n_requests <= MAX_BROADCAST_REQUESTS:
+        # request count checked: the requests and their distinct periods are bounded sides
+        periods = F.broadcast(periods)
         req = F.broadcast(req)
-    per_req = (daily.join(req, F.col("age") <= F.col("months") * F.lit(30))
-                    .groupBy("request_id", "months", "discount", "product_id", "store_id")
-                    .agg(F.round(F.sum("s") / F.sum("n"), 6).cast("double").alias("avg_price")))
-    j = products.join(per_req.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
+    per_period = (daily.join(periods, F.col("age") <= F.col("months") * F.lit(30))
+                       .groupBy("months", "product_id", "store_id")
+                       .agg(F.round(F.sum("s") / F.sum("n"), 6).cast("double").alias("avg_price")))
+    cand = products.join(per_period.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
+    j = cand.join(req, "months")
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(
         "request_id", "months", "discount", F.col("id").alias("product_id"), "name", "store_id", "price",
         F.col("avg_price").alias("average_price"))
