@@ -298,7 +298,7 @@ def build() -> dict[str, str]:
     node = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EVENT_NODE) + " END"
     edges = ", ".join(f"('{a}', '{b}', {p!r})" for a, b, p in REFERENCE_EDGES)
     q["flow_drift"] = with_ctes(["se"], [("seen", trans.format(s=node)),
-                                         ("expected", f"SELECT * FROM (VALUES {edges}) t(src, dst, expected_prob)")], (
+                                         ("expected", f"SELECT src, dst, CAST(p AS DOUBLE) AS expected_prob FROM (VALUES {edges}) t(src, dst, p)")], (
         "SELECT COALESCE(e.src, s.src) AS src, COALESCE(e.dst, s.dst) AS dst, e.expected_prob, s.n AS seen_n, "
         "s.prob AS seen_prob FROM expected e FULL OUTER JOIN seen s ON e.src = s.src AND e.dst = s.dst"))
     _add_insight_sql(q)
