@@ -67,3 +67,26 @@ def test_store_pass_job_writes_messages(spark, tmp_path):
     out = store_pass.run_pass(i.events, i.products, i.stock, str(tmp_path / "tasks"))
     written = spark.read.json(out)
     assert written.select("task_name").distinct().count() == 6
+
+
+def test_refresh_every_reruns_the_job(spark, tmp_path):
+    import time
+
+    from storepulse.sources.streams import refresh_every
+    calls = []
+    q = refresh_every(spark, lambda batch_id: calls.append(batch_id), "1 second", str(tmp_path / "ck"))
+    deadline = time.time() + 60
+    while len(calls) < 2 and time.time() < deadline:
+        time.sleep(0.5)
+    q.stop()
+    assert len(calls) >= 2
+
+
+def test_append_and_reset_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(3).withColumnRenamed("id", "x")
+    writers.append_rows(df, path)
+    writers.append_rows(df, path)
+    assert spark.read.parquet(path).count() == 6
+    writers.reset_table(df, path)
+    assert spark.read.parquet(path).count() == 3
