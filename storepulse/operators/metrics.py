@@ -6,9 +6,12 @@ Plan shape, chosen for scale:
 * Views are pre-aggregated to (window, store, product[, user]) before the
   product join, so the join sees one row per key instead of one per event, and
   a hot product or store is already combined map-side before any shuffle.
-* The product side is not hinted: the planner/AQE broadcasts it only when its
-  measured size is under the configured threshold, else it is a shuffle join
-  (with AQE skew splitting).
+* Which of two join shapes is used depends on a size check of the product
+  table (``fits_broadcast``, a bounded ``limit(n + 1).count()``): a product
+  table of at most ``MAX_BROADCAST_PRODUCTS`` rows is broadcast and joined to
+  the raw views map-side, so the only shuffle left is the final (partially
+  aggregated) one; a larger one is joined after the pre-aggregation, as a
+  shuffle join that AQE may still turn into a broadcast or split for skew.
 """
 
 from __future__ import annotations
@@ -19,6 +22,13 @@ from pyspark.sql import functions as F
 from ..functions.timewin import split_window_column
 
 ALL = "All"
+# Largest product table (rows of id, store, name, price) joined by broadcast.
+MAX_BROADCAST_PRODUCTS = 200_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_PRODUCTS) -> bool:
+    """Size check before an explicit broadcast: reads at most max_rows + 1 rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def weight(df: DataFrame) -> Column:
@@ -44,15 +54,29 @@ def purchases_per_minute(buys: DataFrame, duration: str = "1 minute") -> DataFra
     return split_window_column(out).select("window_start", "window_end", "store_id", "count")
 
 
-def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
+def _with_product(events: DataFrame, products: DataFrame, duration: str, small_products: bool,
+                  *cols: str) -> DataFrame:
+    """(window, store_id, product_id, n, *cols): per-product counts with the
+    product attributes, left join (unmatched events keep null attributes)."""
+    attrs = _product_attrs(products, *cols)
+    keys = ["product_id", "store_id"]
+    if small_products:
+        rows = events.select(F.window("datetime", duration).alias("window"), "store_id", "product_id",
+                             weight(events).cast("long").alias("n"))
+        return rows.join(F.broadcast(attrs), keys, "left")
+    per_product = (events.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
+                         .agg(F.sum(weight(events)).cast("long").alias("n")))
+    return per_product.join(attrs, keys, "left")
+
+
+def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute",
+                       small_products: bool = False) -> DataFrame:
     """AGG-2 (reference form, Q4/Q5): sum of int(price) of the *viewed* products.
 
     Views without a product match contribute null; the amount is null when no
     view of the group matched.
     """
-    per_product = (views.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                        .agg(F.sum(weight(views)).cast("long").alias("n")))
-    j = per_product.join(_product_attrs(products, "price"), ["product_id", "store_id"], "left")
+    j = _with_product(views, products, duration, small_products, "price")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price").cast("int")).alias("amount_earned"),
                   F.grouping("store_id").alias("_g")))
@@ -60,49 +84,54 @@ def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1
     return split_window_column(out).select("window_start", "window_end", "store_id", "amount_earned")
 
 
-def revenue_from_buys(buys: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
+def revenue_from_buys(buys: DataFrame, products: DataFrame, duration: str = "1 minute",
+                      small_products: bool = False) -> DataFrame:
     """Intent form of AGG-2: revenue of the bought units at their decimal price."""
-    per_product = (buys.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                       .agg(F.sum(weight(buys)).cast("long").alias("n")))
-    j = per_product.join(_product_attrs(products, "price"), ["product_id", "store_id"], "left")
+    j = _with_product(buys, products, duration, small_products, "price")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price")).alias("amount"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", _store_or_all(), F.col("amount").cast("double").alias("amount_earned"))
     return split_window_column(out).select("window_start", "window_end", "store_id", "amount_earned")
 
 
-def _viewer_names(views: DataFrame, products: DataFrame, duration: str) -> DataFrame:
-    """Distinct (window, name, store, user): products sharing a name merge (Q7);
-    unmatched views form the null-name group."""
-    pairs = views.select(F.window("datetime", duration).alias("window"), "store_id", "product_id", "user_id").distinct()
-    j = pairs.join(_product_attrs(products, "name"), ["product_id", "store_id"], "left")
+def _viewer_names(views: DataFrame, products: DataFrame, duration: str, small_products: bool) -> DataFrame:
+    """(window, name, store, user) of every view: products sharing a name
+    merge (Q7); unmatched views form the null-name group."""
+    keys = ["product_id", "store_id"]
+    attrs = _product_attrs(products, "name")
+    rows = views.select(F.window("datetime", duration).alias("window"), "store_id", "product_id", "user_id")
+    if small_products:
+        j = rows.join(F.broadcast(attrs), keys, "left")
+    else:
+        j = rows.distinct().join(attrs, keys, "left")
     return j.select("window", "name", "store_id", "user_id")
 
 
-def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
+def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute",
+                            small_products: bool = False) -> DataFrame:
     """AGG-3 (reference form, Q6): distinct viewers per (window, name, store);
     ``All`` is the sum of the store values, i.e. distinct (store, user) pairs."""
-    vn = _viewer_names(views, products, duration).distinct()
+    vn = _viewer_names(views, products, duration, small_products).distinct()
     agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.count(F.lit(1)).alias("unique_users"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", "name", _store_or_all(), "unique_users")
     return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
 
 
-def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
+def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: str = "1 minute",
+                              small_products: bool = False) -> DataFrame:
     """AGG-3, second reading: ``All`` counts each user once across stores."""
-    vn = _viewer_names(views, products, duration)
+    vn = _viewer_names(views, products, duration, small_products)
     agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.count_distinct("user_id").alias("unique_users"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", "name", _store_or_all(), "unique_users")
     return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
 
 
-def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour") -> DataFrame:
+def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour",
+                          small_products: bool = False) -> DataFrame:
     """AGG-4: views per (window, name, store) plus ``All`` per (window, name)."""
-    per_product = (views.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                        .agg(F.sum(weight(views)).cast("long").alias("n")))
-    j = per_product.join(_product_attrs(products, "name"), ["product_id", "store_id"], "left")
+    j = _with_product(views, products, duration, small_products, "name")
     agg = (j.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.sum("n").alias("views"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", "name", _store_or_all(), "views")

@@ -63,6 +63,15 @@ class StoreInputs:
     def products(self) -> DataFrame:
         return current_products(self.products_all_versions)
 
+    @cached_property
+    def small_products(self) -> bool:
+        """Size check for broadcasting the current product table, once per
+        input set. The newest-version table has at most as many rows as the
+        versions table, so a bounded count on the plain scan of the latter
+        (stops after max + 1 rows) proves the bound without the dedup job."""
+        from ..operators.metrics import fits_broadcast
+        return fits_broadcast(self.products_all_versions.select("id_product"))
+
     @cached_property
     def stock(self) -> DataFrame:
         return tables.stock(self.spark, self.sf_dir)

@@ -31,37 +31,37 @@ def purchases_per_minute(spark, sf_dir):
 @query
 def revenue_per_minute(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.revenue_per_minute(i.views, i.products)
+    return metrics.revenue_per_minute(i.views, i.products, small_products=i.small_products)
 
 
 @query
 def revenue_from_buys(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.revenue_from_buys(i.buys, i.products)
+    return metrics.revenue_from_buys(i.buys, i.products, small_products=i.small_products)
 
 
 @query
 def unique_users_per_minute(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_per_minute(i.views, i.products)
+    return metrics.unique_users_per_minute(i.views, i.products, small_products=i.small_products)
 
 
 @query
 def unique_users_per_day(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_per_minute(i.views, i.products, duration="1 day")
+    return metrics.unique_users_per_minute(i.views, i.products, duration="1 day", small_products=i.small_products)
 
 
 @query
 def unique_users_distinct_all(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_distinct_all(i.views, i.products, duration="1 day")
+    return metrics.unique_users_distinct_all(i.views, i.products, duration="1 day", small_products=i.small_products)
 
 
 @query
 def view_ranking_per_hour(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.view_ranking_per_hour(i.views, i.products)
+    return metrics.view_ranking_per_hour(i.views, i.products, small_products=i.small_products)
 
 
 @query
@@ -320,7 +320,7 @@ def _task_results(spark, sf_dir) -> dict[str, DataFrame]:
     """The six tasks as published: newest window per store for the timed ones."""
     from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
-    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock)
+    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock, i.small_products)
 
 
 @query
@@ -329,7 +329,7 @@ def store_pass(spark, sf_dir):
     checkpointed minute cells, all six messages derived from them."""
     from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
-    return sp.payloads(sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock))
+    return sp.payloads(sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock, i.small_products))
 
 
 @query

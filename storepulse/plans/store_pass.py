@@ -39,15 +39,20 @@ def event_cells(events: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n")))
 
 
-def task_results(cells: DataFrame, products: DataFrame, stock: DataFrame) -> dict[str, DataFrame]:
+def task_results(cells: DataFrame, products: DataFrame, stock: DataFrame,
+                 small_products: bool | None = None) -> dict[str, DataFrame]:
     """The six published task results, from cells or from tagged events."""
+    if small_products is None:
+        small_products = metrics.fits_broadcast(products)
     views = cells.filter(F.col("kind") == "view").drop("kind")
     buys = cells.filter(F.col("kind") == "buy").drop("kind")
     return {
         "purchases_per_minute": latest.last_window(metrics.purchases_per_minute(buys)),
-        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(views, products)),
-        "unique_users_per_minute": latest.last_window(metrics.unique_users_per_minute(views, products)),
-        "ranking_viewed_products_per_hour": latest.last_window(metrics.view_ranking_per_hour(views, products)),
+        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(views, products, small_products=small_products)),
+        "unique_users_per_minute": latest.last_window(
+            metrics.unique_users_per_minute(views, products, small_products=small_products)),
+        "ranking_viewed_products_per_hour": latest.last_window(
+            metrics.view_ranking_per_hour(views, products, small_products=small_products)),
         "median_views_before_buy": metrics.views_before_buy(views, buys),
         "without_stock": metrics.sold_without_stock(stock),
     }

@@ -64,3 +64,14 @@ def test_latest_insight_equals_published_payload(spark):
     b = Q["insight_payload"](spark, SF_SMALL).filter(F.col("task_name") == "purchases_per_minute") \
         .select("store_id", "payload")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_both_product_join_shapes_agree(spark):
+    from storepulse.operators import metrics
+    from storepulse.plans.inputs import StoreInputs
+    i = StoreInputs(spark, SF_SMALL)
+    for fn in (metrics.revenue_per_minute, metrics.unique_users_per_minute, metrics.unique_users_distinct_all,
+               metrics.view_ranking_per_hour):
+        a = fn(i.views, i.products, small_products=True)
+        b = fn(i.views, i.products, small_products=False)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, fn.__name__
