@@ -135,3 +135,24 @@ def deal_report(deals: DataFrame, months: int, discount: float, as_of: dt.dateti
 def report_for_store(report: DataFrame, store_id: str) -> DataFrame:
     """FLT-10: one store's lines (the dashboard's store selector)."""
     return report.filter(F.col("store_id") == store_id)
+
+
+def deal_messages(deals: DataFrame, months: int, discount: float, as_of: dt.datetime,
+                  max_deals: int = 1000) -> DataFrame:
+    """FN-16 + the deal job's result message. The reference sends every deal
+    in one message; here the deals are spread over ceil(n / max_deals) parts by
+    an md5 of the product key, so no list grows with the data. Prices travel as
+    decimal text (Q18), DECIMAL(10,2) and DECIMAL(20,6) like the reference."""
+    n = deals.count()
+    parts = max(1, -(-n // max_deals))
+    key = F.md5(F.concat_ws(":", F.col("product_id"), F.col("store_id")))
+    part = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(parts))
+    entry = F.struct(F.col("product_id").alias("id"), "name", "store_id",
+                     F.col("price").cast("decimal(10,2)").cast("string").alias("price"),
+                     F.col("average_price").cast("decimal(20,6)").cast("string").alias("average_price"))
+    grouped = deals.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("deals"))
+    body = F.struct(F.lit("success").alias("status"), F.lit("price_monitor_job_results").alias("task_name"),
+                    F.col("deals"), F.lit(months).alias("time_window"),
+                    F.lit(float(discount)).alias("discount_percentage"),
+                    F.lit(as_of.isoformat()).alias("timestamp"), F.col("part"), F.lit(parts).alias("parts"))
+    return grouped.select("part", F.to_json(body).alias("message"))

@@ -245,6 +245,20 @@ def build() -> dict[str, str]:
                                        " UNION ALL ".join([head.format(d=100.0), body.replace(
                                            "ROUND((avg_price - price) / avg_price * 100, 6)",
                                            "(avg_price - price) / avg_price * 100"), none]))
+    entry = ("CAST(json_object('id', product_id, 'name', name, 'store_id', store_id, "
+             "'price', CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), "
+             "'average_price', CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS VARCHAR)")
+    q["deal_messages"] = with_ctes(["cat", "hist"], [
+        ("d", _deals_sql()),
+        ("np", "SELECT GREATEST(1, CAST(CEIL(COUNT(*) / 1000.0) AS BIGINT)) AS parts FROM d"),
+        ("dp", "SELECT d.*, CAST('0x' || substr(md5(product_id || ':' || store_id), 1, 8) AS BIGINT) "
+               "% (SELECT parts FROM np) AS part, (SELECT parts FROM np) AS parts FROM d")], (
+        "SELECT part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
+        f"string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
+        "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) || "
+        f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
+        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
+        "AS message FROM dp GROUP BY part"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount FROM d"))
     values = ", ".join(f"({n}, '{v}')" for n, v in enumerate(DEAL_REQUESTS))
@@ -400,6 +414,20 @@ def _add_insight_sql(q: dict[str, str]) -> None:
                                        " UNION ALL ".join([head.format(d=100.0), body.replace(
                                            "ROUND((avg_price - price) / avg_price * 100, 6)",
                                            "(avg_price - price) / avg_price * 100"), none]))
+    entry = ("CAST(json_object('id', product_id, 'name', name, 'store_id', store_id, "
+             "'price', CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), "
+             "'average_price', CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS VARCHAR)")
+    q["deal_messages"] = with_ctes(["cat", "hist"], [
+        ("d", _deals_sql()),
+        ("np", "SELECT GREATEST(1, CAST(CEIL(COUNT(*) / 1000.0) AS BIGINT)) AS parts FROM d"),
+        ("dp", "SELECT d.*, CAST('0x' || substr(md5(product_id || ':' || store_id), 1, 8) AS BIGINT) "
+               "% (SELECT parts FROM np) AS part, (SELECT parts FROM np) AS parts FROM d")], (
+        "SELECT part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
+        f"string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
+        "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) || "
+        f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
+        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
+        "AS message FROM dp GROUP BY part"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "

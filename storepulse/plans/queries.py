@@ -190,6 +190,14 @@ def deal_report(spark, sf_dir):
     return r.withColumn("evaluated_discount", F.round("evaluated_discount", 6))
 
 
+@query
+def deal_messages(spark, sf_dir):
+    """FN-16: the deal answer as result messages of at most ~1000 deals."""
+    i = StoreInputs(spark, sf_dir)
+    d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
+    return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF)
+
+
 @query
 def deal_report_empty(spark, sf_dir):
     """RPT-7 when nothing qualifies (a 100 % discount can never be met)."""
