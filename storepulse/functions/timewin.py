@@ -63,7 +63,8 @@ def tumble_start(df: DataFrame, column: str, duration: str) -> Column:
     return from_epoch_us(us - F.pmod(us, size), ntz)
 
 
-def shift(ts: Column, duration: str, ntz: bool) -> Column:
+def shift(ts: Column, duration: str) -> Column:
+    """``ts`` plus a duration (keeps the timestamp flavour)."""
     return F.timestamp_add("MICROSECOND", F.lit(duration_us(duration)), ts)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timewin import duration_us, is_ntz, shift, tumble_start
+from ..functions.timewin import duration_us, shift, tumble_start
 
 SHORT = "10 minutes"
 LONG = "6 hours"
@@ -26,19 +26,16 @@ def spend_totals(purchases: DataFrame, short: str = SHORT, long: str = LONG) ->
     """AGG-8: spend per (horizon, window, user, store), both horizons in one
     aggregation (each purchase is expanded to its two windows, then combined
     map-side)."""
-    ntz = is_ntz(purchases, "datetime")
     both = purchases.select(
         "user_id", "store_id", "price",
         F.explode(F.array(
-            F.struct(F.lit("10m").alias("horizon"), tumble_start(purchases, "datetime", short).alias("start"),
-                     F.lit(short).alias("size")),
-            F.struct(F.lit("6h").alias("horizon"), tumble_start(purchases, "datetime", long).alias("start"),
-                     F.lit(long).alias("size")))).alias("w"))
+            F.struct(F.lit("10m").alias("horizon"), tumble_start(purchases, "datetime", short).alias("start")),
+            F.struct(F.lit("6h").alias("horizon"), tumble_start(purchases, "datetime", long).alias("start")))).alias("w"))
     agg = (both.groupBy(F.col("w.horizon").alias("horizon"), F.col("w.start").alias("window_start_ts"),
                         "user_id", "store_id")
                .agg(F.sum(F.col("price").cast("double")).alias("total")))
-    end = F.when(F.col("horizon") == "10m", shift(F.col("window_start_ts"), short, ntz)) \
-           .otherwise(shift(F.col("window_start_ts"), long, ntz))
+    end = F.when(F.col("horizon") == "10m", shift(F.col("window_start_ts"), short)) \
+           .otherwise(shift(F.col("window_start_ts"), long))
     return agg.select("horizon", F.col("window_start_ts").cast("string").alias("window_start"),
                       end.alias("window_end"), "user_id", "store_id", "total")
 
@@ -63,7 +60,6 @@ def bonus_contained(purchases: DataFrame, min_short: float = MIN_SHORT, min_long
     10-minute window over ``min_short``. The short windows are rolled up into the
     long one they lie in (10 minutes divides 6 hours), so no join is needed."""
     assert duration_us(long) % duration_us(short) == 0, "short horizon must divide the long one"
-    ntz = is_ntz(purchases, "datetime")
     short_tot = (purchases.groupBy(tumble_start(purchases, "datetime", short).alias("s"), "user_id", "store_id")
                           .agg(F.sum(F.col("price").cast("double")).alias("total_10m")))
     long_tot = (short_tot.groupBy(tumble_start(short_tot, "s", long).alias("l"), "user_id", "store_id")
@@ -71,7 +67,7 @@ def bonus_contained(purchases: DataFrame, min_short: float = MIN_SHORT, min_long
                               F.count_if(F.col("total_10m") > min_short).alias("windows_10m")))
     return long_tot.filter((F.col("total_6h") > min_long) & (F.col("windows_10m") > 0)).select(
         "user_id", "store_id", F.col("l").cast("string").alias("window_start"),
-        shift(F.col("l"), long, ntz).alias("window_end"), "total_6h", "windows_10m")
+        shift(F.col("l"), long).alias("window_end"), "total_6h", "windows_10m")
 
 
 def bonus_messages(eligible: DataFrame) -> DataFrame:
