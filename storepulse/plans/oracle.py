@@ -362,6 +362,7 @@ def _add_insight_sql(q: dict[str, str]) -> None:
     payload = " UNION ALL ".join(_payload_sql(*t) for t in _TASKS)
     q["insight_payload"] = with_ctes(base, _task_ctes(), payload)
     q["store_pass"] = q["insight_payload"]
+    q["log_store_pass"] = q["insight_payload"]
     q["insight_decode"] = with_ctes(base, _task_ctes() + [("pl", payload)], (
         "SELECT task_name, store_id, CAST(k AS INTEGER) AS rank, "
         "CAST(json_extract(payload, '$.\"' || k || '\"') AS VARCHAR) AS detail "

@@ -340,6 +340,17 @@ def store_pass(spark, sf_dir):
     return sp.payloads(sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock, i.small_products))
 
 
+@query
+def log_store_pass(spark, sf_dir):
+    """The metrics service as the reference runs it: six tasks from the store
+    log files plus the product and stock tables."""
+    from ..sources import logs
+    from . import store_pass as sp
+    i = StoreInputs(spark, sf_dir)
+    log = logs.read_logs(spark, _log_dir(spark, sf_dir))
+    return sp.payloads(sp.task_results(sp.tagged_log_events(log), i.products, i.stock, i.small_products))
+
+
 @query
 def insight_payload(spark, sf_dir):
     """AGG-10 + SNK-4: one JSON message body per (task, store)."""

@@ -29,6 +29,16 @@ def tagged_events(events: DataFrame) -> DataFrame:
         kind.alias("kind"), "store_id", "product_id", "user_id", F.col("ts").alias("datetime"))
 
 
+def tagged_log_events(log: DataFrame) -> DataFrame:
+    """Log rows -> (kind, store_id, product_id, user_id, datetime): the
+    reference's two selectors (Audit/BUY, User/ZOOM) from one scan."""
+    from ..operators.events import split_log
+    parts = split_log(log)
+    cols = ["store_id", "product_id", "user_id", "datetime"]
+    return (parts["view"].select(F.lit("view").alias("kind"), *cols)
+            .unionByName(parts["buy"].select(F.lit("buy").alias("kind"), *cols)))
+
+
 def event_cells(events: DataFrame) -> DataFrame:
     """Store events -> (kind, store_id, product_id, user_id, datetime, n); datetime
     is the start of the minute, which every metric window (1 minute, 1 hour)
