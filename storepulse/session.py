@@ -32,13 +32,18 @@ BASE_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", app: str = "storepulse",
-                  shuffle_partitions: int = 8, driver_memory: str | None = None,
+def build_session(master: str | None = "local[*]", app: str = "storepulse",
+                  shuffle_partitions: int | None = 8, driver_memory: str | None = None,
                   extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+    """Session with ``BASE_CONF``. ``master=None`` leaves master, shuffle
+    partitions and UI to spark-submit / the cluster's defaults."""
+    builder = SparkSession.builder.appName(app)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.ui.enabled"] = "false"
+    if master is not None:
+        builder = builder.master(master)
+        conf["spark.ui.enabled"] = "false"
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if driver_memory:
         conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
