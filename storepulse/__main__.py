@@ -16,18 +16,22 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import os
+import sys
+
+if __package__ in (None, ""):  # run as a file, e.g. by spark-submit
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def _session(args):
-    from .session import build_session
+    from storepulse.session import build_session
     return build_session(args.master, app=f"storepulse-{args.command}",
                          shuffle_partitions=args.shuffle_partitions)
 
 
 def cmd_metrics(spark, args):
-    from .plans import store_pass as sp
-    from .plans.inputs import StoreInputs
-    from .sources import logs
+    from storepulse.plans import store_pass as sp
+    from storepulse.plans.inputs import StoreInputs
+    from storepulse.sources import logs
     i = StoreInputs(spark, args.tables)
     if args.logs:
         cells = sp.tagged_log_events(logs.read_logs(spark, args.logs))
@@ -38,9 +42,9 @@ def cmd_metrics(spark, args):
 
 
 def cmd_bonus(spark, args):
-    from .operators import bonus
-    from .plans.inputs import StoreInputs
-    from .sinks.writers import write_observed
+    from storepulse.operators import bonus
+    from storepulse.plans.inputs import StoreInputs
+    from storepulse.sinks.writers import write_observed
     p = StoreInputs(spark, args.tables).purchases
     if args.contained:
         out = bonus.bonus_contained(p, args.min_short, args.min_long)
@@ -51,8 +55,8 @@ def cmd_bonus(spark, args):
 
 
 def cmd_deals(spark, args):
-    from .operators import deals
-    from .plans.inputs import StoreInputs
+    from storepulse.operators import deals
+    from storepulse.plans.inputs import StoreInputs
     i = StoreInputs(spark, args.tables)
     raw = spark.createDataFrame(list(enumerate(args.request)), "request_id INT, value STRING")
     req = deals.decode_requests(raw)
@@ -63,8 +67,8 @@ def cmd_deals(spark, args):
 
 
 def cmd_prices(spark, args):
-    from .operators import prices
-    from .plans.inputs import StoreInputs
+    from storepulse.operators import prices
+    from storepulse.plans.inputs import StoreInputs
     as_of = dt.datetime.fromisoformat(args.as_of)
     old = StoreInputs(spark, args.tables).products_all_versions
     new = prices.price_update(old, args.n, args.seed)
@@ -75,14 +79,14 @@ def cmd_prices(spark, args):
 
 
 def cmd_ingest(spark, args):
-    from .streaming.jobs import ingest_lines
+    from storepulse.streaming.jobs import ingest_lines
     q = ingest_lines(spark, args.source, args.table, args.checkpoint, batch_path=args.batch_messages,
                      available_now=not args.continuous)
     q.awaitTermination()
 
 
 def cmd_report(spark, args):
-    from .plans.queries import store_report
+    from storepulse.plans.queries import store_report
     store_report(spark, args.tables).write.mode("overwrite").json(args.out)
 
 
