@@ -118,6 +118,23 @@ def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str
     return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
 
 
+def viewer_sets(views: DataFrame, products: DataFrame, duration: str = "1 minute",
+                small_products: bool = False) -> DataFrame:
+    """The user-level state of AGG-3: distinct (window, name, store, user)."""
+    return _viewer_names(views, products, duration, small_products).distinct()
+
+
+def unique_users_from_sets(sets: DataFrame) -> DataFrame:
+    """AGG-3 from (merged) viewer sets; merging partial results of a distinct
+    count needs these sets, a sum of partial counts would count a user seen in
+    both parts twice (Q3)."""
+    vn = sets.distinct()
+    agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
+             .agg(F.count(F.lit(1)).alias("unique_users"), F.grouping("store_id").alias("_g")))
+    out = agg.select("window", "name", _store_or_all(), "unique_users")
+    return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
+
+
 def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: str = "1 minute",
                               small_products: bool = False) -> DataFrame:
     """AGG-3, second reading: ``All`` counts each user once across stores."""

@@ -210,6 +210,7 @@ def build() -> dict[str, str]:
         "v.name ASC NULLS FIRST) AS INTEGER) AS rank FROM vr v JOIN l ON v.store_id = l.store_id "
         "WHERE v.window_end = l.m) WHERE rank <= 10"))
     q["merge_partials"] = q["purchases_per_minute"]
+    q["merge_unique_users"] = q["unique_users_per_minute"]
     q["store_list"] = with_ctes(["se"], [], "SELECT DISTINCT store_id FROM se")
 
     q["current_products"] = with_ctes(["cur"], [], "SELECT id_product, id, store_id, name, price FROM cur")

@@ -13,6 +13,8 @@ from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL
                      DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED, StoreInputs)
 
 Query = Callable[[SparkSession, str], DataFrame]
+# A cut inside a minute window: both parts hold events of the same windows.
+MERGE_CUT = "2024-01-16 12:00:30"
 REGISTRY: dict[str, Query] = {}
 
 
@@ -109,15 +111,26 @@ def top10_viewed(spark, sf_dir):
 
 @query
 def merge_partials(spark, sf_dir):
-    """AGG-11: purchases of the first and the second half of the month counted
-    separately, then merged; equals purchases_per_minute."""
+    """AGG-11: purchases before and after a cut inside a minute window counted
+    separately, then merged (sum); equals purchases_per_minute."""
     buys = StoreInputs(spark, sf_dir).buys
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    cut = F.lit(MERGE_CUT).cast("timestamp_ntz")
     a = metrics.purchases_per_minute(buys.filter(F.col("datetime") < cut))
     b = metrics.purchases_per_minute(buys.filter(F.col("datetime") >= cut))
     return latest.merge_partials(a, b, ["window_start", "window_end", "store_id"], "count")
 
 
+@query
+def merge_unique_users(spark, sf_dir):
+    """AGG-11 for distinct counts (Q3, intent): the two parts' viewer sets are
+    merged, then counted; equals unique_users_per_minute."""
+    i = StoreInputs(spark, sf_dir)
+    cut = F.lit(MERGE_CUT).cast("timestamp_ntz")
+    a = metrics.viewer_sets(i.views.filter(F.col("datetime") < cut), i.products, small_products=i.small_products)
+    b = metrics.viewer_sets(i.views.filter(F.col("datetime") >= cut), i.products, small_products=i.small_products)
+    return metrics.unique_users_from_sets(a.unionByName(b))
+
+
 @query
 def store_list(spark, sf_dir):
     """SRT-3: the stores present in the events, sorted."""
