@@ -124,11 +124,12 @@ def viewer_sets(views: DataFrame, products: DataFrame, duration: str = "1 minute
     return _viewer_names(views, products, duration, small_products).distinct()
 
 
-def unique_users_from_sets(sets: DataFrame) -> DataFrame:
+def unique_users_from_sets(sets: DataFrame, dedupe: bool = True) -> DataFrame:
     """AGG-3 from (merged) viewer sets; merging partial results of a distinct
     count needs these sets, a sum of partial counts would count a user seen in
-    both parts twice (Q3)."""
-    vn = sets.distinct()
+    both parts twice (Q3). ``dedupe=False`` when the sets are already unique
+    (the output of an aggregation, e.g. in a stream)."""
+    vn = sets.distinct() if dedupe else sets
     agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.count(F.lit(1)).alias("unique_users"), F.grouping("store_id").alias("_g")))
     out = agg.select("window", "name", _store_or_all(), "unique_users")

@@ -152,3 +152,21 @@ def test_published_stream_ends_on_the_batch_payload(spark, tmp_path):
                             "purchases_per_minute", TASK_DETAILS["purchases_per_minute"],
                             task_order("purchases_per_minute")).select("store_id", "payload")
     assert newest.exceptAll(expect).count() == 0 and expect.exceptAll(newest).count() == 0
+
+
+def test_unique_users_stream_equals_batch(spark, tmp_path):
+    src = str(tmp_path / "logs")
+    _write_log_files(spark, src)
+    i = StoreInputs(spark, SF_SMALL)
+    stream = jobs.unique_users_per_minute(logs.stream_logs(spark, src, max_files_per_trigger=4), i.products,
+                                          watermark="5 minutes")
+    q = _run_available_now(stream, "uu_stream", str(tmp_path / "ck"))
+    got = spark.table("uu_stream")
+    batch = metrics.unique_users_per_minute(split_log(logs.read_logs(spark, src))["view"], i.products)
+    closed = got.agg(F.max("window_end")).collect()[0][0]
+    assert got.count() > 0
+    exp = batch.filter(F.col("window_end") <= F.lit(closed))
+    cols = ["window_start", "name", "store_id", "unique_users"]
+    assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
+    assert got.count() == exp.count()
+    q.stop()
