@@ -75,3 +75,16 @@ def test_both_product_join_shapes_agree(spark):
         a = fn(i.views, i.products, small_products=True)
         b = fn(i.views, i.products, small_products=False)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, fn.__name__
+
+
+def test_deal_messages_split_every_deal_once(spark):
+    import json
+    from storepulse.operators import deals
+    from storepulse.plans.inputs import AS_OF, StoreInputs
+    i = StoreInputs(spark, SF_SMALL)
+    d = deals.price_deals(i.history, i.catalog, AS_OF, 12, 10.0)
+    msgs = [json.loads(r.message) for r in deals.deal_messages(d, 12, 10.0, AS_OF, max_deals=20).collect()]
+    got = sorted((x["id"], x["store_id"]) for m in msgs for x in m["deals"])
+    want = sorted((r.product_id, r.store_id) for r in d.collect())
+    assert got == want
+    assert {m["parts"] for m in msgs} == {max(1, -(-len(want) // 20))}
