@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.timewin import duration_us, shift, tumble_start
 
+# Bonus horizons and thresholds (strictly greater): 500 in 10 minutes, 2000 in 6 hours.
 SHORT = "10 minutes"
 LONG = "6 hours"
-# Reference thresholds (strictly greater): 500 in 10 minutes and 2000 in 6 hours.
 MIN_SHORT = 500.0
 MIN_LONG = 2000.0
 
@@ -75,7 +76,7 @@ def bonus_messages(eligible: DataFrame) -> DataFrame:
     return eligible.select(
         "user_id", "store_id",
         F.to_json(F.struct("user_id", "store_id")).alias("value"),
-        F.format_string("========= USER %s OF STORE %s GOT A COUPON =========",
+        F.format_string(texts.COUPON_LINE,
                         F.col("user_id"), F.col("store_id")).alias("line"))
 
 

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.timewin import ntz_lit
 
 DAY_US = 86_400_000_000
@@ -50,8 +51,7 @@ def rank_deals(deals: DataFrame) -> DataFrame:
     from ..functions.fmt import money
     disc = F.try_divide(F.col("average_price") - F.col("price"), F.col("average_price")) * F.lit(100)
     return deals.withColumn("evaluated_discount", disc).withColumn(
-        "line", F.format_string(' - Product "%s" (ID %s): from $%s to $%s (%s%% of discount) in store %s',
-                                F.col("name"), F.col("product_id"), money(F.col("average_price")),
+        "line", F.format_string(texts.DEAL_LINE, F.col("name"), F.col("product_id"), money(F.col("average_price")),
                                 money(F.col("price")), money(F.col("evaluated_discount")), F.col("store_id")))
 
 
@@ -118,8 +118,7 @@ def deal_report(deals: DataFrame, months: int, discount: float, as_of: dt.dateti
     evaluated discount, descending (a range-partitioned sort, applied last)."""
     from ..functions.fmt import ts_text
     spark = deals.sparkSession
-    header_text = F.format_string("Showing offers in the period of %d months with %s%% of discount (at %s):",
-                                  F.lit(months), F.lit(str(discount)), ts_text(ntz_lit(as_of)))
+    header_text = F.format_string(texts.DEALS_HEADER, F.lit(months), F.lit(str(discount)), ts_text(ntz_lit(as_of)))
     ranked = rank_deals(deals)
     header = spark.range(1).select(F.lit(0).alias("section"), F.lit(None).cast("double").alias("evaluated_discount"),
                                    header_text.alias("line"))
@@ -127,7 +126,7 @@ def deal_report(deals: DataFrame, months: int, discount: float, as_of: dt.dateti
     # one global count: a row only when there is no deal
     none = (ranked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
                   .select(F.lit(2).alias("section"), F.lit(None).cast("double").alias("evaluated_discount"),
-                          F.lit("No deals found.").alias("line")))
+                          F.lit(texts.NO_DEALS).alias("line")))
     return (header.unionByName(body).unionByName(none)
                   .orderBy("section", F.col("evaluated_discount").desc_nulls_last()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import ns_text_to_timestamp, view_product_id
 
-# Event selectors of the reference: (name, type, extra_1).
+# The event selectors (name, type, extra_1).
 BUY_SELECTOR = ("buy", "Audit", "BUY")
 VIEW_SELECTOR = ("view", "User", "ZOOM")
 

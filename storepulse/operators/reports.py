@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.fmt import money
 from .latest import top_n
 
@@ -14,53 +15,53 @@ def _line(df: DataFrame, task: str, line_no, text) -> DataFrame:
     return df.select("store_id", F.lit(task).alias("task"), no.cast("int").alias("line_no"), text.alias("line"))
 
 
-def _window_text(prefix: str):
-    return F.format_string(prefix + " (from %s to %s)", F.col("window_start"), F.col("window_end").cast("string"))
+def _window_args():
+    return F.col("window_start"), F.col("window_end").cast("string")
 
 
 def purchases_lines(last: DataFrame) -> DataFrame:
     """RPT-1 over the newest purchases window of each store."""
     return _line(last, "purchases_per_minute", 0,
-                 F.concat(_window_text("Purchases per minute"), F.lit(": "), F.col("count").cast("string")))
+                 F.format_string(texts.PURCHASES_LINE, *_window_args(), F.col("count").cast("string")))
 
 
 def revenue_lines(last: DataFrame) -> DataFrame:
     """RPT-2, null amount shown as N/A (Q26)."""
     return _line(last, "revenue_per_minute", 0,
-                 F.concat(_window_text("Revenue per minute"), F.lit(": $"), money(F.col("amount_earned"))))
+                 F.format_string(texts.REVENUE_LINE, *_window_args(), money(F.col("amount_earned"))))
 
 
-def _ranking_lines(last: DataFrame, task: str, title: str, metric: str, unit: str) -> DataFrame:
+def _ranking_lines(last: DataFrame, task: str, header_text: str, line_text: str, metric: str) -> DataFrame:
     ranked = top_n(last, metric, 10)
-    header = _line(ranked.filter(F.col("rank") == 1), task, 0, F.concat(_window_text(title), F.lit(":")))
+    header = _line(ranked.filter(F.col("rank") == 1), task, 0, F.format_string(header_text, *_window_args()))
     body = _line(ranked, task, F.col("rank"),
-                 F.format_string("#%d: Product %s: %d " + unit, F.col("rank"),
-                                 F.coalesce(F.col("name"), F.lit("None")), F.col(metric)))
+                 F.format_string(line_text, F.col("rank"),
+                                 F.coalesce(F.col("name"), F.lit(texts.MISSING_NAME)), F.col(metric)))
     return header.unionByName(body)
 
 
 def unique_users_lines(last: DataFrame) -> DataFrame:
     """RPT-3 + WIN-3."""
-    return _ranking_lines(last, "unique_users_per_minute", "Unique Users", "unique_users", "unique users")
+    return _ranking_lines(last, "unique_users_per_minute", texts.UNIQUE_USERS_HEADER, texts.UNIQUE_USERS_LINE,
+                          "unique_users")
 
 
 def most_viewed_lines(last: DataFrame) -> DataFrame:
     """RPT-4 + WIN-3."""
-    return _ranking_lines(last, "ranking_viewed_products_per_hour", "Most Viewed Products", "views", "views")
+    return _ranking_lines(last, "ranking_viewed_products_per_hour", texts.MOST_VIEWED_HEADER,
+                          texts.MOST_VIEWED_LINE, "views")
 
 
 def median_lines(median_ref: DataFrame) -> DataFrame:
     """RPT-5 over the whole histogram (AGG-6, AGG-15)."""
     return _line(median_ref, "median_views_before_buy", 0, F.format_string(
-        "The median of the views before buying is %d (from %d to %d, with a sum of %d views)",
-        F.col("median_views"), F.col("min_views"), F.col("max_views"), F.col("total_buys")))
+        texts.MEDIAN_LINE, F.col("median_views"), F.col("min_views"), F.col("max_views"), F.col("total_buys")))
 
 
 def without_stock_lines(sold_without: DataFrame) -> DataFrame:
     """RPT-6."""
-    return _line(sold_without, "without_stock", 0, F.concat(
-        F.lit("Products Sold Without Stock: "),
-        F.coalesce(F.col("products_sold_without_stock").cast("string"), F.lit("0")), F.lit(" units")))
+    return _line(sold_without, "without_stock", 0, F.format_string(
+        texts.WITHOUT_STOCK_LINE, F.coalesce(F.col("products_sold_without_stock").cast("string"), F.lit("0"))))
 
 
 def store_report(parts: list[DataFrame]) -> DataFrame:

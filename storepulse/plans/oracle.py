@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS,
                      DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED)
+from ..functions import texts
 from ..operators.deals import period_start
 
 # Fixture views (FIXTURES.md section 3, products as versions per key).
@@ -158,6 +159,11 @@ def _exact_avg(x: str) -> str:
     return (f"CAST((CAST(SUM({x}) * 100 AS HUGEINT) * 20000 + COUNT({x})) // (2 * COUNT({x})) AS DOUBLE) / 1000000")
 
 
+def _sql_text(t: str) -> str:
+    """A fixed text as the body of a SQL string literal."""
+    return t.replace("'", "''")
+
+
 def _money(x: str) -> str:
     return (f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE "
             f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(20,6)), 2) AS DECIMAL(20,2)) AS VARCHAR) END")
@@ -232,13 +238,12 @@ def build() -> dict[str, str]:
     q["price_deals"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
                                  "SELECT product_id, name, store_id, price, avg_price AS average_price FROM d")
     head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
-            f"'Showing offers in the period of {DEAL_MONTHS} months with {{d}}% of discount (at "
-            f"{AS_OF:%Y-%m-%d %H:%M:%S}):' AS line")
+            f"printf('{texts.DEALS_HEADER}', {DEAL_MONTHS}, '{{d}}', '{AS_OF:%Y-%m-%d %H:%M:%S}') AS line")
     body = ("SELECT 1 AS section, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
-            "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+            f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
             f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
             "store_id) AS line FROM d")
-    none = ("SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, 'No deals found.' AS line "
+    none = (f"SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, '{texts.NO_DEALS}' AS line "
             "FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0")
     q["deal_report"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
                                  " UNION ALL ".join([head.format(d=DEAL_DISCOUNT), body, none]))
@@ -285,7 +290,7 @@ def build() -> dict[str, str]:
         f"total_6h, windows_10m FROM l WHERE total_6h > {BONUS_MIN_LONG!r} AND windows_10m > 0"))
     q["bonus_messages"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], (
         "SELECT CAST(json_object('user_id', user_id, 'store_id', store_id) AS VARCHAR) AS value, "
-        "printf('========= USER %s OF STORE %s GOT A COUPON =========', user_id, store_id) AS line FROM e"))
+        f"printf('{texts.COUPON_LINE}', user_id, store_id) AS line FROM e"))
     q["bonus_count"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], "SELECT COUNT(*) AS eligible_users FROM e")
     q["views_strictly_before_buy"] = with_ctes(["buys", "views"], [], (
         "SELECT views, " + _store_all() + ", COUNT(*) AS count FROM (SELECT b.store_id, (SELECT COUNT(*) FROM views v "
@@ -378,37 +383,35 @@ def _add_insight_sql(q: dict[str, str]) -> None:
     med = ("SELECT store_id, MIN(CASE WHEN cum >= total // 2 THEN views END) AS m, MIN(views) AS lo, MAX(views) AS hi, "
            "ANY_VALUE(total) AS total FROM r GROUP BY store_id")
 
-    def ranking(src, task, title, metric, unit):
+    def ranking(src, task, header, line, metric):
         rk = (f"SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY {metric} DESC NULLS LAST, "
               f"name ASC NULLS FIRST) AS INTEGER) AS rank FROM {src}")
-        return (f"SELECT store_id, '{task}' AS task, 0 AS line_no, '{title} (from ' || window_start || ' to ' || {we} || '):' "
+        return (f"SELECT store_id, '{task}' AS task, 0 AS line_no, printf('{header}', window_start, {we}) "
                 f"FROM ({rk}) WHERE rank = 1 UNION ALL "
-                f"SELECT store_id, '{task}', rank, printf('#%d: Product %s: %d {unit}', rank, COALESCE(name, 'None'), {metric}) "
+                f"SELECT store_id, '{task}', rank, printf('{line}', rank, COALESCE(name, '{texts.MISSING_NAME}'), {metric}) "
                 f"FROM ({rk}) WHERE rank <= 10")
     lines = [
-        f"SELECT store_id, 'purchases_per_minute' AS task, 0 AS line_no, 'Purchases per minute (from ' || window_start "
-        f"|| ' to ' || {we} || '): ' || CAST(count AS VARCHAR) AS line FROM t1",
-        f"SELECT store_id, 'revenue_per_minute', 0, 'Revenue per minute (from ' || window_start || ' to ' || {we} || "
-        f"'): $' || {_money('amount_earned')} FROM t2",
-        ranking("t3", "unique_users_per_minute", "Unique Users", "unique_users", "unique users"),
-        ranking("t4", "ranking_viewed_products_per_hour", "Most Viewed Products", "views", "views"),
-        "SELECT store_id, 'median_views_before_buy', 0, printf('The median of the views before buying is %d "
-        "(from %d to %d, with a sum of %d views)', m, lo, hi, total) FROM med",
-        "SELECT store_id, 'without_stock', 0, 'Products Sold Without Stock: ' || "
-        "COALESCE(CAST(products_sold_without_stock AS VARCHAR), '0') || ' units' FROM t6",
+        f"SELECT store_id, 'purchases_per_minute' AS task, 0 AS line_no, "
+        f"printf('{texts.PURCHASES_LINE}', window_start, {we}, CAST(count AS VARCHAR)) AS line FROM t1",
+        f"SELECT store_id, 'revenue_per_minute', 0, printf('{texts.REVENUE_LINE}', window_start, {we}, "
+        f"{_money('amount_earned')}) FROM t2",
+        ranking("t3", "unique_users_per_minute", texts.UNIQUE_USERS_HEADER, texts.UNIQUE_USERS_LINE, "unique_users"),
+        ranking("t4", "ranking_viewed_products_per_hour", texts.MOST_VIEWED_HEADER, texts.MOST_VIEWED_LINE, "views"),
+        f"SELECT store_id, 'median_views_before_buy', 0, printf('{texts.MEDIAN_LINE}', m, lo, hi, total) FROM med",
+        f"SELECT store_id, 'without_stock', 0, printf('{texts.WITHOUT_STOCK_LINE}', "
+        f"COALESCE(CAST(products_sold_without_stock AS VARCHAR), '0')) FROM t6",
     ]
     q["store_report"] = with_ctes(base, _task_ctes() + [("r", hist_cum), ("med", med)],
                                   "SELECT store_id, task, CAST(line_no AS INTEGER) AS line_no, line FROM ("
                                   + " UNION ALL ".join(lines) + ")")
     q["store_report_one"] = "SELECT * FROM (" + q["store_report"] + ") WHERE store_id = 'store_2'"
     head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
-            f"'Showing offers in the period of {DEAL_MONTHS} months with {{d}}% of discount (at "
-            f"{AS_OF:%Y-%m-%d %H:%M:%S}):' AS line")
+            f"printf('{texts.DEALS_HEADER}', {DEAL_MONTHS}, '{{d}}', '{AS_OF:%Y-%m-%d %H:%M:%S}') AS line")
     body = ("SELECT 1 AS section, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
-            "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+            f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
             f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
             "store_id) AS line FROM d")
-    none = ("SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, 'No deals found.' AS line "
+    none = (f"SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, '{texts.NO_DEALS}' AS line "
             "FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0")
     q["deal_report"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
                                  " UNION ALL ".join([head.format(d=DEAL_DISCOUNT), body, none]))
@@ -432,6 +435,6 @@ def _add_insight_sql(q: dict[str, str]) -> None:
         "AS message FROM dp GROUP BY part"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
-        "printf(' - Product \"%s\" (ID %s): from $%s to $%s (%s%% of discount) in store %s', name, product_id, "
+        f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
         f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
         "store_id) AS line FROM d"))

@@ -17,7 +17,7 @@ from ..functions.parsing import ns_text_to_timestamp
 from ..functions.timewin import epoch_ntz
 from ..schemas import LOG_COLUMNS, LOG_SCHEMA, MESSAGE_DDL
 
-# Number of component error codes the simulator draws from (0..5).
+# Number of component error codes (0..5).
 ERROR_CODES = 6
 
 
