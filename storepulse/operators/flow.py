@@ -22,7 +22,7 @@ REFERENCE_EDGES = [
     ("CHECKOUT", "HOME", 0.1),
 ]
 
-# The event table's types as flow nodes.
+# Fixture mapping (chosen here, not a reference value): event types as flow nodes.
 EVENT_NODE = [
     ("signup", "LOGIN"),
     ("view", "VIEW_PRODUCT"),
