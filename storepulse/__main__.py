@@ -38,7 +38,7 @@ def cmd_metrics(spark, args):
         res = sp.task_results(cells, i.products, i.stock, i.small_products)
     else:
         res = sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock, i.small_products)
-    sp.payloads(res).write.mode("overwrite").json(args.out)
+    sp.payloads(res).write.mode("overwrite").partitionBy("task_name").json(args.out)
 
 
 def cmd_bonus(spark, args):

@@ -94,8 +94,8 @@ def checkpointed_cells(events: DataFrame) -> DataFrame:
 
 
 def run_pass(events: DataFrame, products: DataFrame, stock: DataFrame, out_path: str) -> str:
-    """SNK-4/SNK-5: compute and write one pass's messages (one JSON line per
-    task and store), overwriting the previous pass."""
+    """SNK-4/SNK-5: compute and write one pass's messages, one folder per task
+    (``task_name=<task>``, one JSON line per store), replacing the previous pass."""
     cells = checkpointed_cells(events)
-    payloads(task_results(cells, products, stock)).write.mode("overwrite").json(out_path)
+    payloads(task_results(cells, products, stock)).write.mode("overwrite").partitionBy("task_name").json(out_path)
     return out_path
