@@ -71,6 +71,38 @@ def bonus_contained(purchases: DataFrame, min_short: float = MIN_SHORT, min_long
         shift(F.col("l"), long).alias("window_end"), "total_6h", "windows_10m")
 
 
+def _best_sliding(purchases: DataFrame, size: str, slide: str, name: str) -> DataFrame:
+    """Largest spend in any window of ``size`` starting on a multiple of
+    ``slide``, per (user, store). Spend is summed per slide bucket first (map-side
+    combine), then each window is a range sum over consecutive buckets; the best
+    window ends on a bucket with a purchase, so only those are evaluated. A
+    user's rows are bounded by the time span / slide, however hot the user."""
+    from pyspark.sql import Window
+    from ..functions.timewin import epoch_us, is_ntz
+    b_us = duration_us(slide)
+    k = duration_us(size) // b_us
+    assert k * b_us == duration_us(size), "slide must divide the window size"
+    idx = F.floor(epoch_us(F.col("datetime"), is_ntz(purchases, "datetime")) / F.lit(b_us)).cast("long")
+    buckets = (purchases.groupBy("user_id", "store_id", idx.alias("b"))
+                        .agg(F.sum(F.col("price").cast("double")).alias("s")))
+    w = Window.partitionBy("user_id", "store_id").orderBy("b").rangeBetween(-(k - 1), 0)
+    return (buckets.withColumn("win", F.sum("s").over(w))
+                   .groupBy("user_id", "store_id").agg(F.max("win").alias(name)))
+
+
+def bonus_sliding(purchases: DataFrame, min_short: float = MIN_SHORT, min_long: float = MIN_LONG,
+                  short: str = SHORT, short_slide: str = "1 minute", long: str = LONG,
+                  long_slide: str = "10 minutes") -> DataFrame:
+    """Q12, the "last 10 minutes / last 6 hours" reading: sliding windows
+    instead of epoch-aligned tumbling ones. One row per eligible (user, store)
+    with the best spend of each horizon."""
+    a = _best_sliding(purchases, short, short_slide, "best_10m")
+    c = _best_sliding(purchases, long, long_slide, "best_6h")
+    # both sides are one row per (user, store), partitioned alike: no pair growth
+    return (a.join(c, ["user_id", "store_id"])
+             .filter((F.col("best_10m") > min_short) & (F.col("best_6h") > min_long)))
+
+
 def bonus_messages(eligible: DataFrame) -> DataFrame:
     """SNK-1 / RPT-8: one JSON value per eligible user, and the coupon line."""
     return eligible.select(

@@ -288,6 +288,16 @@ def build() -> dict[str, str]:
               f"COUNT(*) FILTER (WHERE total_10m > {BONUS_MIN_SHORT!r}) AS windows_10m FROM s GROUP BY ALL")], (
         f"SELECT user_id, store_id, CAST(l AS VARCHAR) AS window_start, l + INTERVAL 6 HOUR AS window_end, "
         f"total_6h, windows_10m FROM l WHERE total_6h > {BONUS_MIN_LONG!r} AND windows_10m > 0"))
+    def best(step_us, k, name):
+        return (f"SELECT user_id, store_id, MAX(win) AS {name} FROM (SELECT user_id, store_id, SUM(s) OVER ("
+                f"PARTITION BY user_id, store_id ORDER BY b RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS win "
+                f"FROM (SELECT user_id, store_id, epoch_us(datetime) // {step_us} AS b, "
+                f"SUM(CAST(price AS DOUBLE)) AS s FROM purch GROUP BY ALL)) GROUP BY ALL")
+    q["bonus_sliding"] = with_ctes(["purch"], [("a", best(60_000_000, 10, "best_10m")),
+                                               ("c", best(600_000_000, 36, "best_6h"))], (
+        f"SELECT a.user_id, a.store_id, a.best_10m, c.best_6h FROM a JOIN c "
+        f"ON a.user_id = c.user_id AND a.store_id = c.store_id "
+        f"WHERE a.best_10m > {BONUS_MIN_SHORT!r} AND c.best_6h > {BONUS_MIN_LONG!r}"))
     q["bonus_messages"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], (
         "SELECT CAST(json_object('user_id', user_id, 'store_id', store_id) AS VARCHAR) AS value, "
         f"printf('{texts.COUPON_LINE}', user_id, store_id) AS line FROM e"))

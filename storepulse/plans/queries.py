@@ -245,6 +245,12 @@ def bonus_contained(spark, sf_dir):
     return bonus.bonus_contained(StoreInputs(spark, sf_dir).purchases, BONUS_MIN_SHORT, BONUS_MIN_LONG)
 
 
+@query
+def bonus_sliding(spark, sf_dir):
+    """Q12 intent: sliding 10-minute (1-minute steps) and 6-hour (10-minute steps) windows."""
+    return bonus.bonus_sliding(StoreInputs(spark, sf_dir).purchases, BONUS_MIN_SHORT, BONUS_MIN_LONG)
+
+
 @query
 def bonus_messages(spark, sf_dir):
     return bonus.bonus_messages(bonus_eligible(spark, sf_dir)).select("value", "line")

@@ -88,3 +88,23 @@ def test_deal_messages_split_every_deal_once(spark):
     want = sorted((r.product_id, r.store_id) for r in d.collect())
     assert got == want
     assert {m["parts"] for m in msgs} == {max(1, -(-len(want) // 20))}
+
+
+def test_sliding_bonus_equals_window_expansion(spark):
+    """Brute force: every sliding window enumerated by window(ts, size, slide)."""
+    from storepulse.operators import bonus
+    from storepulse.plans.inputs import StoreInputs
+    p = StoreInputs(spark, SF_SMALL).purchases
+
+    def brute(size, slide, name):
+        per_window = (p.groupBy(F.window("datetime", size, slide).alias("w"), "user_id", "store_id")
+                       .agg(F.sum(F.col("price").cast("double")).alias("s")))
+        return per_window.groupBy("user_id", "store_id").agg(F.max("s").alias(name))
+    want = (brute("10 minutes", "1 minute", "best_10m").join(brute("6 hours", "10 minutes", "best_6h"),
+                                                             ["user_id", "store_id"])
+            .filter((F.col("best_10m") > 20) & (F.col("best_6h") > 60)))
+    got = bonus.bonus_sliding(p, 20, 60)
+    cols = ["user_id", "store_id", "best_10m", "best_6h"]
+    assert want.count() > 0
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
