@@ -155,3 +155,23 @@ def deal_messages(deals: DataFrame, months: int, discount: float, as_of: dt.date
                     F.lit(float(discount)).alias("discount_percentage"),
                     F.lit(as_of.isoformat()).alias("timestamp"), F.col("part"), F.lit(parts).alias("parts"))
     return grouped.select("part", F.to_json(body).alias("message"))
+
+
+DEAL_RESULT_DDL = ("status STRING, task_name STRING, deals ARRAY<STRUCT<id: STRING, name: STRING, "
+                   "store_id: STRING, price: STRING, average_price: STRING>>, time_window INT, "
+                   "discount_percentage DOUBLE, timestamp STRING, part INT, parts INT")
+
+
+def decode_deal_messages(messages: DataFrame, column: str = "message") -> DataFrame:
+    """FN-16 + FN-14, the dashboard side: result messages -> one row per deal
+    (numbers back from their text, the answer time parsed from ISO text, with
+    or without fractional seconds), ready for ``rank_deals``."""
+    m = messages.select(F.from_json(F.col(column), DEAL_RESULT_DDL).alias("m"))
+    text = F.col("m.timestamp")
+    at = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+                    F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    rows = m.select(F.col("m.time_window").alias("months"), F.col("m.discount_percentage").alias("discount"),
+                    at.cast("timestamp_ntz").alias("answered_at"), F.explode("m.deals").alias("d"))
+    return rows.select("months", "discount", "answered_at", F.col("d.id").alias("product_id"), "d.name",
+                       "d.store_id", F.col("d.price").try_cast("double").alias("price"),
+                       F.col("d.average_price").try_cast("double").alias("average_price"))

@@ -265,6 +265,12 @@ def build() -> dict[str, str]:
         f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
         f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
         "AS message FROM dp GROUP BY part"))
+    q["deal_messages_decoded"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
+        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+        f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
+        f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
+        f"store_id) AS line, {DEAL_MONTHS} AS months, CAST({float(DEAL_DISCOUNT)!r} AS DOUBLE) AS discount, "
+        f"{_ts(AS_OF)} AS answered_at FROM d"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount FROM d"))
     values = ", ".join(f"({n}, '{v}')" for n, v in enumerate(DEAL_REQUESTS))
@@ -443,6 +449,12 @@ def _add_insight_sql(q: dict[str, str]) -> None:
         f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
         f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
         "AS message FROM dp GROUP BY part"))
+    q["deal_messages_decoded"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
+        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+        f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
+        f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
+        f"store_id) AS line, {DEAL_MONTHS} AS months, CAST({float(DEAL_DISCOUNT)!r} AS DOUBLE) AS discount, "
+        f"{_ts(AS_OF)} AS answered_at FROM d"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "

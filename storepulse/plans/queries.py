@@ -211,6 +211,15 @@ def deal_messages(spark, sf_dir):
     return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF)
 
 
+@query
+def deal_messages_decoded(spark, sf_dir):
+    """FN-14/FN-16/RPT-7 on the consumer side: result messages decoded and
+    ranked; equals deals_ranked plus the request fields."""
+    r = deals.rank_deals(deals.decode_deal_messages(deal_messages(spark, sf_dir)))
+    return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line",
+                    "months", "discount", "answered_at")
+
+
 @query
 def deal_report_empty(spark, sf_dir):
     """RPT-7 when nothing qualifies (a 100 % discount can never be met)."""
