@@ -50,3 +50,20 @@ def write_observed(df: DataFrame, path: str, name: str = "rows") -> int:
     obs = Observation(name)
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
     return int(obs.get["n"])
+
+
+def stream_values_to_topic(df: DataFrame, bootstrap_servers: str, topic: str, checkpoint: str):
+    """SNK-1 (stream): each emitted row as one JSON value on a Kafka topic
+    (append mode; needs the Kafka connector on the cluster's classpath)."""
+    return (as_json_values(df).writeStream.format("kafka").outputMode("append")
+            .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic)
+            .option("checkpointLocation", checkpoint).start())
+
+
+def stream_values_to_files(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """SNK-1 (stream), file form: JSON values appended exactly once per
+    micro-batch by the file sink."""
+    w = (as_json_values(df).writeStream.format("json").outputMode("append").option("path", path)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

@@ -170,3 +170,20 @@ def test_unique_users_stream_equals_batch(spark, tmp_path):
     assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
     assert got.count() == exp.count()
     q.stop()
+
+
+def test_bonus_stream_values_to_files(spark, tmp_path):
+    import json
+
+    from storepulse.sinks.writers import stream_values_to_files
+    src = str(tmp_path / "msgs")
+    ev = StoreInputs(spark, SF_SMALL).events
+    logs.render_messages(ev).select(F.regexp_replace("message", "\n$", "").alias("value")).write.text(src)
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(src)
+    eligible = jobs.bonus_contained(jobs.purchases_from_lines(lines), min_short=10, min_long=20) \
+        .select("user_id", "store_id")
+    q = stream_values_to_files(eligible, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(300)
+    values = [json.loads(r.value) for r in spark.read.json(str(tmp_path / "out")).collect()]
+    assert len(values) > 0
+    assert all(set(v) == {"user_id", "store_id"} for v in values)
