@@ -278,10 +278,23 @@ def views_strictly_before_buy(spark, sf_dir):
 
 # ---- logs and messages ------------------------------------------------------------------
 
+_LOG_DIRS: dict[tuple[str, str], str] = {}
+
+
 def _log_dir(spark, sf_dir) -> str:
+    """The event table written as store log files, once per session and table
+    directory (the log files are the source the log queries read, as the
+    reference reads files that already exist)."""
+    import os
+
     from ..session import scratch_path
     from ..sources import logs
-    return logs.write_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "logs"))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _LOG_DIRS.get(key)
+    if path is None or not os.path.isdir(path.removeprefix("file:")):
+        path = logs.write_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "logs"))
+        _LOG_DIRS[key] = path
+    return path
 
 
 @query
