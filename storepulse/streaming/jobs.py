@@ -136,3 +136,34 @@ def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint:
     w = results.writeStream.outputMode("append").foreachBatch(publish).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
+
+
+def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
+                        available_now: bool = True) -> StreamingQuery:
+    """AGG-5 / STR-5 for an all-time metric: view and buy counts per (user,
+    product, store) kept as streaming state (update mode; the state is bounded
+    by the key space, not by the events), each micro-batch's updated keys
+    written to its own ``batch_id`` folder (replay-safe)."""
+    parts = split_log(log_stream)
+    cols = ["user_id", "product_id", "store_id"]
+    tagged = (parts["view"].select(*cols, F.lit(1).alias("v"), F.lit(0).alias("b"))
+              .unionByName(parts["buy"].select(*cols, F.lit(0).alias("v"), F.lit(1).alias("b"))))
+    counts = tagged.groupBy(*cols).agg(F.sum("v").cast("long").alias("views"), F.sum("b").cast("long").alias("buys"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+             .parquet(f"{table_path}/batch_id={batch_id}")
+
+    w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
+
+
+def views_before_buy_from_state(spark, table_path: str) -> DataFrame:
+    """The histogram from the newest counts of every key (max_by over batch
+    ids, combined map-side)."""
+    state = spark.read.parquet(table_path)
+    newest = state.groupBy("user_id", "product_id", "store_id").agg(
+        F.max_by(F.struct("views", "buys"), "batch_id").alias("c"))
+    per_buy = newest.select("store_id", "c.views", "c.buys").filter(F.col("buys") > 0)
+    return metrics.views_histogram(per_buy)

@@ -187,3 +187,15 @@ def test_bonus_stream_values_to_files(spark, tmp_path):
     values = [json.loads(r.value) for r in spark.read.json(str(tmp_path / "out")).collect()]
     assert len(values) > 0
     assert all(set(v) == {"user_id", "store_id"} for v in values)
+
+
+def test_all_time_views_before_buy_from_stream_state(spark, tmp_path):
+    src = str(tmp_path / "logs")
+    _write_log_files(spark, src)
+    table = str(tmp_path / "state")
+    jobs.views_per_buy_state(logs.stream_logs(spark, src, max_files_per_trigger=5), table,
+                             str(tmp_path / "ck")).awaitTermination(300)
+    got = jobs.views_before_buy_from_state(spark, table)
+    parts = split_log(logs.read_logs(spark, src))
+    want = metrics.views_before_buy(parts["view"], parts["buy"])
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
