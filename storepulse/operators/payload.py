@@ -29,7 +29,9 @@ def store_payloads(df: DataFrame, task_name: str, detail_cols: list[str], order:
     """Rows of one task -> (task_name, *keys, payload JSON). Timestamps travel
     as 'yyyy-MM-dd HH:mm:ss' text, like the dashboard prints them."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    top = df.withColumn("_rank", F.row_number().over(w) - 1).filter(F.col("_rank") < n)
+    # filter on row_number itself, so it is planned as a group limit
+    top = (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+             .withColumn("_rank", F.col("_rn") - 1).drop("_rn"))
     fields = ", ".join(f"CAST(`{c}` AS STRING) AS `{c}`" if c == "window_end" else f"`{c}`" for c in detail_cols)
     grouped = top.groupBy(*keys).agg(
         F.expr(f"sort_array(collect_list(struct(_rank, struct({fields}) AS d)))").alias("_l"))
