@@ -108,3 +108,19 @@ def test_sliding_bonus_equals_window_expansion(spark):
     assert want.count() > 0
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_all_rows_sum_stores_for_revenue_and_ranking(spark):
+    for name, keys, metric in (("revenue_per_minute", ["window_start"], "amount_earned"),
+                               ("view_ranking_per_hour", ["window_start", "name"], "views")):
+        df = Q[name](spark, SF_SMALL)
+        stores = df.filter(F.col("store_id") != "All").groupBy(*keys).agg(F.sum(metric).alias("s"))
+        alls = df.filter(F.col("store_id") == "All").select(*keys, F.col(metric).alias("a"))
+        j = stores.join(alls, keys, "full_outer")
+        assert j.filter(~F.col("s").eqNullSafe(F.col("a"))).count() == 0, name
+
+
+def test_broadcast_size_check_boundary(spark):
+    from storepulse.operators.metrics import fits_broadcast
+    df = spark.range(5)
+    assert fits_broadcast(df, 5) and not fits_broadcast(df, 4)
