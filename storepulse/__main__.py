@@ -2,6 +2,7 @@
 
     python -m storepulse metrics --tables DIR [--logs DIR] --out PATH
     python -m storepulse bonus   --tables DIR --out PATH [--min-short X --min-long Y] [--contained]
+    python -m storepulse bonus   --stream --source DIR --checkpoint DIR (--out PATH | --brokers B --topic T)
     python -m storepulse deals   --tables DIR --request JSON [--request JSON ...] --as-of TS --out PATH
     python -m storepulse prices  --tables DIR --n 1000 --seed S --as-of TS --out PATH
     python -m storepulse ingest  --source DIR --table PATH --checkpoint DIR [--batch-messages PATH]
@@ -45,6 +46,8 @@ def cmd_bonus(spark, args):
     from storepulse.operators import bonus
     from storepulse.plans.inputs import StoreInputs
     from storepulse.sinks.writers import write_observed
+    if args.stream:
+        return _bonus_stream(spark, args)
     p = StoreInputs(spark, args.tables).purchases
     if args.contained:
         out = bonus.bonus_contained(p, args.min_short, args.min_long)
@@ -54,6 +57,21 @@ def cmd_bonus(spark, args):
     print(f"eligible rows: {n}")
 
 
+def _bonus_stream(spark, args):
+    """Message lines (text files) -> eligible users once per closed 6-hour
+    window -> JSON values to a topic or to files."""
+    from storepulse.sinks.writers import stream_values_to_files, stream_values_to_topic
+    from storepulse.streaming import jobs
+    lines = spark.readStream.format("text").load(args.source)
+    eligible = jobs.bonus_contained(jobs.purchases_from_lines(lines), watermark=args.watermark,
+                                    min_short=args.min_short, min_long=args.min_long).select("user_id", "store_id")
+    if args.brokers and args.topic:
+        q = stream_values_to_topic(eligible, args.brokers, args.topic, args.checkpoint)
+    else:
+        q = stream_values_to_files(eligible, args.out, args.checkpoint, available_now=not args.continuous)
+    q.awaitTermination()
+
+
 def cmd_deals(spark, args):
     from storepulse.operators import deals
     from storepulse.plans.inputs import StoreInputs
@@ -100,8 +118,15 @@ def main(argv=None):
     m.add_argument("--logs")
     m.add_argument("--out", required=True)
     b = sub.add_parser("bonus")
-    b.add_argument("--tables", required=True)
-    b.add_argument("--out", required=True)
+    b.add_argument("--tables")
+    b.add_argument("--out")
+    b.add_argument("--stream", action="store_true", help="read message lines from --source as a stream")
+    b.add_argument("--source")
+    b.add_argument("--checkpoint")
+    b.add_argument("--watermark", default="10 minutes")
+    b.add_argument("--brokers")
+    b.add_argument("--topic")
+    b.add_argument("--continuous", action="store_true")
     b.add_argument("--min-short", type=float, default=500.0)
     b.add_argument("--min-long", type=float, default=2000.0)
     b.add_argument("--contained", action="store_true")

@@ -21,3 +21,16 @@ def test_cli_services(spark, tmp_path):
     main(base + ["ingest", "--source", str(src), "--table", str(tmp_path / "ev"),
                  "--checkpoint", str(tmp_path / "ck")])
     assert spark.read.parquet(str(tmp_path / "ev")).count() == 2
+
+
+def test_cli_bonus_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from storepulse.plans.inputs import StoreInputs
+    from storepulse.sources import logs
+    src = str(tmp_path / "msgs")
+    logs.render_messages(StoreInputs(spark, SF_SMALL).events) \
+        .select(F.regexp_replace("message", "\n$", "").alias("value")).write.text(src)
+    main(["--master", "local[4]", "bonus", "--stream", "--source", src, "--checkpoint", str(tmp_path / "ck"),
+          "--out", str(tmp_path / "out"), "--min-short", "10", "--min-long", "20"])
+    assert spark.read.json(str(tmp_path / "out")).count() > 0
