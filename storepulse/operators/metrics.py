@@ -111,11 +111,7 @@ def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str
                             small_products: bool = False) -> DataFrame:
     """AGG-3 (reference form, Q6): distinct viewers per (window, name, store);
     ``All`` is the sum of the store values, i.e. distinct (store, user) pairs."""
-    vn = _viewer_names(views, products, duration, small_products).distinct()
-    agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
-             .agg(F.count(F.lit(1)).alias("unique_users"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", "name", _store_or_all(), "unique_users")
-    return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
+    return unique_users_from_sets(viewer_sets(views, products, duration, small_products), dedupe=False)
 
 
 def viewer_sets(views: DataFrame, products: DataFrame, duration: str = "1 minute",
