@@ -8,8 +8,11 @@
     python -m storepulse ingest  --source DIR --table PATH --checkpoint DIR [--batch-messages PATH]
     python -m storepulse report  --tables DIR --out PATH
 
-``--tables`` is a directory of the parquet tables (events, part, lineitem);
-``--master`` defaults to whatever spark-submit provides.
+``--tables`` is a directory of the driver's parquet tables (events, part,
+lineitem) read through the fixture views; ``--products``, ``--stock`` and
+``--history`` read operational tables with the reference's column names
+instead, and ``metrics --logs`` reads store log files. ``--master`` defaults
+to whatever spark-submit provides.
 """
 
 from __future__ import annotations
@@ -29,11 +32,27 @@ def _session(args):
                          shuffle_partitions=args.shuffle_partitions)
 
 
+def _inputs(spark, args):
+    """Fixture views of ``--tables``, replaced by the operational tables given
+    explicitly (parquet with the reference's column names)."""
+    from storepulse.operators.prices import current_products
+    from storepulse.plans.inputs import StoreInputs
+    i = StoreInputs(spark, args.tables or "")
+    if getattr(args, "products", None):
+        i.products_all_versions = spark.read.parquet(args.products).select("id_product", "id", "store_id", "name",
+                                                                           "price")
+        i.catalog = current_products(i.products_all_versions).select("id", "store_id", "name", "price")
+    if getattr(args, "stock", None):
+        i.stock = spark.read.parquet(args.stock).select("product_id", "store_id", "quantity")
+    if getattr(args, "history", None):
+        i.history = spark.read.parquet(args.history).select("product_id", "store_id", "price", "recorded_at")
+    return i
+
+
 def cmd_metrics(spark, args):
     from storepulse.plans import store_pass as sp
-    from storepulse.plans.inputs import StoreInputs
     from storepulse.sources import logs
-    i = StoreInputs(spark, args.tables)
+    i = _inputs(spark, args)
     if args.logs:
         cells = sp.tagged_log_events(logs.read_logs(spark, args.logs))
         res = sp.task_results(cells, i.products, i.stock, i.small_products)
@@ -74,8 +93,7 @@ def _bonus_stream(spark, args):
 
 def cmd_deals(spark, args):
     from storepulse.operators import deals
-    from storepulse.plans.inputs import StoreInputs
-    i = StoreInputs(spark, args.tables)
+    i = _inputs(spark, args)
     raw = spark.createDataFrame(list(enumerate(args.request)), "request_id INT, value STRING")
     req = deals.decode_requests(raw)
     n, longest = deals.request_bounds(req)
@@ -86,9 +104,8 @@ def cmd_deals(spark, args):
 
 def cmd_prices(spark, args):
     from storepulse.operators import prices
-    from storepulse.plans.inputs import StoreInputs
     as_of = dt.datetime.fromisoformat(args.as_of)
-    old = StoreInputs(spark, args.tables).products_all_versions
+    old = _inputs(spark, args).products_all_versions
     new = prices.price_update(old, args.n, args.seed)
     new.write.mode("overwrite").parquet(os.path.join(args.out, "products"))
     changes = prices.price_changes(old, new, as_of)
@@ -114,8 +131,10 @@ def main(argv=None):
     ap.add_argument("--shuffle-partitions", type=int, default=None)
     sub = ap.add_subparsers(dest="command", required=True)
     m = sub.add_parser("metrics")
-    m.add_argument("--tables", required=True)
+    m.add_argument("--tables", help="driver tables (fixture views); optional with --logs/--products/--stock")
     m.add_argument("--logs")
+    m.add_argument("--products")
+    m.add_argument("--stock")
     m.add_argument("--out", required=True)
     b = sub.add_parser("bonus")
     b.add_argument("--tables")
@@ -131,12 +150,15 @@ def main(argv=None):
     b.add_argument("--min-long", type=float, default=2000.0)
     b.add_argument("--contained", action="store_true")
     d = sub.add_parser("deals")
-    d.add_argument("--tables", required=True)
+    d.add_argument("--tables")
+    d.add_argument("--products")
+    d.add_argument("--history")
     d.add_argument("--request", action="append", required=True)
     d.add_argument("--as-of", required=True)
     d.add_argument("--out", required=True)
     p = sub.add_parser("prices")
-    p.add_argument("--tables", required=True)
+    p.add_argument("--tables")
+    p.add_argument("--products")
     p.add_argument("--n", type=int, default=1000)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--as-of", required=True)
