@@ -52,3 +52,20 @@ def test_cli_metrics_from_explicit_tables_and_logs(spark, tmp_path):
     b = spark.read.json(str(tmp_path / "b")).select("task_name", "store_id", "payload")
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cli_deals_from_explicit_tables(spark, tmp_path):
+    from storepulse.operators import deals
+    from storepulse.operators.prices import current_products
+    from storepulse.plans.inputs import StoreInputs
+    i = StoreInputs(spark, SF_SMALL)
+    i.products_all_versions.write.parquet(str(tmp_path / "products"))
+    i.history.write.parquet(str(tmp_path / "history"))
+    main(["--master", "local[4]", "deals", "--products", str(tmp_path / "products"), "--history",
+          str(tmp_path / "history"), "--request", '{"time_window": 48, "discount_percentage": 5}',
+          "--as-of", "2001-11-04T00:00:00", "--out", str(tmp_path / "d")])
+    got = spark.read.parquet(str(tmp_path / "d")).select("product_id", "store_id")
+    import datetime as dt
+    cat = current_products(i.products_all_versions).select("id", "store_id", "name", "price")
+    want = deals.price_deals(i.history, cat, dt.datetime(2001, 11, 4), 48, 5.0).select("product_id", "store_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
