@@ -6,8 +6,8 @@ minwise tokens: two sets agree on a token with the probability of their Jaccard
 similarity. ``TREES`` independent trees branch the documents: a node chooses
 token positions by a hash of its path and sends each document to the child named
 by its token there. All documents of a node share the path, so a pair above the
-limit follows the same path with high probability (``1 - 0.15 ** 8``, beyond
-0.999999, at the limit for the first level; two positions are chosen on deeper
+limit follows the same path with high probability (``1 - 0.15 ** 6``, beyond
+0.99998, at the limit for the first level; two positions are chosen on deeper
 levels, which keeps the survival of a pair above 0.96 in each tree at any depth).
 
 A node of at most ``LEAF`` documents is compared exhaustively; a larger one
@@ -44,7 +44,7 @@ TOKENS = 32
 SKETCH_BITS = 9
 SKETCH = 1 << SKETCH_BITS
 LOOSE = 0.75
-TREES = 8
+TREES = 6
 LEAF = 512
 DEPTH = 3
 CHOICES = 2

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from storepulse.llm.decontaminate import op10_decontaminate
 from storepulse.llm.near import op1_near_dedup
+from storepulse.llm.pack import op2_packing
+from storepulse.llm.passages import op4_substring_dedup
 from storepulse.llm.quality import op9_quality
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_packing": op2_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storepulse.session import scratch_path, shared_dir
 
 DOC = "doc_id"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """The id and text columns alone; other columns of ``docs``, whatever their names, are left out."""
+    """The id and text columns alone; other columns of ``docs``, whatever their names, are left out.
+
+    Texts go to Python in batches of at most ``BATCH_BYTES``, so that a task's memory is bounded.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(F.col(DOC).cast("long").alias(DOC), F.col("text").cast("string").alias("text"), *more)
 
 
