@@ -175,7 +175,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int = SAMP
               .where(~held_out(F.col(DOC)))
               .groupBy(DOC).agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64(DOC), DOC).limit(sample))
-    return wanted.join(texts(docs), DOC)
+    return texts(docs).join(F.broadcast(wanted), DOC)  # at most ``sample`` rows of 12 bytes
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
