@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from storepulse.llm.decontaminate import op10_decontaminate
+from storepulse.llm.licenses import op3_licenses
+from storepulse.llm.likelihood import op7_lm_scoring
+from storepulse.llm.lines import op6_quality_rules
 from storepulse.llm.near import op1_near_dedup
 from storepulse.llm.pack import op2_packing
 from storepulse.llm.passages import op4_substring_dedup
 from storepulse.llm.quality import op9_quality
+from storepulse.llm.suffixes import op8_suffix_dedup
+from storepulse.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
