@@ -53,11 +53,8 @@ def cmd_metrics(spark, args):
     from storepulse.plans import store_pass as sp
     from storepulse.sources import logs
     i = _inputs(spark, args)
-    if args.logs:
-        cells = sp.tagged_log_events(logs.read_logs(spark, args.logs))
-        res = sp.task_results(cells, i.products, i.stock, i.small_products)
-    else:
-        res = sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock, i.small_products)
+    tagged = sp.tagged_log_events(logs.read_logs(spark, args.logs)) if args.logs else sp.tagged_events(i.events)
+    res = sp.task_results(tagged, i.products, i.stock)
     sp.payloads(res).write.mode("overwrite").partitionBy("task_name").json(args.out)
 
 
@@ -96,18 +93,17 @@ def cmd_deals(spark, args):
     i = _inputs(spark, args)
     raw = spark.createDataFrame(list(enumerate(args.request)), "request_id INT, value STRING")
     req = deals.decode_requests(raw)
-    n, longest = deals.request_bounds(req)
     as_of = dt.datetime.fromisoformat(args.as_of)
-    deals.deals_for_requests(i.history, i.catalog, req, as_of, n_requests=n, max_months=longest) \
-        .write.mode("overwrite").parquet(args.out)
+    deals.deals_for_requests(i.history, i.catalog, req, as_of).write.mode("overwrite").parquet(args.out)
 
 
 def cmd_prices(spark, args):
     from storepulse.operators import prices
     as_of = dt.datetime.fromisoformat(args.as_of)
     old = _inputs(spark, args).products_all_versions
-    new = prices.price_update(old, args.n, args.seed)
-    new.write.mode("overwrite").parquet(os.path.join(args.out, "products"))
+    table = os.path.join(args.out, "products")
+    prices.price_update(old, args.n, args.seed).write.mode("overwrite").parquet(table)
+    new = spark.read.parquet(table)  # computed once
     changes = prices.price_changes(old, new, as_of)
     snapshot = prices.price_snapshot(prices.current_products(new), as_of)
     changes.unionByName(snapshot).write.mode("append").parquet(os.path.join(args.out, "price_history"))

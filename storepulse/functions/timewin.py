@@ -66,10 +66,3 @@ def tumble_start(df: DataFrame, column: str, duration: str) -> Column:
 def shift(ts: Column, duration: str) -> Column:
     """``ts`` plus a duration (keeps the timestamp flavour)."""
     return F.timestamp_add("MICROSECOND", F.lit(duration_us(duration)), ts)
-
-
-def split_window_column(df: DataFrame, window_column: str = "window") -> DataFrame:
-    """PRJ-1: window struct -> window_start (text), window_end (timestamp)."""
-    return (df.withColumn("window_start", F.col(f"{window_column}.start").cast("string"))
-              .withColumn("window_end", F.col(f"{window_column}.end"))
-              .drop(window_column))

@@ -15,8 +15,8 @@ from ..functions import texts
 from ..functions.timewin import ntz_lit
 
 DAY_US = 86_400_000_000
-# Requests are a parameter list; more than this is not broadcast.
-MAX_BROADCAST_REQUESTS = 100_000
+# The longest period that is answered, in months of 30 days; the dashboard asks for 1 to 48.
+LONGEST_PERIOD = 48
 
 
 def period_start(as_of: dt.datetime, months: int) -> dt.datetime:
@@ -55,56 +55,45 @@ def rank_deals(deals: DataFrame) -> DataFrame:
                                 money(F.col("price")), money(F.col("evaluated_discount")), F.col("store_id")))
 
 
-def request_bounds(requests: DataFrame) -> tuple[int, int | None]:
-    """Number of requests and the longest period: two scalars from the small
-    request list, used to choose the broadcast and to bound the history scan."""
-    r = requests.agg(F.count(F.lit(1)).alias("n"), F.max("months").alias("m")).collect()[0]
-    return int(r["n"]), (int(r["m"]) if r["m"] is not None else None)
-
-
-def decode_requests(raw: DataFrame, column: str = "value") -> DataFrame:
-    """SRC-8 + FLT-9: JSON requests -> (request_id, months, discount); requests
-    with a discount not above 0 are dropped as the dashboard does."""
+def decode_requests(raw: DataFrame, column: str = "value", longest: int = LONGEST_PERIOD) -> DataFrame:
+    """SRC-8 + FLT-9: JSON requests -> (request_id, months, discount). A request
+    that is no valid JSON, has a discount not above 0 or a period outside
+    1..``longest`` months is dropped by itself; the others are answered."""
     from ..schemas import DEAL_REQUEST_DDL
     r = raw.select("request_id", F.from_json(F.col(column), DEAL_REQUEST_DDL).alias("r"))
     return (r.select("request_id", F.col("r.time_window").alias("months"),
                      F.col("r.discount_percentage").alias("discount"))
-             .filter(F.col("discount") > 0))
+             .filter((F.col("discount") > 0) & F.col("months").between(1, longest)))
 
 
 def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFrame,
-                       as_of: dt.datetime, n_requests: int | None = None,
-                       max_months: int | None = None) -> DataFrame:
-    """JN-8: all requests in one job.
-
-    History is first reduced to one row per (product, store, age-in-days) with
-    age = ceil((as_of - recorded_at) / 1 day); ``recorded_at >= as_of - 30*m
-    days`` holds exactly when age <= 30*m. Averages are computed once per
-    distinct period (a range join of the day rows with the distinct periods,
-    at most one per month length asked), then every request picks its period's
-    averages by an equi-join on ``months``. The raw history is scanned and
-    shuffled once, and the range join grows with the number of distinct
-    periods, not with the number of requests.
+                       as_of: dt.datetime, longest: int = LONGEST_PERIOD) -> DataFrame:
+    """JN-8: all requests in one job, without a range join.
+
+    A row belongs to every period of at least ``ceil(age in days / 30)`` months
+    (newer rows, and rows after ``as_of``, to all). History is reduced to one row
+    per (product, store, that month), a running sum over the at most ``longest``
+    months of a product gives the average of every period from there up to the
+    next month with rows, and requests meet their period by an equi-join. The
+    history is scanned and shuffled once, whatever the requests are; the longest
+    period is a literal bound that reaches the scan.
     """
+    from pyspark.sql import Window
     age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), ntz_lit(as_of))
-    # ceil of an exact integer quotient: the double division is exact for
-    # multiples of a day and keeps any remainder (>= 1/86.4e9) for spans below
-    # a few centuries, so the ceiling is exact.
-    age = F.ceil(age_us.cast("double") / F.lit(float(DAY_US))).cast("long")
+    # integer ceiling of age / 30 days
+    month = F.floor((age_us + F.lit(30 * DAY_US - 1)) / F.lit(30 * DAY_US).cast("decimal(20,0)")).cast("int")
     req = requests.select("request_id", "months", "discount")
-    if max_months is not None:
-        # the longest period bounds every request: this filter reaches the scan
-        history = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, max_months)))
-    daily = (history.groupBy("product_id", "store_id", age.alias("age"))
-                    .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
-    periods = req.select("months").distinct()
-    if n_requests is not None and n_requests <= MAX_BROADCAST_REQUESTS:
-        # request count checked: the requests and their distinct periods are bounded sides
-        periods = F.broadcast(periods)
-        req = F.broadcast(req)
-    per_period = (daily.join(periods, F.col("age") <= F.col("months") * F.lit(30))
-                       .groupBy("months", "product_id", "store_id")
-                       .agg(F.round(F.sum("s") / F.sum("n"), 6).cast("double").alias("avg_price")))
+    recent = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, longest)))
+    monthly = (recent.groupBy("product_id", "store_id", F.greatest(month, F.lit(1)).alias("m"))
+                     .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
+    w = Window.partitionBy("product_id", "store_id").orderBy("m")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    running = monthly.select(
+        "product_id", "store_id", "m", F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"),
+        F.coalesce(F.lead("m").over(w) - 1, F.lit(longest)).alias("last"))
+    per_period = (running.select("product_id", "store_id", F.explode(F.sequence("m", "last")).alias("months"),
+                                 F.round(F.col("s") / F.col("n"), 6).cast("double").alias("avg_price"))
+                         .join(req.select("months").distinct(), "months", "left_semi"))
     cand = products.join(per_period.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
     j = cand.join(req, "months")
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(
@@ -137,24 +126,27 @@ def report_for_store(report: DataFrame, store_id: str) -> DataFrame:
 
 
 def deal_messages(deals: DataFrame, months: int, discount: float, as_of: dt.datetime,
-                  max_deals: int = 1000) -> DataFrame:
+                  parts: int = 1) -> DataFrame:
     """FN-16 + the deal job's result message. The reference sends every deal
-    in one message; here the deals are spread over ceil(n / max_deals) parts by
-    an md5 of the product key, so no list grows with the data. Prices travel as
-    decimal text (Q18), DECIMAL(10,2) and DECIMAL(20,6) like the reference."""
-    n = deals.count()
-    parts = max(1, -(-n // max_deals))
+    in one message; ``parts``, fixed by the caller, spreads them by an md5 of the
+    product key, so that a list is as long as the caller can accept. Every part is
+    sent, also with an empty list: the consumer learns that there is no deal.
+    Prices travel as decimal text (Q18), DECIMAL(10,2) and DECIMAL(20,6) like the
+    reference."""
+    spark = deals.sparkSession
     key = F.md5(F.concat_ws(":", F.col("product_id"), F.col("store_id")))
     part = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(parts))
     entry = F.struct(F.col("product_id").alias("id"), "name", "store_id",
                      F.col("price").cast("decimal(10,2)").cast("string").alias("price"),
                      F.col("average_price").cast("decimal(20,6)").cast("string").alias("average_price"))
     grouped = deals.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("deals"))
+    every = spark.range(parts).select(F.col("id").alias("part")).join(grouped, "part", "left")
     body = F.struct(F.lit("success").alias("status"), F.lit("price_monitor_job_results").alias("task_name"),
-                    F.col("deals"), F.lit(months).alias("time_window"),
+                    F.coalesce(F.col("deals"), F.expr("array()").cast(grouped.schema["deals"].dataType)).alias("deals"),
+                    F.lit(months).alias("time_window"),
                     F.lit(float(discount)).alias("discount_percentage"),
                     F.lit(as_of.isoformat()).alias("timestamp"), F.col("part"), F.lit(parts).alias("parts"))
-    return grouped.select("part", F.to_json(body).alias("message"))
+    return every.select("part", F.to_json(body).alias("message"))
 
 
 DEAL_RESULT_DDL = ("status STRING, task_name STRING, deals ARRAY<STRUCT<id: STRING, name: STRING, "
@@ -175,3 +167,13 @@ def decode_deal_messages(messages: DataFrame, column: str = "message") -> DataFr
     return rows.select("months", "discount", "answered_at", F.col("d.id").alias("product_id"), "d.name",
                        "d.store_id", F.col("d.price").try_cast("double").alias("price"),
                        F.col("d.average_price").try_cast("double").alias("average_price"))
+
+
+def answer_lines(messages: DataFrame) -> DataFrame:
+    """RPT-7 from the result messages: one line per deal, or the line for no deals
+    where none of the answer's parts holds one."""
+    ranked = rank_deals(decode_deal_messages(messages)).select("evaluated_discount", "line")
+    none = (messages.select(F.size(F.from_json("message", DEAL_RESULT_DDL)["deals"]).alias("n"))
+            .agg(F.sum("n").alias("n")).filter(F.col("n") == 0)
+            .select(F.lit(None).cast("double").alias("evaluated_discount"), F.lit(texts.NO_DEALS).alias("line")))
+    return ranked.unionByName(none)

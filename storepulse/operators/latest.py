@@ -23,9 +23,11 @@ def last_window(df: DataFrame, key: str = "store_id", order_col: str = "window_e
 
 
 def older_windows(df: DataFrame, key: str = "store_id", order_col: str = "window_end") -> DataFrame:
-    """WIN-1, rank > 1: all rows of earlier windows (one pass, ranked per key
-    over the aggregated rows, whose number is bounded by time span, not events)."""
-    return _ranked(df, key, order_col).filter(F.col("_rank") > 1).drop("_rank")
+    """WIN-1, rank > 1: all rows of earlier windows. The newest window of each
+    key is a map-side combined aggregate joined back, so no task ranks a key."""
+    newest = df.groupBy(F.col(key).alias("_key")).agg(F.max(order_col).alias("_newest"))
+    return (df.join(newest, F.col(key).eqNullSafe(F.col("_key")))
+              .filter(F.col(order_col) < F.col("_newest")).drop("_key", "_newest"))
 
 
 def top_n(df: DataFrame, metric: str, n: int = 10, key: str = "store_id",

@@ -5,13 +5,9 @@ Plan shape, chosen for scale:
   exchange instead of an aggregation, a re-aggregation and a union.
 * Views are pre-aggregated to (window, store, product[, user]) before the
   product join, so the join sees one row per key instead of one per event, and
-  a hot product or store is already combined map-side before any shuffle.
-* Which of two join shapes is used depends on a size check of the product
-  table (``fits_broadcast``, a bounded ``limit(n + 1).count()``): a product
-  table of at most ``MAX_BROADCAST_PRODUCTS`` rows is broadcast and joined to
-  the raw views map-side, so the only shuffle left is the final (partially
-  aggregated) one; a larger one is joined after the pre-aggregation, as a
-  shuffle join that AQE may still turn into a broadcast or split for skew.
+  a hot product or store is already combined map-side before any shuffle. The
+  plan has one shape at every size: the planner's byte threshold and AQE decide
+  whether the product side is broadcast.
 """
 
 from __future__ import annotations
@@ -19,22 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timewin import split_window_column
-
 ALL = "All"
-# Largest product table (rows of id, store, name, price) joined by broadcast.
-MAX_BROADCAST_PRODUCTS = 200_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_PRODUCTS) -> bool:
-    """Size check before an explicit broadcast: reads at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def weight(df: DataFrame) -> Column:
-    """Rows may carry a multiplicity ``n`` (pre-aggregated event cells);
-    plain event rows count once."""
-    return F.col("n") if "n" in df.columns else F.lit(1)
 
 
 def _store_or_all(flag: str = "_g") -> Column:
@@ -47,77 +28,61 @@ def _product_attrs(products: DataFrame, *cols: str) -> DataFrame:
 
 def purchases_per_minute(buys: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-1: bought units per (window, store) plus ``All`` per window."""
-    w = buys.select(F.window("datetime", duration).alias("window"), "store_id", weight(buys).alias("n"))
+    w = buys.select(F.window("datetime", duration).alias("window"), "store_id")
     agg = (w.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
-             .agg(F.sum("n").cast("long").alias("count"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", _store_or_all(), "count")
-    return split_window_column(out).select("window_start", "window_end", "store_id", "count")
+             .agg(F.count(F.lit(1)).alias("count"), F.grouping("store_id").alias("_g")))
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), _store_or_all(), "count")
 
 
-def _with_product(events: DataFrame, products: DataFrame, duration: str, small_products: bool,
-                  *cols: str) -> DataFrame:
+def _with_product(events: DataFrame, products: DataFrame, duration: str, *cols: str) -> DataFrame:
     """(window, store_id, product_id, n, *cols): per-product counts with the
     product attributes, left join (unmatched events keep null attributes)."""
-    attrs = _product_attrs(products, *cols)
-    keys = ["product_id", "store_id"]
-    if small_products:
-        rows = events.select(F.window("datetime", duration).alias("window"), "store_id", "product_id",
-                             weight(events).cast("long").alias("n"))
-        return rows.join(F.broadcast(attrs), keys, "left")
     per_product = (events.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
-                         .agg(F.sum(weight(events)).cast("long").alias("n")))
-    return per_product.join(attrs, keys, "left")
+                         .agg(F.count(F.lit(1)).alias("n")))
+    return per_product.join(_product_attrs(products, *cols), ["product_id", "store_id"], "left")
 
 
-def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute",
-                       small_products: bool = False) -> DataFrame:
+def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-2 (reference form, Q4/Q5): sum of int(price) of the *viewed* products.
 
     Views without a product match contribute null; the amount is null when no
     view of the group matched.
     """
-    j = _with_product(views, products, duration, small_products, "price")
+    j = _with_product(views, products, duration, "price")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price").cast("int")).alias("amount_earned"),
                   F.grouping("store_id").alias("_g")))
-    out = agg.select("window", _store_or_all(), "amount_earned")
-    return split_window_column(out).select("window_start", "window_end", "store_id", "amount_earned")
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), _store_or_all(), "amount_earned")
 
 
-def revenue_from_buys(buys: DataFrame, products: DataFrame, duration: str = "1 minute",
-                      small_products: bool = False) -> DataFrame:
+def revenue_from_buys(buys: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """Intent form of AGG-2: revenue of the bought units at their decimal price."""
-    j = _with_product(buys, products, duration, small_products, "price")
+    j = _with_product(buys, products, duration, "price")
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price")).alias("amount"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", _store_or_all(), F.col("amount").cast("double").alias("amount_earned"))
-    return split_window_column(out).select("window_start", "window_end", "store_id", "amount_earned")
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), _store_or_all(), F.col("amount").cast("double").alias("amount_earned"))
 
 
-def _viewer_names(views: DataFrame, products: DataFrame, duration: str, small_products: bool) -> DataFrame:
+def _viewer_names(views: DataFrame, products: DataFrame, duration: str) -> DataFrame:
     """(window, name, store, user) of every view: products sharing a name
     merge (Q7); unmatched views form the null-name group."""
-    keys = ["product_id", "store_id"]
-    attrs = _product_attrs(products, "name")
-    rows = views.select(F.window("datetime", duration).alias("window"), "store_id", "product_id", "user_id")
-    if small_products:
-        j = rows.join(F.broadcast(attrs), keys, "left")
-    else:
-        j = rows.distinct().join(attrs, keys, "left")
+    rows = views.select(F.window("datetime", duration).alias("window"), "store_id", "product_id", "user_id").distinct()
+    j = rows.join(_product_attrs(products, "name"), ["product_id", "store_id"], "left")
     return j.select("window", "name", "store_id", "user_id")
 
 
-def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute",
-                            small_products: bool = False) -> DataFrame:
+def unique_users_per_minute(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-3 (reference form, Q6): distinct viewers per (window, name, store);
     ``All`` is the sum of the store values, i.e. distinct (store, user) pairs."""
-    return unique_users_from_sets(viewer_sets(views, products, duration, small_products), dedupe=False)
+    return unique_users_from_sets(viewer_sets(views, products, duration), dedupe=False)
 
 
-def viewer_sets(views: DataFrame, products: DataFrame, duration: str = "1 minute",
-                small_products: bool = False) -> DataFrame:
+def viewer_sets(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """The user-level state of AGG-3: distinct (window, name, store, user)."""
-    return _viewer_names(views, products, duration, small_products).distinct()
+    return _viewer_names(views, products, duration).distinct()
 
 
 def unique_users_from_sets(sets: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -128,39 +93,50 @@ def unique_users_from_sets(sets: DataFrame, dedupe: bool = True) -> DataFrame:
     vn = sets.distinct() if dedupe else sets
     agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.count(F.lit(1)).alias("unique_users"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", "name", _store_or_all(), "unique_users")
-    return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), "name", _store_or_all(), "unique_users")
 
 
-def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: str = "1 minute",
-                              small_products: bool = False) -> DataFrame:
+def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-3, second reading: ``All`` counts each user once across stores."""
-    vn = _viewer_names(views, products, duration, small_products)
+    vn = _viewer_names(views, products, duration)
     agg = (vn.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.count_distinct("user_id").alias("unique_users"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", "name", _store_or_all(), "unique_users")
-    return split_window_column(out).select("window_start", "window_end", "name", "store_id", "unique_users")
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), "name", _store_or_all(), "unique_users")
 
 
-def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour",
-                          small_products: bool = False) -> DataFrame:
+def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour") -> DataFrame:
     """AGG-4: views per (window, name, store) plus ``All`` per (window, name)."""
-    j = _with_product(views, products, duration, small_products, "name")
+    j = _with_product(views, products, duration, "name")
     agg = (j.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.sum("n").alias("views"), F.grouping("store_id").alias("_g")))
-    out = agg.select("window", "name", _store_or_all(), "views")
-    return split_window_column(out).select("window_start", "window_end", "name", "store_id", "views")
+    return agg.select(F.col("window.start").cast("string").alias("window_start"),
+                      F.col("window.end").alias("window_end"), "name", _store_or_all(), "views")
+
+
+BUY_KEYS = ("user_id", "product_id", "store_id")
+
+
+def any_null(*keys: str) -> Column:
+    """Whether a key is null: such a row joins nothing."""
+    out = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        out = out | F.col(k).isNull()
+    return out
 
 
 def views_per_buy(views: DataFrame, buys: DataFrame) -> DataFrame:
     """Per (user, product, store) that bought: number of views (all time, Q9) and
     bought units. One scan of each side, one shuffle, no join: the left join
-    buys -> view counts with null -> 0 (JN-2) becomes a tagged aggregation."""
-    tagged = (views.select("user_id", "product_id", "store_id", weight(views).alias("v"), F.lit(0).alias("b"))
-              .unionByName(buys.select("user_id", "product_id", "store_id", F.lit(0).alias("v"), weight(buys).alias("b"))))
-    per_key = tagged.groupBy("user_id", "product_id", "store_id").agg(
+    buys -> view counts with null -> 0 (JN-2) becomes a tagged aggregation. A null
+    key groups with null but joins with nothing, so its buys have no views."""
+    tagged = (views.select(*BUY_KEYS, F.lit(1).alias("v"), F.lit(0).alias("b"))
+              .unionByName(buys.select(*BUY_KEYS, F.lit(0).alias("v"), F.lit(1).alias("b"))))
+    per_key = tagged.groupBy(*BUY_KEYS).agg(
         F.sum("v").cast("long").alias("views"), F.sum("b").cast("long").alias("buys"))
-    return per_key.filter(F.col("buys") > 0)
+    return (per_key.filter(F.col("buys") > 0)
+                   .withColumn("views", F.when(any_null(*BUY_KEYS), F.lit(0).cast("long")).otherwise(F.col("views"))))
 
 
 def views_before_buy(views: DataFrame, buys: DataFrame) -> DataFrame:
@@ -208,5 +184,6 @@ def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "
               .withColumn("_bucket", F.date_trunc(bucket, "datetime")))
     counted = count_before(tagged, ["user_id", "product_id", "store_id"], ["datetime", "_tie"],
                            "is_view", "_bucket", out="views")
-    per_buy = counted.filter(F.col("is_view") == 0).select("store_id", "views", F.lit(1).alias("buys"))
+    views_ = F.when(any_null(*BUY_KEYS), F.lit(0).cast("long")).otherwise(F.col("views"))
+    per_buy = counted.filter(F.col("is_view") == 0).select("store_id", views_.alias("views"), F.lit(1).alias("buys"))
     return views_histogram(per_buy)

@@ -38,8 +38,7 @@ def price_update(products: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame
                               # cents in [-10000, 100000] from the first 8 hex digits
                               (F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(110001))
                                - F.lit(10000)).alias("cents")))
-    # ``picked`` holds at most n rows, a bound given by the caller: safe to broadcast.
-    j = products.join(F.broadcast(picked), "id_product", "left")
+    j = products.join(picked, "id_product", "left")
     new_price = F.when(F.col("cents").isNull(), F.col("price")).otherwise(moved_price(F.col("price"), F.col("cents")))
     return j.select("id_product", "id", "store_id", "name", new_price.alias("price"))
 

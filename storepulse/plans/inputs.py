@@ -22,12 +22,15 @@ BONUS_MIN_SHORT = 50.0
 BONUS_MIN_LONG = 100.0
 PRICE_UPDATE_N = 1000
 PRICE_UPDATE_SEED = 7
-# Deal requests as the dashboard sends them; the last one is dropped (discount 0).
+# Result messages of one deal answer.
+DEAL_PARTS = 4
+# Deal requests as the dashboard sends them; the last two are dropped (discount 0, absurd period).
 DEAL_REQUESTS = [
     '{"task_name": "price_monitor_job", "time_window": 12, "discount_percentage": 10}',
     '{"task_name": "price_monitor_job", "time_window": 1, "discount_percentage": 5.5}',
     '{"task_name": "price_monitor_job", "time_window": 48, "discount_percentage": 25}',
     '{"task_name": "price_monitor_job", "time_window": 6, "discount_percentage": 0}',
+    '{"task_name": "price_monitor_job", "time_window": 100000, "discount_percentage": 10}',
 ]
 
 
@@ -63,15 +66,6 @@ class StoreInputs:
     def products(self) -> DataFrame:
         return current_products(self.products_all_versions)
 
-    @cached_property
-    def small_products(self) -> bool:
-        """Size check for broadcasting the current product table, once per
-        input set. The newest-version table has at most as many rows as the
-        versions table, so a bounded count on the plain scan of the latter
-        (stops after max + 1 rows) proves the bound without the dedup job."""
-        from ..operators.metrics import fits_broadcast
-        return fits_broadcast(self.products_all_versions.select("id_product"))
-
     @cached_property
     def stock(self) -> DataFrame:
         return tables.stock(self.spark, self.sf_dir)

@@ -6,7 +6,7 @@ tables, and names every output column like the Spark query does.
 
 from __future__ import annotations
 
-from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS,
+from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS, DEAL_PARTS,
                      DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED)
 from ..functions import texts
 from ..operators.deals import period_start
@@ -85,8 +85,8 @@ def _win(interval: str) -> tuple[str, str]:
             f"CAST(w AS VARCHAR) AS window_start, w + INTERVAL {interval} AS window_end")
 
 
-def _ppm_sql() -> str:
-    b, out = _win("1 MINUTE")
+def _ppm_sql(interval: str = "1 MINUTE") -> str:
+    b, out = _win(interval)
     return (f"SELECT {out}, {_store_all()}, COUNT(*) AS count "
             f"FROM (SELECT {b} AS w, store_id FROM buys) GROUP BY GROUPING SETS ((w, store_id), (w))")
 
@@ -215,8 +215,8 @@ def build() -> dict[str, str]:
         "SELECT v.*, CAST(row_number() OVER (PARTITION BY v.store_id ORDER BY v.views DESC NULLS LAST, "
         "v.name ASC NULLS FIRST) AS INTEGER) AS rank FROM vr v JOIN l ON v.store_id = l.store_id "
         "WHERE v.window_end = l.m) WHERE rank <= 10"))
-    q["merge_partials"] = q["purchases_per_minute"]
-    q["merge_unique_users"] = q["unique_users_per_minute"]
+    q["merge_partials"] = with_ctes(["buys"], [], _ppm_sql("1 DAY"))
+    q["merge_unique_users"] = q["unique_users_per_day"]
     q["store_list"] = with_ctes(["se"], [], "SELECT DISTINCT store_id FROM se")
 
     q["current_products"] = with_ctes(["cur"], [], "SELECT id_product, id, store_id, name, price FROM cur")
@@ -237,50 +237,14 @@ def build() -> dict[str, str]:
 
     q["price_deals"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
                                  "SELECT product_id, name, store_id, price, avg_price AS average_price FROM d")
-    head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
-            f"printf('{texts.DEALS_HEADER}', {DEAL_MONTHS}, '{{d}}', '{AS_OF:%Y-%m-%d %H:%M:%S}') AS line")
-    body = ("SELECT 1 AS section, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
-            f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
-            f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
-            "store_id) AS line FROM d")
-    none = (f"SELECT 2 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, '{texts.NO_DEALS}' AS line "
-            "FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0")
-    q["deal_report"] = with_ctes(["cat", "hist"], [("d", _deals_sql())],
-                                 " UNION ALL ".join([head.format(d=DEAL_DISCOUNT), body, none]))
-    q["deal_report_empty"] = with_ctes(["cat", "hist"], [("d", _deals_sql(100.0))],
-                                       " UNION ALL ".join([head.format(d=100.0), body.replace(
-                                           "ROUND((avg_price - price) / avg_price * 100, 6)",
-                                           "(avg_price - price) / avg_price * 100"), none]))
-    entry = ("CAST(json_object('id', product_id, 'name', name, 'store_id', store_id, "
-             "'price', CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), "
-             "'average_price', CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS VARCHAR)")
-    q["deal_messages"] = with_ctes(["cat", "hist"], [
-        ("d", _deals_sql()),
-        ("np", "SELECT GREATEST(1, CAST(CEIL(COUNT(*) / 1000.0) AS BIGINT)) AS parts FROM d"),
-        ("dp", "SELECT d.*, CAST('0x' || substr(md5(product_id || ':' || store_id), 1, 8) AS BIGINT) "
-               "% (SELECT parts FROM np) AS part, (SELECT parts FROM np) AS parts FROM d")], (
-        "SELECT part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
-        f"string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
-        "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) || "
-        f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
-        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
-        "AS message FROM dp GROUP BY part"))
-    q["deal_messages_decoded"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
-        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
-        f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
-        f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
-        f"store_id) AS line, {DEAL_MONTHS} AS months, CAST({float(DEAL_DISCOUNT)!r} AS DOUBLE) AS discount, "
-        f"{_ts(AS_OF)} AS answered_at FROM d"))
-    q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
-        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount FROM d"))
     values = ", ".join(f"({n}, '{v}')" for n, v in enumerate(DEAL_REQUESTS))
     q["deal_requests"] = with_ctes(["cat", "hist"], [
         ("raw", f"SELECT * FROM (VALUES {values}) t(request_id, value)"),
         ("req", "SELECT request_id, CAST(json_extract(value, '$.time_window') AS INTEGER) AS months, "
                 "CAST(json_extract(value, '$.discount_percentage') AS DOUBLE) AS discount FROM raw"),
         ("a", f"SELECT r.request_id, r.months, r.discount, h.product_id, h.store_id, {_exact_avg('h.price')} AS avg_price "
-              f"FROM hist h JOIN req r ON h.recorded_at >= {_ts(AS_OF)} - r.months * 30 * INTERVAL 1 DAY "
-              f"WHERE r.discount > 0 GROUP BY ALL")], (
+              f"FROM hist h JOIN req r ON h.recorded_at >= {_ts(AS_OF)} - LEAST(r.months, 48) * 30 * INTERVAL 1 DAY "
+              f"WHERE r.discount > 0 AND r.months BETWEEN 1 AND 48 GROUP BY ALL")], (
         "SELECT a.request_id, a.months, a.discount, c.id AS product_id, c.name, c.store_id, c.price, "
         "a.avg_price AS average_price FROM cat c JOIN a ON c.id = a.product_id AND c.store_id = a.store_id "
         "WHERE c.price < a.avg_price * (1 - a.discount / 100)"))
@@ -375,15 +339,18 @@ def _payload_sql(task: str, src: str, fields: list[str], order: str, keys: str =
     obj = ", ".join(f"'{f}', " + (f"CAST({f} AS VARCHAR)" if f == "window_end" else f) for f in fields)
     return (f"SELECT '{task}' AS task_name, {keys}, '{{' || string_agg('\"' || CAST(rk AS VARCHAR) || '\":' || "
             f"CAST(json_object({obj}) AS VARCHAR), ',' ORDER BY rk) || '}}' AS payload FROM ("
-            f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS rk FROM {src}) "
-            f"WHERE rk < 10 GROUP BY {keys}")
+            f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS rk FROM {src})"
+            + ("" if task == "median_views_before_buy" else " WHERE rk < 10") + f" GROUP BY {keys}")
 
 
 def _add_insight_sql(q: dict[str, str]) -> None:
     base = ["buys", "views", "cur", "stk"]
     payload = " UNION ALL ".join(_payload_sql(*t) for t in _TASKS)
     q["insight_payload"] = with_ctes(base, _task_ctes(), payload)
-    q["store_pass"] = q["insight_payload"]
+    q["store_pass"] = with_ctes(base, _task_ctes() + [("pl", payload)], (
+        "SELECT task_name, '{\"task_name\":\"' || task_name || '\"' || "
+        "string_agg(',\"' || store_id || '\":' || payload, '' ORDER BY store_id) || '}' AS message FROM pl GROUP BY task_name"))
+    q["task_messages_decoded"] = q["insight_payload"]
     q["log_store_pass"] = q["insight_payload"]
     q["insight_decode"] = with_ctes(base, _task_ctes() + [("pl", payload)], (
         "SELECT task_name, store_id, CAST(k AS INTEGER) AS rank, "
@@ -440,15 +407,17 @@ def _add_insight_sql(q: dict[str, str]) -> None:
              "'average_price', CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS VARCHAR)")
     q["deal_messages"] = with_ctes(["cat", "hist"], [
         ("d", _deals_sql()),
-        ("np", "SELECT GREATEST(1, CAST(CEIL(COUNT(*) / 1000.0) AS BIGINT)) AS parts FROM d"),
         ("dp", "SELECT d.*, CAST('0x' || substr(md5(product_id || ':' || store_id), 1, 8) AS BIGINT) "
-               "% (SELECT parts FROM np) AS part, (SELECT parts FROM np) AS parts FROM d")], (
-        "SELECT part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
-        f"string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
-        "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) || "
-        f"'],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
-        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || part || ',\"parts\":' || ANY_VALUE(parts) || '}}' "
-        "AS message FROM dp GROUP BY part"))
+               f"% {DEAL_PARTS} AS part FROM d"),
+        ("g", f"SELECT part, string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
+              "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS deals "
+              "FROM dp GROUP BY part")], (
+        "SELECT r.range AS part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
+        f"COALESCE(g.deals, '') || '],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
+        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || r.range || ',\"parts\":{DEAL_PARTS}}}' "
+        f"AS message FROM range({DEAL_PARTS}) r LEFT JOIN g ON r.range = g.part"))
+    q["deal_messages_empty"] = with_ctes(["cat", "hist"], [("d", _deals_sql(100.0))], (
+        f"SELECT CAST(NULL AS DOUBLE) AS evaluated_discount, '{texts.NO_DEALS}' AS line FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0"))
     q["deal_messages_decoded"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
         "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "

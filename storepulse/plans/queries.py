@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import bonus, deals, latest, median, metrics, prices, stock
 from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS,
-                     DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED, StoreInputs)
+                     DEAL_PARTS, DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED, StoreInputs)
 
 Query = Callable[[SparkSession, str], DataFrame]
-# A cut inside a minute window: both parts hold events of the same windows.
-MERGE_CUT = "2024-01-16 12:00:30"
+# Windows of the merge queries: wide enough that both parts hold events of the same windows and users.
+MERGE_WINDOW = "1 day"
 REGISTRY: dict[str, Query] = {}
 
 
@@ -33,37 +33,37 @@ def purchases_per_minute(spark, sf_dir):
 @query
 def revenue_per_minute(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.revenue_per_minute(i.views, i.products, small_products=i.small_products)
+    return metrics.revenue_per_minute(i.views, i.products)
 
 
 @query
 def revenue_from_buys(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.revenue_from_buys(i.buys, i.products, small_products=i.small_products)
+    return metrics.revenue_from_buys(i.buys, i.products)
 
 
 @query
 def unique_users_per_minute(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_per_minute(i.views, i.products, small_products=i.small_products)
+    return metrics.unique_users_per_minute(i.views, i.products)
 
 
 @query
 def unique_users_per_day(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_per_minute(i.views, i.products, duration="1 day", small_products=i.small_products)
+    return metrics.unique_users_per_minute(i.views, i.products, duration="1 day")
 
 
 @query
 def unique_users_distinct_all(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.unique_users_distinct_all(i.views, i.products, duration="1 day", small_products=i.small_products)
+    return metrics.unique_users_distinct_all(i.views, i.products, duration="1 day")
 
 
 @query
 def view_ranking_per_hour(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    return metrics.view_ranking_per_hour(i.views, i.products, small_products=i.small_products)
+    return metrics.view_ranking_per_hour(i.views, i.products)
 
 
 @query
@@ -109,25 +109,25 @@ def top10_viewed(spark, sf_dir):
     return latest.top_n(last, "views", 10).select("store_id", "rank", "name", "views", "window_start", "window_end")
 
 
+def merge_parts(df):
+    """Two parts of the events that share windows and users: even and odd seconds."""
+    even = F.second("datetime") % 2 == 0
+    return df.filter(even), df.filter(~even)
+
+
 @query
 def merge_partials(spark, sf_dir):
-    """AGG-11: purchases before and after a cut inside a minute window counted
-    separately, then merged (sum); equals purchases_per_minute."""
-    buys = StoreInputs(spark, sf_dir).buys
-    cut = F.lit(MERGE_CUT).cast("timestamp_ntz")
-    a = metrics.purchases_per_minute(buys.filter(F.col("datetime") < cut))
-    b = metrics.purchases_per_minute(buys.filter(F.col("datetime") >= cut))
+    """AGG-11: purchases of two parts counted separately, then merged (sum)."""
+    a, b = (metrics.purchases_per_minute(p, MERGE_WINDOW) for p in merge_parts(StoreInputs(spark, sf_dir).buys))
     return latest.merge_partials(a, b, ["window_start", "window_end", "store_id"], "count")
 
 
 @query
 def merge_unique_users(spark, sf_dir):
     """AGG-11 for distinct counts (Q3, intent): the two parts' viewer sets are
-    merged, then counted; equals unique_users_per_minute."""
+    merged, then counted; a user seen in both parts counts once."""
     i = StoreInputs(spark, sf_dir)
-    cut = F.lit(MERGE_CUT).cast("timestamp_ntz")
-    a = metrics.viewer_sets(i.views.filter(F.col("datetime") < cut), i.products, small_products=i.small_products)
-    b = metrics.viewer_sets(i.views.filter(F.col("datetime") >= cut), i.products, small_products=i.small_products)
+    a, b = (metrics.viewer_sets(p, i.products, MERGE_WINDOW) for p in merge_parts(i.views))
     return metrics.unique_users_from_sets(a.unionByName(b))
 
 
@@ -205,10 +205,10 @@ def deal_report(spark, sf_dir):
 
 @query
 def deal_messages(spark, sf_dir):
-    """FN-16: the deal answer as result messages of at most ~1000 deals."""
+    """FN-16: the deal answer as ``DEAL_PARTS`` result messages."""
     i = StoreInputs(spark, sf_dir)
     d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
-    return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF)
+    return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF, DEAL_PARTS)
 
 
 @query
@@ -220,6 +220,14 @@ def deal_messages_decoded(spark, sf_dir):
                     "months", "discount", "answered_at")
 
 
+@query
+def deal_messages_empty(spark, sf_dir):
+    """The answer without a deal, as the consumer shows it: every part is sent, with empty lists."""
+    i = StoreInputs(spark, sf_dir)
+    d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, 100.0)
+    return deals.answer_lines(deals.deal_messages(d, DEAL_MONTHS, 100.0, AS_OF, DEAL_PARTS))
+
+
 @query
 def deal_report_empty(spark, sf_dir):
     """RPT-7 when nothing qualifies (a 100 % discount can never be met)."""
@@ -233,8 +241,7 @@ def deal_requests(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
     raw = spark.createDataFrame([(n, v) for n, v in enumerate(DEAL_REQUESTS)], "request_id INT, value STRING")
     req = deals.decode_requests(raw)
-    n, longest = deals.request_bounds(req)
-    return deals.deals_for_requests(i.history, i.catalog, req, AS_OF, n_requests=n, max_months=longest)
+    return deals.deals_for_requests(i.history, i.catalog, req, AS_OF)
 
 
 # ---- bonus ----------------------------------------------------------------------------
@@ -306,12 +313,10 @@ def log_scan(spark, sf_dir):
 
 @query
 def event_split(spark, sf_dir):
-    """SRC-3 + FLT-1 + FN-2: buy and view frames from one log scan."""
-    from ..operators.events import split_log
+    """SRC-3 + FLT-1 + FN-2: buy and view rows from one log scan."""
     from ..sources import logs
-    parts = split_log(logs.read_logs(spark, _log_dir(spark, sf_dir)))
-    return (parts["buy"].withColumn("kind", F.lit("buy"))
-            .unionByName(parts["view"].withColumn("kind", F.lit("view"))))
+    from .store_pass import tagged_log_events
+    return tagged_log_events(logs.read_logs(spark, _log_dir(spark, sf_dir)))
 
 
 @query
@@ -369,16 +374,14 @@ def _task_results(spark, sf_dir) -> dict[str, DataFrame]:
     """The six tasks as published: newest window per store for the timed ones."""
     from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
-    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock, i.small_products)
+    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock)
 
 
 @query
 def store_pass(spark, sf_dir):
-    """The six-task pass as the production job runs it: events read once into
-    checkpointed minute cells, all six messages derived from them."""
-    from . import store_pass as sp
-    i = StoreInputs(spark, sf_dir)
-    return sp.payloads(sp.task_results(sp.checkpointed_cells(i.events), i.products, i.stock, i.small_products))
+    """The six-task pass as published: one message per task over all stores."""
+    from ..operators.payload import task_messages
+    return task_messages(insight_payload(spark, sf_dir))
 
 
 @query
@@ -389,7 +392,7 @@ def log_store_pass(spark, sf_dir):
     from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
     log = logs.read_logs(spark, _log_dir(spark, sf_dir))
-    return sp.payloads(sp.task_results(sp.tagged_log_events(log), i.products, i.stock, i.small_products))
+    return sp.payloads(sp.task_results(sp.tagged_log_events(log), i.products, i.stock))
 
 
 @query
@@ -399,6 +402,13 @@ def insight_payload(spark, sf_dir):
     return payloads(_task_results(spark, sf_dir))
 
 
+@query
+def task_messages_decoded(spark, sf_dir):
+    """SRC-9: the published messages back to one body per (task, store)."""
+    from ..operators.payload import decode_task_messages
+    return decode_task_messages(store_pass(spark, sf_dir))
+
+
 @query
 def insight_decode(spark, sf_dir):
     """SRC-9: published bodies back to one row per detail."""

@@ -1,12 +1,13 @@
-"""One pass of the six store metrics (the reference's poll-and-publish loop),
-reading the events once.
-
-Events are first reduced to per-minute cells (kind, store, product, user,
-minute) -> n. The cells are checkpointed to the shared folder
-(``spark.checkpoint.dir``): the six metric jobs then read the cells instead of
-re-scanning the events, and a lost executor recomputes from the checkpoint, not
-from the raw scan. Every metric operator accepts the cells directly (weight
-column ``n``), so the arithmetic is the same code as the standalone queries.
+"""One pass of the six store metrics (the reference's poll-and-publish loop).
+
+Four of the six tasks publish only each store's newest window, so the pass reads
+the events twice and no more: a first narrow aggregation gives the all-time
+histogram of views before a purchase and, with it, the newest event of each store; the
+second scan keeps the events of each store's newest hour, the only ones the
+windowed tasks need. Both results are small (distinct view counts per store; one
+hour) and are checkpointed in the folder the cluster shares
+(``spark.checkpoint.dir``), so every task reads them and a lost executor
+recomputes from there.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parsing import view_product_id
+from ..functions.timewin import tumble_start
 from ..operators import latest, metrics
-from ..operators.payload import TASK_DETAILS, store_payloads
+from ..operators.events import BUY_SELECTOR, VIEW_SELECTOR
+from ..operators.payload import MAX_DETAILS, TASK_DETAILS, store_payloads
 from ..session import shared_dir
 
-CELL = "1 minute"
+LONGEST = "1 hour"  # the widest window of the timed tasks
+HISTOGRAM = "median_views_before_buy"
 
 
 def tagged_events(events: DataFrame) -> DataFrame:
@@ -30,40 +35,60 @@ def tagged_events(events: DataFrame) -> DataFrame:
 
 
 def tagged_log_events(log: DataFrame) -> DataFrame:
-    """Log rows -> (kind, store_id, product_id, user_id, datetime): the
-    reference's two selectors (Audit/BUY, User/ZOOM) from one scan."""
-    from ..operators.events import split_log
-    parts = split_log(log)
-    cols = ["store_id", "product_id", "user_id", "datetime"]
-    return (parts["view"].select(F.lit("view").alias("kind"), *cols)
-            .unionByName(parts["buy"].select(F.lit("buy").alias("kind"), *cols)))
-
-
-def event_cells(events: DataFrame) -> DataFrame:
-    """Store events -> (kind, store_id, product_id, user_id, datetime, n); datetime
-    is the start of the minute, which every metric window (1 minute, 1 hour)
-    contains whole."""
-    t = tagged_events(events)
-    return (t.groupBy("kind", "store_id", "product_id", "user_id",
-                      F.window("datetime", CELL).start.alias("datetime"))
-             .agg(F.count(F.lit(1)).alias("n")))
-
-
-def task_results(cells: DataFrame, products: DataFrame, stock: DataFrame,
-                 small_products: bool | None = None) -> dict[str, DataFrame]:
-    """The six published task results, from cells or from tagged events."""
-    if small_products is None:
-        small_products = metrics.fits_broadcast(products)
-    views = cells.filter(F.col("kind") == "view").drop("kind")
-    buys = cells.filter(F.col("kind") == "buy").drop("kind")
+    """Log rows -> (kind, store_id, product_id, user_id, datetime): both
+    selectors (Audit/BUY, User/ZOOM) in one scan."""
+    def chosen(selector):
+        return (F.col("type") == selector[1]) & (F.col("extra_1") == selector[2])
+    buy = chosen(BUY_SELECTOR)
+    kind = F.when(buy, F.lit(BUY_SELECTOR[0])).otherwise(F.lit(VIEW_SELECTOR[0]))
+    product = F.when(buy, F.col("extra_2")).otherwise(view_product_id(F.col("extra_2")))
+    return log.filter(buy | chosen(VIEW_SELECTOR)).select(
+        kind.alias("kind"), "store_id", product.alias("product_id"), F.col("content").alias("user_id"), "datetime")
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
+    return df.checkpoint(eager=True)
+
+
+def summary(tagged: DataFrame) -> DataFrame:
+    """(views, store_id) -> bought units, newest view and newest buy: first scan."""
+    is_view = F.col("kind") == "view"
+    per_key = tagged.groupBy(*metrics.BUY_KEYS).agg(
+        F.count_if(is_view).alias("views"), F.count_if(~is_view).alias("buys"),
+        F.max(F.when(is_view, F.col("datetime"))).alias("last_view"),
+        F.max(F.when(~is_view, F.col("datetime"))).alias("last_buy"))
+    views = F.when(metrics.any_null(*metrics.BUY_KEYS), F.lit(0).cast("long")).otherwise(F.col("views"))
+    return (per_key.groupBy(views.alias("views"), "store_id")
+            .agg(F.sum("buys").alias("buys"), F.max("last_view").alias("last_view"), F.max("last_buy").alias("last_buy")))
+
+
+def newest_hours(tagged: DataFrame, small: DataFrame) -> DataFrame:
+    """The events in the newest hour of their kind and store: second scan.
+
+    Every store's newest window is whole in it, and so is the newest window over all
+    stores, which starts no earlier than that of any store with events in it."""
+    kinds = F.explode(F.array(F.struct(F.lit("view").alias("k"), F.col("last_view").alias("t")),
+                              F.struct(F.lit("buy").alias("k"), F.col("last_buy").alias("t"))))
+    last = (small.select(F.col("store_id").alias("s"), kinds.alias("x")).groupBy("s", F.col("x.k").alias("k"))
+            .agg(F.max("x.t").alias("t")).where("t is not null"))
+    start = last.select("s", "k", tumble_start(last, "t", LONGEST).alias("since"))
+    same = F.col("store_id").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k"))
+    return tagged.join(start, same & (F.col("datetime") >= F.col("since"))).drop("s", "k", "since")
+
+
+def task_results(tagged: DataFrame, products: DataFrame, stock: DataFrame) -> dict[str, DataFrame]:
+    """The six published task results, from tagged events; see the module."""
+    small = _checkpointed(summary(tagged))
+    recent = _checkpointed(newest_hours(tagged, small))
+    views = recent.filter(F.col("kind") == "view").drop("kind")
+    buys = recent.filter(F.col("kind") == "buy").drop("kind")
     return {
         "purchases_per_minute": latest.last_window(metrics.purchases_per_minute(buys)),
-        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(views, products, small_products=small_products)),
-        "unique_users_per_minute": latest.last_window(
-            metrics.unique_users_per_minute(views, products, small_products=small_products)),
-        "ranking_viewed_products_per_hour": latest.last_window(
-            metrics.view_ranking_per_hour(views, products, small_products=small_products)),
-        "median_views_before_buy": metrics.views_before_buy(views, buys),
+        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(views, products)),
+        "unique_users_per_minute": latest.last_window(metrics.unique_users_per_minute(views, products)),
+        "ranking_viewed_products_per_hour": latest.last_window(metrics.view_ranking_per_hour(views, products)),
+        HISTOGRAM: metrics.views_histogram(small.filter(F.col("buys") > 0)),
         "without_stock": metrics.sold_without_stock(stock),
     }
 
@@ -72,30 +97,27 @@ def task_order(task: str):
     if task in ("unique_users_per_minute", "ranking_viewed_products_per_hour"):
         metric = "unique_users" if task == "unique_users_per_minute" else "views"
         return [F.col(metric).desc_nulls_last(), F.col("name").asc_nulls_first()]
-    if task == "median_views_before_buy":
+    if task == HISTOGRAM:
         return [F.col("views").asc()]
     if task == "without_stock":
         return [F.col("store_id").asc()]
     return [F.col("window_start").asc()]
 
 
-def payloads(results: dict[str, DataFrame]) -> DataFrame:
-    parts = [store_payloads(df, task, TASK_DETAILS[task], task_order(task)) for task, df in results.items()]
+def payloads(results: dict[str, DataFrame], n: int = MAX_DETAILS) -> DataFrame:
+    """One message body per (task, store): the first ``n`` details of each ranked
+    task, and the whole histogram, whose reader takes a median of it."""
+    parts = [store_payloads(df, task, TASK_DETAILS[task], task_order(task), n=None if task == HISTOGRAM else n)
+             for task, df in results.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def checkpointed_cells(events: DataFrame) -> DataFrame:
-    """Cells written to the shared checkpoint folder (eager, reliable)."""
-    shared_dir(events.sparkSession)  # make sure a checkpoint folder is set
-    return event_cells(events).checkpoint(eager=True)
-
-
 def run_pass(events: DataFrame, products: DataFrame, stock: DataFrame, out_path: str) -> str:
     """SNK-4/SNK-5: compute and write one pass's messages, one folder per task
     (``task_name=<task>``, one JSON line per store), replacing the previous pass."""
-    cells = checkpointed_cells(events)
-    payloads(task_results(cells, products, stock)).write.mode("overwrite").partitionBy("task_name").json(out_path)
+    out = payloads(task_results(tagged_events(events), products, stock))
+    out.write.mode("overwrite").partitionBy("task_name").json(out_path)
     return out_path

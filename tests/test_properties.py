@@ -25,10 +25,26 @@ def test_last_and_older_partition_the_input(spark):
     assert last.select(*cols).unionByName(older.select(*cols)).exceptAll(whole).count() == 0
 
 
-def test_merge_of_halves_equals_whole(spark):
-    a = Q["merge_partials"](spark, SF_SMALL)
-    b = Q["purchases_per_minute"](spark, SF_SMALL)
-    assert a.exceptAll(b.select(*a.columns)).count() == 0 and b.count() == a.count()
+def test_merge_parts_share_windows_and_users(spark):
+    """Both merge queries join parts that overlap in windows and users, and equal the undivided metric."""
+    from storepulse.operators import metrics
+    from storepulse.plans.inputs import StoreInputs
+    from storepulse.plans.queries import MERGE_WINDOW, merge_parts
+    i = StoreInputs(spark, SF_SMALL)
+    a, b = (metrics.purchases_per_minute(x, MERGE_WINDOW) for x in merge_parts(i.buys))
+    assert a.join(b, ["window_start", "store_id"]).count() > 0
+    a, b = (metrics.viewer_sets(x, i.products, MERGE_WINDOW) for x in merge_parts(i.views))
+    shared = a.join(b, ["window", "name", "store_id", "user_id"], "left_semi").count()
+    same_window = a.join(b, ["window", "name", "store_id"], "left_semi").count()
+    assert same_window > 0
+    for name, whole in (("merge_partials", metrics.purchases_per_minute(i.buys, MERGE_WINDOW)),
+                        ("merge_unique_users", metrics.unique_users_per_minute(i.views, i.products, MERGE_WINDOW))):
+        got = Q[name](spark, SF_SMALL)
+        assert got.exceptAll(whole.select(*got.columns)).count() == 0 and whole.count() == got.count()
+    from conftest import SF_MID
+    i = StoreInputs(spark, SF_MID)
+    a, b = (metrics.viewer_sets(x, i.products, MERGE_WINDOW) for x in merge_parts(i.views))
+    assert shared + a.join(b, ["window", "name", "store_id", "user_id"], "left_semi").count() > 0
 
 
 def test_stock_before_minus_sales_is_after(spark):
@@ -66,28 +82,17 @@ def test_latest_insight_equals_published_payload(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_both_product_join_shapes_agree(spark):
-    from storepulse.operators import metrics
-    from storepulse.plans.inputs import StoreInputs
-    i = StoreInputs(spark, SF_SMALL)
-    for fn in (metrics.revenue_per_minute, metrics.unique_users_per_minute, metrics.unique_users_distinct_all,
-               metrics.view_ranking_per_hour):
-        a = fn(i.views, i.products, small_products=True)
-        b = fn(i.views, i.products, small_products=False)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, fn.__name__
-
-
 def test_deal_messages_split_every_deal_once(spark):
     import json
     from storepulse.operators import deals
     from storepulse.plans.inputs import AS_OF, StoreInputs
     i = StoreInputs(spark, SF_SMALL)
     d = deals.price_deals(i.history, i.catalog, AS_OF, 12, 10.0)
-    msgs = [json.loads(r.message) for r in deals.deal_messages(d, 12, 10.0, AS_OF, max_deals=20).collect()]
+    msgs = [json.loads(r.message) for r in deals.deal_messages(d, 12, 10.0, AS_OF, parts=3).collect()]
     got = sorted((x["id"], x["store_id"]) for m in msgs for x in m["deals"])
     want = sorted((r.product_id, r.store_id) for r in d.collect())
     assert got == want
-    assert {m["parts"] for m in msgs} == {max(1, -(-len(want) // 20))}
+    assert {m["parts"] for m in msgs} == {3} and len(msgs) == 3
 
 
 def test_sliding_bonus_equals_window_expansion(spark):
@@ -120,7 +125,3 @@ def test_all_rows_sum_stores_for_revenue_and_ranking(spark):
         assert j.filter(~F.col("s").eqNullSafe(F.col("a"))).count() == 0, name
 
 
-def test_broadcast_size_check_boundary(spark):
-    from storepulse.operators.metrics import fits_broadcast
-    df = spark.range(5)
-    assert fits_broadcast(df, 5) and not fits_broadcast(df, 4)
