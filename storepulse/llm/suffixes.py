@@ -42,7 +42,8 @@ from storepulse.llm.tables import DOC, saved, table, texts
 
 WIDTH = 100
 GRAM = 37
-BATCH = 2 << 20
+BATCH = 1 << 20
+WINDOW_BYTES = 256 << 10
 HUGE = 20_000
 FEW = 4096  # symbols for which buckets are worth their loop
 
@@ -362,14 +363,16 @@ def window_spans(docs: DataFrame, amb: DataFrame) -> DataFrame:
     """The same for anchors of too many fragments: first places by the hash of each window, combined before the shuffle."""
 
     def rows(batches):
-        for b in batches:
-            out = []
-            for doc, start, raw in zip(*(b.column(k).to_pylist() for k in (DOC, "start", "raw"))):
-                for k in range(len(raw) - WIDTH + 1):
-                    digest = hashlib.blake2b(raw[k:k + WIDTH], digest_size=16).digest()
-                    out.append((*np.frombuffer(digest, np.int64).tolist(), doc, start + k))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["k1", "k2", DOC, "start"])
+        for part in A.slices(batches, "raw", WINDOW_BYTES):
+            data, offs = A.flat(part.column("raw"))
+            n = np.diff(offs) - WIDTH + 1
+            at = A.ragged(offs[:-1], n)
+            own = np.repeat(np.arange(len(n)), n)
+            ids = part.column(DOC).to_numpy(zero_copy_only=False)[own]
+            start = part.column("start").to_numpy(zero_copy_only=False)[own] + at - offs[own]
+            # two independent hashes make 128 bits
+            k1, k2 = (A.span_hashes(x, at, at + WIDTH).view(np.int64) for x in (data, data ^ np.uint8(0xA5)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, ids, start)], ["k1", "k2", DOC, "start"])
 
     windows = _pieces(docs, amb).mapInArrow(rows, "k1 long, k2 long, doc_id long, start long")
     first = windows.groupBy("k1", "k2").agg(F.min(F.struct(DOC, "start")).alias("first"))
