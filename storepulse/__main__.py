@@ -44,6 +44,11 @@ def _inputs(spark, args):
         i.catalog = current_products(i.products_all_versions).select("id", "store_id", "name", "price")
     if getattr(args, "stock", None):
         i.stock = spark.read.parquet(args.stock).select("product_id", "store_id", "quantity")
+    if getattr(args, "jdbc_url", None):
+        from storepulse.sources.tables import load_jdbc
+        i.products_all_versions = load_jdbc(spark, args.jdbc_url, "products").select("id_product", "id", "store_id", "name", "price")
+        i.catalog = current_products(i.products_all_versions).select("id", "store_id", "name", "price")
+        i.history = load_jdbc(spark, args.jdbc_url, "price_history").select("product_id", "store_id", "price", "recorded_at")
     if getattr(args, "history", None):
         i.history = spark.read.parquet(args.history).select("product_id", "store_id", "price", "recorded_at")
     return i
@@ -78,7 +83,11 @@ def _bonus_stream(spark, args):
     window -> JSON values to a topic or to files."""
     from storepulse.sinks.writers import stream_values_to_files, stream_values_to_topic
     from storepulse.streaming import jobs
-    lines = spark.readStream.format("text").load(args.source)
+    if args.source:
+        lines = spark.readStream.format("text").load(args.source)
+    else:  # messages come from a topic
+        from storepulse.sources.streams import topic_lines
+        lines = topic_lines(spark, args.source_brokers, args.source_topic).select("value")
     eligible = jobs.bonus_contained(jobs.purchases_from_lines(lines), watermark=args.watermark,
                                     min_short=args.min_short, min_long=args.min_long).select("user_id", "store_id")
     if args.brokers and args.topic:
@@ -111,7 +120,9 @@ def cmd_prices(spark, args):
 
 def cmd_ingest(spark, args):
     from storepulse.streaming.jobs import ingest_lines
-    q = ingest_lines(spark, args.source, args.table, args.checkpoint, batch_path=args.batch_messages,
+    from storepulse.sources.streams import topic_lines
+    source = topic_lines(spark, args.brokers, args.topic) if args.brokers else args.source
+    q = ingest_lines(spark, source, args.table, args.checkpoint, batch_path=args.batch_messages,
                      available_now=not args.continuous)
     q.awaitTermination()
 
@@ -137,6 +148,8 @@ def main(argv=None):
     b.add_argument("--out")
     b.add_argument("--stream", action="store_true", help="read message lines from --source as a stream")
     b.add_argument("--source")
+    b.add_argument("--source-brokers")
+    b.add_argument("--source-topic")
     b.add_argument("--checkpoint")
     b.add_argument("--watermark", default="10 minutes")
     b.add_argument("--brokers")
@@ -149,6 +162,7 @@ def main(argv=None):
     d.add_argument("--tables")
     d.add_argument("--products")
     d.add_argument("--history")
+    d.add_argument("--jdbc-url", help="read products and price_history from this database")
     d.add_argument("--request", action="append", required=True)
     d.add_argument("--as-of", required=True)
     d.add_argument("--out", required=True)
@@ -160,7 +174,9 @@ def main(argv=None):
     p.add_argument("--as-of", required=True)
     p.add_argument("--out", required=True)
     g = sub.add_parser("ingest")
-    g.add_argument("--source", required=True)
+    g.add_argument("--source", help="folder of text files; or --brokers and --topic")
+    g.add_argument("--brokers")
+    g.add_argument("--topic")
     g.add_argument("--table", required=True)
     g.add_argument("--checkpoint", required=True)
     g.add_argument("--batch-messages")

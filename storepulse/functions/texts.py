@@ -16,6 +16,9 @@ DEALS_HEADER = "Showing offers in the period of %d months with %s%% of discount
 DEAL_LINE = ' - Product "%s" (ID %s): from $%s to $%s (%s%% of discount) in store %s'
 NO_DEALS = "No deals found."
 
+# Fixed value: a report section without data.
+NO_DATA = "No data available."
+
 # Coupon line.
 COUPON_LINE = "========= USER %s OF STORE %s GOT A COUPON ========="
 

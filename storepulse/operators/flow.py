@@ -47,9 +47,9 @@ def transitions(events: DataFrame, state: str = "event_type", bucket_size: str =
 def node_transitions(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     mapping = spark.createDataFrame(EVENT_NODE, "event_type STRING, node STRING")
-    # five fixed rows: broadcast is bounded by construction
-    e = events.join(F.broadcast(mapping), "event_type").drop("event_type")
-    return transitions(e, state="node")
+    # five fixed rows: broadcast is bounded by construction; a type without node stays a step of its own name
+    e = events.join(F.broadcast(mapping), "event_type", "left")
+    return transitions(e.withColumn("node", F.coalesce("node", "event_type")).drop("event_type"), state="node")
 
 
 def drift(spark: SparkSession, seen: DataFrame) -> DataFrame:

@@ -70,3 +70,13 @@ def store_report(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def with_empty_sections(report: DataFrame, tasks: list[str]) -> DataFrame:
+    """A line that says so for every task that has none for a store. A store has at
+    most a few lines for each task, so they are gathered to see what is missing."""
+    line = F.struct("task", "line_no", "line")
+    own = report.groupBy("store_id").agg(F.collect_list(line).alias("own"))
+    missing = F.array_except(F.array(*[F.lit(t) for t in tasks]), F.transform("own", lambda x: x["task"]))
+    empty = F.transform(missing, lambda t: F.struct(t.alias("task"), F.lit(0).alias("line_no"), F.lit(texts.NO_DATA).alias("line")))
+    return own.select("store_id", F.inline(F.concat("own", empty)))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 KEYS = ["product_id", "store_id"]
 
 
-def order_rollup(buys: DataFrame) -> DataFrame:
-    """AGG-13 / Q30: the order table back from per-unit audit rows."""
-    return buys.groupBy("user_id", "product_id", "store_id").agg(F.count(F.lit(1)).alias("quantity"))
+def order_rollup(buys: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """AGG-13 / Q30: the order table back from per-unit audit rows, one row per
+    checkout and product. A checkout writes its rows at once; rows of one user and
+    product less than ``gap`` apart belong to one order. Rows without time are in none."""
+    session = F.session_window("datetime", gap)
+    return (buys.groupBy("user_id", "product_id", "store_id", session.alias("w")).agg(F.count(F.lit(1)).alias("quantity"))
+                .select("user_id", "product_id", "store_id", F.col("w.start").alias("ordered_at"), "quantity"))
 
 
 def sales_per_product(buys: DataFrame) -> DataFrame:

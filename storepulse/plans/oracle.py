@@ -52,10 +52,11 @@ CTE["msg"] = """SELECT event_id AS id, CASE WHEN event_type = 'error'
                               WHEN 'click' THEN 'CLICK;CART with ' || product_id || '.'
                               WHEN 'purchase' THEN 'CLICK;BUY-' || product_id || '-' || CAST(value AS VARCHAR) || '.' END
        END || chr(10) AS message FROM se"""
-CTE["pe"] = """SELECT id, p[1] AS timestamp, p[2] AS store_id, p[3] AS type, p[4] AS user_id, p[5] AS action,
-       p[6] AS details, make_timestamp(TRY_CAST(p[1] AS BIGINT) // 1000) AS datetime
-  FROM (SELECT id, string_split(message, ';') AS p FROM msg)"""
-CTE["bd"] = """SELECT id, timestamp, store_id, type, user_id, action, string_split(details, '-')[2] AS product_id,
+CTE["pe"] = """SELECT id, p[1] AS timestamp, CASE WHEN p[2] <> 'Error' THEN p[2] END AS store_id,
+       CASE WHEN p[2] = 'Error' THEN 'error' ELSE p[3] END AS type, p[4] AS user_id, p[5] AS action,
+       CASE WHEN p[2] = 'Error' THEN p[3] ELSE p[6] END AS details, make_timestamp(TRY_CAST(p[1] AS BIGINT) // 1000) AS datetime
+  FROM (SELECT id, string_split(rtrim(message, chr(10)), ';') AS p FROM msg)"""
+CTE["bd"] = """SELECT id, user_id, store_id, string_split(details, '-')[2] AS product_id,
        TRY_CAST(regexp_replace(string_split(details, '-')[3], '[\\s.]+$', '') AS FLOAT) AS price, datetime
   FROM pe WHERE starts_with(details, 'BUY')"""
 DEPS = {"buys": ["se"], "views": ["se"], "purch": ["se"], "cur": ["prod"], "lr": ["se"], "msg": ["se"],
@@ -137,11 +138,14 @@ def _price_update_sql() -> str:
             f"ORDER BY h LIMIT {PRICE_UPDATE_N})) pc ON c.id_product = pc.id_product")
 
 
+_SPEND = "CAST(CAST(price AS DOUBLE) AS DECIMAL(20,6))"
+
+
 def _bonus_totals_sql() -> str:
     parts = []
     for h, iv in (("10m", "10 MINUTE"), ("6h", "6 HOUR")):
         parts.append(f"SELECT '{h}' AS horizon, CAST(w AS VARCHAR) AS window_start, w + INTERVAL {iv} AS window_end, "
-                     f"user_id, store_id, SUM(CAST(price AS DOUBLE)) AS total "
+                     f"user_id, store_id, CAST(SUM({_SPEND}) AS DOUBLE) AS total "
                      f"FROM (SELECT time_bucket(INTERVAL {iv}, datetime) AS w, user_id, store_id, price FROM purch) "
                      f"GROUP BY w, user_id, store_id")
     return " UNION ALL ".join(parts)
@@ -220,8 +224,13 @@ def build() -> dict[str, str]:
     q["store_list"] = with_ctes(["se"], [], "SELECT DISTINCT store_id FROM se")
 
     q["current_products"] = with_ctes(["cur"], [], "SELECT id_product, id, store_id, name, price FROM cur")
-    q["order_rollup"] = with_ctes(["buys"], [], "SELECT user_id, product_id, store_id, COUNT(*) AS quantity "
-                                                "FROM buys GROUP BY ALL")
+    q["order_rollup"] = with_ctes(["buys"], [
+        ("o", "SELECT *, CASE WHEN datetime < lag(datetime) OVER k + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM buys "
+              "WINDOW k AS (PARTITION BY user_id, product_id, store_id ORDER BY datetime)"),
+        ("n", "SELECT *, SUM(fresh) OVER (PARTITION BY user_id, product_id, store_id ORDER BY datetime "
+              "RANGE UNBOUNDED PRECEDING) AS order_no FROM o")], (
+        "SELECT user_id, product_id, store_id, MIN(datetime) AS ordered_at, COUNT(*) AS quantity FROM n "
+        "GROUP BY user_id, product_id, store_id, order_no"))
     sales = "SELECT product_id, store_id, COUNT(*) AS sold FROM buys GROUP BY ALL"
     q["stock_after_sales"] = with_ctes(["stk", "buys"], [("d", sales)], (
         "SELECT s.product_id, s.store_id, s.quantity - COALESCE(d.sold, 0) AS quantity FROM stk s "
@@ -253,24 +262,26 @@ def build() -> dict[str, str]:
     q["bonus_eligible"] = with_ctes(["purch"], [], _bonus_eligible_sql())
     q["bonus_contained"] = with_ctes(["purch"], [
         ("s", "SELECT time_bucket(INTERVAL 10 MINUTE, datetime) AS s, user_id, store_id, "
-              "SUM(CAST(price AS DOUBLE)) AS total_10m FROM purch GROUP BY ALL"),
+              f"SUM({_SPEND}) AS total_10m FROM purch GROUP BY ALL"),
         ("l", f"SELECT time_bucket(INTERVAL 6 HOUR, s) AS l, user_id, store_id, SUM(total_10m) AS total_6h, "
               f"COUNT(*) FILTER (WHERE total_10m > {BONUS_MIN_SHORT!r}) AS windows_10m FROM s GROUP BY ALL")], (
         f"SELECT user_id, store_id, CAST(l AS VARCHAR) AS window_start, l + INTERVAL 6 HOUR AS window_end, "
-        f"total_6h, windows_10m FROM l WHERE total_6h > {BONUS_MIN_LONG!r} AND windows_10m > 0"))
+        f"CAST(total_6h AS DOUBLE) AS total_6h, windows_10m FROM l WHERE total_6h > {BONUS_MIN_LONG!r} AND windows_10m > 0"))
     def best(step_us, k, name):
         return (f"SELECT user_id, store_id, MAX(win) AS {name} FROM (SELECT user_id, store_id, SUM(s) OVER ("
                 f"PARTITION BY user_id, store_id ORDER BY b RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS win "
                 f"FROM (SELECT user_id, store_id, epoch_us(datetime) // {step_us} AS b, "
-                f"SUM(CAST(price AS DOUBLE)) AS s FROM purch GROUP BY ALL)) GROUP BY ALL")
+                f"SUM({_SPEND}) AS s FROM purch GROUP BY ALL)) GROUP BY ALL")
     q["bonus_sliding"] = with_ctes(["purch"], [("a", best(60_000_000, 10, "best_10m")),
                                                ("c", best(600_000_000, 36, "best_6h"))], (
-        f"SELECT a.user_id, a.store_id, a.best_10m, c.best_6h FROM a JOIN c "
+        f"SELECT a.user_id, a.store_id, CAST(a.best_10m AS DOUBLE) AS best_10m, CAST(c.best_6h AS DOUBLE) AS best_6h FROM a JOIN c "
         f"ON a.user_id = c.user_id AND a.store_id = c.store_id "
         f"WHERE a.best_10m > {BONUS_MIN_SHORT!r} AND c.best_6h > {BONUS_MIN_LONG!r}"))
     q["bonus_messages"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], (
         "SELECT CAST(json_object('user_id', user_id, 'store_id', store_id) AS VARCHAR) AS value, "
         f"printf('{texts.COUPON_LINE}', user_id, store_id) AS line FROM e"))
+    q["coupon_lines"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], (
+        f"SELECT user_id, store_id, printf('{texts.COUPON_LINE}', user_id, store_id) AS line FROM e"))
     q["bonus_count"] = with_ctes(["purch"], [("e", _bonus_eligible_sql())], "SELECT COUNT(*) AS eligible_users FROM e")
     q["views_strictly_before_buy"] = with_ctes(["buys", "views"], [], (
         "SELECT views, " + _store_all() + ", COUNT(*) AS count FROM (SELECT b.store_id, (SELECT COUNT(*) FROM views v "
@@ -284,6 +295,12 @@ def build() -> dict[str, str]:
         "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) AS datetime FROM lr WHERE type = 'Audit' AND extra_1 = 'BUY' "
         "UNION ALL SELECT 'view', store_id, content, regexp_replace(replace(extra_2, 'VIEW_PRODUCT ', ''), '\\.$', ''), "
         "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) FROM lr WHERE type = 'User' AND extra_1 = 'ZOOM'"))
+    q["csv_round_trip"] = with_ctes(["lr"], [], "SELECT timestamp, store_id, type, content, extra_1, extra_2 FROM lr")
+    q["new_files"] = with_ctes(["lr"], [], (
+        "SELECT DISTINCT store_id AS store, strftime(make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000), '%Y-%m-%d') AS cycle "
+        "FROM lr WHERE make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) >= TIMESTAMP '2024-01-20 00:00:00'"))
+    q["batch_message"] = with_ctes(["msg"], [], (
+        "SELECT id // 100 AS chunk, CAST(to_json(list(message ORDER BY id)) AS VARCHAR) AS message FROM msg GROUP BY id // 100"))
     q["log_purchases_per_minute"] = q["purchases_per_minute"]
     q["ingest"] = with_ctes(["msg"], [], "SELECT id, message FROM msg")
     q["parse_events"] = with_ctes(["pe"], [], "SELECT * FROM pe")
@@ -384,9 +401,12 @@ def _add_insight_sql(q: dict[str, str]) -> None:
         f"SELECT store_id, 'without_stock', 0, printf('{texts.WITHOUT_STOCK_LINE}', "
         f"COALESCE(CAST(products_sold_without_stock AS VARCHAR), '0')) FROM t6",
     ]
-    q["store_report"] = with_ctes(base, _task_ctes() + [("r", hist_cum), ("med", med)],
-                                  "SELECT store_id, task, CAST(line_no AS INTEGER) AS line_no, line FROM ("
-                                  + " UNION ALL ".join(lines) + ")")
+    tasks = ", ".join(f"('{t[0]}')" for t in _TASKS)
+    q["store_report"] = with_ctes(base, _task_ctes() + [("r", hist_cum), ("med", med), ("rp", (
+        "SELECT store_id, task, CAST(line_no AS INTEGER) AS line_no, line FROM (" + " UNION ALL ".join(lines) + ")"))], (
+        f"SELECT * FROM rp UNION ALL SELECT s.store_id, t.task, 0, 'No data available.' FROM "
+        f"(SELECT DISTINCT store_id FROM rp) s CROSS JOIN (VALUES {tasks}) t(task) "
+        "WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.store_id = s.store_id AND rp.task = t.task)"))
     q["store_report_one"] = "SELECT * FROM (" + q["store_report"] + ") WHERE store_id = 'store_2'"
     head = ("SELECT 0 AS section, CAST(NULL AS DOUBLE) AS evaluated_discount, "
             f"printf('{texts.DEALS_HEADER}', {DEAL_MONTHS}, '{{d}}', '{AS_OF:%Y-%m-%d %H:%M:%S}') AS line")

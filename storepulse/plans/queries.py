@@ -272,6 +272,12 @@ def bonus_messages(spark, sf_dir):
     return bonus.bonus_messages(bonus_eligible(spark, sf_dir)).select("value", "line")
 
 
+@query
+def coupon_lines(spark, sf_dir):
+    """RPT-8 on the consumer's side: coupon messages decoded to lines."""
+    return bonus.coupon_lines(bonus.bonus_messages(bonus_eligible(spark, sf_dir)))
+
+
 @query
 def bonus_count(spark, sf_dir):
     return bonus.bonus_count(bonus_eligible(spark, sf_dir))
@@ -292,13 +298,15 @@ def _log_dir(spark, sf_dir) -> str:
     """The event table written as store log files, once per session and table
     directory (the log files are the source the log queries read, as the
     reference reads files that already exist)."""
-    import os
-
     from ..session import scratch_path
     from ..sources import logs
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, str(sf_dir))
     path = _LOG_DIRS.get(key)
-    if path is None or not os.path.isdir(path.removeprefix("file:")):
+    if path is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            path = None
+    if path is None:
         path = logs.write_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "logs"))
         _LOG_DIRS[key] = path
     return path
@@ -311,6 +319,46 @@ def log_scan(spark, sf_dir):
     return logs.read_logs(spark, _log_dir(spark, sf_dir))
 
 
+@query
+def csv_round_trip(spark, sf_dir):
+    """SNK-6: log rows saved as CSV with a header and read back."""
+    from ..session import scratch_path
+    from ..sinks.writers import save_csv
+    from ..sources import logs
+    path = scratch_path(spark, "csv")
+    rows = logs.render_log_rows(StoreInputs(spark, sf_dir).events)
+    save_csv(rows, path, overwrite=True)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+# Cycles (days) from this one on are new to the file listing.
+FIRST_NEW_CYCLE = "2024-01-20"
+
+
+@query
+def new_files(spark, sf_dir):
+    """SET-3 + SNK-8: log files in the layout of store and cycle; the stores and cycles of unseen files."""
+    from ..functions.parsing import ns_text_to_timestamp
+    from ..session import scratch_path
+    from ..sources import logs
+    day = F.date_format(ns_text_to_timestamp(F.col("timestamp")), "yyyy-MM-dd")
+    path = logs.write_store_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "cycles"), day)
+    cycle = F.regexp_extract("file_path", r"/cycle=([^/]+)/", 1)
+    seen = logs.files_in(spark, path).where((cycle < FIRST_NEW_CYCLE) | ~F.col("file_path").rlike(r"/cycle="))
+    fresh = logs.new_files(spark, path, seen)
+    return fresh.select(F.regexp_extract("file_path", r"/store=([^/]+)/", 1).alias("store"), cycle.alias("cycle")).distinct()
+
+
+BATCH_LINES = 100
+
+
+@query
+def batch_message(spark, sf_dir):
+    """SNK-3: stored lines as JSON lists of at most ``BATCH_LINES`` lines."""
+    from ..sources import logs
+    return logs.batch_messages(ingest(spark, sf_dir).select("id", "message"), BATCH_LINES)
+
+
 @query
 def event_split(spark, sf_dir):
     """SRC-3 + FLT-1 + FN-2: buy and view rows from one log scan."""
@@ -344,8 +392,8 @@ def parse_events(spark, sf_dir):
 @query
 def buy_details(spark, sf_dir):
     """FLT-3 + PRJ-3: purchases with product and price from the message text."""
-    from ..operators.purchases import filter_purchases
-    return filter_purchases(parse_events(spark, sf_dir))
+    from ..operators.purchases import message_purchases
+    return message_purchases(parse_events(spark, sf_dir))
 
 
 @query
@@ -438,8 +486,9 @@ def store_report_one(spark, sf_dir):
 def store_report(spark, sf_dir):
     """RPT-1..6 + RPT-9: every report line of every store."""
     from ..operators import reports
+    from ..operators.payload import TASK_DETAILS
     t = _task_results(spark, sf_dir)
-    return reports.store_report([
+    out = reports.store_report([
         reports.purchases_lines(t["purchases_per_minute"]),
         reports.revenue_lines(t["revenue_per_minute"]),
         reports.unique_users_lines(t["unique_users_per_minute"]),
@@ -447,3 +496,4 @@ def store_report(spark, sf_dir):
         reports.median_lines(median.median_views_ref(t["median_views_before_buy"])),
         reports.without_stock_lines(t["without_stock"]),
     ])
+    return reports.with_empty_sections(out, list(TASK_DETAILS))

@@ -52,12 +52,13 @@ def write_observed(df: DataFrame, path: str, name: str = "rows") -> int:
     return int(obs.get["n"])
 
 
-def stream_values_to_topic(df: DataFrame, bootstrap_servers: str, topic: str, checkpoint: str):
-    """SNK-1 (stream): each emitted row as one JSON value on a Kafka topic
-    (append mode; needs the Kafka connector on the cluster's classpath)."""
+def stream_values_to_topic(df: DataFrame, bootstrap_servers: str, topic: str, checkpoint: str,
+                           interval: str = "10 seconds"):
+    """SNK-1 (stream): each emitted row as one JSON value on a Kafka topic every
+    ``interval`` (append mode; needs the Kafka connector on the cluster's classpath)."""
     return (as_json_values(df).writeStream.format("kafka").outputMode("append")
             .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic)
-            .option("checkpointLocation", checkpoint).start())
+            .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start())
 
 
 def stream_values_to_files(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):

@@ -69,6 +69,14 @@ def write_logs(rows: DataFrame, path: str) -> str:
     return path
 
 
+def write_store_logs(rows: DataFrame, path: str, cycle: Column) -> str:
+    """SNK-8, the simulator's layout: one folder per store and cycle, each file with
+    the header. The folders are named ``store=<id>/cycle=<n>``; rows keep their columns."""
+    (rows.select(*LOG_COLUMNS, F.col("store_id").alias("store"), cycle.alias("cycle")).write.mode("overwrite")
+         .partitionBy("store", "cycle").option("sep", ";").option("header", True).csv(path))
+    return path
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1/SRC-2: every file under ``path`` (recursive), declared all-text
     schema, ragged rows padded with null, plus ``datetime`` (FN-1)."""
@@ -88,20 +96,38 @@ def stream_logs(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def parse_messages(messages: DataFrame, column: str = "message") -> DataFrame:
-    """PRJ-2: message text -> typed columns + datetime (from_csv, ';')."""
+    """PRJ-2: message text -> typed columns + datetime (from_csv, ';').
+
+    The line's end is removed first (Q22). An error line has three fields, the
+    last one its code (Q23): its type is ``error``, the code is in ``details``, and it
+    has no store or user."""
     keep = [c for c in messages.columns if c != column]
-    parsed = messages.select(*keep, F.from_csv(F.col(column), MESSAGE_DDL, {"sep": ";"}).alias("data"))
-    return parsed.select(*keep, "data.*").withColumn("datetime", ns_text_to_timestamp(F.col("timestamp")))
+    line = F.regexp_replace(F.col(column), r"[\r\n]+$", "")
+    d = messages.select(*keep, F.from_csv(line, MESSAGE_DDL, {"sep": ";"}).alias("data")).select(*keep, "data.*")
+    error = F.coalesce(F.col("store_id") == "Error", F.lit(False))
+
+    def unless_error(c, instead=None):
+        return F.when(error, F.lit(None) if instead is None else instead).otherwise(F.col(c)).alias(c)
+
+    return d.select(*keep, "timestamp", unless_error("store_id"), unless_error("type", F.lit("error")),
+                    unless_error("user_id"), unless_error("action"), unless_error("details", F.col("type")),
+                    ns_text_to_timestamp(F.col("timestamp")).alias("datetime"))
 
 
 def files_in(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct files under ``path`` (recursive), from the scan's file metadata."""
-    df = (spark.read.schema(LOG_SCHEMA).option("sep", ";").option("header", True)
-               .option("recursiveFileLookup", True).csv(path))
-    return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()
+    """Files under ``path`` (recursive) from the listing alone: no row is read, and files without rows count."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                 .select(F.col("path").alias("file_path")))
 
 
 def new_files(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
     """SET-3, batch form: files under ``path`` not listed in ``seen`` (column
     ``file_path``); the streaming form is the file source's checkpoint."""
     return files_in(spark, path).join(seen.select("file_path"), "file_path", "left_anti")
+
+
+def batch_messages(rows: DataFrame, lines: int = 1000, key: str = "id") -> DataFrame:
+    """SNK-3: lines as JSON lists, ``lines`` consecutive ids in each, so no list grows with the data."""
+    chunk = F.floor(F.col(key) / F.lit(lines)).cast("long")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("message").alias("m")))), lambda x: x["m"])
+    return rows.groupBy(chunk.alias("chunk")).agg(F.to_json(listed).alias("message"))

@@ -1,12 +1,9 @@
-"""Stream sources (SRC-5, SRC-6, FN-17)."""
+"""Stream sources (SRC-5, FN-17)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def topic_lines(spark: SparkSession, bootstrap_servers: str, topic: str,
@@ -19,11 +16,3 @@ def topic_lines(spark: SparkSession, bootstrap_servers: str, topic: str,
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
     return r.load().select(F.col("value").cast("string").alias("value"), "partition", "offset", "timestamp")
-
-
-def refresh_every(spark: SparkSession, job: Callable[[int], None], interval: str, checkpoint: str) -> StreamingQuery:
-    """SRC-6: the reference's clock (a rate stream whose ticks re-run a batch
-    job), kept for jobs that must be recomputed on a timer."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return (ticks.writeStream.foreachBatch(lambda _df, batch_id: job(batch_id))
-                 .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start())

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timewin import is_ntz
 from ..operators import metrics
-from ..operators.bonus import LONG, MIN_LONG, MIN_SHORT, SHORT
+from ..operators.bonus import LONG, MIN_LONG, MIN_SHORT, SHORT, spend
 from ..operators.events import split_log
 from ..sources.logs import parse_messages
 
@@ -43,6 +43,14 @@ def view_ranking_per_hour(log_stream: DataFrame, products: DataFrame, watermark:
     return metrics.view_ranking_per_hour(views, products)
 
 
+def revenue_per_minute(log_stream: DataFrame, products: DataFrame, watermark: str = "10 minutes",
+                       duration: str = "1 minute") -> DataFrame:
+    """AGG-2 on a stream: views per product, stream-static join with the product
+    table, then the grouping-sets sum (chained aggregations in append mode)."""
+    views = event_time(split_log(log_stream)["view"]).withWatermark("datetime", watermark)
+    return metrics.revenue_per_minute(views, products, duration)
+
+
 def unique_users_per_minute(log_stream: DataFrame, products: DataFrame, watermark: str = "10 minutes",
                             duration: str = "1 minute") -> DataFrame:
     """AGG-3 on a stream (exact, no approximate distinct): stream-static join
@@ -65,19 +73,19 @@ def bonus_contained(purchases: DataFrame, watermark: str = "10 minutes", min_sho
     (user, store, 6 h) row is emitted once, when its window closes."""
     p = event_time(purchases).withWatermark("datetime", watermark)
     short_tot = (p.groupBy(F.window("datetime", short).alias("w10"), "user_id", "store_id")
-                  .agg(F.sum(F.col("price").cast("double")).alias("total_10m")))
+                  .agg(spend().alias("total_10m")))
     long_tot = (short_tot.groupBy(F.window("w10", long).alias("w6"), "user_id", "store_id")
                          .agg(F.sum("total_10m").alias("total_6h"),
                               F.count_if(F.col("total_10m") > min_short).alias("windows_10m")))
     return long_tot.filter((F.col("total_6h") > min_long) & (F.col("windows_10m") > 0)).select(
         "user_id", "store_id", F.col("w6.start").alias("window_start"), F.col("w6.end").alias("window_end"),
-        "total_6h", "windows_10m")
+        F.col("total_6h").cast("double").alias("total_6h"), "windows_10m")
 
 
 def purchases_from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Message stream -> purchases (PRJ-2, FLT-3, PRJ-3)."""
-    from ..operators.purchases import filter_purchases
-    return filter_purchases(parse_messages(lines.withColumnRenamed(column, "message")))
+    from ..operators.purchases import message_purchases
+    return message_purchases(parse_messages(lines.withColumnRenamed(column, "message")))
 
 
 def latest_insights(messages: DataFrame) -> DataFrame:
@@ -86,30 +94,43 @@ def latest_insights(messages: DataFrame) -> DataFrame:
                     .agg(F.max_by("payload", "ts").alias("payload"), F.max("ts").alias("ts")))
 
 
-def ingest_lines(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
+# Rows of one task in a micro-batch: monotonically_increasing_id() keeps the task above this many bits.
+_ROW_BITS = 33
+MESSAGE_LINES = 1000
+
+
+def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str, checkpoint: str,
                  batch_path: str | None = None, max_files_per_trigger: int | None = None,
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, lines_per_message: int = MESSAGE_LINES) -> StreamingQuery:
     """SRC-5/SRC-7 + SNK-2 + SNK-3 + STR-4: text lines -> events(id, message).
 
+    ``source`` is a folder of text files or a stream with a ``value`` column (a topic).
     Each micro-batch overwrites its own ``batch_id=<n>`` folder, so a batch
     replayed after a failure rewrites the same rows (exactly-once on top of
-    the checkpoint). Ids are unique, not dense. The optional batch message
-    (SNK-3) is one JSON list per batch and input split, so no list holds more
-    than one split's lines.
+    the checkpoint). The id is batch * 2^63 + task * 2^33 + row, a decimal: unique
+    whatever the number of tasks. The optional batch messages (SNK-3) are made
+    from the rows just written, so the source is read once; each is a JSON list of
+    at most ``lines_per_message`` lines of one task.
     """
-    r = spark.readStream.format("text")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = r.load(source_dir)
+    if isinstance(source, str):
+        r = spark.readStream.format("text")
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+        lines = r.load(source)
+    else:
+        lines = source.select("value")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(
-            (F.lit(batch_id).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("id"),
-            F.col("value").alias("message"))
-        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        out = f"{table_path}/batch_id={batch_id}"
+        batch.select(line_id(batch_id).alias("id"), F.col("value").alias("message")).write.mode("overwrite").parquet(out)
         if batch_path:
-            msgs = (batch.groupBy(F.spark_partition_id().alias("split"))
-                         .agg(F.to_json(F.collect_list("value")).alias("message")))
+            place = F.col("id") - F.lit(str(batch_id << 63)).cast("decimal(38,0)")
+            own = (batch.sparkSession.read.parquet(out)
+                   .select(place.cast("long").alias("id"), "message")
+                   .withColumn("split", F.shiftright("id", _ROW_BITS))
+                   .withColumn("part", F.floor(F.col("id").bitwiseAND((1 << _ROW_BITS) - 1) / lines_per_message)))
+            rows = F.sort_array(F.collect_list(F.struct("id", "message")))
+            msgs = own.groupBy("split", "part").agg(F.to_json(F.transform(rows, lambda x: x["message"])).alias("message"))
             msgs.write.mode("overwrite").parquet(f"{batch_path}/batch_id={batch_id}")
 
     w = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -117,6 +138,12 @@ def ingest_lines(spark: SparkSession, source_dir: str, table_path: str, checkpoi
     return w.start()
 
 
+def line_id(batch_id: int):
+    """Id of a row in a micro-batch: no two batches share one, however many tasks a batch has."""
+    base = F.lit(batch_id).cast("decimal(18,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return (base + F.monotonically_increasing_id().cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
     """STR-5 + WIN-1 + SNK-4 as a stream: a watermarked metric in append mode
@@ -142,8 +169,9 @@ def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
                         available_now: bool = True) -> StreamingQuery:
     """AGG-5 / STR-5 for an all-time metric: view and buy counts per (user,
     product, store) kept as streaming state (update mode; the state is bounded
-    by the key space, not by the events), each micro-batch's updated keys
-    written to its own ``batch_id`` folder (replay-safe)."""
+    by the key space, not by the events). Each micro-batch merges its updated keys
+    into a new version of the table, one row for each key; only the last two versions
+    are kept, so the folder does not grow with the number of batches."""
     parts = split_log(log_stream)
     cols = ["user_id", "product_id", "store_id"]
     tagged = (parts["view"].select(*cols, F.lit(1).alias("v"), F.lit(0).alias("b"))
@@ -151,19 +179,37 @@ def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
     counts = tagged.groupBy(*cols).agg(F.sum("v").cast("long").alias("views"), F.sum("b").cast("long").alias("buys"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
-             .parquet(f"{table_path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        older = versions(spark, table_path)
+        before = [v for v in older if v < batch_id]
+        out = batch.select(*cols, "views", "buys")
+        if before:  # counts only grow, so the newest counts of a key are its largest
+            out = (spark.read.parquet(f"{table_path}/version={before[-1]}").unionByName(out)
+                   .groupBy(*cols).agg(F.max("views").alias("views"), F.max("buys").alias("buys")))
+        out.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        for v in before[:-1]:  # the one before stays, for a replay of this batch
+            delete(spark, f"{table_path}/version={v}")
 
     w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
 
 
+def versions(spark, table_path: str) -> list[int]:
+    """The versions of the table, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+
+
+def delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def views_before_buy_from_state(spark, table_path: str) -> DataFrame:
-    """The histogram from the newest counts of every key (max_by over batch
-    ids, combined map-side)."""
-    state = spark.read.parquet(table_path)
-    newest = state.groupBy("user_id", "product_id", "store_id").agg(
-        F.max_by(F.struct("views", "buys"), "batch_id").alias("c"))
-    per_buy = newest.select("store_id", "c.views", "c.buys").filter(F.col("buys") > 0)
-    return metrics.views_histogram(per_buy)
+    """The histogram from the newest version of the counts."""
+    state = spark.read.parquet(f"{table_path}/version={versions(spark, table_path)[-1]}")
+    views = F.when(metrics.any_null(*metrics.BUY_KEYS), F.lit(0).cast("long")).otherwise(F.col("views"))
+    return metrics.views_histogram(state.filter(F.col("buys") > 0).select("store_id", views.alias("views"), "buys"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storepulse.operators import bonus, deals, latest, median, metrics, prices, stock
 from storepulse.operators.events import split_log
 from storepulse.operators.payload import store_payloads
-from storepulse.operators.purchases import filter_purchases
+from storepulse.operators.purchases import message_purchases
 from storepulse.sources.logs import parse_messages, read_logs
 
 EV = "store_id string, user_id string, product_id string, datetime timestamp_ntz"
@@ -57,13 +57,13 @@ def test_bad_timestamp_and_short_buy(spark):
     msgs = spark.createDataFrame([("junk;0_a;User;1;CLICK;BUY",)], "message string")
     parsed = parse_messages(msgs)
     assert parsed.collect()[0].datetime is None
-    p = filter_purchases(parsed).collect()[0]
+    p = message_purchases(parsed).collect()[0]
     assert p.product_id is None and p.price is None
 
 
 def test_nanoseconds(spark):
     msgs = spark.createDataFrame([("1700000000123456789;0_a;User;1;CLICK;BUY-2000-45.\n",)], "message string")
-    p = filter_purchases(parse_messages(msgs)).collect()[0]
+    p = message_purchases(parse_messages(msgs)).collect()[0]
     assert p.datetime == dt.datetime(2023, 11, 14, 22, 13, 20, 123456)
     assert p.product_id == "2000" and p.price == 45.0
 

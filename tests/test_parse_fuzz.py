@@ -7,7 +7,7 @@ import struct
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from storepulse.operators.purchases import filter_purchases
+from storepulse.operators.purchases import message_purchases
 from storepulse.sources.logs import parse_messages
 
 FIELD = st.text(alphabet=st.sampled_from(list("0123456789.-BUYEabxz")), max_size=10)
@@ -43,7 +43,7 @@ def expected(line: str):
 @given(st.lists(LINE, min_size=1, max_size=30))
 def test_parse_matches_plain_reading(spark, lines):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, message string")
-    got = {r.id: (r.product_id, r.price) for r in filter_purchases(parse_messages(df)).collect()}
+    got = {r.id: (r.product_id, r.price) for r in message_purchases(parse_messages(df)).collect()}
     want = {i: e for i, e in enumerate(map(expected, lines)) if e is not None}
     assert set(got) == set(want)
     for i, (product, price) in want.items():

@@ -16,10 +16,12 @@ def test_new_files_lists_only_unseen(spark, tmp_path):
     (root / "store_a").mkdir(parents=True)
     head = "timestamp;store_id;type;content;extra_1;extra_2\n"
     (root / "store_a" / "1log_simulation.txt").write_text(head + "1;a;Audit;u;LOGIN\n")
-    seen = logs.files_in(spark, str(root))
+    seen = spark.createDataFrame(logs.files_in(spark, str(root)).collect(), "file_path string")
     (root / "store_a" / "2log_simulation.txt").write_text(head + "2;a;Audit;u;EXIT\n")
     new = [r.file_path for r in logs.new_files(spark, str(root), seen).collect()]
     assert len(new) == 1 and new[0].endswith("2log_simulation.txt")
+    (root / "store_a" / "3log_simulation.txt").write_text(head)  # a file without rows is a file
+    assert len(logs.new_files(spark, str(root), seen).collect()) == 2
 
 
 def test_csv_round_trip_and_observed_count(spark, tmp_path):
@@ -38,9 +40,9 @@ def test_malformed_messages_never_fail(spark):
     msgs = spark.createDataFrame(
         [("x;y",), ("1;s;User;u;CLICK;BUY",), ("1;s;User;u;CLICK;BUY-p",), ("1;s;User;u;CLICK;BUY-p-abc.",),
          ("",), (None,), ("1700000000000000000;s;User;u;CLICK;BUY-p-12.5.\n",)], "message string")
-    from storepulse.operators.purchases import filter_purchases
+    from storepulse.operators.purchases import message_purchases
     from storepulse.sources.logs import parse_messages
-    rows = filter_purchases(parse_messages(msgs)).collect()
+    rows = message_purchases(parse_messages(msgs)).collect()
     prices = sorted((r.price for r in rows if r.price is not None))
     assert prices == [12.5]
     assert len(rows) == 4
@@ -69,19 +71,6 @@ def test_store_pass_job_writes_messages(spark, tmp_path):
     assert written.select("task_name").distinct().count() == 6
 
 
-def test_refresh_every_reruns_the_job(spark, tmp_path):
-    import time
-
-    from storepulse.sources.streams import refresh_every
-    calls = []
-    q = refresh_every(spark, lambda batch_id: calls.append(batch_id), "1 second", str(tmp_path / "ck"))
-    deadline = time.time() + 60
-    while len(calls) < 2 and time.time() < deadline:
-        time.sleep(0.5)
-    q.stop()
-    assert len(calls) >= 2
-
-
 def test_append_and_reset_table(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(3).withColumnRenamed("id", "x")
