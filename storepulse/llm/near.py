@@ -10,15 +10,19 @@ limit follows the same path with high probability (``1 - 0.15 ** 6``, beyond
 0.99998, at the limit for the first level; two positions are chosen on deeper
 levels, which keeps the survival of a pair above 0.96 in each tree at any depth).
 
-A node of at most ``LEAF`` documents is compared exhaustively; a larger one
-branches on. Before that, every node compares its documents with one pivot. A
-comparison estimates the similarity from sketches (the smallest hash of each of
-``SKETCH`` hash ranges, one byte of it) and lets pass what reaches ``LOOSE``, five
-standard deviations below the limit; these pairs are confirmed on the full sets. Documents already known to be
-connected need no further comparison, so a node whose documents all belong to
-one component is finished: a group of a million near copies ends after its pivot
-round, without its pairs. Nodes that are still large and mixed at ``DEPTH`` are
-compared block by block, each block pair in a task of its own; no pair is dropped.
+A node of at most ``LEAF`` documents is compared exhaustively; of a larger one every
+document is compared with a pivot, and the node branches on. A comparison estimates
+the similarity from sketches (the smallest hash of each of ``SKETCH`` hash ranges, one
+byte of it) and links what reaches ``LOOSE``, five standard deviations below the limit.
+A node gives only a spanning forest of its links, so their number follows the rows and
+not the pairs, and a node whose documents are already connected is finished. Nodes
+still large and mixed at ``DEPTH`` are compared block by block, each block pair in a
+task of its own.
+
+The components of these loose links are families: any two documents above the limit
+are in one. Each document's full set is sent once to its family, where all pairs are
+compared exactly; families beyond a block are compared block by block. Again only a
+forest of the true links leaves the task, and its components are the result.
 
 Null, empty or blank texts have no shingles and are linked with nothing. Fewer
 than five words give one shingle of them all. Rows that repeat a doc_id are one
@@ -30,7 +34,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +48,8 @@ SKETCH_BITS = 9
 SKETCH = 1 << SKETCH_BITS
 LOOSE = 0.75
 TREES = 6
-LEAF = 512
+LEAF = 1024
+BLOCK = 512
 DEPTH = 3
 CHOICES = 2
 _rng = np.random.default_rng(71)
@@ -156,109 +160,175 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (already written) whose full sets reach the limit."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias(DOC)).distinct()
-
-    def sets(batches):
-        for part in A.slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [part.column(DOC), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())],
-                ["id", "s"])
-
-    def check(batches):
-        for part in batches:
-            ok = []
-            for x, y in zip(part.column("sa"), part.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= LIMIT * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    full = texts(docs).join(wanted, DOC, "left_semi").mapInArrow(sets, "id long, s binary")
-    first = full.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    second = full.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return (pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
-            .mapInArrow(check, "a long, b long").distinct())
-
+def groups(sorted_batches, key: tuple[str, ...]):
+    """Consecutive rows of equal keys of a sorted stream, as Arrow tables. A key's rows are bounded by a block pair."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in sorted_batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(k).to_numpy(zero_copy_only=False) for k in key]
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(new), b.num_rows]
+        if held and last != tuple(k[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if x:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+        last = tuple(k[-1] for k in keys)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Row pairs that connect what the sketches' links connect, one for each connection; equal labels need none."""
+    left = np.arange(len(n))  # rows not yet reached
+    out = []
+    while len(left):
+        wave = left[:1]
+        left = left[1:]
+        while len(wave) and len(left):
+            at, wave = wave[0], wave[1:]
+            known = label[left] == label[at]
+            near = known.copy()
+            ask = np.flatnonzero(~known & (100 * np.minimum(n[at], n[left]) >= LIMIT * np.maximum(n[at], n[left])))
+            near[ask] = similar(sketches[at], sketches[left[ask]])
+            out += [(at, j) for j in left[near & ~known]]
+            wave = np.concatenate([wave, left[near]])
+            left = left[~near]
+    return out
+
+
+def _compared(rows_in: DataFrame, cell: tuple[str, ...]) -> DataFrame:
+    """(a, b): a forest of the loose links in each cell of at most ``LEAF`` rows."""
 
-def _exhaustive(rows_in: DataFrame, cell: list[str]) -> DataFrame:
-    """Pairs of different components in each cell (bounded by ``LEAF``) whose sketches are similar."""
+    def rows(batches):
+        for t in groups(batches, cell):
+            ids = t.column("id").to_numpy()
+            pairs = forest(t.column("label").to_numpy(), t.column("n").to_numpy(), _sketch_rows(t.column("sketch").to_pylist()))
+            if pairs:
+                x, y = ids[np.array(pairs)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    def pairs(ids, label, n, sk):
-        for i in range(len(ids) - 1):
-            sizes = 100 * np.minimum(n[i], n[i + 1:]) >= LIMIT * np.maximum(n[i], n[i + 1:])
-            later = np.flatnonzero((label[i + 1:] != label[i]) & sizes) + i + 1
-            for j in later[similar(sk[i], sk[later])]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+    return (rows_in.select(*cell, "id", "label", "n", "sketch").repartition(*cell).sortWithinPartitions(*cell)
+            .mapInArrow(rows, "a long, b long"))
 
-    def group(key, frame):
-        found = list(pairs(frame["id"].to_numpy(), frame["label"].to_numpy(), frame["n"].to_numpy(),
-                           _sketch_rows(frame["sketch"])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows_in.groupBy(*cell).applyInPandas(group, "a long, b long")
+def block_pairs(df: DataFrame, cell: str, size: str, block: int) -> DataFrame:
+    """Each row once for every other block of its group: all pairs of rows meet in a cell (``cell``, x, y)
+    of at most about two blocks."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    spread = df.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumn("x", F.least("_own", "_other")).withColumn("y", F.greatest("_own", "_other")).drop("_own", "_other")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, component) of every representative that is linked; see the module."""
-    spark = docs.sparkSession
+def families(reps: DataFrame) -> DataFrame:
+    """(node, component) of every representative with loose links."""
+    spark = reps.sparkSession
     edges: list[DataFrame] = []
-    label = spark.createDataFrame([], "node long, component long")
+    label = None
 
-    def confirm(candidates: DataFrame) -> bool:
+    def link(found: DataFrame) -> None:
         nonlocal label
-        pairs = saved(candidates, "near-pairs")
-        if pairs.isEmpty():
-            return False
-        new = saved(confirmed(pairs, docs), "near-links")
-        if new.isEmpty():
-            return False
-        edges.append(new)
+        edges.append(saved(found, "near-edges"))
         label = saved(components(reduce(DataFrame.unionByName, edges)), "near-label")
-        return True
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return (rows.join(label.withColumnRenamed("node", "id"), "id", "left")
-                .select("node", "id", F.coalesce("component", "id").alias("label")))
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Nodes with several components: size and pivot."""
-        return (rows.groupBy("node")
-                .agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-                     F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("p"))
-                .where("lo < hi").select("node", "size", F.col("p.id").alias("pivot")))
-
-    rows = first_level(reps)
+        """The rows (node, id, label) of nodes with several components, their node's size and pivot."""
+        if label is not None:
+            rows = (rows.join(label.withColumnRenamed("node", "id"), "id", "left")
+                    .select("node", "id", F.coalesce("component", "id").alias("label")))
+        else:
+            rows = rows.withColumn("label", F.col("id"))
+        nodes = (rows.groupBy("node")
+                 .agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+                      F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("p"))
+                 .where("lo < hi").select("node", "size", F.col("p.id").alias("pivot")))
+        return saved(rows.join(nodes, "node"), "near-rows")
+
+    own = reps.select("id", "n", "sketch")
+    rows = mixed(first_level(reps))
     for depth in range(1, DEPTH + 1):
-        rows = labelled(rows) if depth > 1 else rows.withColumn("label", F.col("id"))
-        rows = saved(rows.join(mixed(rows), "node").select("node", "id", "pivot"), "near-rows")
-        if rows.isEmpty():
-            break
-        star = rows.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        confirm(alike(star, reps))
-        rows = labelled(rows)
-        rows = saved(rows.join(mixed(rows), "node").select("node", "id", "label", "size"), "near-mixed")
-        if rows.isEmpty():
+        small, large = rows.where(F.col("size") <= LEAF), rows.where(F.col("size") > LEAF)
+        more = not large.isEmpty()
+        found = _compared(small.join(own, "id"), ("node",))
+        if more:
+            star = large.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            found = found.unionByName(alike(star, reps))
+        link(found)
+        if not more:
             break
-        full = rows.join(reps.select("id", "n", "sketch"), "id")
-        small = _exhaustive(full.where(F.col("size") <= LEAF), ["node"])
-        found = confirm(small)
-        rows = rows.where(F.col("size") > LEAF)
+        rows = mixed(large.select("node", "id"))
         if rows.isEmpty():
             break
         if depth < DEPTH:
-            rows = next_level(rows.join(reps.select("id", "tokens"), "id"))
-            continue
-        # still large and mixed: block pairs, each row sent to the cells of its block
-        full = full.where(F.col("size") > LEAF) if not found else rows.join(reps.select("id", "n", "sketch"), "id")
-        blocks = full.withColumn("blocks", F.ceil(F.col("size") / (LEAF / 2)).cast("int")).withColumn(
-            "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        cells = blocks.select("node", "id", "label", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        cells = cells.select("node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                             "id", "label", "n", "sketch")
-        confirm(_exhaustive(cells, ["node", "x", "y"]))
-    return label
+            rows = mixed(next_level(rows.join(reps.select("id", "tokens"), "id")))
+        else:  # still large and mixed
+            link(_compared(block_pairs(rows.join(own, "id"), "node", "size", LEAF // 2), ("node", "x", "y")))
+    return label if label is not None else spark.createDataFrame([], "node long, component long")
+
+
+def true_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of the pairs whose full sets reach the limit."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[token] > 1
+    rank = np.cumsum(count > 1) - 1
+    owner, token = owner[shared], rank[token[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    width = max(256, (4 << 20) // len(sets))  # tokens of one matrix of 16 MB
+    for a in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        x, y = np.searchsorted(token, [a, a + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[x:y], token[x:y] - a] = 1
+        both += m @ m.T
+    linked = 100 * both >= LIMIT * (n[:, None] + n[None, :] - both)
+    out, left = [], np.arange(len(sets))
+    while len(left):
+        wave, left = left[:1], left[1:]
+        while len(wave) and len(left):
+            at, wave = wave[0], wave[1:]
+            near = linked[at, left]
+            out += [(ids[at], ids[j]) for j in left[near]]
+            wave = np.concatenate([wave, left[near]])
+            left = left[~near]
+    return out
+
+
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of every representative that is linked; see the module."""
+    family = families(reps)
+    size = family.groupBy("component").agg(F.count("*").alias("size"))
+    member = family.join(size, "component").select(F.col("node").alias(DOC), "component", "size")
+
+    def sets(batches):
+        for part in A.slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(DOC), part.column("component"), part.column("size"),
+                 pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())],
+                ["id", "component", "size", "s"])
+
+    def check(batches):
+        for t in groups(batches, ("component", "x", "y")):
+            # the same id may have several texts
+            pairs = true_links(t.column("id").to_numpy(), [np.frombuffer(v, np.uint64) for v in t.column("s").to_pylist()])
+            if pairs:
+                a, b = np.array(pairs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    full = texts(docs).join(member, DOC).mapInArrow(sets, "id long, component long, size long, s binary")
+    cells = (block_pairs(full, "component", "size", BLOCK).select("component", "x", "y", "id", "s")
+             .repartition("component", "x", "y").sortWithinPartitions("component", "x", "y"))
+    return saved(components(cells.mapInArrow(check, "a long, b long")), "near-components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
