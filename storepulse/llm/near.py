@@ -50,7 +50,7 @@ LOOSE = 0.75
 TREES = 6
 LEAF = 1024
 BLOCK = 512
-DEPTH = 3
+DEPTH = 2
 CHOICES = 2
 _rng = np.random.default_rng(71)
 FACTORS = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * A.U64(2) + A.U64(1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.session import scratch_path, shared_dir
+from storepulse.session import scratch_path
 
 DOC = "doc_id"
 BATCH_BYTES = 4 << 20
+PER_TASK = 4 << 20  # compressed bytes of links for each task of a round of ``components``
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,57 +25,55 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col(DOC).cast("long").alias(DOC), F.col("text").cast("string").alias("text"), *more)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there,
-    so a lost executor costs no recomputation, and it is computed once."""
+    so a lost executor costs no recomputation, and it is computed once. ``tasks`` bounds
+    the files written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_saved(*frames: DataFrame) -> None:
-    """Delete written tables that no later step reads."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/storepulse/" in str(path.toString()):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files of a written table, from the file system."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    fs = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(path).getLength())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges``, for every node of an edge.
 
     Each round sends every node to its smallest neighbour, follows the pointers
-    once more and contracts the edges, so the edges shrink until none is left.
+    once more and contracts the edges, so the edges shrink until none is left. Rounds are
+    written tables: their sizes, not estimates that multiply, plan the next round.
     Self loops and repeated edges are allowed; null ends are dropped.
     """
-    spark = edges.sparkSession
     edges = (edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
              .where("u is not null and v is not null"))
+    # edges only shrink: as many tasks as the first ones need
+    first = saved(edges, "links")
+    edges, tasks = first, 1 + stored_bytes(first) // PER_TASK
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    label = checkpointed(nodes.select("node", F.col("node").alias("component")))
-    left = checkpointed(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                        .where("u < v").distinct())
+    label = nodes.select("node", F.col("node").alias("component"))
+    left = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                 .where("u < v").distinct(), "edges", tasks)
     while not left.isEmpty():
         # smallest neighbour of each remaining node; v always has one below it
         parent = left.groupBy("v").agg(F.min("u").alias("p"))
         # a node without a smaller neighbour is a root; pointers only go down
         up = parent.withColumnRenamed("v", "w").withColumnRenamed("p", "q")
-        jump = checkpointed(parent.join(up, parent.p == up.w, "left")
-                            .select(F.col("v").alias("was"), F.coalesce("q", "p").alias("now")))
-        label = checkpointed(label.join(jump, label.component == jump.was, "left")
-                             .select("node", F.coalesce("now", "component").alias("component")))
+        jump = saved(parent.join(up, parent.p == up.w, "left")
+                     .select(F.col("v").alias("was"), F.coalesce("q", "p").alias("now")), "jumps", tasks)
+        label = saved(label.join(jump, label.component == jump.was, "left")
+                      .select("node", F.coalesce("now", "component").alias("component")), "labels", tasks)
         first, second = jump.select(F.col("was").alias("u"), F.col("now").alias("nu")), jump.select(
             F.col("was").alias("v"), F.col("now").alias("nv"))
         moved = (left.join(first, "u", "left").join(second, "v", "left")
                  .select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y")))
-        left = checkpointed(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-                            .where("u < v").distinct())
+        left = saved(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+                     .where("u < v").distinct(), "edges", tasks)
     return label
