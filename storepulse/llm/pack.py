@@ -179,15 +179,17 @@ def plan(demand: dict[int, int], room: int) -> tuple[list[tuple[dict[int, int],
         short = empty - sum(s * k for s, k in give.items())
         if short <= PADDING * total or not whole:
             return out, give
-        short *= 1.25  # fewer whole pieces leave other room
+        # a piece given up saves its dual in sequences, so much less room is empty or wanting
         for s in sorted((s for s in whole if s < room), key=lambda s: (s / room - duals[s], -s)):
-            more = min(whole[s], int(-(-short // s)))
+            saves = max(duals[s], s / room) * room
+            more = min(whole[s], int(-(-short // saves)))
             give[s] = give.get(s, 0) + more
-            short -= more * s
+            short -= more * saves
             if short <= 0:
                 break
         else:
-            return out, give
+            if all(s >= room for s in whole):
+                return out, give
 
 
 def ranges(patterns: list[tuple[dict[int, int], int]], give: dict[int, int]) -> dict[int, np.ndarray]:
@@ -238,8 +240,15 @@ def filling(docs: DataFrame, given: DataFrame, empty: np.ndarray, vocabulary: st
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     placed = (given.withColumn("x1", F.coalesce(F.sum("length").over(own), F.lit(0))).join(base, ["class", "chunk"])
               .select(*key, (F.col("x0") + F.col("x1")).alias("x")))
-    again = texts(docs).join(given.select(DOC).distinct(), DOC, "left_semi")
-    with_ids = placed.join(pieces(again, vocabulary, length, ids_too=True).dropDuplicates(key), key)
+    # ids may be null: they are equal here
+    wanted = given.select(F.col(DOC).alias("_doc")).distinct()
+    again = texts(docs).join(wanted, F.col(DOC).eqNullSafe(F.col("_doc")), "left_semi")
+    cut_again = pieces(again, vocabulary, length, ids_too=True).dropDuplicates(key)
+    cut_again = cut_again.select(*[F.col(k).alias(f"_{k}") for k in key], "ids")
+    same = F.col(DOC).eqNullSafe(F.col(f"_{DOC}"))
+    for k in key[1:]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    with_ids = placed.join(cut_again, same).select(*key, "x", "ids")
 
     def rows(batches):
         for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm import arrays as A
-from storepulse.llm.tables import DOC, table, texts
+from storepulse.llm.tables import DOC, free_name, table, texts
 
 BINS = 64
 NEUTRAL = 0.5
@@ -195,17 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return grow(x[order], np.clip(y[order], 0, 1))
 
 
-def scores(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every document (text among them if wanted) and its score."""
+def scores(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns of every document (text among them if wanted) and its score, under ``name``."""
     src = docs.select(*keep, *([] if "text" in keep else ["text"]))
     fields = [f for f in src.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
 
     def rows(batches):
         for part in A.slices(batches):
             s = model.score(statistics(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(s)],
-                                             [f.name for f in fields] + ["score"])
+                                             [f.name for f in fields] + [name])
 
     return src.mapInArrow(rows, schema)
 
@@ -222,5 +222,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose score reaches ``THRESHOLD``, all columns as they were."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return scores(docs, model, tuple(columns)).where(F.col("score") >= THRESHOLD).select(*columns)
+    columns, name = docs.columns, free_name(docs, "score")
+    return scores(docs, model, tuple(columns), name).where(F.col(name) >= THRESHOLD).select(*columns)

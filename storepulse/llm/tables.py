@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a variant that no column of ``docs`` has (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The id and text columns alone; other columns of ``docs``, whatever their names, are left out.
 
