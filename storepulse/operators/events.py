@@ -27,7 +27,8 @@ def with_datetime(log: DataFrame) -> DataFrame:
 
 
 def split_log(log: DataFrame) -> dict[str, DataFrame]:
-    """SRC-3: one scan, one filtered frame per selector, normalised columns."""
+    """SRC-3: one filtered frame per selector, normalised columns. Each frame reads the log when it
+    is used; ``plans.store_pass.tagged_log_events`` gives both kinds in one scan."""
     buys = select_events(log, *BUY_SELECTOR[1:]).select(
         "store_id", F.col("content").alias("user_id"), F.col("extra_2").alias("product_id"),
         ns_text_to_timestamp(F.col("timestamp")).alias("datetime"))

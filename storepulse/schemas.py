@@ -1,4 +1,4 @@
-"""Declared schemas (no inference anywhere)."""
+"""Declared schemas of the text formats and operational tables."""
 
 from pyspark.sql import types as T
 
