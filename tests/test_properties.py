@@ -103,8 +103,8 @@ def test_sliding_bonus_equals_window_expansion(spark):
 
     def brute(size, slide, name):
         per_window = (p.groupBy(F.window("datetime", size, slide).alias("w"), "user_id", "store_id")
-                       .agg(F.sum(F.col("price").cast("double")).alias("s")))
-        return per_window.groupBy("user_id", "store_id").agg(F.max("s").alias(name))
+                       .agg(F.sum(F.col("price").cast("double").cast("decimal(20,6)")).alias("s")))
+        return per_window.groupBy("user_id", "store_id").agg(F.max("s").cast("double").alias(name))
     want = (brute("10 minutes", "1 minute", "best_10m").join(brute("6 hours", "10 minutes", "best_6h"),
                                                              ["user_id", "store_id"])
             .filter((F.col("best_10m") > 20) & (F.col("best_6h") > 60)))
