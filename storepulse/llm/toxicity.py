@@ -46,11 +46,19 @@ _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
+# in a word that holds a look-alike before a letter, or three equal letters
 SUSPICIOUS = re.compile(
     rb"[a-z0-9@$!+|]*[a-z][0-9@$!+|]+[a-z][a-z0-9@$!+|]*"  # a look-alike between letters
     rb"|(?<![a-z0-9@$!+|\x80-\xff])[0-9@$!+|]{1,3}[a-z]{2,}"  # or before them
-    rb"|[a-z]*([a-z])\1\1[a-z]*"  # three equal letters
-    rb"|(?<![a-z0-9@$!+|\x80-\xff])(?:[a-z0-9@$!+|][ ._*-]{1,2}){3,}[a-z0-9@$!+|](?![a-z0-9@$!+|\x80-\xff])")  # gaps
+    rb"|[a-z]*([a-z])\1\1[a-z]*")
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[97:123] = True
+LOOK = np.zeros(256, bool)
+LOOK[list(b"0123456789@$!+|")] = True
+PART = ASCII_LETTER | LOOK
+GAP = np.zeros(256, bool)
+GAP[list(b" ._*-")] = True
+SPELT = 4  # single characters with gaps that make a spelt word
 LONGEST = 64  # characters of a lattice; longer junk is decoded in parts
 
 
@@ -121,17 +129,61 @@ class Channel:
             paths = step
         return max((s + self.model[x][y][0], w) for (x, y), (s, w) in paths.items())[1]
 
-    def restored(self, raw: bytes) -> bytes:
-        low = raw.translate(bytes(A.LOWER))
-        extra = {self.restore(m[0]) for m in SUSPICIOUS.finditer(low)}
-        return low + b"\n" + b" ".join(sorted(extra)) if extra else low
+    def restored(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The texts in lower case, each followed by its restored words: bytes and offsets."""
+        data, offs = A.flat(column)
+        low = A.LOWER[data]
+        extra: dict[int, set[bytes]] = {}
+        for start, end in suspicious_words(low, offs):
+            doc = int(np.searchsorted(offs, start, "right")) - 1
+            extra.setdefault(doc, set()).update(self.restore(m[0]) for m in SUSPICIOUS.finditer(low[start:end].tobytes()))
+        for start, end in spelt_words(low, offs):
+            doc = int(np.searchsorted(offs, start, "right")) - 1
+            extra.setdefault(doc, set()).add(self.restore(low[start:end].tobytes()))
+        if not extra:
+            return low, offs
+        parts, at = [], 0
+        size = np.diff(offs)
+        for doc in sorted(extra):
+            more = b"\n" + b" ".join(sorted(extra[doc])) + b"\n"
+            parts += [low[at:offs[doc + 1]], np.frombuffer(more, np.uint8)]
+            size[doc] += len(more)
+            at = offs[doc + 1]
+        return np.concatenate([*parts, low[at:]]), np.concatenate([[0], np.cumsum(size)])
+
+
+def suspicious_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
+    """Words between white space that hold a look-alike before a letter, or three equal letters."""
+    if len(low) < 3:
+        return []
+    letter = ASCII_LETTER[low]
+    hit = np.zeros(len(low), bool)
+    hit[:-1] = LOOK[low[:-1]] & letter[1:]
+    hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    start, end = A.spans(~A.SPACE[low], offs)
+    word = np.unique(np.searchsorted(start, at, "right") - 1)
+    return list(zip(start[word].tolist(), end[word].tolist()))
+
+
+def spelt_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of at least ``SPELT`` single characters with one or two gap characters between them."""
+    start, end = A.spans(PART[low] | (low >= 128), offs)
+    one = (end - start == 1) & PART[low[start]] if len(start) else np.zeros(0, bool)
+    if one.sum() < SPELT:
+        return []
+    apart = start[1:] - end[:-1]
+    border = np.searchsorted(offs, start, "right")
+    joined = one[1:] & one[:-1] & (apart <= 2) & GAP[low[end[:-1]]] & GAP[low[start[1:] - 1]] & (border[1:] == border[:-1])
+    first, last = A.spans(joined, np.array([0, len(joined)]))
+    return [(int(start[a]), int(end[b])) for a, b in zip(first, last) if b - a + 1 >= SPELT]
 
 
 def features(column, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and word beginnings of the restored texts (rows: words), and documents' ranges."""
-    out = [channel.restored(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in column]
-    data = np.frombuffer(b"".join(out), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+    data, offs = channel.restored(column)
     start, end = A.spans(LETTER[data], offs)
     keep = end - start >= 3
     start, end = start[keep], end[keep]
