@@ -3,17 +3,17 @@
 A document is its set of distinct five-word shingles. Equal sets are collapsed
 first, so copies cost nothing. Each remaining set is embedded as ``TOKENS``
 minwise tokens: two sets agree on a token with the probability of their Jaccard
-similarity. ``TREES`` independent trees branch the documents: a node chooses
-token positions by a hash of its path and sends each document to the child named
-by its token there. All documents of a node share the path, so a pair above the
-limit follows the same path with high probability (``1 - 0.15 ** 6``, beyond
-0.99998, at the limit for the first level; two positions are chosen on deeper
-levels, which keeps the survival of a pair above 0.96 in each tree at any depth).
+similarity. Independent trees (``trees``: 6 at a limit of 85 percent, 8 at 80) branch
+the documents: a node chooses token positions by a hash of its path and sends each
+document to the child named by its token there. All documents of a node share the
+path, so a pair above the limit stays together in some tree with high probability:
+one position is chosen for the first level and two for the next, and all trees miss
+a pair at the limit with a probability of at most ``MISSED``.
 
 A node of at most ``LEAF`` documents is compared exhaustively; of a larger one every
 document is compared with a pivot, and the node branches on. A comparison estimates
 the similarity from sketches (the smallest hash of each of ``SKETCH`` hash ranges, one
-byte of it) and links what reaches ``LOOSE``, five standard deviations below the limit.
+byte of it) and links what is at most ``LOOSE`` below the limit, over five standard deviations.
 A node gives only a spanning forest of its links, so their number follows the rows and
 not the pairs, and a node whose documents are already connected is finished. Nodes
 still large and mixed at ``DEPTH`` are compared block by block, each block pair in a
@@ -42,12 +42,13 @@ from storepulse.llm import arrays as A
 from storepulse.llm.tables import DOC, components, saved, table, texts
 
 SHINGLE = 5
-LIMIT = 85  # percent
+LIMIT = 85  # percent, of the query
+STAGE_LIMIT = 80  # percent, of the pipeline's stage
 TOKENS = 32
 SKETCH_BITS = 9
 SKETCH = 1 << SKETCH_BITS
-LOOSE = 0.75
-TREES = 6
+LOOSE = 10  # percent points below the limit
+MISSED = 0.00003
 LEAF = 1024
 BLOCK = 512
 DEPTH = 2
@@ -72,10 +73,17 @@ def sketch(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def similar(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+def trees(limit: int) -> int:
+    """As many as lose a pair at the limit on both levels with a probability of at most ``MISSED``."""
+    p = limit / 100
+    lost = 1 - p * (1 - (1 - p) ** CHOICES)
+    return int(np.ceil(np.log(MISSED) / np.log(lost)))
+
+
+def similar(one: np.ndarray, many: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Whether the sketches ``many`` (rows) may reach the limit with ``one``."""
     same = ((one == many) & (one > 0)).sum(-1)
-    return same >= LOOSE * ((one > 0) | (many > 0)).sum(-1)
+    return 100 * same >= (limit - LOOSE) * ((one > 0) | (many > 0)).sum(-1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -111,7 +119,7 @@ def _sketch_rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SKETCH)
 
 
-def first_level(reps: DataFrame) -> DataFrame:
+def first_level(reps: DataFrame, limit: int) -> DataFrame:
     """(node, id): each document under one child of the root of each tree."""
 
     def rows(batches):
@@ -119,7 +127,7 @@ def first_level(reps: DataFrame) -> DataFrame:
             if not part.num_rows:
                 continue
             tok = _token_rows(part.column("tokens")).astype(np.uint64)
-            for tree in range(TREES):
+            for tree in range(trees(limit)):
                 node = A.mix(tok[:, tree] * A.STEP[20] + A.STEP[30 + tree])
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column("id")], ["node", "id"])
 
@@ -145,16 +153,16 @@ def next_level(rows_in: DataFrame) -> DataFrame:
     return rows_in.select("node", "id", "tokens").mapInArrow(rows, "node long, id long")
 
 
-def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
     """Distinct pairs whose sizes allow the limit and whose sketches are similar."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = (pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-            .where(100 * F.least("na", "nb") >= LIMIT * F.greatest("na", "nb")))
+            .where(100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")))
 
     def rows(batches):
         for part in batches:
             if part.num_rows:
-                ok = similar(_sketch_rows(part.column("sa").to_pylist()), _sketch_rows(part.column("sb").to_pylist()))
+                ok = similar(_sketch_rows(part.column("sa").to_pylist()), _sketch_rows(part.column("sb").to_pylist()), limit)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
@@ -185,7 +193,7 @@ def groups(sorted_batches, key: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-def forest(label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+def forest(label: np.ndarray, n: np.ndarray, sketches: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
     """Row pairs that connect what the sketches' links connect, one for each connection; equal labels need none."""
     left = np.arange(len(n))  # rows not yet reached
     out = []
@@ -196,21 +204,21 @@ def forest(label: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> list[tuple
             at, wave = wave[0], wave[1:]
             known = label[left] == label[at]
             near = known.copy()
-            ask = np.flatnonzero(~known & (100 * np.minimum(n[at], n[left]) >= LIMIT * np.maximum(n[at], n[left])))
-            near[ask] = similar(sketches[at], sketches[left[ask]])
+            ask = np.flatnonzero(~known & (100 * np.minimum(n[at], n[left]) >= limit * np.maximum(n[at], n[left])))
+            near[ask] = similar(sketches[at], sketches[left[ask]], limit)
             out += [(at, j) for j in left[near & ~known]]
             wave = np.concatenate([wave, left[near]])
             left = left[~near]
     return out
 
 
-def _compared(rows_in: DataFrame, cell: tuple[str, ...]) -> DataFrame:
+def _compared(rows_in: DataFrame, cell: tuple[str, ...], limit: int) -> DataFrame:
     """(a, b): a forest of the loose links in each cell of at most ``LEAF`` rows."""
 
     def rows(batches):
         for t in groups(batches, cell):
             ids = t.column("id").to_numpy()
-            pairs = forest(t.column("label").to_numpy(), t.column("n").to_numpy(), _sketch_rows(t.column("sketch").to_pylist()))
+            pairs = forest(t.column("label").to_numpy(), t.column("n").to_numpy(), _sketch_rows(t.column("sketch").to_pylist()), limit)
             if pairs:
                 x, y = ids[np.array(pairs)].T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -228,7 +236,7 @@ def block_pairs(df: DataFrame, cell: str, size: str, block: int) -> DataFrame:
     return spread.withColumn("x", F.least("_own", "_other")).withColumn("y", F.greatest("_own", "_other")).drop("_own", "_other")
 
 
-def families(reps: DataFrame) -> DataFrame:
+def families(reps: DataFrame, limit: int) -> DataFrame:
     """(node, component) of every representative with loose links."""
     spark = reps.sparkSession
     edges: list[DataFrame] = []
@@ -253,14 +261,14 @@ def families(reps: DataFrame) -> DataFrame:
         return saved(rows.join(nodes, "node"), "near-rows")
 
     own = reps.select("id", "n", "sketch")
-    rows = mixed(first_level(reps))
+    rows = mixed(first_level(reps, limit))
     for depth in range(1, DEPTH + 1):
         small, large = rows.where(F.col("size") <= LEAF), rows.where(F.col("size") > LEAF)
         more = not large.isEmpty()
-        found = _compared(small.join(own, "id"), ("node",))
+        found = _compared(small.join(own, "id"), ("node",), limit)
         if more:
             star = large.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            found = found.unionByName(alike(star, reps))
+            found = found.unionByName(alike(star, reps, limit))
         link(found)
         if not more:
             break
@@ -270,11 +278,11 @@ def families(reps: DataFrame) -> DataFrame:
         if depth < DEPTH:
             rows = mixed(next_level(rows.join(reps.select("id", "tokens"), "id")))
         else:  # still large and mixed
-            link(_compared(block_pairs(rows.join(own, "id"), "node", "size", LEAF // 2), ("node", "x", "y")))
+            link(_compared(block_pairs(rows.join(own, "id"), "node", "size", LEAF // 2), ("node", "x", "y"), limit))
     return label if label is not None else spark.createDataFrame([], "node long, component long")
 
 
-def true_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def true_links(ids: np.ndarray, sets: list[np.ndarray], limit: int = LIMIT) -> list[tuple[int, int]]:
     """A forest of the pairs whose full sets reach the limit."""
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
@@ -291,7 +299,7 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
         m = np.zeros((len(sets), width), np.float32)
         m[owner[x:y], token[x:y] - a] = 1
         both += m @ m.T
-    linked = 100 * both >= LIMIT * (n[:, None] + n[None, :] - both)
+    linked = 100 * both >= limit * (n[:, None] + n[None, :] - both)
     out, left = [], np.arange(len(sets))
     while len(left):
         wave, left = left[:1], left[1:]
@@ -304,9 +312,9 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     return out
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
     """(node, component) of every representative that is linked; see the module."""
-    family = families(reps)
+    family = families(reps, limit)
     size = family.groupBy("component").agg(F.count("*").alias("size"))
     member = family.join(size, "component").select(F.col("node").alias(DOC), "component", "size")
 
@@ -320,7 +328,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     def check(batches):
         for t in groups(batches, ("component", "x", "y")):
             # the same id may have several texts
-            pairs = true_links(t.column("id").to_numpy(), [np.frombuffer(v, np.uint64) for v in t.column("s").to_pylist()])
+            pairs = true_links(t.column("id").to_numpy(), [np.frombuffer(v, np.uint64) for v in t.column("s").to_pylist()], limit)
             if pairs:
                 a, b = np.array(pairs, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -331,8 +339,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return saved(components(cells.mapInArrow(check, "a long, b long")), "near-components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``; pairs of ``limit`` percent link."""
     sigs = saved(signatures(docs), "near-signatures")
     sets = ["k1", "k2", "n_shingles"]
     reps = saved(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*sets)
@@ -342,7 +350,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  "near-reps")
     # a doc_id with several texts ties their sets together
     shared = (sigs.where("doc_id is not null").groupBy(DOC).agg(F.count("*").alias("c")).where("c > 1").select(DOC))
-    label = links(docs, reps)
+    label = links(docs, reps, limit)
     if not shared.isEmpty():
         ties = (sigs.join(shared, DOC).where("n_shingles > 0").join(reps.select(*sets, "id"), sets)
                 .select(F.col(DOC).alias("a"), F.col("id").alias("b")))
@@ -362,7 +370,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id.
+    """Pipeline stage: of each group of near copies (``STAGE_LIMIT``) the document with the smallest id.
     Rows that repeat a kept id all stay; documents without id or words stay."""
-    gone = near_duplicates(docs).where("not kept").select(DOC).distinct()
+    gone = near_duplicates(docs, STAGE_LIMIT).where("not kept").select(DOC).distinct()
     return docs.join(gone, DOC, "left_anti").select(*docs.columns)

@@ -109,3 +109,22 @@ def test_sketches_pass_pairs_at_the_limit(similarity):
         a, b = np.sort(union[:keep + half]), np.sort(np.concatenate([union[:keep], union[keep + half:]]))
         x, y = (np.frombuffer(near.sketch(s), np.uint8) for s in (a, b))
         assert near.similar(x, y[None])[0]
+
+
+def test_stage_links_pairs_of_eighty_percent(spark, tables):
+    """The stage against all pairs at 0.8; pairs between 0.8 and the query's limit are among them."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = [f"g{k}w{i}" for i in range(204)]  # 200 shingles
+        rows.append((2 * k, " ".join(base), "en", "s", 1))
+        size = 36 + k // 4  # words cut from the end: similarity (200 - size) / 200, from 0.82 down to 0.775
+        rows.append((2 * k + 1, " ".join(base[:len(base) - size]), "en", "s", 1))
+    rng.shuffle(rows)
+    path = tables(rows)
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    gone = {2 * k + 1 for k in range(40) if alike(2 * k, 2 * k + 1) >= 0.8}
+    assert 10 < len(gone) < 40 and all(alike(i - 1, i) < 0.85 for i in gone)
+    out = near.keep_one(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert {r.doc_id for r in out.collect()} == set(sets) - gone
