@@ -6,12 +6,14 @@ predicts the masked token from ``SIDE`` tokens on each side: a table per
 position, a tanh layer and a softmax over the vocabulary. It is trained in numpy
 where the documents are: in each of ``ROUNDS`` rounds every task starts from the
 shared parameters, takes Adagrad steps over every ``MASK``-th position of its
-documents (other positions each round), and the parameters of all tasks are averaged
+documents (other positions each round, every position once over all rounds), and the parameters of all tasks are averaged
 in one shuffle, weighted by their positions. All documents take part, so what is
 gathered grows with the corpus; a model has a fixed size.
 
 A document's score is the sum over all its tokens of the log-probability given both
-sides; ``mean`` divides by their number. Null and empty texts have no tokens, sum 0
+sides; ``mean`` divides by their number. A word that shares a token counts with the
+token's probability times the word's exact share in it: shares of the ``KNOWN`` most
+frequent such words are sent to the tasks, the others meet their counts in a join. Null and empty texts have no tokens, sum 0
 and a null mean. Repeated rows count each. Task boundaries change the averaged
 parameters slightly, so scores are equal only for equal partitions.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm import arrays as A
-from storepulse.llm.tables import DOC, table, texts
+from storepulse.llm.tables import DOC, saved, table, texts
 
 VOCABULARY = 256
 BUCKETS = 64
@@ -32,8 +34,10 @@ WORDS = VOCABULARY - BUCKETS - 1  # the last token stands beyond a document's en
 BORDER = VOCABULARY - 1
 SIDE = 2
 HIDDEN = 16
-MASK = 16
 ROUNDS = 2
+MASK = ROUNDS  # every position is a target in one round
+KNOWN = 1 << 16
+GRAIN = 1 << 20
 BATCH = 1024
 RATE = 0.15
 HELD = 400_000  # distinct words a task holds before it sends their counts
@@ -174,20 +178,45 @@ def train_round(docs: DataFrame, tokens: Tokens, start: np.ndarray, offset: int)
     return out
 
 
-def fit(docs: DataFrame) -> tuple[Tokens, np.ndarray]:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    tokens = Tokens(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+class Shares:
+    """Log of the share that words have of their bucket: of the most frequent ones, and the buckets' totals."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, totals: np.ndarray):
+        order = np.argsort(words)
+        self.key, self.totals = words[order], totals
+        self.value = np.log(n[order] / totals[(self.key % A.U64(BUCKETS)).astype(np.int64)])
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shares, and whether each word is among those known here."""
+        if not len(self.key):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
+        known = self.key[at] == hashes
+        return np.where(known, self.value[at], 0), known
+
+
+def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Tokens, np.ndarray, Shares, DataFrame]:
+    """Tokens, parameters, the shares of ``known`` words beyond the tokens, and the counts of all words."""
+    counts = saved(word_counts(docs), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS + known).toPandas()
+    word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(float)
+    tokens = Tokens(word[:WORDS])
+    totals = np.zeros(BUCKETS)
+    for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        totals[r["b"]] = r["n"]
+    np.subtract.at(totals, (word[:WORDS] % A.U64(BUCKETS)).astype(np.int64), n[:WORDS])
     params = Network.fresh()
     for r in range(ROUNDS):
         params = train_round(docs, tokens, params, (r * MASK) // ROUNDS)
-    return tokens, params
+    return tokens, params, Shares(word[WORDS:], n[WORDS:], totals), counts
 
 
-def likelihoods(docs: DataFrame, tokens: Tokens, params: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((tokens, params))
+def likelihoods(docs: DataFrame, tokens: Tokens, params: np.ndarray, shares: Shares, counts: DataFrame) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((tokens, params, shares))
+    rare_type = pa.list_(pa.struct([("word", pa.int64()), ("k", pa.int64())]))
 
     def rows(batches):
-        tokens, params = sent.value
+        tokens, params, shares = sent.value
         net = Network(params)
         for part in A.slices(batches):
             w = A.Words(part.column("text"))
@@ -195,15 +224,32 @@ def likelihoods(docs: DataFrame, tokens: Tokens, params: np.ndarray) -> DataFram
             logp = np.zeros(len(ids) + 1)
             for a in range(0, len(ids), 4 * BATCH):
                 at = np.arange(a, min(a + 4 * BATCH, len(ids)))
-                logp[at + 1] = net.log_probability(contexts(ids, w.range, at), ids[at])
-            sums = np.cumsum(logp)
+                # whole blocks, so that a position's value does not depend on its place in the batch
+                full = np.minimum(np.arange(a, a + -(-len(at) // 64) * 64), at[-1])
+                logp[at + 1] = net.log_probability(contexts(ids, w.range, full), ids[full])[:len(at)]
+            share, known = shares.of(w.hashes)
+            logp[1:] += np.where(ids >= WORDS, share, 0)
+            sums = np.cumsum(np.round(logp * GRAIN) / GRAIN)  # exact sums
             total = sums[w.range[1:]] - sums[w.range[:-1]]
-            mean = np.where(w.counts > 0, total / np.maximum(w.counts, 1), 0)
+            left = np.flatnonzero((ids >= WORDS) & ~known)
+            cuts = np.searchsorted(left, w.range)
+            rare = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                word, k = np.unique(w.hashes[left[a:b]].view(np.int64), return_counts=True)
+                rare.append([{"word": x, "k": y} for x, y in zip(word.tolist(), k.tolist())])
             yield pa.RecordBatch.from_arrays(
-                [part.column(DOC), pa.array(w.counts), pa.array(total), pa.array(mean, mask=w.counts == 0)],
-                [DOC, "n_tokens", "log_likelihood", "mean"])
-
-    return texts(docs).mapInArrow(rows, "doc_id long, n_tokens long, log_likelihood double, mean double")
+                [part.column(DOC), pa.array(w.counts), pa.array(total), pa.array(rare, rare_type)],
+                [DOC, "n_tokens", "part", "rare"])
+
+    base = saved(texts(docs).mapInArrow(rows, "doc_id long, n_tokens long, part double, rare array<struct<word: long, k: long>>")
+                 .withColumn("row", F.monotonically_increasing_id()), "likelihood-parts")
+    totals = F.array(*[F.lit(float(np.log(max(t, 1)))) for t in shares.totals])
+    bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    more = (base.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
+            .join(counts, "word").groupBy("row").agg(F.sum(F.col("k") * (F.log("n") - F.get(totals, bucket))).alias("more")))
+    total = F.col("part") + F.coalesce("more", F.lit(0.0))
+    return base.drop("rare").join(more, "row", "left").select(
+        DOC, "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

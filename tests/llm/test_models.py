@@ -9,6 +9,7 @@ import pytest
 from conftest import SF_MID
 from llm.conftest import hard_rows
 from storepulse.llm import likelihood, quality, toxicity
+from storepulse.llm.tables import table
 
 
 def held(spark, path, query, column):
@@ -141,3 +142,24 @@ def test_word_counts_are_exact(spark, tables, monkeypatch):
     from llm.conftest import lower, plain_words
     want = collections.Counter(w for _, t, *_ in rows for w in plain_words(lower(t)))
     assert sorted(r.n for r in counts.collect()) == sorted(want.values())
+
+
+def test_every_position_is_a_target_in_one_round():
+    offsets = [(r * likelihood.MASK) // likelihood.ROUNDS % likelihood.MASK for r in range(likelihood.ROUNDS)]
+    assert sorted(offsets) == list(range(likelihood.MASK))
+
+
+def test_words_of_one_bucket_score_by_their_own_counts(spark, tables):
+    """Two documents that differ in one word of the same bucket differ by the log of the words' counts."""
+    import pyarrow as pa
+    names = [f"w{i}" for i in range(2000)]
+    bucket = dict(zip(names, (likelihood.A.Words(pa.array([" ".join(names)])).hashes % np.uint64(likelihood.BUCKETS)).tolist()))
+    common, rest = names[:300], names[300:]
+    usual = common[299]
+    rare = next(w for w in rest if bucket[w] == bucket[usual])
+    docs = [(i, " ".join(common[:200] * 2 + common[200:]), "en", "s", 1) for i in range(20)]
+    docs += [(100, f"{common[0]} {usual} {common[1]}", "en", "s", 1), (101, f"{common[0]} {rare} {common[1]}", "en", "s", 1)]
+    frame = table(spark, tables(docs, clashing=False), "documents")
+    for known in (likelihood.KNOWN, 5, 0):
+        got = {r.doc_id: r.log_likelihood for r in likelihood.likelihoods(frame, *likelihood.fit(frame, known)).collect()}
+        assert abs(got[100] - got[101] - np.log(21)) < 1e-3, known
