@@ -176,3 +176,10 @@ def test_slices_keep_every_row():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 25, "c"]})
     parts = list(licenses.A.slices([batch], limit=12))
     assert [p.num_rows for p in parts] == [3, 1, 1]
+
+
+def test_long_lines_of_a_host_are_boilerplate_too(spark, tables):
+    notice = " ".join(f"clause{i}" for i in range(45))
+    rows = [(i, f"{notice}\nown words of text {i} which are not many", "en", "host", 1) for i in range(25)]
+    got = lines.op6_quality_rules(spark, tables(rows)).collect()
+    assert {(r.n_removed_words, r.kept) for r in got} == {(45, False)}
