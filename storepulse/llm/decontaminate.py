@@ -9,8 +9,9 @@ Myers' bit-parallel edit distance.
 
 Items are taken in blocks of at most ``BLOCK_BYTES`` (one automaton, sent to
 every task); a larger benchmark takes several passes over the documents, so
-nothing sent out grows with the tables. Items of fewer than ``LEAST`` bytes say
-too little to mark a leak and are not sought; null and empty texts match nothing.
+nothing sent out grows with the tables. Items of fewer than ``LEAST`` bytes are sought
+without edits and between word borders, so that they are not found within other words;
+null and empty texts match nothing.
 A doc_id or item_id that is null is kept in the result as null; repeated items or
 documents give one row for each pair of ids (the closest match).
 """
@@ -29,6 +30,7 @@ PER_ERROR = 16
 LEAST = 32
 BLOCK_BYTES = 4 << 20
 _FOLD = bytes(A.LOWER)
+WORD = [48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)]  # of folded text
 SCHEMA = "doc_id long, item_id long, distance long, start long"
 
 
@@ -36,6 +38,15 @@ def folded(raw: bytes) -> bytes:
     return b" ".join(raw.translate(_FOLD).split())
 
 
+def edits(item: bytes) -> int:
+    return len(item) // PER_ERROR if len(item) >= LEAST else 0
+
+
+def bordered(text: bytes, start: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on over either end of the range."""
+    return not any(0 < at < len(text) and WORD[text[at - 1]] and WORD[text[at]] for at in (start, end))
+
+
 def nearest(item: bytes, text: bytes) -> tuple[int, int]:
     """Smallest edit distance of ``item`` to a substring of ``text``, and that substring's (first) end."""
     n = len(item)
@@ -64,7 +75,7 @@ class Finder:
         self.items = items
         pieces: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(items):
-            parts = len(item) // PER_ERROR + 1
+            parts = edits(item) + 1
             for j in range(parts):
                 a, b = j * len(item) // parts, (j + 1) * len(item) // parts
                 pieces.setdefault(item[a:b], []).append((k, a))
@@ -85,12 +96,13 @@ class Finder:
         found = []
         for k, starts in hits.items():
             item = self.items[k][1]
-            budget = len(item) // PER_ERROR
+            budget = edits(item)
             best = (budget + 1, 0)
-            exact = [s for s in starts if s >= 0 and text.startswith(item, s)]
+            exact = [s for s in starts if s >= 0 and text.startswith(item, s)
+                     and (len(item) >= LEAST or bordered(text, s, s + len(item)))]
             if exact:
                 best = (0, min(exact))
-            else:
+            elif budget:
                 done = -1
                 for s in sorted(starts):
                     if s <= done:  # the window before this one covers it
@@ -111,7 +123,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
     block, used = [], 0
     for row in items.toLocalIterator():
         item = folded(row["text"].encode())
-        if len(item) < LEAST:
+        if not item:
             continue
         if block and used + len(item) > size:
             yield block

@@ -178,6 +178,18 @@ def test_slices_keep_every_row():
     assert [p.num_rows for p in parts] == [3, 1, 1]
 
 
+def test_short_items_are_sought_whole_between_word_borders(spark, tables):
+    items = [(1, "What is the capital of Peru?"), (2, "Lima"), (3, "  "), (4, "$5.")]
+    docs = [(1, "He asked: what is  the CAPITAL of Peru? Nobody knew.", "en", "s", 1), (2, "in lima, they say", "en", "s", 1),
+            (3, "the limage of a climate", "en", "s", 1), (4, "what is the capital of Cuba?", "en", "s", 1), (5, "it costs $5.", "en", "s", 1),
+            (6, "climates of Lima", "en", "s", 1)]
+    path = tables(docs, benchmark=items)
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.op10_decontaminate(spark, path).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (5, 4, 0), (6, 2, 0)}
+    kept = decontaminate.keep_clean(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert {r.doc_id for r in kept.collect()} == {3, 4}
+
+
 def test_long_lines_of_a_host_are_boilerplate_too(spark, tables):
     notice = " ".join(f"clause{i}" for i in range(45))
     rows = [(i, f"{notice}\nown words of text {i} which are not many", "en", "host", 1) for i in range(25)]
