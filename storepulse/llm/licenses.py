@@ -5,7 +5,8 @@ characters belong to words) are written with single spaces, and one automaton
 finds every place of every phrase, so a phrase is found across punctuation and
 line breaks. Identifier tags (``SPDX-License-Identifier:`` up to the end of the
 line) are parsed as expressions: ``WITH`` binds closest, then ``AND``, then
-``OR``; parentheses group. A tag that is no valid expression gives no label.
+``OR``; parentheses group. The longest valid expression at the tag's start counts, whatever
+follows it on the line; a tag that does not begin with one gives no label.
 
 The base phrases alone make ``n_base``, ``first_word``, ``last_word`` and
 ``base_labels``. ``labels`` adds those of the notice phrases and tags. ``score`` says
@@ -109,6 +110,37 @@ def postfix(text: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def leading(text: str) -> str:
+    """The longest valid expression at the beginning of ``text``, or nothing.
+
+    It ends before an operand that follows an operand, a parenthesis that does not fit or
+    a foreign character; before that, the last place where an expression was complete.
+    """
+    operand, depth, at, end = True, 0, 0, 0
+    while m := TOKEN.match(text, at):
+        token = m[1] or m[2]
+        if token in BINDING:
+            if operand:
+                break
+            operand = True
+        elif token == "(":
+            if not operand:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif not operand:
+            break
+        else:
+            operand = False
+        at = m.end()
+        if not operand and not depth:
+            end = at
+    return text[:end]
+
+
 def evaluated(expression: str) -> tuple[set[str], float] | None:
     """Labels and level of a licence expression; None if it is not valid."""
     tokens = postfix(expression)
@@ -162,7 +194,7 @@ class Scanner:
             found = min(found, level(label))
         if b"-" in raw:
             for m in TAG.finditer(raw.translate(bytes(A.LOWER))):
-                if got := evaluated(m[1].decode("utf-8", "replace").strip()):
+                if got := evaluated(leading(m[1].decode("utf-8", "replace"))):
                     labels |= got[0]
                     found = min(found, got[1])
         return (len(words), places, first, last, ",".join(sorted(base)), ",".join(sorted(labels)),

@@ -178,6 +178,17 @@ def test_slices_keep_every_row():
     assert [p.num_rows for p in parts] == [3, 1, 1]
 
 
+def test_a_tag_is_read_up_to_where_its_expression_ends():
+    scan = licenses.Scanner().scan
+    for text, labels in (("SPDX-License-Identifier: MIT Copyright 2020 The Authors", "mit"),
+                         ('SPDX-License-Identifier: Apache-2.0" and more', "apache-2"),
+                         ("<p>SPDX-License-Identifier: (MIT OR ISC) AND GPL-2.0-only<br>text", "gpl-2.0,isc,mit"),
+                         ("SPDX-License-Identifier: MIT OR (ISC text", "mit"),
+                         ("SPDX-License-Identifier: MIT OR", "mit"), ("SPDX-License-Identifier: MIT) x", "mit"),
+                         ("SPDX-License-Identifier: AND MIT", ""), ("SPDX-License-Identifier: ?? MIT", "")):
+        assert scan(text.encode())[5] == labels, text
+
+
 def test_short_items_are_sought_whole_between_word_borders(spark, tables):
     items = [(1, "What is the capital of Peru?"), (2, "Lima"), (3, "  "), (4, "$5.")]
     docs = [(1, "He asked: what is  the CAPITAL of Peru? Nobody knew.", "en", "s", 1), (2, "in lima, they say", "en", "s", 1),
