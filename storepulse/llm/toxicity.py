@@ -5,8 +5,8 @@ Words may be written with look-alike characters (``1d10t``), with gaps
 a lattice: a position offers its own character and the letters it may stand for, a
 gap may be dropped, a run of one letter may shrink to one or two. Viterbi decoding
 under a character trigram model, trained on the words of all documents, picks
-the best path; the restored words are added to the text. A token whose lattice has
-one path only needs no decoding and stands as it is.
+the best path; the restored words are added to the text. The marks ``CLOSING`` at a token's
+end may also stand for nothing; what is then written as it stood is not added again.
 
 The restored text is scored by words and word beginnings: their log-odds in toxic
 and other labelled documents make a lexicon (bounded: ``LEXICON`` entries from at
@@ -46,11 +46,11 @@ _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
-# in a word that holds a look-alike before a letter, or three equal letters
+# of a letter and a look-alike in any places, or three equal letters; of look-alikes alone: with @ or two marks, not all equal
 SUSPICIOUS = re.compile(
-    rb"[a-z0-9@$!+|]*[a-z][0-9@$!+|]+[a-z][a-z0-9@$!+|]*"  # a look-alike between letters
-    rb"|(?<![a-z0-9@$!+|\x80-\xff])[0-9@$!+|]{1,3}[a-z]{2,}"  # or before them
-    rb"|[a-z]*([a-z])\1\1[a-z]*")
+    rb"(?=[a-z0-9@$!+|]*[a-z])(?=[a-z]*[0-9@$!+|])[a-z0-9@$!+|]+"
+    rb"|(?<![0-9@$!+|])(?=[0-9$!+|]*@|[0-9]*[$!+|][0-9]*[$!+|])(?!(.)\1*(?![0-9@$!+|]))[0-9@$!+|]{3,}"
+    rb"|[a-z]*([a-z])\2\2[a-z]*")
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[97:123] = True
 LOOK = np.zeros(256, bool)
@@ -58,7 +58,10 @@ LOOK[list(b"0123456789@$!+|")] = True
 PART = ASCII_LETTER | LOOK
 GAP = np.zeros(256, bool)
 GAP[list(b" ._*-")] = True
-SPELT = 4  # single characters with gaps that make a spelt word
+MARK = np.zeros(256, bool)
+MARK[list(b"@$!+|")] = True
+CLOSING = "!|"  # marks that often only end a word
+SPELT = 3  # single characters with gaps that make a spelt word
 LONGEST = 64  # characters of a lattice; longer junk is decoded in parts
 
 
@@ -107,11 +110,12 @@ class Channel:
 
     def decode(self, text: str) -> str:
         """The most likely word: Viterbi over (last two letters), one step for each run of equal characters."""
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", text)]
+        runs = [(m[0][0], len(m[0]), m.start()) for m in re.finditer(r"(.)\1*", text)]
+        core = len(text.rstrip(CLOSING)) or len(text)
         paths = {(0, 0): (0.0, "")}
-        for char, n in runs:
+        for char, n, at in runs:
             letters = [char] if char.isalpha() else list(LOOKS.get(char, "")) or [""]
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, str]] = dict(paths) if at >= core else {}
             for (x, y), (score, word) in paths.items():
                 for letter in letters:
                     if not letter:  # no letter looks like it: it ends nothing and says nothing
@@ -136,7 +140,9 @@ class Channel:
         extra: dict[int, set[bytes]] = {}
         for start, end in suspicious_words(low, offs):
             doc = int(np.searchsorted(offs, start, "right")) - 1
-            extra.setdefault(doc, set()).update(self.restore(m[0]) for m in SUSPICIOUS.finditer(low[start:end].tobytes()))
+            for m in SUSPICIOUS.finditer(low[start:end].tobytes()):
+                if (word := self.restore(m[0])) != m[0].rstrip(CLOSING.encode()):
+                    extra.setdefault(doc, set()).add(word)
         for start, end in spelt_words(low, offs):
             doc = int(np.searchsorted(offs, start, "right")) - 1
             extra.setdefault(doc, set()).add(self.restore(low[start:end].tobytes()))
@@ -153,19 +159,20 @@ class Channel:
 
 
 def suspicious_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
-    """Words between white space that hold a look-alike before a letter, or three equal letters."""
-    if len(low) < 3:
+    """Words between white space that hold a look-alike and a letter or two marks or @, or three equal letters."""
+    if len(low) < 2:
         return []
     letter = ASCII_LETTER[low]
-    hit = np.zeros(len(low), bool)
-    hit[:-1] = LOOK[low[:-1]] & letter[1:]
-    hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return []
     start, end = A.spans(~A.SPACE[low], offs)
-    word = np.unique(np.searchsorted(start, at, "right") - 1)
-    return list(zip(start[word].tolist(), end[word].tolist()))
+    word = lambda at: np.searchsorted(start, np.flatnonzero(at), "right") - 1
+    look = np.unique(word(LOOK[low]))
+    marks = np.bincount(word(MARK[low]), minlength=len(start))
+    has = np.append(0, np.cumsum(letter))
+    hit = look[(has[end[look]] > has[start[look]]) | (marks[look] > 1)]
+    at = np.zeros(len(low), bool)
+    at[:-2] = letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
+    hit = np.union1d(hit, np.concatenate([word(at), word(low == ord("@"))]))
+    return list(zip(start[hit].tolist(), end[hit].tolist()))
 
 
 def spelt_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:

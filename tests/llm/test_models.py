@@ -163,3 +163,17 @@ def test_words_of_one_bucket_score_by_their_own_counts(spark, tables):
     for known in (likelihood.KNOWN, 5, 0):
         got = {r.doc_id: r.log_likelihood for r in likelihood.likelihoods(frame, *likelihood.fit(frame, known)).collect()}
         assert abs(got[100] - got[101] - np.log(21)) < 1e-3, known
+
+
+def test_look_alikes_in_last_place_and_short_spelt_words_are_restored(spark, tables):
+    import pyarrow as pa
+    words = "shit idiot ass cunt word stone river paper class glass grass bass mass the and devil".split()
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(100)), "en", "s", 1) for i in range(20)]
+    frame = table(spark, tables(rows, clashing=False), "documents")
+    channel = toxicity.Channel(toxicity.trigram_counts(frame))
+    for text, want in (("shi7", {"shit"}), ("idi07", {"idiot"}), ("a$$", {"ass"}), ("@$$", {"ass"}), ("cun+", {"cunt"}), ("an a s s", {"ass"}),
+                       ("(shi7)", {"shit"}), ("1d10t", {"idiot"}), ("word!! and river!", set()), ("dev!l", {"devil"}), ("$100 100! !!! 2020", set())):
+        data, offs = channel.restored(pa.array([text]))
+        got = set(data.tobytes().decode()[len(text):].split())
+        assert got >= want if want else not got, (text, got)
