@@ -7,11 +7,13 @@ from storepulse.llm.licenses import op3_licenses
 from storepulse.llm.likelihood import op7_lm_scoring
 from storepulse.llm.lines import op6_quality_rules
 from storepulse.llm.near import op1_near_dedup
+from storepulse.llm.negatives import op13_hard_negatives
 from storepulse.llm.pack import op2_packing
 from storepulse.llm.passages import op4_substring_dedup
 from storepulse.llm.quality import op9_quality
 from storepulse.llm.suffixes import op8_suffix_dedup
 from storepulse.llm.toxicity import op5_toxicity
+from storepulse.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(regexp_split_to_array(COALESCE({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -60,4 +64,18 @@ b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(list_sum
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed_words <= 0.8 * n_words AS kept, n_removed_words FROM b""",
+    # every anchor against every row
+    "op13_hard_negatives": """
+WITH t AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS y FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.y, b.y) AS BIGINT) AS score
+      FROM t a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND own <> label
+        AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10""",
 }

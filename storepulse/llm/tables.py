@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +17,25 @@ BATCH_BYTES = 4 << 20
 PER_TASK = 4 << 20  # compressed bytes of links for each task of a round of ``components``
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for an application, whatever folder the driver was started in.
+    Spark serves the archive from the driver, whose copy lives as long as its process."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="storepulse-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(package, os.path.join(folder, "code", "storepulse"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "storepulse"), "zip", os.path.join(folder, "code")))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +52,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
     Texts go to Python in batches of at most ``BATCH_BYTES``, so that a task's memory is bounded.
     """
+    ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(F.col(DOC).cast("long").alias(DOC), F.col("text").cast("string").alias("text"), *more)
 
@@ -38,6 +62,7 @@ def saved(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     so a lost executor costs no recomputation, and it is computed once. ``tasks`` bounds
     the files written."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
