@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from storepulse.llm.decontaminate import op10_decontaminate
+from storepulse.llm.incidence import op11_jaccard_join
 from storepulse.llm.licenses import op3_licenses
 from storepulse.llm.likelihood import op7_lm_scoring
 from storepulse.llm.lines import op6_quality_rules
@@ -26,25 +27,32 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_whitening": op12_whitening,
     "op13_hard_negatives": op13_hard_negatives,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(regexp_split_to_array(COALESCE({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-ORACLES: dict[str, str] = {
-    # all pairs by their shared shingles, and reachability
-    "op1_near_dedup": f"""
+
+def _near(limit: int, more: str) -> str:
+    """All pairs by their shared shingles, and reachability."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS sh
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {limit} * (a.n + b.n - c)),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
 m AS (SELECT doc_id, MIN(reach) AS component_id FROM r GROUP BY doc_id)
-SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id, m.component_id = d.doc_id AS kept
-FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id{more}
+FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": _near(85, ", m.component_id = d.doc_id AS kept"),
+    "op11_jaccard_join": _near(80, ""),
     "op6_quality_rules": rf"""
 WITH w AS (SELECT doc_id, source, COALESCE(text, '') AS t, {_WORDS.format('text')} AS w FROM documents),
 g AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
