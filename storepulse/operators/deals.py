@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.timewin import ntz_lit
+from .numbering import numbered
 
 DAY_US = 86_400_000_000
 # The longest period that is answered, in months of 30 days; the dashboard asks for 1 to 48.
 LONGEST_PERIOD = 48
+DEALS_PER_MESSAGE = 1000
 
 
 def period_start(as_of: dt.datetime, months: int) -> dt.datetime:
@@ -125,37 +127,45 @@ def report_for_store(report: DataFrame, store_id: str) -> DataFrame:
     return report.filter(F.col("store_id") == store_id)
 
 
+def deals_in_order(deals: DataFrame) -> DataFrame:
+    """SRT-2: ``rank_deals`` with each deal's global ``rank`` (from 1, the largest discount first, then
+    product and store), numbered over range partitions."""
+    order = [F.col("evaluated_discount").desc_nulls_last(), F.col("product_id"), F.col("store_id")]
+    return numbered(rank_deals(deals), "rank", order)
+
+
 def deal_messages(deals: DataFrame, months: int, discount: float, as_of: dt.datetime,
-                  parts: int = 1) -> DataFrame:
-    """FN-16 + the deal job's result message. The reference sends every deal
-    in one message; ``parts``, fixed by the caller, spreads them by an md5 of the
-    product key, so that a list is as long as the caller can accept. Every part is
-    sent, also with an empty list: the consumer learns that there is no deal.
-    Prices travel as decimal text (Q18), DECIMAL(10,2) and DECIMAL(20,6) like the
-    reference."""
+                  deals_per_message: int = DEALS_PER_MESSAGE) -> DataFrame:
+    """FN-16 + the deal job's result messages. The reference sends every deal in one message; here
+    message ``part`` (of ``parts``) holds the next ``deals_per_message`` ranks, so that no message grows with
+    the deals. Without any deal one message with an empty list is sent: the consumer learns that there is none.
+    Prices travel as decimal text (Q18), DECIMAL(10,2) and DECIMAL(20,6) like the reference."""
     spark = deals.sparkSession
-    key = F.md5(F.concat_ws(":", F.col("product_id"), F.col("store_id")))
-    part = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(parts))
+    ranked = deals_in_order(deals)
+    part = F.floor((F.col("rank") - 1) / deals_per_message).cast("long")
     entry = F.struct(F.col("product_id").alias("id"), "name", "store_id",
                      F.col("price").cast("decimal(10,2)").cast("string").alias("price"),
                      F.col("average_price").cast("decimal(20,6)").cast("string").alias("average_price"))
-    grouped = deals.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("deals"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", entry.alias("deal"))))
+    grouped = ranked.groupBy(part.alias("part")).agg(F.transform(listed, lambda d: d["deal"]).alias("deals"))
+    parts = max(1, -(-ranked.count() // deals_per_message))  # of the written ranks
     every = spark.range(parts).select(F.col("id").alias("part")).join(grouped, "part", "left")
     body = F.struct(F.lit("success").alias("status"), F.lit("price_monitor_job_results").alias("task_name"),
                     F.coalesce(F.col("deals"), F.expr("array()").cast(grouped.schema["deals"].dataType)).alias("deals"),
                     F.lit(months).alias("time_window"),
                     F.lit(float(discount)).alias("discount_percentage"),
-                    F.lit(as_of.isoformat()).alias("timestamp"), F.col("part"), F.lit(parts).alias("parts"))
+                    F.lit(as_of.isoformat()).alias("timestamp"), F.col("part"), F.lit(parts).alias("parts"),
+                    (F.col("part") * deals_per_message + 1).alias("first_rank"))
     return every.select("part", F.to_json(body).alias("message"))
 
 
 DEAL_RESULT_DDL = ("status STRING, task_name STRING, deals ARRAY<STRUCT<id: STRING, name: STRING, "
                    "store_id: STRING, price: STRING, average_price: STRING>>, time_window INT, "
-                   "discount_percentage DOUBLE, timestamp STRING, part INT, parts INT")
+                   "discount_percentage DOUBLE, timestamp STRING, part BIGINT, parts BIGINT, first_rank BIGINT")
 
 
 def decode_deal_messages(messages: DataFrame, column: str = "message") -> DataFrame:
-    """FN-16 + FN-14, the dashboard side: result messages -> one row per deal
+    """FN-16 + FN-14, the dashboard side: result messages -> one row per deal with its rank
     (numbers back from their text, the answer time parsed from ISO text, with
     or without fractional seconds), ready for ``rank_deals``."""
     m = messages.select(F.from_json(F.col(column), DEAL_RESULT_DDL).alias("m"))
@@ -163,8 +173,10 @@ def decode_deal_messages(messages: DataFrame, column: str = "message") -> DataFr
     at = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
                     F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     rows = m.select(F.col("m.time_window").alias("months"), F.col("m.discount_percentage").alias("discount"),
-                    at.cast("timestamp_ntz").alias("answered_at"), F.explode("m.deals").alias("d"))
-    return rows.select("months", "discount", "answered_at", F.col("d.id").alias("product_id"), "d.name",
+                    at.cast("timestamp_ntz").alias("answered_at"), F.col("m.first_rank").alias("first"),
+                    F.posexplode("m.deals").alias("place", "d"))
+    return rows.select("months", "discount", "answered_at", (F.col("first") + F.col("place")).alias("rank"),
+                       F.col("d.id").alias("product_id"), "d.name",
                        "d.store_id", F.col("d.price").try_cast("double").alias("price"),
                        F.col("d.average_price").try_cast("double").alias("average_price"))
 

@@ -28,9 +28,13 @@ def _product_attrs(products: DataFrame, *cols: str) -> DataFrame:
 
 def purchases_per_minute(buys: DataFrame, duration: str = "1 minute") -> DataFrame:
     """AGG-1: bought units per (window, store) plus ``All`` per window."""
-    w = buys.select(F.window("datetime", duration).alias("window"), "store_id")
-    agg = (w.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
-             .agg(F.count(F.lit(1)).alias("count"), F.grouping("store_id").alias("_g")))
+    return units_per_window(buys.select(F.window("datetime", duration).alias("window"), "store_id"), F.count(F.lit(1)))
+
+
+def units_per_window(rows: DataFrame, units: Column) -> DataFrame:
+    """The end of AGG-1, from events or from counts kept of them."""
+    agg = (rows.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
+             .agg(units.alias("count"), F.grouping("store_id").alias("_g")))
     return agg.select(F.col("window.start").cast("string").alias("window_start"),
                       F.col("window.end").alias("window_end"), _store_or_all(), "count")
 
@@ -40,6 +44,10 @@ def _with_product(events: DataFrame, products: DataFrame, duration: str, *cols:
     product attributes, left join (unmatched events keep null attributes)."""
     per_product = (events.groupBy(F.window("datetime", duration).alias("window"), "store_id", "product_id")
                          .agg(F.count(F.lit(1)).alias("n")))
+    return with_attributes(per_product, products, *cols)
+
+
+def with_attributes(per_product: DataFrame, products: DataFrame, *cols: str) -> DataFrame:
     return per_product.join(_product_attrs(products, *cols), ["product_id", "store_id"], "left")
 
 
@@ -49,7 +57,11 @@ def revenue_per_minute(views: DataFrame, products: DataFrame, duration: str = "1
     Views without a product match contribute null; the amount is null when no
     view of the group matched.
     """
-    j = _with_product(views, products, duration, "price")
+    return viewed_price(_with_product(views, products, duration, "price"))
+
+
+def viewed_price(j: DataFrame) -> DataFrame:
+    """The end of AGG-2, from counts per product with their price."""
     agg = (j.groupingSets([["window", "store_id"], ["window"]], "window", "store_id")
              .agg(F.sum(F.col("n") * F.col("price").cast("int")).alias("amount_earned"),
                   F.grouping("store_id").alias("_g")))
@@ -108,7 +120,11 @@ def unique_users_distinct_all(views: DataFrame, products: DataFrame, duration: s
 
 def view_ranking_per_hour(views: DataFrame, products: DataFrame, duration: str = "1 hour") -> DataFrame:
     """AGG-4: views per (window, name, store) plus ``All`` per (window, name)."""
-    j = _with_product(views, products, duration, "name")
+    return views_per_name(_with_product(views, products, duration, "name"))
+
+
+def views_per_name(j: DataFrame) -> DataFrame:
+    """The end of AGG-4, from counts per product with their name."""
     agg = (j.groupingSets([["window", "name", "store_id"], ["window", "name"]], "window", "name", "store_id")
              .agg(F.sum("n").alias("views"), F.grouping("store_id").alias("_g")))
     return agg.select(F.col("window.start").cast("string").alias("window_start"),
@@ -166,11 +182,6 @@ def in_stock(stock: DataFrame) -> DataFrame:
     return stock.filter(F.col("quantity") > 0).select("product_id", "store_id", "quantity")
 
 
-def negative_stock(stock: DataFrame) -> DataFrame:
-    """FLT-2: quantity < 0."""
-    return stock.filter(F.col("quantity") < 0).select("product_id", "store_id", "quantity")
-
-
 def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "hour") -> DataFrame:
     """AGG-5, intent reading of Q9: for each bought unit, the views of the same
     (user, product, store) strictly earlier than the buy; histogram per store

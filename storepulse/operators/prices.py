@@ -27,17 +27,22 @@ def _pick_hash(key: F.Column, seed: int) -> F.Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
+def price_moves(products: DataFrame, n: int, seed: int) -> DataFrame:
+    """TOP-2 / FN-12: (id_product, cents) of ``n`` products picked by a seeded hash order."""
+    h = _pick_hash(F.col("id_product"), seed)
+    return (products.select("id_product", h.alias("h")).orderBy("h").limit(n)
+            .select("id_product",
+                              # cents in [-10000, 100000] from the first 8 hex digits
+                              (F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(110001))
+                               - F.lit(10000)).alias("cents")))
+
+
 def price_update(products: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """JN-6 / TOP-2 / FN-12: pick ``n`` products by a seeded hash order (the
     sample is the feature, so it is a top-n, planned as a per-partition top-n
     plus a merge), move each picked price by an amount in [-100.00, +1000.00] in
     cent steps, floor 1.00. Returns the whole table with new prices."""
-    h = _pick_hash(F.col("id_product"), seed)
-    picked = (products.select("id_product", h.alias("h")).orderBy("h").limit(n)
-                      .select("id_product",
-                              # cents in [-10000, 100000] from the first 8 hex digits
-                              (F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(110001))
-                               - F.lit(10000)).alias("cents")))
+    picked = price_moves(products, n, seed)
     j = products.join(picked, "id_product", "left")
     new_price = F.when(F.col("cents").isNull(), F.col("price")).otherwise(moved_price(F.col("price"), F.col("cents")))
     return j.select("id_product", "id", "store_id", "name", new_price.alias("price"))

@@ -22,8 +22,6 @@ BONUS_MIN_SHORT = 50.0
 BONUS_MIN_LONG = 100.0
 PRICE_UPDATE_N = 1000
 PRICE_UPDATE_SEED = 7
-# Result messages of one deal answer.
-DEAL_PARTS = 4
 # Deal requests as the dashboard sends them; the last two are dropped (discount 0, absurd period).
 DEAL_REQUESTS = [
     '{"task_name": "price_monitor_job", "time_window": 12, "discount_percentage": 10}',

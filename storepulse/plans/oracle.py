@@ -6,10 +6,10 @@ tables, and names every output column like the Spark query does.
 
 from __future__ import annotations
 
-from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS, DEAL_PARTS,
-                     DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED)
+from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS, DEAL_REQUESTS,
+                     PRICE_UPDATE_N, PRICE_UPDATE_SEED)
 from ..functions import texts
-from ..operators.deals import period_start
+from ..operators.deals import DEALS_PER_MESSAGE, period_start
 
 # Fixture views (FIXTURES.md section 3, products as versions per key).
 CTE = {
@@ -178,6 +178,7 @@ def _ts(t) -> str:
 
 
 def build() -> dict[str, str]:
+    from .queries import LATE_EVERY, PASS_DAYS, STOCK_DAYS
     q: dict[str, str] = {}
     b1, out1 = _win("1 MINUTE")
     q["purchases_per_minute"] = with_ctes(["buys"], [], _ppm_sql())
@@ -221,6 +222,23 @@ def build() -> dict[str, str]:
         "WHERE v.window_end = l.m) WHERE rank <= 10"))
     q["merge_partials"] = with_ctes(["buys"], [], _ppm_sql("1 DAY"))
     q["merge_unique_users"] = q["unique_users_per_day"]
+    q["unique_users_bitmaps"] = q["unique_users_per_day"]
+    rev = (f"SELECT {out1}, {_store_all()}, CAST(SUM(FLOOR(price)) AS BIGINT) AS amount_earned "
+           f"FROM ({_view_join('1 MINUTE', 'c.price')}) GROUP BY GROUPING SETS ((w, store_id), (w))")
+    q["metrics_incremental"] = with_ctes(["buys", "views", "cur"], [("a", _ppm_sql()), ("b", rev), ("c", _vrh_sql())], (
+        "SELECT 'purchases' AS metric, window_start, window_end, store_id, CAST(NULL AS VARCHAR) AS name, count AS value FROM a UNION ALL "
+        "SELECT 'revenue', window_start, window_end, store_id, NULL, amount_earned FROM b UNION ALL "
+        "SELECT 'views', window_start, window_end, store_id, name, views FROM c"))
+    own = f"CASE WHEN day(ts) < {PASS_DAYS[0]} THEN 0 WHEN day(ts) < {PASS_DAYS[1]} THEN 1 ELSE 2 END"
+    q["metrics_late"] = with_ctes(["buys"], [
+        ("a", _ppm_sql()),
+        ("e", f"SELECT *, least({own} + CASE WHEN event_id % {LATE_EVERY} = 0 THEN 1 ELSE 0 END, 2) AS arrives FROM se "
+              "WHERE event_type IN ('view', 'purchase')"),
+        ("m", "SELECT arrives + 1 AS p, MAX(ts) AS newest FROM e GROUP BY arrives"),
+        ("k", "SELECT p, MAX(newest) OVER (ORDER BY p) AS newest FROM m"),
+        ("f", "SELECT DISTINCT CAST(time_bucket(INTERVAL 1 MINUTE, ts) AS VARCHAR) AS s FROM e JOIN k ON p = arrives "
+              "WHERE ts < newest - INTERVAL 10 MINUTE AND event_type = 'purchase'")], (
+        "SELECT a.*, window_start IN (SELECT s FROM f) AS corrected FROM a"))
     q["store_list"] = with_ctes(["se"], [], "SELECT DISTINCT store_id FROM se")
 
     q["current_products"] = with_ctes(["cur"], [], "SELECT id_product, id, store_id, name, price FROM cur")
@@ -235,10 +253,21 @@ def build() -> dict[str, str]:
     q["stock_after_sales"] = with_ctes(["stk", "buys"], [("d", sales)], (
         "SELECT s.product_id, s.store_id, s.quantity - COALESCE(d.sold, 0) AS quantity FROM stk s "
         "LEFT JOIN d ON s.product_id = d.product_id AND s.store_id = d.store_id"))
+    q["stock_merge"] = q["stock_after_sales"]
+    cut = STOCK_DAYS[0]
+    q["stock_merge_changes"] = with_ctes(["stk", "buys"], [
+        ("d", f"SELECT product_id, store_id, COUNT(*) FILTER (WHERE day(datetime) < {cut}) AS a, COUNT(*) FILTER (WHERE day(datetime) >= {cut}) AS b "
+              "FROM buys GROUP BY ALL"),
+        ("j", "SELECT s.product_id, s.store_id, s.quantity, d.a, d.b FROM stk s JOIN d ON s.product_id = d.product_id AND s.store_id = d.store_id")], (
+        "SELECT product_id, store_id, quantity AS before, quantity - a AS after, 0 AS batch FROM j WHERE a > 0 UNION ALL "
+        "SELECT product_id, store_id, quantity - a, quantity - a - b, 1 FROM j WHERE b > 0"))
     q["unmatched_sales"] = with_ctes(["stk", "buys"], [("d", sales)], (
         "SELECT d.product_id, d.store_id, d.sold FROM d ANTI JOIN stk s "
         "ON s.product_id = d.product_id AND s.store_id = d.store_id"))
     q["price_update"] = with_ctes(["prod"], [], _price_update_sql())
+    q["price_merge"] = with_ctes(["prod"], [("nw", _price_update_sql())], (
+        f"SELECT n.id_product, n.id, n.store_id, n.name, n.price, CASE WHEN n.price <> o.price THEN {_ts(AS_OF)} END AS recorded_at "
+        "FROM nw n JOIN prod o ON n.id_product = o.id_product"))
     q["price_changes"] = with_ctes(["prod"], [("nw", _price_update_sql())], (
         f"SELECT n.id AS product_id, n.price, n.store_id, {_ts(AS_OF)} AS recorded_at FROM nw n "
         f"JOIN prod o ON n.id_product = o.id_product WHERE n.price <> o.price"))
@@ -425,27 +454,26 @@ def _add_insight_sql(q: dict[str, str]) -> None:
     entry = ("CAST(json_object('id', product_id, 'name', name, 'store_id', store_id, "
              "'price', CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), "
              "'average_price', CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS VARCHAR)")
+    rank = "row_number() OVER (ORDER BY (avg_price - price) / avg_price * 100 DESC, product_id, store_id)"
     q["deal_messages"] = with_ctes(["cat", "hist"], [
-        ("d", _deals_sql()),
-        ("dp", "SELECT d.*, CAST('0x' || substr(md5(product_id || ':' || store_id), 1, 8) AS BIGINT) "
-               f"% {DEAL_PARTS} AS part FROM d"),
-        ("g", f"SELECT part, string_agg({entry}, ',' ORDER BY product_id, name, store_id, "
-              "CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(avg_price AS DECIMAL(20,6)) AS VARCHAR)) AS deals "
-              "FROM dp GROUP BY part")], (
-        "SELECT r.range AS part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
+        ("d", _deals_sql()), ("dr", f"SELECT d.*, {rank} AS rank FROM d"),
+        ("g", f"SELECT (rank - 1) // {DEALS_PER_MESSAGE} AS part, string_agg({entry}, ',' ORDER BY rank) AS deals FROM dr GROUP BY part"),
+        ("n", f"SELECT greatest(1, (COUNT(*) + {DEALS_PER_MESSAGE - 1}) // {DEALS_PER_MESSAGE}) AS parts FROM d")], (
+        "SELECT r.part, '{\"status\":\"success\",\"task_name\":\"price_monitor_job_results\",\"deals\":[' || "
         f"COALESCE(g.deals, '') || '],\"time_window\":{DEAL_MONTHS},\"discount_percentage\":{float(DEAL_DISCOUNT)!r},"
-        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || r.range || ',\"parts\":{DEAL_PARTS}}}' "
-        f"AS message FROM range({DEAL_PARTS}) r LEFT JOIN g ON r.range = g.part"))
+        f"\"timestamp\":\"{AS_OF.isoformat()}\",\"part\":' || r.part || ',\"parts\":' || r.parts || ',\"first_rank\":' || "
+        f"(r.part * {DEALS_PER_MESSAGE} + 1) || '}}' AS message "
+        "FROM (SELECT parts, unnest(range(parts)) AS part FROM n) r LEFT JOIN g ON r.part = g.part"))
     q["deal_messages_empty"] = with_ctes(["cat", "hist"], [("d", _deals_sql(100.0))], (
         f"SELECT CAST(NULL AS DOUBLE) AS evaluated_discount, '{texts.NO_DEALS}' AS line FROM (SELECT COUNT(*) AS n FROM d) WHERE n = 0"))
     q["deal_messages_decoded"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
-        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+        f"SELECT {rank} AS rank, product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
         f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
         f"store_id) AS line, {DEAL_MONTHS} AS months, CAST({float(DEAL_DISCOUNT)!r} AS DOUBLE) AS discount, "
         f"{_ts(AS_OF)} AS answered_at FROM d"))
     q["deals_ranked"] = with_ctes(["cat", "hist"], [("d", _deals_sql())], (
-        "SELECT product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
+        f"SELECT {rank} AS rank, product_id, store_id, ROUND((avg_price - price) / avg_price * 100, 6) AS evaluated_discount, "
         f"printf('{_sql_text(texts.DEAL_LINE)}', name, product_id, "
         f"{_money('avg_price')}, {_money('price')}, {_money('(avg_price - price) / avg_price * 100')}, "
         "store_id) AS line FROM d"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bonus, deals, latest, median, metrics, prices, stock
 from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS,
-                     DEAL_PARTS, DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED, StoreInputs)
+                     DEAL_REQUESTS, PRICE_UPDATE_N, PRICE_UPDATE_SEED, StoreInputs)
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Windows of the merge queries: wide enough that both parts hold events of the same windows and users.
@@ -131,6 +131,66 @@ def merge_unique_users(spark, sf_dir):
     return metrics.unique_users_from_sets(a.unionByName(b))
 
 
+@query
+def unique_users_bitmaps(spark, sf_dir):
+    """AGG-3 + AGG-11 as bitmaps: the two parts' viewers become bitmaps over one numbering of the users, merged by OR."""
+    from ..operators import viewers
+    i = StoreInputs(spark, sf_dir)
+    a, b = merge_parts(i.views)
+    numbers = viewers.number_users(b, viewers.number_users(a))
+    states = [viewers.viewer_bitmaps(p, i.products, numbers, MERGE_WINDOW) for p in (a, b)]
+    return viewers.unique_users_from_bitmaps(viewers.merge_bitmaps(*states))
+
+
+# Passes of the kept metrics: days of the month below these, and the rest.
+PASS_DAYS = (11, 21, 32)
+# Of the late-rows query: every tenth event arrives one pass after its own.
+LATE_EVERY = 10
+LATE_DELAY = "10 minutes"
+
+
+@query
+def metrics_incremental(spark, sf_dir):
+    """AGG-11 + STR-5: three passes merged into the table of kept counts (the second one repeated), then read."""
+    from ..session import scratch_path
+    from .metric_table import MetricTable
+    from .store_pass import tagged_events
+    i = StoreInputs(spark, sf_dir)
+    kept = MetricTable(spark, scratch_path(spark, "metric-table"))
+    below = 0
+    for number, day in enumerate(PASS_DAYS):
+        part = i.events.where((F.dayofmonth("ts") >= below) & (F.dayofmonth("ts") < day))
+        for _ in range(2 if number == 1 else 1):
+            kept.add(number, tagged_events(part))
+        below = day
+    bounds = ["window_start", "window_end", "store_id"]
+    none = F.lit(None).cast("string").alias("name")
+    return (kept.purchases().select(F.lit("purchases").alias("metric"), *bounds, none, F.col("count").alias("value"))
+            .unionByName(kept.revenue(i.products).select(F.lit("revenue").alias("metric"), *bounds, none, F.col("amount_earned").alias("value")))
+            .unionByName(kept.ranking(i.products).select(F.lit("views").alias("metric"), *bounds, "name", F.col("views").alias("value"))))
+
+
+@query
+def metrics_late(spark, sf_dir):
+    """STR-8: as three passes whose late rows wait in the side table and are corrected twice; ``corrected`` names the windows."""
+    from ..session import scratch_path
+    from .metric_table import MetricTable
+    from .store_pass import tagged_events
+    i = StoreInputs(spark, sf_dir)
+    kept = MetricTable(spark, scratch_path(spark, "late-table"))
+    day = F.dayofmonth("ts")
+    own = F.when(day < PASS_DAYS[0], 0).when(day < PASS_DAYS[1], 1).otherwise(2)
+    arrives = F.least(own + F.when(F.col("event_id") % LATE_EVERY == 0, 1).otherwise(0), F.lit(2))
+    for number in range(3):
+        kept.add_on_time(2 * number, tagged_events(i.events.where(arrives == number)), LATE_DELAY)
+        if number:
+            kept.correct(2 * number + 1)
+    fixed = kept.corrected().where("kind = 'buy'").select(F.col("minute").cast("string").alias("_start"), F.lit(True).alias("_fixed"))
+    rows = kept.purchases()
+    return (rows.join(fixed, rows.window_start == fixed._start, "left")
+            .select("window_start", "window_end", "store_id", "count", F.coalesce("_fixed", F.lit(False)).alias("corrected")))
+
+
 @query
 def store_list(spark, sf_dir):
     """SRT-3: the stores present in the events, sorted."""
@@ -178,6 +238,58 @@ def price_snapshot(spark, sf_dir):
     return prices.price_snapshot(StoreInputs(spark, sf_dir).products, AS_OF)
 
 
+# Batches of the kept stock: the sales of the days of the month below these, and the rest.
+STOCK_DAYS = (16, 32)
+
+
+def _kept_stock(spark, sf_dir):
+    """The stock table after two batches of sales, the second one repeated, and each batch's changes."""
+    from ..operators import upkeep
+    from ..session import scratch_path
+    i = StoreInputs(spark, sf_dir)
+    path = scratch_path(spark, "stock")
+    upkeep.create_stock(i.stock, path)
+    below, changes = 0, []
+    for number, day in enumerate(STOCK_DAYS):
+        part = i.buys.where((F.dayofmonth("datetime") >= below) & (F.dayofmonth("datetime") < day))
+        held = scratch_path(spark, "stock-changes")
+        upkeep.sell(spark, path, number, part).write.parquet(held)
+        changes.append(spark.read.parquet(held).withColumn("batch", F.lit(number)))
+        below = day
+    upkeep.sell(spark, path, number, part)
+    return upkeep.read_stock(spark, path), changes
+
+
+@query
+def stock_merge(spark, sf_dir):
+    """JN-5 as a keyed merge: only the buckets with sales are rewritten."""
+    return _kept_stock(spark, sf_dir)[0]
+
+
+@query
+def stock_merge_changes(spark, sf_dir):
+    """The change rows that the two batches gave."""
+    from functools import reduce
+    return reduce(DataFrame.unionByName, _kept_stock(spark, sf_dir)[1])
+
+
+@query
+def price_merge(spark, sf_dir):
+    """JN-6 + JN-7 as a keyed merge: the products after one batch of moves, with the time of the history row where one was written."""
+    from ..operators import upkeep
+    from ..session import scratch_path
+    p = StoreInputs(spark, sf_dir).products_all_versions
+    path, held = scratch_path(spark, "products"), scratch_path(spark, "price-changes")
+    upkeep.create_products(p, path)
+    upkeep.move_prices(spark, path, 0, prices.price_moves(p, PRICE_UPDATE_N, PRICE_UPDATE_SEED), AS_OF).write.parquet(held)
+    history = spark.read.parquet(held).select("product_id", "store_id", "price", "recorded_at").distinct()
+    rows = upkeep.read_products(spark, path).join(p.select("id_product", F.col("price").alias("before")), "id_product")
+    moved = rows.where("price <> before").drop("before").join(
+        history.withColumnRenamed("product_id", "id"), ["id", "store_id", "price"])
+    same = rows.where("price = before").drop("before").withColumn("recorded_at", F.lit(None).cast("timestamp_ntz"))
+    return same.unionByName(moved.select(*same.columns))
+
+
 # ---- deals ----------------------------------------------------------------------------
 
 @query
@@ -190,8 +302,8 @@ def price_deals(spark, sf_dir):
 def deals_ranked(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
     d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
-    r = deals.rank_deals(d)
-    return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line")
+    r = deals.deals_in_order(d)
+    return r.select("rank", "product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line")
 
 
 @query
@@ -205,10 +317,10 @@ def deal_report(spark, sf_dir):
 
 @query
 def deal_messages(spark, sf_dir):
-    """FN-16: the deal answer as ``DEAL_PARTS`` result messages."""
+    """FN-16: the deal answer as result messages of consecutive ranks."""
     i = StoreInputs(spark, sf_dir)
     d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, DEAL_DISCOUNT)
-    return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF, DEAL_PARTS)
+    return deals.deal_messages(d, DEAL_MONTHS, DEAL_DISCOUNT, AS_OF)
 
 
 @query
@@ -216,16 +328,16 @@ def deal_messages_decoded(spark, sf_dir):
     """FN-14/FN-16/RPT-7 on the consumer side: result messages decoded and
     ranked; equals deals_ranked plus the request fields."""
     r = deals.rank_deals(deals.decode_deal_messages(deal_messages(spark, sf_dir)))
-    return r.select("product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line",
+    return r.select("rank", "product_id", "store_id", F.round("evaluated_discount", 6).alias("evaluated_discount"), "line",
                     "months", "discount", "answered_at")
 
 
 @query
 def deal_messages_empty(spark, sf_dir):
-    """The answer without a deal, as the consumer shows it: every part is sent, with empty lists."""
+    """The answer without a deal, as the consumer shows it: one message with an empty list is sent."""
     i = StoreInputs(spark, sf_dir)
     d = deals.price_deals(i.history, i.catalog, AS_OF, DEAL_MONTHS, 100.0)
-    return deals.answer_lines(deals.deal_messages(d, DEAL_MONTHS, 100.0, AS_OF, DEAL_PARTS))
+    return deals.answer_lines(deals.deal_messages(d, DEAL_MONTHS, 100.0, AS_OF))
 
 
 @query

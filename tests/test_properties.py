@@ -82,17 +82,33 @@ def test_latest_insight_equals_published_payload(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_deal_messages_split_every_deal_once(spark):
+def test_deal_messages_hold_consecutive_ranks(spark):
     import json
     from storepulse.operators import deals
     from storepulse.plans.inputs import AS_OF, StoreInputs
     i = StoreInputs(spark, SF_SMALL)
     d = deals.price_deals(i.history, i.catalog, AS_OF, 12, 10.0)
-    msgs = [json.loads(r.message) for r in deals.deal_messages(d, 12, 10.0, AS_OF, parts=3).collect()]
-    got = sorted((x["id"], x["store_id"]) for m in msgs for x in m["deals"])
-    want = sorted((r.product_id, r.store_id) for r in d.collect())
-    assert got == want
-    assert {m["parts"] for m in msgs} == {3} and len(msgs) == 3
+    msgs = sorted((json.loads(r.message) for r in deals.deal_messages(d, 12, 10.0, AS_OF, deals_per_message=7).collect()),
+                  key=lambda m: m["part"])
+    want = sorted(deals.rank_deals(d).collect(), key=lambda r: (-r.evaluated_discount, r.product_id, r.store_id))
+    assert [(x["id"], x["store_id"]) for m in msgs for x in m["deals"]] == [(r.product_id, r.store_id) for r in want]
+    assert all(len(m["deals"]) == 7 for m in msgs[:-1]) and {m["parts"] for m in msgs} == {len(msgs)}
+    assert [m["first_rank"] for m in msgs] == [7 * k + 1 for k in range(len(msgs))]
+
+
+def test_no_deal_message_grows_with_the_table(spark):
+    sizes = [len(r.message) for r in Q["deal_messages"](spark, "/root/testdata/sf0.1").collect()]
+    assert len(sizes) > 10 and max(sizes) < 256_000
+
+
+def test_numbers_have_no_gaps(spark):
+    from storepulse.operators.numbering import numbered
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 1000).alias("k"), "id")
+    got = [tuple(r) for r in numbered(df, "n", [F.col("k").desc(), F.col("id")], start=10).orderBy("n").select("k", "id", "n").collect()]
+    want = sorted(((k * 37 % 1000, k) for k in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert got == [(*r, n) for n, r in enumerate(want, 10)]
+    assert sorted(r.n for r in numbered(df, "n").collect()) == list(range(1, 5001))
+    assert numbered(df.limit(0), "n", [F.col("k")]).count() == 0
 
 
 def test_sliding_bonus_equals_window_expansion(spark):
