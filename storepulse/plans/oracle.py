@@ -10,6 +10,7 @@ from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL
                      PRICE_UPDATE_N, PRICE_UPDATE_SEED)
 from ..functions import texts
 from ..operators.deals import DEALS_PER_MESSAGE, period_start
+from ..sources.logs import REASONS
 
 # Fixture views (FIXTURES.md section 3, products as versions per key).
 CTE = {
@@ -178,7 +179,7 @@ def _ts(t) -> str:
 
 
 def build() -> dict[str, str]:
-    from .queries import LATE_EVERY, PASS_DAYS, STOCK_DAYS
+    from .queries import FIRST_NEW_CYCLE, LATE_EVERY, PASS_DAYS, REJECT_EVERY, REWRITTEN, SCAN_FROM, SCAN_STORE, STOCK_DAYS
     q: dict[str, str] = {}
     b1, out1 = _win("1 MINUTE")
     q["purchases_per_minute"] = with_ctes(["buys"], [], _ppm_sql())
@@ -328,6 +329,21 @@ def build() -> dict[str, str]:
     q["new_files"] = with_ctes(["lr"], [], (
         "SELECT DISTINCT store_id AS store, strftime(make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000), '%Y-%m-%d') AS cycle "
         "FROM lr WHERE make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) >= TIMESTAMP '2024-01-20 00:00:00'"))
+    day = "strftime(make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000), '%Y-%m-%d')"
+    q["new_files_passes"] = with_ctes(["lr"], [("c", f"SELECT DISTINCT store_id AS store, {day} AS cycle FROM lr")], (
+        f"SELECT store, cycle, 0 AS pass FROM c WHERE cycle < '{FIRST_NEW_CYCLE}' UNION ALL "
+        f"SELECT store, cycle, 1 FROM c WHERE cycle < '{FIRST_NEW_CYCLE}' UNION ALL "
+        f"SELECT store, cycle, 2 FROM c WHERE cycle >= '{FIRST_NEW_CYCLE}' OR (store = '{REWRITTEN[0]}' AND cycle = '{REWRITTEN[1]}')"))
+    q["log_scan_store"] = with_ctes(["lr"], [], (
+        f"SELECT timestamp, store_id, type, content, extra_1, extra_2, store_id AS store, {day} AS cycle, "
+        "make_timestamp(TRY_CAST(timestamp AS BIGINT) // 1000) AS datetime FROM lr "
+        f"WHERE store_id = '{SCAN_STORE}' AND {day} >= '{SCAN_FROM}'"))
+    q["log_rejects"] = with_ctes(["se"], [("b", (
+        f"SELECT *, (event_id // {REJECT_EVERY}) % 3 AS kind, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS t FROM se WHERE event_id % {REJECT_EVERY} = 0"))], (
+        f"SELECT t || ';' || store_id AS line, '{REASONS[0]}' AS reason FROM b WHERE kind = 0 UNION ALL "
+        f"SELECT t || ';' || store_id || ';Audit;' || user_id || ';BUY;7;x', '{REASONS[1]}' FROM b WHERE kind = 1 UNION ALL "
+        f"SELECT 'at ' || event_id || ';' || store_id || ';Audit;' || user_id || ';BUY;7', '{REASONS[2]}' FROM b WHERE kind = 2 UNION ALL "
+        "SELECT CAST(COUNT(*) AS VARCHAR), 'accepted' FROM se"))
     q["batch_message"] = with_ctes(["msg"], [], (
         "SELECT id // 100 AS chunk, CAST(to_json(list(message ORDER BY id)) AS VARCHAR) AS message FROM msg GROUP BY id // 100"))
     q["log_purchases_per_minute"] = q["purchases_per_minute"]

@@ -447,18 +447,114 @@ def csv_round_trip(spark, sf_dir):
 FIRST_NEW_CYCLE = "2024-01-20"
 
 
+_CYCLE_DIRS: dict[tuple[str, str], str] = {}
+
+
+def _cycle_day():
+    from ..functions.parsing import ns_text_to_timestamp
+    return F.date_format(ns_text_to_timestamp(F.col("timestamp")), "yyyy-MM-dd")
+
+
+def _cycle_dir(spark, sf_dir) -> str:
+    """The event table as log files in the layout of store and cycle, once per session and table directory."""
+    from ..session import scratch_path
+    from ..sinks import files
+    from ..sources import logs
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    path = _CYCLE_DIRS.get(key)
+    if path is None or not files.exists(spark, path):
+        rows = logs.render_log_rows(StoreInputs(spark, sf_dir).events)
+        path = _CYCLE_DIRS[key] = logs.write_store_logs(rows, scratch_path(spark, "cycles"), _cycle_day())
+    return path
+
+
+def _store_and_cycle(files_):
+    return files_.select(F.regexp_extract("file_path", r"/store=([^/]+)/", 1).alias("store"),
+                         F.regexp_extract("file_path", r"/cycle=([^/]+)/", 1).alias("cycle")).where("cycle <> ''").distinct()
+
+
 @query
 def new_files(spark, sf_dir):
     """SET-3 + SNK-8: log files in the layout of store and cycle; the stores and cycles of unseen files."""
-    from ..functions.parsing import ns_text_to_timestamp
-    from ..session import scratch_path
     from ..sources import logs
-    day = F.date_format(ns_text_to_timestamp(F.col("timestamp")), "yyyy-MM-dd")
-    path = logs.write_store_logs(logs.render_log_rows(StoreInputs(spark, sf_dir).events), scratch_path(spark, "cycles"), day)
+    path = _cycle_dir(spark, sf_dir)
     cycle = F.regexp_extract("file_path", r"/cycle=([^/]+)/", 1)
     seen = logs.files_in(spark, path).where((cycle < FIRST_NEW_CYCLE) | ~F.col("file_path").rlike(r"/cycle="))
-    fresh = logs.new_files(spark, path, seen)
-    return fresh.select(F.regexp_extract("file_path", r"/store=([^/]+)/", 1).alias("store"), cycle.alias("cycle")).distinct()
+    return _store_and_cycle(logs.new_files(spark, path, seen))
+
+
+# The store and cycle whose file is written anew between two passes.
+REWRITTEN = ("store_1", "2024-01-05")
+
+
+@query
+def new_files_passes(spark, sf_dir):
+    """SET-3 + STR-7 with the manifest: a pass that fails is not recorded, one that succeeds is, and of the files that are
+    then written anew or added, just those are read by the next pass."""
+    from ..session import scratch_path
+    from ..sources import logs
+    path, held = scratch_path(spark, "log-folder"), []
+    manifest = logs.FileManifest(spark, scratch_path(spark, "manifest"))
+    rows = logs.render_log_rows(StoreInputs(spark, sf_dir).events)
+    old = _cycle_day() < FIRST_NEW_CYCLE
+
+    def note(number):
+        out = scratch_path(spark, "fresh-files")
+        fresh = manifest.fresh(path, number)
+        _store_and_cycle(fresh).withColumn("pass", F.lit(number)).write.parquet(out)
+        held.append(spark.read.parquet(out))
+        return fresh
+
+    def write(part):
+        (part.select(*logs.LOG_COLUMNS, F.col("store_id").alias("store"), _cycle_day().alias("cycle")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("store", "cycle").option("sep", ";").option("header", True).csv(path))
+
+    write(rows.where(old))
+    note(0)  # fails after it has looked: its files are new to the next pass
+    manifest.record(note(1), 1)
+    write(rows.where(~old | ((F.col("store_id") == REWRITTEN[0]) & (_cycle_day() == REWRITTEN[1]))))
+    manifest.record(note(2), 2)
+    note(3)
+    return held[0].unionByName(held[1]).unionByName(held[2]).unionByName(held[3])
+
+
+# The store and first cycle that the pruned scan asks for.
+SCAN_STORE, SCAN_FROM = "store_2", "2024-01-15"
+
+
+@query
+def log_scan_store(spark, sf_dir):
+    """SRC-1 + SRC-3: one store's logs from a cycle on; only its folders are listed and read."""
+    from ..sources import logs
+    rows = logs.read_store_logs(spark, _cycle_dir(spark, sf_dir))
+    return rows.where((F.col("store") == SCAN_STORE) & (F.col("cycle") >= SCAN_FROM))
+
+
+# Of every so many events one more, malformed, line is written.
+REJECT_EVERY = 50
+
+
+@query
+def log_rejects(spark, sf_dir):
+    """SRC-2 / Q23: logs with malformed lines among them; the rejected lines with their reason, and how many were accepted."""
+    from ..session import scratch_path
+    from ..sources import logs
+    path = scratch_path(spark, "checked")
+    events = StoreInputs(spark, sf_dir).events
+    rows = logs.render_log_rows(events)
+    rows.write.option("sep", ";").option("header", True).csv(f"{path}/good")
+    bad = events.where(F.col("event_id") % REJECT_EVERY == 0)
+    ts, kind = logs.ns_text(F.col("ts")).alias("timestamp"), (F.col("event_id") / REJECT_EVERY).cast("long") % 3
+    user, action = F.col("user_id").alias("content"), F.lit("BUY").alias("extra_1")
+    short = bad.where(kind == 0).select(ts, F.col("store_id"))
+    wide = bad.where(kind == 1).select(ts, "store_id", F.lit("Audit").alias("type"), user, action, F.lit("7").alias("extra_2"), F.lit("x").alias("more"))
+    stray = bad.where(kind == 2).select(F.concat(F.lit("at "), F.col("event_id")).alias("timestamp"), "store_id", F.lit("Audit").alias("type"),
+                                        user, action, F.lit("7").alias("extra_2"))
+    for name, part in (("short", short), ("wide", wide), ("stray", stray)):
+        part.write.option("sep", ";").option("header", True).csv(f"{path}/{name}")
+    good, rejected = logs.read_checked_logs(spark, path)
+    counted = good.agg(F.count(F.lit(1)).cast("string").alias("line")).select("line", F.lit("accepted").alias("reason"))
+    return rejected.select("line", "reason").unionByName(counted)
 
 
 BATCH_LINES = 100
@@ -494,6 +590,19 @@ def ingest(spark, sf_dir):
     return logs.render_messages(StoreInputs(spark, sf_dir).events)
 
 
+@query
+def ingest_stream(spark, sf_dir):
+    """SRC-7 + SNK-2 + STR-4 as the stream itself: the lines as text files, several micro-batches, dense LONG ids."""
+    from ..session import scratch_path
+    from ..sources import logs
+    from ..streaming.jobs import ingest_lines
+    lines = logs.render_messages(StoreInputs(spark, sf_dir).events).select(F.regexp_replace("message", r"\n$", "").alias("value"))
+    source, table = scratch_path(spark, "lines"), scratch_path(spark, "events")
+    lines.repartition(4).write.text(source)
+    ingest_lines(spark, source, table, scratch_path(spark, "ingest-checkpoint"), max_files_per_trigger=2).awaitTermination()
+    return spark.read.schema("id long, message string").parquet(table)
+
+
 @query
 def parse_events(spark, sf_dir):
     """PRJ-2 + FN-1: messages -> typed columns and datetime."""

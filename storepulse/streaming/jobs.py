@@ -15,7 +15,10 @@ from ..functions.timewin import is_ntz
 from ..operators import metrics
 from ..operators.bonus import LONG, MIN_LONG, MIN_SHORT, SHORT, spend
 from ..operators.events import split_log
-from ..sources.logs import parse_messages
+from ..operators.numbering import numbered
+from ..schemas import EVENTS_TABLE_SCHEMA
+from ..sinks import files
+from ..sources.logs import batch_messages, parse_messages
 
 
 def event_time(df: DataFrame, column: str = "datetime") -> DataFrame:
@@ -94,23 +97,21 @@ def latest_insights(messages: DataFrame) -> DataFrame:
                     .agg(F.max_by("payload", "ts").alias("payload"), F.max("ts").alias("ts")))
 
 
-# Rows of one task in a micro-batch: monotonically_increasing_id() keeps the task above this many bits.
-_ROW_BITS = 33
 MESSAGE_LINES = 1000
 
 
 def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str, checkpoint: str,
                  batch_path: str | None = None, max_files_per_trigger: int | None = None,
                  available_now: bool = True, lines_per_message: int = MESSAGE_LINES) -> StreamingQuery:
-    """SRC-5/SRC-7 + SNK-2 + SNK-3 + STR-4: text lines -> events(id, message).
+    """SRC-5/SRC-7 + SNK-2 + SNK-3 + STR-4: text lines -> events(id LONG, message).
 
     ``source`` is a folder of text files or a stream with a ``value`` column (a topic).
-    Each micro-batch overwrites its own ``batch_id=<n>`` folder, so a batch
-    replayed after a failure rewrites the same rows (exactly-once on top of
-    the checkpoint). The id is batch * 2^63 + task * 2^33 + row, a decimal: unique
-    whatever the number of tasks. The optional batch messages (SNK-3) are made
-    from the rows just written, so the source is read once; each is a JSON list of
-    at most ``lines_per_message`` lines of one task.
+    Ids have no gaps: the rows of a micro-batch are numbered in two levels (rows of each task, then the tasks'
+    offsets) from the high-water mark on, which the batches before left in the manifest ``<table_path>.ids``.
+    Each micro-batch overwrites its own ``batch_id=<n>`` folder and its manifest entry, so a batch
+    replayed after a failure takes the same range of ids (exactly-once on top of the checkpoint). The
+    optional batch messages (SNK-3) are made from the rows just written, so the source is read once;
+    each is a JSON list of at most ``lines_per_message`` lines.
     """
     if isinstance(source, str):
         r = spark.readStream.format("text")
@@ -122,26 +123,29 @@ def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str,
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         out = f"{table_path}/batch_id={batch_id}"
-        batch.select(line_id(batch_id).alias("id"), F.col("value").alias("message")).write.mode("overwrite").parquet(out)
+        session = batch.sparkSession
+        first = next_id(session, table_path, batch_id)
+        rows = numbered(batch.select(F.col("value").alias("message")), "id", start=first)
+        rows.select("id", "message").write.mode("overwrite").parquet(out)
+        own = session.read.schema(EVENTS_TABLE_SCHEMA).parquet(out)
+        (own.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(first).cast("long").alias("first_id"),
+                 F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{table_path}.ids/batch={batch_id}"))
         if batch_path:
-            place = F.col("id") - F.lit(str(batch_id << 63)).cast("decimal(38,0)")
-            own = (batch.sparkSession.read.parquet(out)
-                   .select(place.cast("long").alias("id"), "message")
-                   .withColumn("split", F.shiftright("id", _ROW_BITS))
-                   .withColumn("part", F.floor(F.col("id").bitwiseAND((1 << _ROW_BITS) - 1) / lines_per_message)))
-            rows = F.sort_array(F.collect_list(F.struct("id", "message")))
-            msgs = own.groupBy("split", "part").agg(F.to_json(F.transform(rows, lambda x: x["message"])).alias("message"))
-            msgs.write.mode("overwrite").parquet(f"{batch_path}/batch_id={batch_id}")
+            batch_messages(own, lines_per_message).write.mode("overwrite").parquet(f"{batch_path}/batch_id={batch_id}")
 
     w = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
-def line_id(batch_id: int):
-    """Id of a row in a micro-batch: no two batches share one, however many tasks a batch has."""
-    base = F.lit(batch_id).cast("decimal(18,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")
-    return (base + F.monotonically_increasing_id().cast("decimal(19,0)")).cast("decimal(38,0)")
+def next_id(spark: SparkSession, table_path: str, batch_id: int) -> int:
+    """The first id of a batch: after those of the newest batch before it in the manifest."""
+    log = f"{table_path}.ids"
+    done = [n for n in files.numbers_in(spark, log, "batch") if n < batch_id and files.complete(spark, f"{log}/batch={n}")]
+    if not done:
+        return 1
+    last = spark.read.schema("batch_id long, first_id long, rows long").parquet(f"{log}/batch={done[-1]}").first()
+    return last.first_id + last.rows
 
 
 def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint: str,
@@ -188,7 +192,7 @@ def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
                    .groupBy(*cols).agg(F.max("views").alias("views"), F.max("buys").alias("buys")))
         out.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
         for v in before[:-1]:  # the one before stays, for a replay of this batch
-            delete(spark, f"{table_path}/version={v}")
+            files.delete(spark, f"{table_path}/version={v}")
 
     w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
@@ -197,15 +201,7 @@ def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
 
 def versions(spark, table_path: str) -> list[int]:
     """The versions of the table, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-
-
-def delete(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return files.numbers_in(spark, table_path, "version")
 
 
 def views_before_buy_from_state(spark, table_path: str) -> DataFrame:

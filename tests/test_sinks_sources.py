@@ -16,7 +16,7 @@ def test_new_files_lists_only_unseen(spark, tmp_path):
     (root / "store_a").mkdir(parents=True)
     head = "timestamp;store_id;type;content;extra_1;extra_2\n"
     (root / "store_a" / "1log_simulation.txt").write_text(head + "1;a;Audit;u;LOGIN\n")
-    seen = spark.createDataFrame(logs.files_in(spark, str(root)).collect(), "file_path string")
+    seen = spark.createDataFrame(logs.files_in(spark, str(root)).collect(), "file_path string, length long, modified timestamp")
     (root / "store_a" / "2log_simulation.txt").write_text(head + "2;a;Audit;u;EXIT\n")
     new = [r.file_path for r in logs.new_files(spark, str(root), seen).collect()]
     assert len(new) == 1 and new[0].endswith("2log_simulation.txt")
