@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from storepulse.llm import arrays as A
 from storepulse.llm.tables import DOC, saved, table, texts
 
-LINE_WORDS = 30  # of the oracle SQL and the plain reading in the tests; lines of any length count here
 MOST_TEXTS = 20
 SHARE = 0.01
 DEPLETED = 0.8

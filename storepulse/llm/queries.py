@@ -61,7 +61,7 @@ r AS (SELECT doc_id, COUNT(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(
 l AS (SELECT doc_id, source, t, {_WORDS.format(_LOWER.format('line'))} AS line
       FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM w)),
 o AS (SELECT source, line FROM l JOIN (SELECT source AS s, COUNT(DISTINCT t) AS texts FROM w GROUP BY source)
-        ON source IS NOT DISTINCT FROM s WHERE len(line) BETWEEN 1 AND 30
+        ON source IS NOT DISTINCT FROM s WHERE len(line) >= 1
       GROUP BY source, line HAVING COUNT(DISTINCT t) >= 20 AND COUNT(DISTINCT t) >= 0.01 * ANY_VALUE(texts)),
 x AS (SELECT l.doc_id, SUM(len(l.line)) AS gone FROM l JOIN o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line GROUP BY l.doc_id),
 b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(list_sum(list_transform(w, lambda q: length(q))), 0) AS BIGINT) AS word_chars,
