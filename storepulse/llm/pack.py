@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from storepulse.llm import arrays as A
 from storepulse.llm.tables import DOC, saved, table, texts
-from storepulse.llm.tokens import VOCABULARY, Encoder
+from storepulse.llm.tokens import TEXT_BYTES, VOCABULARY, encoder
 
 LENGTH = 2048
 GRAIN = 8
@@ -49,9 +49,9 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def rows(batches):
-        encoder = Encoder(vocabulary)
-        for part in A.slices(batches):
-            ids, offs = encoder.encode(part.column("text"))
+        own_encoder = encoder(vocabulary)
+        for part in A.slices(batches, limit=TEXT_BYTES):
+            ids, offs = own_encoder.encode(part.column("text"))
             out, raw = [], []
             for d, doc in enumerate(part.column(DOC).to_pylist()):
                 own = np.append(ids[offs[d]:offs[d + 1]], end).astype("<u4")

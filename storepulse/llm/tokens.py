@@ -14,6 +14,8 @@ name is a parameter. Null texts count as empty.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
@@ -21,7 +23,10 @@ from tokenizers import Tokenizer, pre_tokenizers
 from storepulse.llm import arrays as A
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 1_000_000  # distinct pre-tokens a task remembers
+CACHE = 1_000_000  # distinct pre-tokens a worker remembers
+TEXT_BYTES = 256 << 10  # of texts encoded at once
+AT_ONCE = 1000  # new pre-tokens handed to the tokenizer at once
+_held: dict[str, "Encoder"] = {}
 
 NONE, LETTER, DIGIT, OTHER, ODD = 0, 1, 2, 3, 4
 KIND = np.full(256, OTHER, np.uint8)
@@ -33,16 +38,34 @@ KIND[65:91] = KIND[97:123] = LETTER
 KIND[128:] = ODD  # letters of Latin-1 are told apart below
 
 
+def encoder(vocabulary: str = VOCABULARY) -> "Encoder":
+    """The worker process's only encoder of this vocabulary: the next task finds it with all that it remembers."""
+    if vocabulary not in _held:
+        _held.clear()
+        _held[vocabulary] = Encoder(vocabulary)
+    return _held[vocabulary]
+
+
 class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
-        path = public_tokenizers.path(vocabulary)
-        self.whole = Tokenizer.from_file(path)
-        self.part = Tokenizer.from_file(path)  # for pre-tokens: already folded and split
-        self.part.normalizer = None
-        self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        # whole texts, and pre-tokens, which are already folded and split
+        self.forms = {True: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer),
+                      False: (None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))}
+        self.form = True
         self.words: dict[bytes, np.ndarray] = {}
         self._clear()
 
+    def _lists(self, texts: list[str], whole: bool) -> list[list[int]]:
+        if whole != self.form:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.forms[whole]
+            self.form = whole
+        out = []
+        for a in range(0, len(texts), AT_ONCE):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:a + AT_ONCE], add_special_tokens=False)]
+        return out
+
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)  # of each key, a place in starts and sizes
@@ -105,9 +128,7 @@ class Encoder:
                 self._clear()
                 return self._slots(distinct, low, starts, ends)
             raw = low.tobytes()
-            got = self.part.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[new], ends[new])],
-                                              add_special_tokens=False)
-            lists = [e.ids for e in got]
+            lists = self._lists([raw[a:b].decode() for a, b in zip(starts[new], ends[new])], False)
             sizes = np.array([len(x) for x in lists], np.int64)
             ids = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
             base = len(self.starts)
@@ -127,6 +148,6 @@ class Encoder:
             if len(self.words) + len(new) > CACHE // 4:
                 self.words.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, np.uint32)
+            for w, ids in zip(new, self._lists([w.decode() for w in new], True)):
+                self.words[w] = np.array(ids, np.uint32)
         return np.concatenate([self.words[w] for w in words]) if words else np.zeros(0, np.uint32)
