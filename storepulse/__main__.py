@@ -46,9 +46,9 @@ def _inputs(spark, args):
         i.stock = spark.read.parquet(args.stock).select("product_id", "store_id", "quantity")
     if getattr(args, "jdbc_url", None):
         from storepulse.sources.tables import load_jdbc
-        i.products_all_versions = load_jdbc(spark, args.jdbc_url, "products").select("id_product", "id", "store_id", "name", "price")
+        i.products_all_versions = load_jdbc(spark, args.jdbc_url, "products", "id_product").select("id_product", "id", "store_id", "name", "price")
         i.catalog = current_products(i.products_all_versions).select("id", "store_id", "name", "price")
-        i.history = load_jdbc(spark, args.jdbc_url, "price_history").select("product_id", "store_id", "price", "recorded_at")
+        i.history = load_jdbc(spark, args.jdbc_url, "price_history", "id").select("product_id", "store_id", "price", "recorded_at")
     if getattr(args, "history", None):
         i.history = spark.read.parquet(args.history).select("product_id", "store_id", "price", "recorded_at")
     return i

@@ -22,10 +22,6 @@ def select_events(log: DataFrame, type_: str, action: str) -> DataFrame:
     return log.filter((F.col("type") == type_) & (F.col("extra_1") == action))
 
 
-def with_datetime(log: DataFrame) -> DataFrame:
-    return log.withColumn("datetime", ns_text_to_timestamp(F.col("timestamp")))
-
-
 def split_log(log: DataFrame) -> dict[str, DataFrame]:
     """SRC-3: one filtered frame per selector, normalised columns. Each frame reads the log when it
     is used; ``plans.store_pass.tagged_log_events`` gives both kinds in one scan."""

@@ -1,5 +1,5 @@
 """Latest window per store (WIN-1), top-k per store (TOP-1), merge of partial
-results (AGG-11), details grouping (AGG-10)."""
+results (AGG-11)."""
 
 from __future__ import annotations
 
@@ -48,13 +48,3 @@ def merge_partials(df1: DataFrame, df2: DataFrame, group_columns: list[str], agg
     """AGG-11: union of two partial results, re-summed per group."""
     return (df1.unionByName(df2).groupBy(*group_columns)
                .agg(F.sum(agg_column).alias(agg_column)))
-
-
-def grouped_details(df: DataFrame, key: str, columns: list[str], order_by: str = "rank") -> DataFrame:
-    """AGG-10: list of detail structs per key, in ``order_by`` order.
-
-    Only used on bounded groups (after ``top_n``), never on raw events.
-    """
-    return (df.groupBy(key)
-              .agg(F.sort_array(F.collect_list(F.struct(F.col(order_by), *[F.col(c) for c in columns])))
-                    .alias("details")))

@@ -13,19 +13,18 @@ MESSAGE_DDL = ", ".join(f"{c} STRING" for c in MESSAGE_COLUMNS)
 # Deal request sent by the dashboard.
 DEAL_REQUEST_DDL = "task_name STRING, time_window INT, discount_percentage DOUBLE"
 
-# Operational tables.
-PRODUCTS_SCHEMA = T.StructType([
-    T.StructField("id_product", T.LongType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("store_id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("price", T.DecimalType(10, 2)),
-])
-STOCK_SCHEMA = T.StructType([
-    T.StructField("product_id", T.StringType()),
-    T.StructField("store_id", T.StringType()),
-    T.StructField("quantity", T.LongType()),
-])
+# The operational tables that grow by appends: generated key, columns, and those that allow no null.
+APPENDED_TABLES = {
+    "users": ("id_user", ["id varchar(12)", "name varchar(100)", "email varchar(100)", "address string", "registration_date varchar(21)",
+                          "birth_date date", "store_id varchar(42)"],
+              ["id", "name", "email", "address", "registration_date", "birth_date", "store_id"]),
+    "products": ("id_product", ["id varchar(10)", "name varchar(100)", "image string", "description string", "price decimal(10,2)",
+                                "store_id varchar(42)"], ["name", "price", "store_id"]),
+    "stock": ("id", ["product_id varchar(10)", "quantity int", "store_id varchar(42)"], ["quantity", "store_id"]),
+    "purchase_orders": ("id", ["user_id varchar(12)", "product_id varchar(10)", "quantity int", "creation_date varchar(20)",
+                               "payment_date varchar(20)", "delivery_date varchar(20)", "store_id varchar(42)"],
+                        ["quantity", "creation_date", "store_id"]),
+}
 EVENTS_TABLE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("message", T.StringType()),

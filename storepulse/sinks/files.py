@@ -20,11 +20,14 @@ def complete(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def numbers_in(spark: SparkSession, path: str, key: str) -> list[int]:
     """The numbers of the folders ``<key>=<number>`` under ``path``, in order."""
-    fs, p = _at(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}="))
+    return sorted(int(n.split("=")[1]) for n in names_in(spark, path) if n.startswith(f"{key}="))
 
 
 def mark(spark: SparkSession, path: str) -> None:

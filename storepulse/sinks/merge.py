@@ -27,6 +27,11 @@ def lay_out(rows: DataFrame, path: str, part: str) -> None:
     rows.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
+def folder(part: str, value) -> str:
+    """The folder of a partition (dates and integers, whose text needs no escapes)."""
+    return f"{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+
+
 def chosen(part: str, values: list) -> Column:
     """Rows of the partitions ``values``; a filter on the partition column alone, so others are not listed."""
     known = [v for v in values if v is not None]
@@ -51,16 +56,23 @@ def merge_batch(spark: SparkSession, path: str, number: int, fresh: DataFrame, p
         met = [r[0] for r in fresh.select(part).distinct().collect()]  # partitions, not rows
         old = (spark.read.schema(schema).parquet(path).where(chosen(part, met)) if files.exists(spark, path)
                else spark.createDataFrame([], schema))
+        for v in met:
+            files.mark(spark, f"{log}/met={number}/{folder(part, v)}")
         merge(old, fresh).hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(staged)
     if number not in applied:
         rows = _staged(spark, staged, part, schema)
         if rows is not None:
             (rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(part).parquet(path))
+        # a partition that lost all its rows is in no write
+        for name in files.names_in(spark, f"{log}/met={number}"):
+            if not files.exists(spark, f"{staged}/{name}"):
+                files.delete(spark, f"{path}/{name}")
         files.mark(spark, f"{log}/applied={number}")
         for n in files.numbers_in(spark, log, "batch"):
             if n < number:
                 files.delete(spark, f"{log}/batch={n}")
+                files.delete(spark, f"{log}/met={n}")
     rows = _staged(spark, staged, part, schema)
     return rows if rows is not None else merge(spark.createDataFrame([], schema), fresh.limit(0)).where(F.lit(False))
 

@@ -1,4 +1,4 @@
-"""Sinks (SNK-1, SNK-5, SNK-6, SNK-7, SNK-9) and observed counts (AGG-12).
+"""Sinks (SNK-1, SNK-6, SNK-9) and observed counts (AGG-12).
 
 All writes are parallel (one file per task); nothing is funnelled through the
 driver or a single task unless the caller asks for it.
@@ -17,16 +17,6 @@ def save_csv(df: DataFrame, path: str, overwrite: bool = False, single_file: boo
     out.write.option("header", True).mode("overwrite" if overwrite else "append").csv(path)
 
 
-def save_json(df: DataFrame, path: str) -> None:
-    """SNK-5: the task's messages as JSON lines, replaced on every pass."""
-    df.write.mode("overwrite").json(path)
-
-
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK-7: append new rows (users, products, stock, orders) to a table."""
-    df.write.mode("append").format(fmt).save(path)
-
-
 def reset_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """SNK-9: replace the table's contents (DELETE + load / DROP + CREATE)."""
     df.write.mode("overwrite").format(fmt).save(path)

@@ -15,4 +15,11 @@ def topic_lines(spark: SparkSession, bootstrap_servers: str, topic: str,
               .option("subscribe", topic).option("startingOffsets", "earliest"))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    return r.load().select(F.col("value").cast("string").alias("value"), "partition", "offset", "timestamp")
+    return decoded(r.load())
+
+
+def decoded(records: DataFrame) -> DataFrame:
+    """FN-17: topic records (key, value BINARY, topic, partition, offset, timestamp, timestampType) to text lines; bytes
+    that are no UTF-8 become replacement characters, a tombstone (null value) is no line."""
+    return (records.where("value is not null")
+            .select(F.make_valid_utf8(F.col("value").cast("string")).alias("value"), "partition", "offset", "timestamp"))

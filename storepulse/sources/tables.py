@@ -23,20 +23,29 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def load_jdbc(spark: SparkSession, url: str, table: str, *, user: str | None = None,
-              password: str | None = None, driver: str | None = None,
-              partition_column: str | None = None, lower: int | None = None,
-              upper: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """SRC-4 over JDBC: a partitioned read (parallel range scans on ``partition_column``),
-    connection settings passed in as parameters (never read from the environment)."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in (("user", user), ("password", password), ("driver", driver)):
-        if v is not None:
-            r = r.option(k, v)
-    if partition_column is not None:
-        r = (r.option("partitionColumn", partition_column).option("lowerBound", lower)
-              .option("upperBound", upper).option("numPartitions", num_partitions))
-    return r.load()
+# Rows of one range of a partitioned read.
+JDBC_ROWS = 1_000_000
+
+
+def load_jdbc(spark: SparkSession, url: str, table: str, key: str, rows_per_task: int = JDBC_ROWS, **settings: str) -> DataFrame:
+    """SRC-4 over JDBC: a partitioned read (parallel range scans on the numeric ``key``). Its bounds and the
+    number of ranges come from the table itself, so no task reads a whole table. Connection settings (user, password,
+    driver) are passed in, never read from the environment."""
+    base = {"url": url, **settings}
+    bounds = spark.read.format("jdbc").options(**base, query=bounds_query(table, key)).load().first()
+    return spark.read.format("jdbc").options(**base, dbtable=table, **read_ranges(key, *bounds, rows_per_task)).load()
+
+
+def bounds_query(table: str, key: str) -> str:
+    return f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT(*) AS n FROM {table}"
+
+
+def read_ranges(key: str, lo: int | None, hi: int | None, n: int, rows_per_task: int) -> dict[str, str]:
+    """Options of a read in ranges of about ``rows_per_task`` rows; none for an empty table."""
+    if lo is None or hi is None:
+        return {}
+    return {"partitionColumn": key, "lowerBound": str(lo), "upperBound": str(hi + 1),
+            "numPartitions": str(max(1, min(-(-n // rows_per_task), hi + 1 - lo)))}
 
 
 def _store(expr) -> F.Column:

@@ -15,9 +15,8 @@ from ..functions.timewin import is_ntz
 from ..operators import metrics
 from ..operators.bonus import LONG, MIN_LONG, MIN_SHORT, SHORT, spend
 from ..operators.events import split_log
-from ..operators.numbering import numbered
-from ..schemas import EVENTS_TABLE_SCHEMA
-from ..sinks import files
+from ..sinks.appends import append_batch
+from ..sinks.merge import bucket, merge_batch
 from ..sources.logs import batch_messages, parse_messages
 
 
@@ -106,9 +105,7 @@ def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str,
     """SRC-5/SRC-7 + SNK-2 + SNK-3 + STR-4: text lines -> events(id LONG, message).
 
     ``source`` is a folder of text files or a stream with a ``value`` column (a topic).
-    Ids have no gaps: the rows of a micro-batch are numbered in two levels (rows of each task, then the tasks'
-    offsets) from the high-water mark on, which the batches before left in the manifest ``<table_path>.ids``.
-    Each micro-batch overwrites its own ``batch_id=<n>`` folder and its manifest entry, so a batch
+    Ids have no gaps (``sinks.appends``). Each micro-batch overwrites its own ``batch_id=<n>`` folder, so a batch
     replayed after a failure takes the same range of ids (exactly-once on top of the checkpoint). The
     optional batch messages (SNK-3) are made from the rows just written, so the source is read once;
     each is a JSON list of at most ``lines_per_message`` lines.
@@ -122,14 +119,7 @@ def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str,
         lines = source.select("value")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        out = f"{table_path}/batch_id={batch_id}"
-        session = batch.sparkSession
-        first = next_id(session, table_path, batch_id)
-        rows = numbered(batch.select(F.col("value").alias("message")), "id", start=first)
-        rows.select("id", "message").write.mode("overwrite").parquet(out)
-        own = session.read.schema(EVENTS_TABLE_SCHEMA).parquet(out)
-        (own.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(first).cast("long").alias("first_id"),
-                 F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{table_path}.ids/batch={batch_id}"))
+        own = append_batch(batch.select(F.col("value").alias("message")), table_path, batch_id, "id")
         if batch_path:
             batch_messages(own, lines_per_message).write.mode("overwrite").parquet(f"{batch_path}/batch_id={batch_id}")
 
@@ -138,16 +128,6 @@ def ingest_lines(spark: SparkSession, source: str | DataFrame, table_path: str,
     return w.start()
 
 
-def next_id(spark: SparkSession, table_path: str, batch_id: int) -> int:
-    """The first id of a batch: after those of the newest batch before it in the manifest."""
-    log = f"{table_path}.ids"
-    done = [n for n in files.numbers_in(spark, log, "batch") if n < batch_id and files.complete(spark, f"{log}/batch={n}")]
-    if not done:
-        return 1
-    last = spark.read.schema("batch_id long, first_id long, rows long").parquet(f"{log}/batch={done[-1]}").first()
-    return last.first_id + last.rows
-
-
 def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
     """STR-5 + WIN-1 + SNK-4 as a stream: a watermarked metric in append mode
@@ -169,43 +149,38 @@ def publish_task(results: DataFrame, task_name: str, out_path: str, checkpoint:
     return w.start()
 
 
+STATE = "user_id string, product_id string, store_id string, views bigint, buys bigint, bucket int"
+BUCKETS = 64
+
+
 def views_per_buy_state(log_stream: DataFrame, table_path: str, checkpoint: str,
-                        available_now: bool = True) -> StreamingQuery:
+                        available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """AGG-5 / STR-5 for an all-time metric: view and buy counts per (user,
     product, store) kept as streaming state (update mode; the state is bounded
-    by the key space, not by the events). Each micro-batch merges its updated keys
-    into a new version of the table, one row for each key; only the last two versions
-    are kept, so the folder does not grow with the number of batches."""
+    by the key space, not by the events). Each micro-batch merges its updated keys into
+    the table's key buckets; buckets without updated keys are not written."""
     parts = split_log(log_stream)
-    cols = ["user_id", "product_id", "store_id"]
+    cols = list(metrics.BUY_KEYS)
     tagged = (parts["view"].select(*cols, F.lit(1).alias("v"), F.lit(0).alias("b"))
               .unionByName(parts["buy"].select(*cols, F.lit(0).alias("v"), F.lit(1).alias("b"))))
     counts = tagged.groupBy(*cols).agg(F.sum("v").cast("long").alias("views"), F.sum("b").cast("long").alias("buys"))
 
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:  # counts only grow: a key's newest are its largest
+        return (old.unionByName(new).groupBy(*cols, "bucket")
+                .agg(F.max("views").alias("views"), F.max("buys").alias("buys")))
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = versions(spark, table_path)
-        before = [v for v in older if v < batch_id]
-        out = batch.select(*cols, "views", "buys")
-        if before:  # counts only grow, so the newest counts of a key are its largest
-            out = (spark.read.parquet(f"{table_path}/version={before[-1]}").unionByName(out)
-                   .groupBy(*cols).agg(F.max("views").alias("views"), F.max("buys").alias("buys")))
-        out.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
-        for v in before[:-1]:  # the one before stays, for a replay of this batch
-            files.delete(spark, f"{table_path}/version={v}")
+        schema = batch.sparkSession.createDataFrame([], STATE).schema
+        merge_batch(batch.sparkSession, table_path, batch_id, batch.withColumn("bucket", bucket(cols, buckets)), "bucket", newest,
+                    schema.names, schema)
 
     w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
 
 
-def versions(spark, table_path: str) -> list[int]:
-    """The versions of the table, oldest first."""
-    return files.numbers_in(spark, table_path, "version")
-
-
 def views_before_buy_from_state(spark, table_path: str) -> DataFrame:
-    """The histogram from the newest version of the counts."""
-    state = spark.read.parquet(f"{table_path}/version={versions(spark, table_path)[-1]}")
+    """The histogram from the table of counts."""
+    state = spark.read.schema(STATE).parquet(table_path)
     views = F.when(metrics.any_null(*metrics.BUY_KEYS), F.lit(0).cast("long")).otherwise(F.col("views"))
     return metrics.views_histogram(state.filter(F.col("buys") > 0).select("store_id", views.alias("views"), "buys"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def test_revenue_stream_equals_batch(spark, tmp_path):
     assert got.count() == exp.count() > 0 and exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
 
 
-def test_state_folder_keeps_two_versions(spark, tmp_path):
+def test_state_table_writes_only_updated_buckets(spark, tmp_path):
     src, table = tmp_path / "logs", str(tmp_path / "state")
     src.mkdir()
     head = "timestamp;store_id;type;content;extra_1;extra_2\n"
@@ -156,6 +157,8 @@ def test_state_folder_keeps_two_versions(spark, tmp_path):
         (src / f"{k}.txt").write_text(head + f"{k};s;User;u;ZOOM;VIEW_PRODUCT p.\n" + f"{k};s;Audit;u;BUY;p\n")
     jobs.views_per_buy_state(logs.stream_logs(spark, str(src), max_files_per_trigger=1), table,
                              str(tmp_path / "ck")).awaitTermination(300)
-    assert len(jobs.versions(spark, table)) <= 2
+    files = sorted(p.relative_to(table) for p in pathlib.Path(table).rglob("*.parquet"))
+    assert len(files) == 1  # one key, one bucket
+    assert len(list(pathlib.Path(f"{table}.batches").glob("batch=*"))) == 1  # of the staged batches the last
     assert {(r.store_id, r.views, r["count"]) for r in jobs.views_before_buy_from_state(spark, table).collect()} == {
         ("s", 4, 4), ("All", 4, 4)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storepulse.operators.purchases import message_purchases
 from storepulse.schemas import LOG_COLUMNS
+from storepulse.sinks.appends import next_id
 from storepulse.sources import logs
 from storepulse.streaming import jobs
 
@@ -105,7 +106,7 @@ def test_an_empty_micro_batch_keeps_the_mark(spark, tmp_path):
     (empty / "e.txt").write_text("")
     table = str(tmp_path / "t")
     jobs.ingest_lines(spark, str(empty), table, str(tmp_path / "ck")).awaitTermination(120)
-    assert jobs.next_id(spark, table, 99) == 1
+    assert next_id(spark, table, 99) == 1
 
 
 def test_messages_are_split_once(spark):

@@ -71,11 +71,10 @@ def test_store_pass_job_writes_messages(spark, tmp_path):
     assert written.select("task_name").distinct().count() == 6
 
 
-def test_append_and_reset_table(spark, tmp_path):
+def test_reset_table(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(3).withColumnRenamed("id", "x")
-    writers.append_rows(df, path)
-    writers.append_rows(df, path)
+    writers.reset_table(df.unionAll(df), path)
     assert spark.read.parquet(path).count() == 6
     writers.reset_table(df, path)
     assert spark.read.parquet(path).count() == 3
