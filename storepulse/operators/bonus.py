@@ -55,25 +55,29 @@ def bonus_eligible(purchases: DataFrame, min_short: float = MIN_SHORT, min_long:
     over ``min_long`` and at least one 10-minute window over ``min_short`` (any
     two windows, unrelated in time). One row per (user, store) with the number
     of passing windows of each horizon and the pair count."""
-    t = _totals(purchases, short, long)
-    agg = t.groupBy("user_id", "store_id").agg(
-        F.count_if((F.col("horizon") == "6h") & (F.col("total") > min_long)).alias("windows_6h"),
-        F.count_if((F.col("horizon") == "10m") & (F.col("total") > min_short)).alias("windows_10m"))
+    long_tot = _long_windows(purchases, min_short, short, long)
+    agg = long_tot.groupBy("user_id", "store_id").agg(
+        F.count_if(F.col("total_6h") > min_long).alias("windows_6h"), F.sum("windows_10m").alias("windows_10m"))
     return (agg.filter((F.col("windows_6h") > 0) & (F.col("windows_10m") > 0))
                .withColumn("pairs", F.col("windows_6h") * F.col("windows_10m")))
 
 
+def _long_windows(purchases: DataFrame, min_short: float, short: str, long: str) -> DataFrame:
+    """(l, user_id, store_id, total_6h, windows_10m): each long window's spend and its short windows over ``min_short``. The
+    purchases are combined once, by the short window; a long window is a sum of the short ones that lie in it."""
+    assert duration_us(long) % duration_us(short) == 0, "short horizon must divide the long one"
+    short_tot = (purchases.groupBy(tumble_start(purchases, "datetime", short).alias("s"), "user_id", "store_id")
+                          .agg(spend().alias("total_10m")))
+    return (short_tot.groupBy(tumble_start(short_tot, "s", long).alias("l"), "user_id", "store_id")
+                     .agg(F.sum("total_10m").alias("total_6h"), F.count_if(F.col("total_10m") > min_short).alias("windows_10m")))
+
+
 def bonus_contained(purchases: DataFrame, min_short: float = MIN_SHORT, min_long: float = MIN_LONG,
                     short: str = SHORT, long: str = LONG) -> DataFrame:
     """JN-3, contained reading: 6-hour windows over ``min_long`` holding a
     10-minute window over ``min_short``. The short windows are rolled up into the
     long one they lie in (10 minutes divides 6 hours), so no join is needed."""
-    assert duration_us(long) % duration_us(short) == 0, "short horizon must divide the long one"
-    short_tot = (purchases.groupBy(tumble_start(purchases, "datetime", short).alias("s"), "user_id", "store_id")
-                          .agg(spend().alias("total_10m")))
-    long_tot = (short_tot.groupBy(tumble_start(short_tot, "s", long).alias("l"), "user_id", "store_id")
-                         .agg(F.sum("total_10m").alias("total_6h"),
-                              F.count_if(F.col("total_10m") > min_short).alias("windows_10m")))
+    long_tot = _long_windows(purchases, min_short, short, long)
     return long_tot.filter((F.col("total_6h") > min_long) & (F.col("windows_10m") > 0)).select(
         "user_id", "store_id", F.col("l").cast("string").alias("window_start"),
         shift(F.col("l"), long).alias("window_end"), F.col("total_6h").cast("double").alias("total_6h"), "windows_10m")

@@ -639,11 +639,11 @@ def flow_drift(spark, sf_dir):
 
 # ---- published insights and report lines ---------------------------------------------------
 
-def _task_results(spark, sf_dir) -> dict[str, DataFrame]:
+def _task_results(spark, sf_dir, store=None) -> dict[str, DataFrame]:
     """The six tasks as published: newest window per store for the timed ones."""
     from . import store_pass as sp
     i = StoreInputs(spark, sf_dir)
-    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock)
+    return sp.task_results(sp.tagged_events(i.events), i.products, i.stock, store)
 
 
 @query
@@ -698,17 +698,20 @@ def latest_insight(spark, sf_dir):
 
 @query
 def store_report_one(spark, sf_dir):
-    """FLT-10: the report of one store."""
+    """FLT-10: the report of one store, from that store's rows alone."""
     from ..operators.deals import report_for_store
-    return report_for_store(store_report(spark, sf_dir), "store_2")
+    return report_for_store(_report(_task_results(spark, sf_dir, "store_2")), "store_2")
 
 
 @query
 def store_report(spark, sf_dir):
     """RPT-1..6 + RPT-9: every report line of every store."""
+    return _report(_task_results(spark, sf_dir))
+
+
+def _report(t: dict[str, DataFrame]) -> DataFrame:
     from ..operators import reports
     from ..operators.payload import TASK_DETAILS
-    t = _task_results(spark, sf_dir)
     out = reports.store_report([
         reports.purchases_lines(t["purchases_per_minute"]),
         reports.revenue_lines(t["revenue_per_minute"]),

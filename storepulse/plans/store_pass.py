@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import view_product_id
-from ..functions.timewin import tumble_start
+from ..functions.timewin import shift, tumble_start
 from ..operators import latest, metrics
 from ..operators.events import BUY_SELECTOR, VIEW_SELECTOR
 from ..operators.payload import MAX_DETAILS, TASK_DETAILS, store_payloads
@@ -77,17 +77,33 @@ def newest_hours(tagged: DataFrame, small: DataFrame) -> DataFrame:
     return tagged.join(start, same & (F.col("datetime") >= F.col("since"))).drop("s", "k", "since")
 
 
-def task_results(tagged: DataFrame, products: DataFrame, stock: DataFrame) -> dict[str, DataFrame]:
-    """The six published task results, from tagged events; see the module."""
+def cells(recent: DataFrame, products: DataFrame) -> DataFrame:
+    """(kind, minute, hour, store_id, product_id, user_id, n, name, price): the recent events counted once, with their
+    product's attributes from one join; every windowed task is a sum over these rows."""
+    minute = F.window("datetime", "1 minute").alias("minute")
+    counted = recent.groupBy("kind", minute, "store_id", "product_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    flat = counted.select("*", F.col("minute.start").alias("_start"))
+    start = tumble_start(flat, "_start", LONGEST)
+    hour = F.struct(start.alias("start"), shift(start, LONGEST).alias("end"))
+    return metrics.with_attributes(flat.withColumn("hour", hour).drop("_start"), products, "name", "price")
+
+
+def task_results(tagged: DataFrame, products: DataFrame, stock: DataFrame, store: str | None = None) -> dict[str, DataFrame]:
+    """The six published task results, from tagged events; see the module. With ``store`` (FLT-10) only that
+    store's events, products and stock are read."""
+    if store is not None:
+        tagged, products, stock = (df.where(F.col("store_id") == store) for df in (tagged, products, stock))
     small = _checkpointed(summary(tagged))
-    recent = _checkpointed(newest_hours(tagged, small))
-    views = recent.filter(F.col("kind") == "view").drop("kind")
-    buys = recent.filter(F.col("kind") == "buy").drop("kind")
+    counted = _checkpointed(cells(newest_hours(tagged, small), products))
+    views = counted.where("kind = 'view'").withColumnRenamed("minute", "window")
+    buys = counted.where("kind = 'buy'").withColumnRenamed("minute", "window")
+    hours = counted.where("kind = 'view'").withColumnRenamed("hour", "window")
     return {
-        "purchases_per_minute": latest.last_window(metrics.purchases_per_minute(buys)),
-        "revenue_per_minute": latest.last_window(metrics.revenue_per_minute(views, products)),
-        "unique_users_per_minute": latest.last_window(metrics.unique_users_per_minute(views, products)),
-        "ranking_viewed_products_per_hour": latest.last_window(metrics.view_ranking_per_hour(views, products)),
+        "purchases_per_minute": latest.last_window(metrics.units_per_window(buys, F.sum("n"))),
+        "revenue_per_minute": latest.last_window(metrics.viewed_price(views)),
+        "unique_users_per_minute": latest.last_window(
+            metrics.unique_users_from_sets(views.select("window", "name", "store_id", "user_id"))),
+        "ranking_viewed_products_per_hour": latest.last_window(metrics.views_per_name(hours)),
         HISTOGRAM: metrics.views_histogram(small.filter(F.col("buys") > 0)),
         "without_stock": metrics.sold_without_stock(stock),
     }
