@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from storepulse.llm import arrays as A
 from storepulse.llm.near import groups
-from storepulse.llm.tables import DOC, components, saved, table, texts
+from storepulse.llm.tables import DOC, bucketed, components, dropped, filtered_joins, saved, table, texts
 
 SHINGLE = 5
 LIMIT = 80  # percent
@@ -43,6 +43,7 @@ SPARE = 5  # one shingle of so many is asked for beyond the least
 WAVES = 2
 CELL_ROWS = 512
 CELL_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
 WIDTH = 4096  # columns multiplied at once
 
 
@@ -149,12 +150,14 @@ def met(asked: DataFrame) -> DataFrame:
     return asked.repartition("token").sortWithinPartitions("token", "key").mapInArrow(rows, "key long, met long")
 
 
-def live_rows(docs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
-    """(node, id, k1, k2, n, s): the whole rows of the sets that may have a partner."""
+def live_rows(docs: DataFrame, reps: DataFrame, limit: int, repeats: bool) -> DataFrame:
+    """(node, id, k1, k2, n, s): the whole rows of the sets that may have a partner. ``repeats``: a doc_id may repeat a row."""
     enough = met(first_shingles(docs, limit)).groupBy("key").agg(F.sum("met").alias("met"))
     least = F.expr(f"1 + floor(floor(({limit} * n + 99) / 100) / {SPARE})")
-    live = (reps.join(enough, reps.k1 == enough.key).where(F.col("met") >= least)
-            .select(F.col("id").alias(DOC), "k1", "k2"))
+    # written, so that its size is known before the join with the texts is planned
+    live = saved(reps.join(enough, reps.k1 == enough.key).where(F.col("met") >= least)
+                 .select(F.col("id").alias(DOC), "k1", "k2", "n"), "incidence-live")
+    entries = live.agg(F.sum("n")).first()[0] or 0
 
     def rows(batches):
         for part in A.slices(batches):
@@ -165,9 +168,14 @@ def live_rows(docs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
                 [part.column(DOC), part.column("k1"), part.column("k2"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k1", "k2", "n", "s"]).filter(pa.array(same))
 
-    found = texts(docs).join(live, DOC).mapInArrow(rows, "id long, k1 long, k2 long, n long, s binary")
-    # of a doc_id that repeats its row one is enough; a written table keeps its row numbers
-    return saved(found.dropDuplicates(["id", "k1", "k2"]).withColumn("node", F.monotonically_increasing_id()), "incidence-rows")
+    # the filter on n says no more than that: live is the side that a Bloom filter is made of
+    found = texts(docs).join(live.where("n > 0").drop("n"), DOC).mapInArrow(rows, "id long, k1 long, k2 long, n long, s binary")
+    if repeats:
+        found = found.dropDuplicates(["id", "k1", "k2"])
+    with filtered_joins(docs.sparkSession):
+        held = saved(found.withColumn("node", F.monotonically_increasing_id()), "incidence-rows")  # numbered once
+    # the rows of a bucket fit a task; every later join by node moves keys, not rows
+    return bucketed(held, "incidence-buckets", "node", int(1 + entries * 8 // BUCKET_BYTES))
 
 
 def meetings(live: DataFrame, limit: int) -> DataFrame:
@@ -319,12 +327,14 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     key = ["k1", "k2", "n_shingles"]
     whole = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = saved(whole.groupBy(*key).agg(F.min(DOC).alias("id")).withColumnRenamed("n_shingles", "n"), "incidence-reps")
-    live = live_rows(docs, reps, limit)
+    repeated = whole.groupBy(DOC).agg(F.count("*").alias("c")).where("c > 1").select(DOC)
+    several = not repeated.isEmpty()
+    live = live_rows(docs, reps, limit, several)
     label = row_links(live, limit).join(live.select("node", "id"), "node")
     least = label.groupBy("component").agg(F.min("id").alias("least"))
     linked = saved(label.join(least, "component").select("id", "least").distinct(), "incidence-linked")
-    repeated = whole.groupBy(DOC).agg(F.count("*").alias("c")).where("c > 1").select(DOC)
-    if not repeated.isEmpty():  # their texts tie components together
+    dropped(live)
+    if several:  # their texts tie components together
         ties = (whole.join(repeated, DOC).join(reps.withColumnRenamed("n", "n_shingles"), key)
                 .select(F.col(DOC).alias("id"), F.col("id").alias("least")))
         linked = components(linked.unionByName(ties), "id", "least").select(F.col("node").alias("id"), F.col("component").alias("least"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -70,6 +71,39 @@ def saved(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in ``buckets`` by ``key`` and read back as a table: joins on the key
+    move only the other side. ``dropped`` takes the table's name out of the catalogue again."""
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch_path(spark, name)
+    called = os.path.basename(path).replace("-", "_")
+    (df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(called))
+    out = spark.table(called)
+    out.called = called
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.called}")
+
+
+@contextlib.contextmanager
+def filtered_joins(spark: SparkSession):
+    """Within it, a shuffled join of a scan with a smaller side sends a Bloom filter of that side's keys (of bounded size) to the
+    scan first, also where the scan is smaller than Spark's own threshold; the session's settings are put back."""
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": str(1 << 30)}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Size of the files of a written table, from the file system."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
