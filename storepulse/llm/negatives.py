@@ -37,7 +37,7 @@ POSITIVES = 5
 NEGATIVES = 10
 LOW, HIGH = 30, 90  # percent of the positive's score
 MOVED, LABELS = 7, 10  # of every seventh id the label is the next of ten
-BLOCK = 4096
+BLOCK = 16384  # about 60 MB with its lists; anchors are sent once for each block
 STRIDE = 16
 LAST_ID = np.int64((1 << 63) - 1)  # stands for a null id in ties
 EXACT = 1 << 53  # sums of products below it are exact as doubles
@@ -48,7 +48,7 @@ def integer_rows(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     cut = lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(float(LARGEST))), F.lit(-float(LARGEST))))
     own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("y"))
     return (clean_vectors(own.where("label is not null"), "y")
-            .withColumn("y", F.transform("y", cut))
+            .withColumn("y", F.transform("y", cut).cast("array<int>"))
             .withColumn("label", F.expr(f"if(vec_id % {MOVED} = 0, (label + 1) % {LABELS}, label)")))
 
 
@@ -66,15 +66,16 @@ class Block:
 
     def __init__(self, uid: np.ndarray, ids: np.ndarray, label: np.ndarray, y: np.ndarray):
         self.uid, self.ids, self.label = uid, ids, label
-        self.order = np.ascontiguousarray(np.argsort(y, 0, kind="stable").T)  # a list of rows for each dimension
-        self.sorted = np.take_along_axis(y.T, self.order, 1)
+        # a list of rows for each dimension, and its values
+        self.order = np.stack([np.argsort(column, kind="stable").astype(np.int32) for column in y.T]) if y.size else np.zeros((y.shape[1], len(y)), np.int32)
+        self.sorted = np.take_along_axis(y.T.astype(np.int32), self.order, 1)
         self.most = int(np.abs(y).max(initial=0))
-        self.whole, self.real = y, y.astype(np.float64)
+        self.whole, self.real = y.astype(np.int32), y.astype(np.float64)
 
     def scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         if self.most * int(np.abs(anchor).max(initial=0)) * len(anchor) < EXACT:
             return (self.real[rows] @ anchor.astype(np.float64)).astype(np.int64)
-        return self.whole[rows] @ anchor
+        return self.whole[rows].astype(np.int64) @ anchor
 
     def search(self, anchor: np.ndarray, fit: np.ndarray, windows: list[tuple[int | None, int | None]], k: int
                ) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -93,7 +94,7 @@ class Block:
             upto = min(n, depth + step)
             if len(used):
                 met = np.concatenate([lists[down, n - upto:n - depth].ravel(), lists[~down, depth:upto].ravel()])
-                edge = np.where(down, self.sorted[used, n - upto], self.sorted[used, upto - 1])
+                edge = np.where(down, self.sorted[used, n - upto], self.sorted[used, upto - 1]).astype(np.int64)
                 threshold = int((edge * weight).sum()) if upto < n else None  # products of 2^56 at most, and few
             else:
                 met, threshold = np.arange(n), None
