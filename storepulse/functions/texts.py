@@ -24,3 +24,8 @@ COUPON_LINE = "========= USER %s OF STORE %s GOT A COUPON ========="
 
 # A product name that is missing prints as Python's None.
 MISSING_NAME = "None"
+
+# Why a deal request is rejected.
+NO_REQUEST = "no valid request"
+NO_DISCOUNT = "the discount is not above 0"
+NO_PERIOD = "the period does not start at a date"

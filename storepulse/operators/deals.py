@@ -16,8 +16,8 @@ from ..functions.timewin import ntz_lit
 from .numbering import numbered
 
 DAY_US = 86_400_000_000
-# The longest period that is answered, in months of 30 days; the dashboard asks for 1 to 48.
-LONGEST_PERIOD = 48
+# The longest period, in months of 30 days: from 1973 on its start is still a date. The dashboard asks for 1 to 48.
+LONGEST_PERIOD = 24_000
 DEALS_PER_MESSAGE = 1000
 
 
@@ -57,45 +57,71 @@ def rank_deals(deals: DataFrame) -> DataFrame:
                                 money(F.col("price")), money(F.col("evaluated_discount")), F.col("store_id")))
 
 
-def decode_requests(raw: DataFrame, column: str = "value", longest: int = LONGEST_PERIOD) -> DataFrame:
-    """SRC-8 + FLT-9: JSON requests -> (request_id, months, discount). A request
-    that is no valid JSON, has a discount not above 0 or a period outside
-    1..``longest`` months is dropped by itself; the others are answered."""
+def _requests(raw: DataFrame, column: str) -> DataFrame:
     from ..schemas import DEAL_REQUEST_DDL
-    r = raw.select("request_id", F.from_json(F.col(column), DEAL_REQUEST_DDL).alias("r"))
-    return (r.select("request_id", F.col("r.time_window").alias("months"),
-                     F.col("r.discount_percentage").alias("discount"))
-             .filter((F.col("discount") > 0) & F.col("months").between(1, longest)))
+    r = raw.select("request_id", F.col(column).alias("value"), F.from_json(F.col(column), DEAL_REQUEST_DDL).alias("r"))
+    months, discount = F.col("r.time_window"), F.col("r.discount_percentage")
+    reason = (F.when(months.isNull() | discount.isNull(), texts.NO_REQUEST).when(~(discount > 0), texts.NO_DISCOUNT)
+               .when(~months.between(1, LONGEST_PERIOD), texts.NO_PERIOD))
+    return r.select("request_id", "value", months.alias("months"), discount.alias("discount"), reason.alias("reason"))
+
+
+def decode_requests(raw: DataFrame, column: str = "value") -> DataFrame:
+    """SRC-8 + FLT-9: JSON requests -> (request_id, months, discount). A request
+    that is no valid JSON, has a discount not above 0 or a period whose start is no
+    date is rejected by itself (``rejection_messages``); the others are answered."""
+    return _requests(raw, column).where("reason is null").select("request_id", "months", "discount")
+
+
+def rejection_messages(raw: DataFrame, column: str = "value") -> DataFrame:
+    """The answer to each request that can't be met: an error message with the reason and the request as it came."""
+    body = F.struct(F.lit("error").alias("status"), F.lit("price_monitor_job_results").alias("task_name"),
+                    F.col("reason").alias("error"), F.coalesce("value", F.lit("")).alias("request"))
+    return _requests(raw, column).where("reason is not null").select("request_id", F.to_json(body).alias("message"))
+
+
+def requested_periods(requests: DataFrame) -> DataFrame:
+    """(m, step): for each month up to the longest request, the place of the smallest requested period that holds it. At most
+    ``LONGEST_PERIOD`` rows, whatever the requests are."""
+    from pyspark.sql import Window
+    every = Window.orderBy("months")  # distinct periods: at most LONGEST_PERIOD rows
+    periods = requests.select("months").distinct()
+    placed = periods.select("months", F.row_number().over(every).alias("step"), F.coalesce(F.lag("months").over(every), F.lit(0)).alias("before"))
+    return placed.select(F.explode(F.sequence(F.col("before") + 1, F.col("months"))).alias("m"), "step", "months")
 
 
-def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFrame,
-                       as_of: dt.datetime, longest: int = LONGEST_PERIOD) -> DataFrame:
+def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFrame, as_of: dt.datetime) -> DataFrame:
     """JN-8: all requests in one job, without a range join.
 
     A row belongs to every period of at least ``ceil(age in days / 30)`` months
     (newer rows, and rows after ``as_of``, to all). History is reduced to one row
-    per (product, store, that month), a running sum over the at most ``longest``
-    months of a product gives the average of every period from there up to the
-    next month with rows, and requests meet their period by an equi-join. The
-    history is scanned and shuffled once, whatever the requests are; the longest
-    period is a literal bound that reaches the scan.
+    per (product, store, smallest requested period that holds it); a running sum over a product's periods gives
+    the average of each of them up to the next one with rows, and requests meet their period by an
+    equi-join. The history is scanned and shuffled once, whatever the requests are; the longest
+    requested period is a literal bound that reaches the scan.
     """
     from pyspark.sql import Window
     age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), ntz_lit(as_of))
     # integer ceiling of age / 30 days
     month = F.floor((age_us + F.lit(30 * DAY_US - 1)) / F.lit(30 * DAY_US).cast("decimal(20,0)")).cast("int")
     req = requests.select("request_id", "months", "discount")
+    longest = req.agg(F.max("months")).first()[0] or 0
+    steps = requested_periods(req)
+    periods = steps.select("step", "months").distinct()
     recent = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, longest)))
     monthly = (recent.groupBy("product_id", "store_id", F.greatest(month, F.lit(1)).alias("m"))
-                     .agg(F.sum("price").alias("s"), F.count("price").alias("n")))
-    w = Window.partitionBy("product_id", "store_id").orderBy("m")
+                     .agg(F.sum("price").alias("s"), F.count("price").alias("n"))
+                     .join(steps.select("m", "step"), "m").groupBy("product_id", "store_id", "step")
+                     .agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    w = Window.partitionBy("product_id", "store_id").orderBy("step")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = periods.agg(F.max("step")).first()[0] or 0
     running = monthly.select(
-        "product_id", "store_id", "m", F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"),
-        F.coalesce(F.lead("m").over(w) - 1, F.lit(longest)).alias("last"))
-    per_period = (running.select("product_id", "store_id", F.explode(F.sequence("m", "last")).alias("months"),
+        "product_id", "store_id", "step", F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"),
+        F.coalesce(F.lead("step").over(w) - 1, F.lit(last)).alias("last"))
+    per_period = (running.select("product_id", "store_id", F.explode(F.sequence("step", "last")).alias("step"),
                                  F.round(F.col("s") / F.col("n"), 6).cast("double").alias("avg_price"))
-                         .join(req.select("months").distinct(), "months", "left_semi"))
+                         .join(periods, "step").drop("step"))
     cand = products.join(per_period.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
     j = cand.join(req, "months")
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(

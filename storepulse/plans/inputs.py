@@ -22,11 +22,12 @@ BONUS_MIN_SHORT = 50.0
 BONUS_MIN_LONG = 100.0
 PRICE_UPDATE_N = 1000
 PRICE_UPDATE_SEED = 7
-# Deal requests as the dashboard sends them; the last two are dropped (discount 0, absurd period).
+# Deal requests as the dashboard sends them; the last two are rejected (discount 0, a period without a start).
 DEAL_REQUESTS = [
     '{"task_name": "price_monitor_job", "time_window": 12, "discount_percentage": 10}',
     '{"task_name": "price_monitor_job", "time_window": 1, "discount_percentage": 5.5}',
     '{"task_name": "price_monitor_job", "time_window": 48, "discount_percentage": 25}',
+    '{"task_name": "price_monitor_job", "time_window": 240, "discount_percentage": 30}',
     '{"task_name": "price_monitor_job", "time_window": 6, "discount_percentage": 0}',
     '{"task_name": "price_monitor_job", "time_window": 100000, "discount_percentage": 10}',
 ]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from .inputs import (AS_OF, BONUS_MIN_LONG, BONUS_MIN_SHORT, DEAL_DISCOUNT, DEAL_MONTHS, DEAL_REQUESTS,
                      PRICE_UPDATE_N, PRICE_UPDATE_SEED)
 from ..functions import texts
-from ..operators.deals import DEALS_PER_MESSAGE, period_start
+from ..operators.deals import DEALS_PER_MESSAGE, LONGEST_PERIOD, period_start
 from ..sources.logs import REASONS
 
 # Fixture views (FIXTURES.md section 3, products as versions per key).
@@ -282,8 +282,8 @@ def build() -> dict[str, str]:
         ("req", "SELECT request_id, CAST(json_extract(value, '$.time_window') AS INTEGER) AS months, "
                 "CAST(json_extract(value, '$.discount_percentage') AS DOUBLE) AS discount FROM raw"),
         ("a", f"SELECT r.request_id, r.months, r.discount, h.product_id, h.store_id, {_exact_avg('h.price')} AS avg_price "
-              f"FROM hist h JOIN req r ON h.recorded_at >= {_ts(AS_OF)} - LEAST(r.months, 48) * 30 * INTERVAL 1 DAY "
-              f"WHERE r.discount > 0 AND r.months BETWEEN 1 AND 48 GROUP BY ALL")], (
+              f"FROM hist h JOIN req r ON h.recorded_at >= {_ts(AS_OF)} - LEAST(r.months, {LONGEST_PERIOD}) * 30 * INTERVAL 1 DAY "
+              f"WHERE r.discount > 0 AND r.months BETWEEN 1 AND {LONGEST_PERIOD} GROUP BY ALL")], (
         "SELECT a.request_id, a.months, a.discount, c.id AS product_id, c.name, c.store_id, c.price, "
         "a.avg_price AS average_price FROM cat c JOIN a ON c.id = a.product_id AND c.store_id = a.store_id "
         "WHERE c.price < a.avg_price * (1 - a.discount / 100)"))

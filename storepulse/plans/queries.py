@@ -348,11 +348,14 @@ def deal_report_empty(spark, sf_dir):
     return deals.deal_report(d, DEAL_MONTHS, 100.0, AS_OF)
 
 
+def _raw_requests(spark):
+    return spark.createDataFrame([(n, v) for n, v in enumerate(DEAL_REQUESTS)], "request_id INT, value STRING")
+
+
 @query
 def deal_requests(spark, sf_dir):
     i = StoreInputs(spark, sf_dir)
-    raw = spark.createDataFrame([(n, v) for n, v in enumerate(DEAL_REQUESTS)], "request_id INT, value STRING")
-    req = deals.decode_requests(raw)
+    req = deals.decode_requests(_raw_requests(spark))
     return deals.deals_for_requests(i.history, i.catalog, req, AS_OF)
 
 

@@ -7,6 +7,7 @@ import pathlib
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+from storepulse.functions import texts
 from storepulse.operators import bonus, deals, flow, metrics, reports, stock
 from storepulse.operators.events import split_log
 from storepulse.operators.payload import decode_task_messages, store_payloads, task_messages
@@ -77,6 +78,29 @@ def test_one_absurd_request_leaves_the_others(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rejected_requests_are_answered(spark):
+    raw = ['{"time_window": 12, "discount_percentage": 10}', '{"time_window": 100000, "discount_percentage": 10}', "junk", None,
+           '{"time_window": 3, "discount_percentage": 0}']
+    got = {r.request_id: json.loads(r.message) for r in deals.rejection_messages(
+        spark.createDataFrame(list(enumerate(raw)), "request_id int, value string")).collect()}
+    assert {k: (m["error"], m["request"]) for k, m in got.items()} == {
+        1: (texts.NO_PERIOD, raw[1]), 2: (texts.NO_REQUEST, "junk"), 3: (texts.NO_REQUEST, ""), 4: (texts.NO_DISCOUNT, raw[4])}
+    assert {m["status"] for m in got.values()} == {"error"}
+
+
+def test_requests_of_many_periods_equal_single_ones(spark):
+    i = StoreInputs(spark, SF_SMALL)
+    periods = [1, 7, 12, 13, 60, 300, 20_000]
+    req = spark.createDataFrame([(n, m, 10.0) for n, m in enumerate(periods)], "request_id int, months int, discount double")
+    got = deals.deals_for_requests(i.history, i.catalog, req, AS_OF)
+    cols = ["product_id", "store_id", "price", "average_price"]
+    rows = [(r.request_id, *(r[c] for c in cols)) for r in got.collect()]
+    for n, m in enumerate(periods):
+        want = sorted(tuple(r[c] for c in cols) for r in deals.price_deals(i.history, i.catalog, AS_OF, m, 10.0).collect())
+        assert sorted(r[1:] for r in rows if r[0] == n) == want, m
+    assert deals.deals_for_requests(i.history, i.catalog, req.limit(0), AS_OF).collect() == []
+
+
 def test_an_answer_without_deals_is_sent(spark):
     i = StoreInputs(spark, SF_SMALL)
     none = deals.price_deals(i.history, i.catalog, AS_OF, 12, 100.0)
