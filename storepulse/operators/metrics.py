@@ -170,7 +170,7 @@ def sold_without_stock(stock: DataFrame) -> DataFrame:
     """AGG-7: negative-stock rows per store, plus an ``All`` row that exists
     (null) even when no row is negative (Q11). The global aggregate runs over the
     per-store result (one row per store)."""
-    per_store = (stock.filter(F.col("quantity") < 0).groupBy("store_id")
+    per_store = (negative_stock(stock).groupBy("store_id")
                       .agg(F.count(F.lit(1)).alias("products_sold_without_stock")))
     all_row = per_store.agg(F.sum("products_sold_without_stock").alias("products_sold_without_stock")) \
                        .select(F.lit(ALL).alias("store_id"), "products_sold_without_stock")
@@ -182,6 +182,11 @@ def in_stock(stock: DataFrame) -> DataFrame:
     return stock.filter(F.col("quantity") > 0).select("product_id", "store_id", "quantity")
 
 
+def negative_stock(stock: DataFrame) -> DataFrame:
+    """FLT-2: quantity < 0."""
+    return stock.filter(F.col("quantity") < 0).select("product_id", "store_id", "quantity")
+
+
 def views_strictly_before_buy(views: DataFrame, buys: DataFrame, bucket: str = "hour") -> DataFrame:
     """AGG-5, intent reading of Q9: for each bought unit, the views of the same
     (user, product, store) strictly earlier than the buy; histogram per store
