@@ -3,7 +3,8 @@
 Words are counted exactly over all documents; the most frequent ones are tokens
 of their own, the others share ``BUCKETS`` tokens by a hash. A window network
 predicts the masked token from ``SIDE`` tokens on each side: a table per
-position, a tanh layer and a softmax over the vocabulary. It is trained in numpy
+position, a tanh layer and a softmax in two levels: over classes of ``CLASS`` tokens, then
+over the tokens of the class, so every token has an exact probability. It is trained in numpy
 where the documents are: in each of ``ROUNDS`` rounds every task starts from the
 shared parameters, takes Adagrad steps over every ``MASK``-th position of its
 documents (other positions each round, every position once over all rounds), and the parameters of all tasks are averaged
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from storepulse.llm import arrays as A
 from storepulse.llm.tables import DOC, saved, table, texts
 
-VOCABULARY = 256
+VOCABULARY = 512
+CLASS = 32  # tokens of a class; ranks are dealt to the classes in turn
+CLASSES = VOCABULARY // CLASS
 BUCKETS = 64
 WORDS = VOCABULARY - BUCKETS - 1  # the last token stands beyond a document's ends
 BORDER = VOCABULARY - 1
@@ -93,7 +96,7 @@ def contexts(ids: np.ndarray, ranges: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    SHAPES = ((2 * SIDE, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, VOCABULARY), (VOCABULARY,))
+    SHAPES = ((2 * SIDE, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASS), (CLASSES, CLASS))
 
     def __init__(self, flat: np.ndarray):
         self.params, at = [], 0
@@ -110,8 +113,10 @@ class Network:
     def fresh(cls) -> np.ndarray:
         rng = np.random.default_rng(5)
         flat = rng.normal(0, 0.1, cls.size())
-        flat[-VOCABULARY:] = 0
-        return flat
+        net = cls(flat)
+        for bias in (net.params[3], net.params[5]):
+            bias[:] = 0
+        return net.flat().astype(float)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
@@ -124,26 +129,60 @@ class Network:
         return np.tanh(total + bias)
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        logits = self.hidden(around) @ self.params[2] + self.params[3]
-        top = logits.max(1, keepdims=True)
-        own = logits[np.arange(len(token)), token] - top[:, 0]
-        np.exp(logits - top, out=logits)
-        return own - np.log(logits.sum(1))
+        """Each row by itself, so that its value does not depend on the rows beside it."""
+        _, _, out, bias, inner, inner_bias = self.params
+        group, place, row = token % CLASSES, token // CLASSES, np.arange(len(token))
+        h = self.hidden(around)
+        p, q = softmax(h @ out + bias), softmax(np.matmul(h[:, None], inner[group])[:, 0] + inner_bias[group])
+        return np.log(np.maximum(p[row, group], TINY)) + np.log(np.maximum(q[row, place], TINY))
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability."""
-        table_, _, out, bias = self.params
+        table_, _, out, bias, inner, inner_bias = self.params
+        # by class, so that each class's weights meet its rows in one product
+        order = np.argsort((token % CLASSES).astype(np.int16), kind="stable")
+        around, token, row = around[order], token[order], np.arange(len(token))
+        group, place = token % CLASSES, token // CLASSES
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         h = self.hidden(around)
-        logits = h @ out + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(token)), token] -= 1
+        q = np.empty((len(h), CLASS), h.dtype)
+        for c in range(CLASSES):
+            if cuts[c] < cuts[c + 1]:
+                np.matmul(h[cuts[c]:cuts[c + 1]], inner[c], out=q[cuts[c]:cuts[c + 1]])
+        q += inner_bias[group]
+        p, q = softmax(h @ out + bias), softmax(q)
+        p[row, group] -= 1
+        q[row, place] -= 1
         p /= len(token)
-        dh = (p @ out.T) * (1 - h * h)
+        q /= len(token)
+        dh = p @ out.T
+        d_inner, d_inner_bias = np.zeros_like(inner), np.zeros_like(inner_bias)
+        for c in range(CLASSES):
+            if cuts[c] < cuts[c + 1]:
+                own = slice(cuts[c], cuts[c + 1])
+                dh[own] += q[own] @ inner[c].T
+                d_inner[c] = h[own].T @ q[own]
+                d_inner_bias[c] = q[own].sum(0)
+        dh *= 1 - h * h
         dt = np.zeros_like(table_)
         for j in range(2 * SIDE):
-            np.add.at(dt[j], around[:, j], dh)
-        return [dt, dh.sum(0), h.T @ p, p.sum(0)]
+            key = around[:, j].astype(np.int16)  # sorted by digits
+            rows = np.argsort(key, kind="stable")
+            key = key[rows]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            dt[j][key[first]] = np.add.reduceat(dh[rows], first)
+        return [dt, dh.sum(0), h.T @ p, p.sum(0), d_inner, d_inner_bias]
+
+
+TINY = np.float32(1e-30)
+
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
 def train_round(docs: DataFrame, tokens: Tokens, start: np.ndarray, offset: int) -> np.ndarray:

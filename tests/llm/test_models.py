@@ -50,24 +50,65 @@ def obfuscated(rng, word):
     return word
 
 
+BAD = ["idiot", "moron", "loser", "stupid"]
+CLEAN = ["river", "stone", "garden", "music", "window", "paper", "silver", "morning", "doctor", "listen", "region"]
+SPACINGS = {
+    "any": lambda rng, one, two: [obfuscated(rng, one), obfuscated(rng, two)],
+    "spelt": lambda rng, one, two: [" ".join(one), " ".join(two)],
+    "together": lambda rng, one, two: [" ".join(one + two)],
+    "double gap": lambda rng, one, two: [" ".join(one) + "  " + " ".join(two)],
+    "doubled": lambda rng, one, two: [" ".join(2 * c for c in one), " ".join(2 * c for c in two)],
+    "split": lambda rng, one, two: [split_in_two(rng, one), split_in_two(rng, two)],
+}
+
+
+def split_in_two(rng, word):
+    at = rng.randint(max(1, len(word) - 4), min(4, len(word) - 1))
+    return word[:at] + " " + word[at:]
+
+
 def test_obfuscated_words_are_restored_and_scored(spark, tables):
+    """Every way of spacing is caught; documents have the same lengths in both classes."""
     rng = random.Random(3)
-    bad = ["idiot", "moron", "loser", "stupid"]
-    clean = ["river", "stone", "garden", "music", "window", "paper", "silver", "morning", "doctor", "listen", "region"]
-    docs, labels = [], []
+    docs, labels, ways = [], [], {}
+
+    def add(bad, label=None):
+        w = [rng.choice(CLEAN) for _ in range(rng.randint(30, 60))]
+        for word in bad or rng.choices(CLEAN, k=2):
+            w.insert(rng.randrange(len(w)), word)
+        docs.append((len(docs), " ".join(w), "en", "s", 1))
+        if label is not None:
+            labels.append((len(docs) - 1, 1, label))
+        return len(docs) - 1
+
     for i in range(400):
-        w = [rng.choice(clean) for _ in range(40)]
-        toxic = i % 4 == 0
-        if toxic:
-            for _ in range(2):
-                word = rng.choice(bad)
-                w.insert(rng.randrange(40), word if i < 300 else obfuscated(rng, word))
-        docs.append((i, " ".join(w), "en", "s", 1))
-        labels.append((i, 1, int(toxic)))
-    path = tables(docs, labels[:300], clashing=False)
-    got = {r.doc_id: r.predicted for r in toxicity.op5_toxicity(spark, path).collect()}
-    right = [got[i] == t for i, _, t in labels[300:]]
-    assert np.mean(right) > 0.95
+        add(rng.choices(BAD, k=2) if i % 4 == 0 else None, int(i % 4 == 0))
+    for name, way in SPACINGS.items():
+        ways[name] = [add(way(rng, *rng.choices(BAD, k=2))) for _ in range(25)]
+    clean = [add(None) for _ in range(100)]
+    got = {r.doc_id: r.predicted for r in toxicity.op5_toxicity(spark, tables(docs, labels, clashing=False)).collect()}
+    caught = {name: np.mean([got[i] for i in ids]) for name, ids in ways.items()}
+    assert min(caught.values()) >= 0.9, caught
+    assert np.mean([got[i] for i in clean]) < 0.02
+
+
+def test_junk_longer_than_a_lattice_loses_no_word():
+    words = "idiot moron river stone garden music".split()
+    rng = random.Random(5)
+    channel = toxicity.Channel(plain_trigrams(" ".join(rng.choice(words) for _ in range(4000))))
+    for before in range(0, 90, 7):
+        token = "1" * before + "m0r0n" + "2" * 40
+        assert "moron" in channel.restore(token.encode()).decode(), before
+        spelt = " ".join("rivr" * 10)[:2 * before] + " " + " ".join("idiot") + " " + " ".join("stone" * 9)
+        assert "idiot" in channel.restore(spelt.strip().encode()).decode(), before
+
+
+def plain_trigrams(text):
+    out = np.zeros((toxicity.SIZE,) * 3)
+    codes = [0, 0, *(ord(c) - 96 if "a" <= c <= "z" else 0 for c in text), 0, 0]
+    for x, y, z in zip(codes, codes[1:], codes[2:]):
+        out[x, y, z] += 1
+    return out
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, toxicity.op5_toxicity, likelihood.op7_lm_scoring])
@@ -109,7 +150,9 @@ def test_gradients_are_those_of_the_likelihood():
     rng = np.random.default_rng(1)
     around, token = rng.integers(0, likelihood.VOCABULARY, (5, 4)), rng.integers(0, likelihood.VOCABULARY - 1, 5)
     grads = net.gradients(around, token)
-    for k, at in ((0, (1, around[2, 1], 3)), (1, (4,)), (2, (3, int(token[1]))), (3, (int(token[0]),))):
+    group, place = int(token[1]) % likelihood.CLASSES, int(token[1]) // likelihood.CLASSES
+    for k, at in ((0, (1, around[2, 1], 3)), (1, (4,)), (2, (3, group)), (3, (group,)), (4, (group, 3, place)), (5, (group, place)),
+                  (4, (group, 2, (place + 1) % likelihood.CLASS))):
         p, e = net.params[k], 1e-6
         p[at] += e
         up = -net.log_probability(around, token).mean()
@@ -154,10 +197,11 @@ def test_words_of_one_bucket_score_by_their_own_counts(spark, tables):
     import pyarrow as pa
     names = [f"w{i}" for i in range(2000)]
     bucket = dict(zip(names, (likelihood.A.Words(pa.array([" ".join(names)])).hashes % np.uint64(likelihood.BUCKETS)).tolist()))
-    common, rest = names[:300], names[300:]
-    usual = common[299]
+    own = likelihood.WORDS + 9  # more than have a token of their own
+    common, rest = names[:own + 100], names[own + 100:]
+    usual = common[-1]
     rare = next(w for w in rest if bucket[w] == bucket[usual])
-    docs = [(i, " ".join(common[:200] * 2 + common[200:]), "en", "s", 1) for i in range(20)]
+    docs = [(i, " ".join(common[:own] * 2 + common[own:]), "en", "s", 1) for i in range(20)]
     docs += [(100, f"{common[0]} {usual} {common[1]}", "en", "s", 1), (101, f"{common[0]} {rare} {common[1]}", "en", "s", 1)]
     frame = table(spark, tables(docs, clashing=False), "documents")
     for known in (likelihood.KNOWN, 5, 0):
