@@ -3,13 +3,14 @@
 Words may be written with look-alike characters (``1d10t``), with gaps
 (``i d i o t``) or with repeated letters (``stuuupid``). Each suspicious token becomes
 a lattice: a position offers its own character and the letters it may stand for, a
-gap may be dropped, a run of one letter may shrink to one or two. Viterbi decoding
+gap is an arc that says nothing or ends a word, a run of one letter may shrink to one or two. Viterbi decoding
 under a character trigram model, trained on the words of all documents, picks
-the best path; the restored words are added to the text. The marks ``CLOSING`` at a token's
+the best path; the restored words are added to the text. Short fragments side by side (``id iot``) are lattices
+of their letters and gaps too; each gap's two arcs are compared at once for a whole batch. The marks ``CLOSING`` at a token's
 end may also stand for nothing; what is then written as it stood is not added again.
 
 The restored text is scored by words and word beginnings: their log-odds in toxic
-and other labelled documents make a lexicon (bounded: ``LEXICON`` entries from at
+and other labelled documents make a lexicon (of all that ``LEAST_DOCS`` and ``LEAST_WEIGHT`` leave, from at
 most ``SAMPLE`` labelled rows, the smallest by a hash of the id). What the lexicon
 finds in a document (how many words, their weights, the share of the text) goes
 through boosted trees. The trees are trained on lexicon counts of the other half of
@@ -33,7 +34,6 @@ from storepulse.llm.quality import Trees, grow, held_out, labelled
 from storepulse.llm.tables import DOC, table, texts
 
 SAMPLE = 12_000
-LEXICON = 20_000
 LEAST_DOCS = 3
 LEAST_WEIGHT = 2.0
 BEGINNINGS = (4, 5, 6)
@@ -60,9 +60,14 @@ GAP = np.zeros(256, bool)
 GAP[list(b" ._*-")] = True
 MARK = np.zeros(256, bool)
 MARK[list(b"@$!+|")] = True
+GAPS = re.compile(r"[ ._*-]+")
 CLOSING = "!|"  # marks that often only end a word
 SPELT = 3  # single characters with gaps that make a spelt word
-LONGEST = 64  # characters of a lattice; longer junk is decoded in parts
+LONGEST = 64  # characters of a lattice; longer ones are decoded in windows that overlap by ``OVERLAP``
+OVERLAP = 24
+WIDE = 1.5  # what it costs to read on over a gap of two characters
+FRAGMENT = 4  # letters of a fragment at most
+MARGIN = 0.5  # by which reading on must be likelier than a word's end between fragments
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -97,23 +102,32 @@ class Channel:
         single = counts.sum((0, 1))
         back = (single + 1) / (single.sum() + SIZE)
         middle = (counts.sum(0) + 4 * back) / (counts.sum((0, 2))[:, None] + 4)
-        self.model = np.log((counts + 2 * middle) / (pair + 2)).tolist()
+        self.table = np.log((counts + 2 * middle) / (pair + 2))
+        self.model = self.table.tolist()
         self.known: dict[bytes, bytes] = {}
 
     def restore(self, token: bytes) -> bytes:
         if token not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            text = re.sub(r"[ ._*-]", "", token.decode("ascii", "replace"))
-            self.known[token] = " ".join(self.decode(text[a:a + LONGEST]) for a in range(0, len(text), LONGEST)).encode()
+            text = GAPS.sub(lambda m: " " if len(m[0]) == 1 else "_", token.decode("ascii", "replace"))
+            found = [self.decode(text[at:at + LONGEST]) for at in range(0, max(1, len(text) - OVERLAP), LONGEST - OVERLAP)]
+            self.known[token] = " ".join(found).encode()
         return self.known[token]
 
     def decode(self, text: str) -> str:
-        """The most likely word: Viterbi over (last two letters), one step for each run of equal characters."""
+        """The most likely words: Viterbi over (last two letters), one step for each run of equal characters or gap."""
         runs = [(m[0][0], len(m[0]), m.start()) for m in re.finditer(r"(.)\1*", text)]
         core = len(text.rstrip(CLOSING)) or len(text)
         paths = {(0, 0): (0.0, "")}
         for char, n, at in runs:
+            if char in " _":
+                cost = WIDE if char == "_" else 0.0
+                ends = max((s + self.model[x][y][0], w + " ") for (x, y), (s, w) in paths.items())
+                paths = {k: (s - cost, w) for k, (s, w) in paths.items()}
+                if (0, 0) not in paths or paths[0, 0][0] < ends[0]:
+                    paths[0, 0] = ends
+                continue
             letters = [char] if char.isalpha() else list(LOOKS.get(char, "")) or [""]
             step: dict[tuple[int, int], tuple[float, str]] = dict(paths) if at >= core else {}
             for (x, y), (score, word) in paths.items():
@@ -133,6 +147,31 @@ class Channel:
             paths = step
         return max((s + self.model[x][y][0], w) for (x, y), (s, w) in paths.items())[1]
 
+    def joined_fragments(self, low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of short fragments whose gaps are likelier nothing than a word's end: for each gap, the letters around
+        it under both arcs."""
+        start, end = A.spans(LETTER[low], offs)
+        if len(start) < 2:
+            return []
+        a, b = slice(0, -1), slice(1, None)
+        size = end - start
+        short = (size <= FRAGMENT) & ASCII_LETTER[low[start]]
+        near = short[a] & short[b] & (start[b] - end[a] == 1) & GAP[low[end[a]]]
+        near &= np.searchsorted(offs, start[b], "right") == np.searchsorted(offs, start[a], "right")
+        at = np.flatnonzero(near)
+        if not len(at):
+            return []
+        code = _CODE[low]
+        x1, y1 = code[end[at] - 1], code[start[at + 1]]
+        x2 = np.where(size[at] > 1, code[np.maximum(end[at] - 2, 0)], 0)
+        y2 = np.where(size[at + 1] > 1, code[np.minimum(start[at + 1] + 1, len(code) - 1)], 0)
+        m = self.table
+        on, over = m[x2, x1, y1] + m[x1, y1, y2], m[x2, x1, 0] + m[0, 0, y1] + m[0, y1, y2]
+        joined = np.zeros(len(start), bool)
+        joined[at[on > over + MARGIN]] = True
+        first, last = A.spans(joined, np.array([0, len(joined)]))
+        return [(int(start[i]), int(end[j])) for i, j in zip(first, last)]
+
     def restored(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The texts in lower case, each followed by its restored words: bytes and offsets."""
         data, offs = A.flat(column)
@@ -146,6 +185,9 @@ class Channel:
         for start, end in spelt_words(low, offs):
             doc = int(np.searchsorted(offs, start, "right")) - 1
             extra.setdefault(doc, set()).add(self.restore(low[start:end].tobytes()))
+        for start, end in self.joined_fragments(low, offs):
+            doc = int(np.searchsorted(offs, start, "right")) - 1
+            extra.setdefault(doc, set()).add(GAPS.sub("", low[start:end].tobytes().decode()).encode())
         if not extra:
             return low, offs
         parts, at = [], 0
@@ -176,9 +218,12 @@ def suspicious_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]
 
 
 def spelt_words(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of at least ``SPELT`` single characters with one or two gap characters between them."""
+    """Stretches of at least ``SPELT`` characters, each alone or doubled, with one or two gap characters between them."""
     start, end = A.spans(PART[low] | (low >= 128), offs)
-    one = (end - start == 1) & PART[low[start]] if len(start) else np.zeros(0, bool)
+    if not len(start):
+        return []
+    twice = (end - start == 2) & (low[start] == low[end - 1])
+    one = ((end - start == 1) | twice) & PART[low[start]]
     if one.sum() < SPELT:
         return []
     apart = start[1:] - end[:-1]
@@ -267,8 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sums = (chosen.mapInArrow(counted, "key long, t0 long, o0 long, t1 long, o1 long").groupBy("key")
             .agg(*[F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")])
             .where(F.col("t0") + F.col("t1") >= LEAST_DOCS)
-            .where((F.col("key") == 0) | ((F.col("t0") + F.col("t1")) * 2 > F.col("o0") + F.col("o1")))
-            .orderBy(F.desc(F.col("key") == 0), F.desc(F.col("t0") + F.col("t1")), "key").limit(LEXICON)).toPandas()
+            .where((F.col("key") == 0) | ((F.col("t0") + F.col("t1")) * 2 > F.col("o0") + F.col("o1")))).toPandas()  # features of at most ``sample`` documents
     total = sums[sums["key"] == 0]
     sums = sums[sums["key"] != 0]
     key = sums["key"].to_numpy(np.int64).view(np.uint64)
