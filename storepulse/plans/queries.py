@@ -240,6 +240,8 @@ def price_snapshot(spark, sf_dir):
 
 # Batches of the kept stock: the sales of the days of the month below these, and the rest.
 STOCK_DAYS = (16, 32)
+# Key buckets of the kept tables: a few files each at the sizes of the driver tables.
+KEY_BUCKETS = 16
 
 
 def _kept_stock(spark, sf_dir):
@@ -248,15 +250,15 @@ def _kept_stock(spark, sf_dir):
     from ..session import scratch_path
     i = StoreInputs(spark, sf_dir)
     path = scratch_path(spark, "stock")
-    upkeep.create_stock(i.stock, path)
+    upkeep.create_stock(i.stock, path, KEY_BUCKETS)
     below, changes = 0, []
     for number, day in enumerate(STOCK_DAYS):
         part = i.buys.where((F.dayofmonth("datetime") >= below) & (F.dayofmonth("datetime") < day))
         held = scratch_path(spark, "stock-changes")
-        upkeep.sell(spark, path, number, part).write.parquet(held)
+        upkeep.sell(spark, path, number, part, KEY_BUCKETS).write.parquet(held)
         changes.append(spark.read.parquet(held).withColumn("batch", F.lit(number)))
         below = day
-    upkeep.sell(spark, path, number, part)
+    upkeep.sell(spark, path, number, part, KEY_BUCKETS)
     return upkeep.read_stock(spark, path), changes
 
 
@@ -280,8 +282,8 @@ def price_merge(spark, sf_dir):
     from ..session import scratch_path
     p = StoreInputs(spark, sf_dir).products_all_versions
     path, held = scratch_path(spark, "products"), scratch_path(spark, "price-changes")
-    upkeep.create_products(p, path)
-    upkeep.move_prices(spark, path, 0, prices.price_moves(p, PRICE_UPDATE_N, PRICE_UPDATE_SEED), AS_OF).write.parquet(held)
+    upkeep.create_products(p, path, KEY_BUCKETS)
+    upkeep.move_prices(spark, path, 0, prices.price_moves(p, PRICE_UPDATE_N, PRICE_UPDATE_SEED), AS_OF, KEY_BUCKETS).write.parquet(held)
     history = spark.read.parquet(held).select("product_id", "store_id", "price", "recorded_at").distinct()
     rows = upkeep.read_products(spark, path).join(p.select("id_product", F.col("price").alias("before")), "id_product")
     moved = rows.where("price <> before").drop("before").join(
