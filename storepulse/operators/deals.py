@@ -19,6 +19,8 @@ DAY_US = 86_400_000_000
 # The longest period, in months of 30 days: from 1973 on its start is still a date. The dashboard asks for 1 to 48.
 LONGEST_PERIOD = 24_000
 DEALS_PER_MESSAGE = 1000
+# Parts of the products of a period; each request is sent to all of them.
+PERIOD_PARTS = 64
 
 
 def period_start(as_of: dt.datetime, months: int) -> dt.datetime:
@@ -97,11 +99,12 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     """JN-8: all requests in one job, without a range join.
 
     A row belongs to every period of at least ``ceil(age in days / 30)`` months
-    (newer rows, and rows after ``as_of``, to all). History is reduced to one row
-    per (product, store, smallest requested period that holds it); a running sum over a product's periods gives
-    the average of each of them up to the next one with rows, and requests meet their period by an
-    equi-join. The history is scanned and shuffled once, whatever the requests are; the longest
-    requested period is a literal bound that reaches the scan.
+    (newer rows, and rows after ``as_of``, to all). Each row gets the smallest requested period that holds
+    it (a broadcast of at most ``LONGEST_PERIOD`` months) and history is reduced to one row per (product,
+    store, that period); a running sum over a product's periods gives the average of each of them up to the
+    next one with rows, and requests meet their period by an equi-join. Periods are few and each holds all
+    products, so a period is dealt in ``PERIOD_PARTS`` parts. The history is scanned and shuffled once,
+    whatever the requests are; the longest requested period is a literal bound that reaches the scan.
     """
     from pyspark.sql import Window
     age_us = F.timestamp_diff("MICROSECOND", F.col("recorded_at"), ntz_lit(as_of))
@@ -112,10 +115,8 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
     steps = requested_periods(req)
     periods = steps.select("step", "months").distinct()
     recent = history.filter(F.col("recorded_at") >= ntz_lit(period_start(as_of, longest)))
-    monthly = (recent.groupBy("product_id", "store_id", F.greatest(month, F.lit(1)).alias("m"))
-                     .agg(F.sum("price").alias("s"), F.count("price").alias("n"))
-                     .join(steps.select("m", "step"), "m").groupBy("product_id", "store_id", "step")
-                     .agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    monthly = (recent.withColumn("m", F.greatest(month, F.lit(1))).join(F.broadcast(steps.select("m", "step")), "m")
+                     .groupBy("product_id", "store_id", "step").agg(F.sum("price").alias("s"), F.count("price").alias("n")))
     w = Window.partitionBy("product_id", "store_id").orderBy("step")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     last = periods.agg(F.max("step")).first()[0] or 0
@@ -124,9 +125,12 @@ def deals_for_requests(history: DataFrame, products: DataFrame, requests: DataFr
         F.coalesce(F.lead("step").over(w) - 1, F.lit(last)).alias("last"))
     per_period = (running.select("product_id", "store_id", F.explode(F.sequence("step", "last")).alias("step"),
                                  F.round(F.col("s") / F.col("n"), 6).cast("double").alias("avg_price"))
-                         .join(periods, "step").drop("step"))
-    cand = products.join(per_period.withColumnRenamed("product_id", "id"), ["id", "store_id"], "inner")
-    j = cand.join(req, "months")
+                         .join(F.broadcast(periods), "step").drop("step"))
+    # no broadcast of the catalogue, as in ``price_deals``
+    cand = products.join(per_period.withColumnRenamed("product_id", "id").hint("merge"), ["id", "store_id"], "inner")
+    part = F.pmod(F.xxhash64("id", "store_id"), F.lit(PERIOD_PARTS)).cast("int")
+    every = req.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PERIOD_PARTS - 1))))
+    j = cand.withColumn("part", part).join(every, ["months", "part"])
     return j.filter(F.col("price") < F.col("avg_price") * (F.lit(1) - F.col("discount") / F.lit(100))).select(
         "request_id", "months", "discount", F.col("id").alias("product_id"), "name", "store_id", "price",
         F.col("avg_price").alias("average_price"))

@@ -32,3 +32,27 @@ def test_a_small_looking_catalogue_is_not_broadcast(spark):
     for df in (d, deals.rank_deals(d), deals.deal_report(d, 12, 10.0, AS_OF)):
         df.collect()
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_a_requested_period_is_dealt_in_parts(spark):
+    from storepulse.operators import deals
+    history, catalog = rows(spark)
+    req = spark.createDataFrame([(1, 12, 10.0), (2, 1, 5.5), (3, 12, 30.0), (4, 12, 10.0)], "request_id int, months int, discount double")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", was)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        got = deals.deals_for_requests(history, catalog, req, AS_OF)
+        found = got.collect()
+        text = plan(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+    # the products meet the requests by the period and a part of it
+    assert re.search(r"SortMergeJoin \[months#\d+, part#\d+\]", text) and not re.search(r"SortMergeJoin \[months#\d+\]", text)
+    for r in req.collect():
+        want = deals.price_deals(history, catalog, AS_OF, r.months, r.discount).collect()
+        assert sorted((x.product_id, x.store_id, x.price, x.average_price) for x in found if x.request_id == r.request_id) == \
+            sorted((x.product_id, x.store_id, x.price, x.average_price) for x in want)
+    assert {r.request_id for r in found} == {1, 2, 3, 4}
